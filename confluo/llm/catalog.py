@@ -1,10 +1,11 @@
 """Queries of the training-data operators, and their SQL where SQL can express them."""
 
-from . import exact_dedup, token_counts, toxicity
+from . import exact_dedup, language_id, token_counts, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_language_id": language_id.op5_language_id,
     "op9_token_counts": token_counts.op9_token_counts,
 }
 ORACLE_SQL = {"op1_exact_dedup": exact_dedup.OP1_SQL}

@@ -60,11 +60,42 @@ def _sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return total[ends] - total[np.r_[0, ends[:-1]]]
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 40, batch: int = 1024, rate: float = 0.02, decay: float = 1e-4, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Weights per bucket and the bias that minimise the nnPU risk, by Adam."""
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 30, batch: int = 1024, rate: float = 0.05, sparsity: float = 0.5, seed: int = 7) -> tuple[np.ndarray, float]:
+    """Weights per bucket and the bias that minimise the nnPU risk, by proximal Adam.
+
+    A first fit with an L1 penalty picks the words whose excess among the toxic
+    texts stands out of sampling noise; a second one without it sets their weights.
+    The bias is then moved so that score 0.5 has the least nnPU risk of the 0-1 loss.
+    """
+    penalty = sparsity * prior / max(1, len(positive)) ** 0.5
+    weights, bias = _descend(positive, unlabelled, prior, None, epochs, batch, rate, penalty, seed)
+    prior = _mixture(*_levels(positive, unlabelled, weights), prior)
+    weights, bias = _descend(positive, unlabelled, prior, np.flatnonzero(np.abs(weights) > 0.02), 12 * epochs, 1 << 30, rate, 0.0, seed)
+    cuts, in_positive, in_unlabelled = _levels(positive, unlabelled, weights)
+    if len(cuts):
+        risk = prior * (1 - in_positive) + np.maximum(0, in_unlabelled - prior * in_positive)
+        bias = -cuts[np.argmin(risk)]
+    return weights, bias
+
+
+def _levels(positive, unlabelled, weights):
+    """Thresholds between the scores that occur, and the share of either kind above each."""
+    scores = [np.sort([weights[t].sum() for t in texts]) for texts in (positive, unlabelled)]
+    found = np.unique(np.concatenate(scores).round(6))
+    cuts = (found[1:] + found[:-1]) / 2
+    return cuts, *[1 - np.searchsorted(s, cuts) / max(1, len(s)) for s in scores]
+
+
+def _mixture(cuts, in_positive, in_unlabelled, prior):
+    """The share of positives among the unlabelled: the least ratio above a threshold that a tenth of the positives pass."""
+    ratio = in_unlabelled[in_positive >= 0.1] / in_positive[in_positive >= 0.1]
+    return float(min(prior, ratio.min())) if len(ratio) and ratio.min() > 0 else prior
+
+
+def _descend(positive, unlabelled, prior, chosen_words, epochs, batch, rate, penalty, seed):
     seen = np.bincount(np.concatenate([*positive, *unlabelled, np.zeros(0, np.int64)]).astype(np.int64), minlength=BUCKETS)
     index = np.full(BUCKETS, -1)
-    used = np.flatnonzero(seen >= LEAST_TEXTS)
+    used = np.flatnonzero(seen >= LEAST_TEXTS) if chosen_words is None else chosen_words
     index[used] = np.arange(len(used))
     packed = [[x[x >= 0] for x in (index[t] for t in texts)] for texts in (positive, unlabelled)]
     w, bias = np.zeros(len(used)), float(np.log(prior / (1 - prior)))
@@ -82,12 +113,13 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
             up = [-sigmoid(-f[0]) * prior / max(1, len(f[0])), np.zeros(len(f[1]))]
             down = [-sigmoid(f[0]) * prior / max(1, len(f[0])), sigmoid(f[1]) / max(1, len(f[1]))]
             pull = [a + b if rest >= 0 else -b for a, b in zip(up, down, strict=True)]
-            grad = sum(np.bincount(x, np.repeat(p, s), len(w)) for x, p, s in zip(flat, pull, sizes, strict=True)) + decay * w
+            grad = sum(np.bincount(x, np.repeat(p, s), len(w)) for x, p, s in zip(flat, pull, sizes, strict=True)) + 1e-5 * w
             g = np.append(grad, sum(p.sum() for p in pull))
             step += 1
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
             w, bias = w - move[:-1], bias - move[-1]
+            w = np.sign(w) * np.maximum(np.abs(w) - rate * penalty / (np.sqrt(v[:-1] / (1 - 0.999**step)) + 1e-8), 0)
     weights = np.zeros(BUCKETS)
     weights[used] = w
     return weights, bias
