@@ -1,8 +1,10 @@
 """Token counts without ids: pieces are counted once per distinct pre-token.
 
-One pass cuts texts into pre-tokens and writes, per task and pre-token, the rows
-it occurs in and how often.  The distinct pre-tokens are counted by the library
-once each, joined back, and multiplied frequencies are summed per row.
+A pass cuts texts into pre-tokens and sends, per task and pre-token, the rows it
+occurs in and how often, as one compact record.  One shuffle brings the records
+of a pre-token together; there the library counts its pieces once, the count is
+joined to the frequencies, and products are summed per row.  Records of very
+common pre-tokens are dealt over several tasks, each of which counts them once.
 
 Nulls count as the empty text, which has 0 tokens.  Special strings inside a
 text are one token each, as the library treats them by default.  Repeated rows
@@ -18,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table, text_of
+from .common import table, text_of, utf8
 
-#: Pre-tokens (with repeats) that a task holds before it writes what it has.
-HELD = 1_000_000
+#: Pre-tokens (with repeats) that a task holds before it sends what it has.
+HELD = 6_000_000
+#: Rows of a record from which on it may go to any task.
+COMMON = 2_000
 #: The pre-token pattern and special tokens of word_bpe_49k.json.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
@@ -40,6 +44,28 @@ class _Vocabulary(dict):
         return n
 
 
+def _packed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Non-negative integers as bytes of 7 bits, the last of each below 128; and each one's length."""
+    length = 1 + sum((values >= (1 << 7 * i)).astype(np.int64) for i in range(1, 6))
+    at = np.cumsum(length) - length
+    out = np.zeros(int(length.sum()), np.uint8)
+    for i in range(int(length.max(initial=0))):
+        has = length > i
+        out[at[has] + i] = ((values[has] >> (7 * i)) & 127) | np.where(length[has] > i + 1, 128, 0)
+    return out, length
+
+
+def _unpacked(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The integers, and where each ends."""
+    ends = np.flatnonzero(data < 128) + 1
+    starts = np.r_[0, ends[:-1]]
+    values = np.zeros(len(ends), np.int64)
+    for i in range(int((ends - starts).max(initial=0))):
+        has = ends - starts > i
+        values[has] |= (data[starts[has] + i].astype(np.int64) & 127) << (7 * i)
+    return values, ends
+
+
 def _cut(path: str, schema: pa.Schema):
     import regex
 
@@ -47,49 +73,89 @@ def _cut(path: str, schema: pa.Schema):
         n = len(next(iter(columns.values())))
         return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
-    def flush(vocabulary, codes, owners):
-        key = np.concatenate(codes) * np.int64(1 << 32)
-        local, row = np.unique(np.concatenate(owners), return_inverse=True)
-        key, freq = np.unique(key + row, return_counts=True)
-        code, at = key >> 32, local[key & 0xFFFFFFFF]
-        cuts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
-        ends = pa.array(np.r_[cuts, len(code)], pa.int32())
+    def flush(vocabulary, codes, owners, sizes):
+        owners = np.array(owners)
+        local = np.repeat(np.arange(len(owners)), sizes)
+        key, freq = np.unique((np.concatenate(codes).astype(np.int64) << 32) + local, return_counts=True)
+        code, at = key >> 32, owners[key & 0xFFFFFFFF] - owners[0]
+        first = np.r_[True, code[1:] != code[:-1]]
+        step = np.where(first, at, at - np.r_[0, at[:-1]])
+        data, length = _packed(np.stack([step, freq], 1).ravel())
+        cuts = np.flatnonzero(first)
+        n_rows = np.diff(np.r_[cuts, len(code)])
+        ends = np.r_[0, np.cumsum(length)][2 * np.r_[cuts, len(code)]]
         names = np.array(list(vocabulary), object)[code[cuts]]
-        return rows(pretoken=names, rows=pa.ListArray.from_arrays(ends, pa.array(at)), freqs=pa.ListArray.from_arrays(ends, pa.array(freq.astype(np.int32))))
+        for a in range(0, len(cuts), 100_000):
+            part = slice(a, a + 100_000)
+            cut = ends[a : a + 100_001]
+            blob = pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer((cut - cut[0]).astype(np.int32)), pa.py_buffer(data[cut[0] : cut[-1]].tobytes())])
+            yield rows(pretoken=names[part], base=np.full(len(cut) - 1, owners[0]), freqs=blob, deal=np.where(n_rows[part] >= COMMON, owners[0] + code[cuts[part]], 0))
 
     def run(batches):
         normal = _tokenizer(path).normalizer.normalize_str
         find = regex.compile(PATTERN).findall
         split = regex.compile("|".join(map(regex.escape, SPECIAL))).split
-        vocabulary, codes, owners, held = _Vocabulary(), [], [], 0
+        vocabulary, codes, owners, sizes, held = _Vocabulary(), [], [], [], 0
         for batch in batches:
-            special = np.zeros(batch.num_rows, np.int32)
+            special = np.zeros(batch.num_rows, np.int64)
             for i, (row, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2), strict=True)):
-                pieces = split(text := text.as_py())
+                pieces = split(text.as_py())
                 special[i] = len(pieces) - 1
-                for piece in pieces:
-                    found = np.fromiter(map(vocabulary.__getitem__, find(normal(piece))), np.int64)
-                    if len(found):
-                        codes.append(found)
-                        owners.append(np.full(len(found), row))
-                        held += len(found)
+                found = [np.fromiter(map(vocabulary.__getitem__, find(normal(piece))), np.int32) for piece in pieces]
+                codes += found
+                owners.append(row)
+                sizes.append(sum(map(len, found)))
+                held += sizes[-1]
                 if held >= HELD:
-                    yield flush(vocabulary, codes, owners)
-                    vocabulary, codes, owners, held = _Vocabulary(), [], [], 0
-            yield rows(row=batch.column(0), doc_id=batch.column(1), n_bytes=batch.column(3), n_special=special)
+                    yield from flush(vocabulary, codes, owners, sizes)
+                    vocabulary, codes, owners, sizes, held = _Vocabulary(), [], [], [], 0
+            yield rows(base=batch.column(0), doc_id=batch.column(1), n_bytes=batch.column(3), n=special, deal=batch.column(0))
         if held:
-            yield flush(vocabulary, codes, owners)
+            yield from flush(vocabulary, codes, owners, sizes)
 
     return run
 
 
-def _count(path: str):
+def _summed(path: str, schema: pa.Schema):
     def run(batches):
-        tokenizer = _tokenizer(path)
+        tokenizer, known = _tokenizer(path), {}
+        sums, held = [], 0
+
+        def merged():
+            row, back = np.unique(np.concatenate([r for r, _ in sums]), return_inverse=True)
+            return row, np.bincount(back, np.concatenate([n for _, n in sums])).astype(np.int64)
+
+        def rows(row, n):
+            return pa.RecordBatch.from_arrays([pa.array(row), pa.nulls(len(row), schema.field("doc_id").type), pa.nulls(len(row), pa.int64()), pa.array(n)], schema=schema)
+
         for batch in batches:
+            words = batch.column(0)
+            head = words.is_null()
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in (1, 2, 3, 4)], schema=schema).filter(head)
+            batch = batch.filter(words.is_valid())
             words = batch.column(0).to_pylist()
-            n = [len(e.ids) for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["pretoken", "n_pieces"])
+            new = list(dict.fromkeys(w for w in words if w not in known))
+            if len(known) > 500_000:
+                known, new = {}, list(dict.fromkeys(words))
+            known.update(zip(new, (len(e.ids) for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+            pieces = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+            offsets, data = utf8(batch.column(5))
+            values, ends = _unpacked(data[offsets[0] : offsets[-1]])
+            step, freq = values[::2], values[1::2]
+            first = np.searchsorted(ends[1::2], offsets[:-1] - offsets[0], "right")
+            owner = np.repeat(np.arange(len(words)), np.diff(np.r_[first, len(step)]))
+            total = np.cumsum(step)
+            at = total - (total[first] - step[first])[owner] + batch.column(1).to_numpy()[owner]
+            sums.append((at, freq * pieces[owner]))
+            held += len(at)
+            if held >= 1_000_000:
+                sums = [merged()]
+                held = len(sums[0][0])
+                if held >= 500_000:
+                    yield rows(*sums.pop())
+                    held = 0
+        if sums:
+            yield rows(*merged())
 
     return run
 
@@ -98,20 +164,16 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id"
     """One row per document: doc_id, n_bytes and n_tokens."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    text = text_of(docs, text_column)
-    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("doc_id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
+    spark, text = docs.sparkSession, text_of(docs, text_column)
+    source = docs.select(F.monotonically_increasing_id().alias("base"), F.col(id_column).alias("doc_id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    schema = f"pretoken string, rows array<bigint>, freqs array<int>, row bigint, doc_id {kind}, n_bytes bigint, n_special int"
-    empty = docs.sparkSession.createDataFrame([], schema)
-    parts = stored(source.mapInArrow(_cut(tokenizer_path, to_arrow_schema(empty.schema)), schema), "pretokens")
-    counts = parts.filter("pretoken is not null").select("pretoken").distinct().mapInArrow(_count(tokenizer_path), "pretoken string, n_pieces bigint")
-    sums = (
-        parts.join(counts, "pretoken")
-        .select("n_pieces", F.inline(F.arrays_zip("rows", "freqs")))
-        .select(F.col("rows").alias("row"), F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("long").alias("n_bytes"), (F.col("freqs") * F.col("n_pieces")).alias("n"))
-    )
-    heads = parts.filter("pretoken is null").select("row", "doc_id", "n_bytes", F.col("n_special").cast("long").alias("n"))
-    return heads.unionByName(sums).groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens")).drop("row")
+    sent = f"pretoken string, base bigint, doc_id {kind}, n_bytes bigint, n bigint, freqs binary, deal bigint"
+    got = f"base bigint, doc_id {kind}, n_bytes bigint, n bigint"
+    arrow = lambda schema: to_arrow_schema(spark.createDataFrame([], schema).schema)
+    records = source.mapInArrow(_cut(tokenizer_path, arrow(sent)), sent)
+    together = records.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "pretoken", "deal")
+    counted = together.mapInArrow(_summed(tokenizer_path, arrow(got)), got)
+    return counted.groupBy("base").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens")).drop("base")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
