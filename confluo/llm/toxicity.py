@@ -137,10 +137,10 @@ def train(docs: DataFrame, labels: DataFrame, held_out_parts: int = 5) -> tuple[
     if not n_toxic:
         return np.zeros(BUCKETS), -30.0
     order = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1e6
-    toxic = marked.filter("toxic = 1").filter(order < min(1.0, 1.1 * MAX_POSITIVE / n_toxic)).select("doc_id", "toxic")
+    toxic = marked.filter("toxic = 1").filter(order < min(1.0, 1.1 * MAX_POSITIVE / n_toxic)).select("doc_id", "toxic").limit(MAX_POSITIVE)
     source = docs.select("doc_id", F.lower(text_of(docs)).alias("text")).filter(fold(F.col("doc_id"), held_out_parts) != 0)
     some = source.filter(F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(1_000_000)) / 1e6 < min(1.0, 1.3 * MAX_UNLABELLED / max(1, n_docs))).select(F.lit(0).alias("toxic"), "text").limit(MAX_UNLABELLED)
-    rows = source.join(toxic, "doc_id").select(F.col("toxic").cast("int").alias("toxic"), "text").limit(MAX_POSITIVE).unionByName(some)
+    rows = source.join(F.broadcast(toxic), "doc_id").select(F.col("toxic").cast("int").alias("toxic"), "text").unionByName(some)
     found = rows.mapInArrow(_gather, "toxic int, buckets array<int>").toArrow()
     kind = found.column("toxic").to_numpy()
     ends, buckets = np.r_[0, np.cumsum(found.column("buckets").combine_chunks().value_lengths().to_numpy())], found.column("buckets").combine_chunks().flatten().to_numpy()
