@@ -152,3 +152,15 @@ def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     keep = inside[cuts] == 1 if len(cuts) else np.zeros(0, bool)
     starts, ends = cuts[keep], ends[keep]
     return starts, ends, np.searchsorted(bounds, starts, "right") - 1
+
+
+#: ASCII letters, digits and all bytes of other characters make bare words.
+LETTERS = np.zeros(256, np.int8)
+LETTERS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+
+
+def bare_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words without punctuation of concatenated texts, and the text of each."""
+    spaced = np.where(LETTERS[data] == 1, data, 32).astype(np.uint8)
+    starts, ends, owner = words(spaced, bounds)
+    return spans_hash(running(spaced), starts, ends), owner

@@ -24,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASE, mix, table, text_of
+from .common import BASE, mix, slices, table, text_of, utf8
 
 MARK = "▁"
 #: Distinct words that are encoded together, and words a worker remembers.
-TOGETHER, REMEMBERED = 100_000, 1_000_000
+TOGETHER, REMEMBERED = 50_000, 400_000
 NEVER = np.int64(1 << 40)
 
 
@@ -212,17 +212,18 @@ def encode(docs: DataFrame, tables: dict, text_column: str = "text", ids_column:
     def run(batches):
         viterbi, known = Viterbi(shared.value), {}
         for batch in batches:
-            texts = [cut(MARK + t.replace(" ", MARK)) if t else [] for t in batch.column(batch.num_columns - 1).to_pylist()]
-            if len(known) > REMEMBERED:
-                known = {}
-            new = list(dict.fromkeys(w for t in texts for w in t if w not in known))
-            for a in range(0, len(new), TOGETHER):
-                known.update(zip(new[a : a + TOGETHER], viterbi.encode(new[a : a + TOGETHER]), strict=True))
-            for a in range(0, len(texts), 1000):
-                ids = [np.concatenate([known[w] for w in t]) if t else np.zeros(0, np.int32) for t in texts[a : a + 1000]]
-                ends = pa.array(np.r_[0, np.cumsum([len(x) for x in ids])], pa.int32())
-                lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids), pa.int32()))
-                part = batch.slice(a, len(ids))
+            for a, b in slices(utf8(batch.column(batch.num_columns - 1))[0]):
+                part = batch.slice(a, b - a)
+                texts = [cut(MARK + t.replace(" ", MARK)) if t else [] for t in part.column(part.num_columns - 1).to_pylist()]
+                new = list({w for t in texts for w in t if w not in known})
+                if len(known) + len(new) > REMEMBERED:
+                    known, new = {}, list({w for t in texts for w in t})
+                for first in range(0, len(new), TOGETHER):
+                    some = new[first : first + TOGETHER]
+                    known.update(zip(some, (x.tobytes() for x in viterbi.encode(some)), strict=True))
+                ids = [b"".join(map(known.__getitem__, t)) for t in texts]
+                ends = pa.array(np.r_[0, np.cumsum([len(x) // 4 for x in ids])], pa.int32())
+                lists = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(ids), np.int32)))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists], names=[*batch.schema.names[:-1], ids_column])
 
     kept = [c for c in docs.columns if c != ids_column]
@@ -236,14 +237,15 @@ def decode(docs: DataFrame, tables: dict, ids_column: str = "piece_ids", text_co
 
     def run(batches):
         raw, ends = shared.value["raw"], shared.value["raw_ends"]
-        for batch in batches:
-            texts = []
-            for ids in batch.column(batch.num_columns - 1):
-                ids = ids.values.to_numpy() if ids.is_valid else np.zeros(0, np.int64)
-                size = ends[ids + 1] - ends[ids]
-                at = np.repeat(ends[ids] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum()) if len(ids) else np.zeros(0, np.int64)
-                texts.append(raw[at].tobytes().removeprefix(b" ").decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*batch.schema.names[:-1], text_column])
+        for whole in batches:
+            for first in range(0, whole.num_rows, 500):
+                batch, texts = whole.slice(first, 500), []
+                for ids in batch.column(batch.num_columns - 1):
+                    ids = ids.values.to_numpy() if ids.is_valid else np.zeros(0, np.int64)
+                    size = ends[ids + 1] - ends[ids]
+                    at = np.repeat(ends[ids] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum()) if len(ids) else np.zeros(0, np.int64)
+                    texts.append(raw[at].tobytes().removeprefix(b" ").decode("utf-8", "replace"))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*batch.schema.names[:-1], text_column])
 
     kept = [c for c in docs.columns if c != text_column]
     schema = docs.select(*kept).withColumn(text_column, F.lit("")).schema

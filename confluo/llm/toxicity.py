@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, running, slices, spans_hash, table, text_of, utf8, words
+from .common import bare_words, fold, slices, table, text_of, utf8
 
 #: Hash buckets of words.
 BUCKETS = 1 << 18
@@ -28,16 +28,11 @@ MAX_POSITIVE, MAX_UNLABELLED = 4_000, 12_000
 #: A word counts if so many of the fitted texts have it.
 LEAST_TEXTS = 8
 
-#: ASCII letters, digits and all bytes of other characters make words.
-LETTERS = np.zeros(256, np.int8)
-LETTERS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
-
 
 def _features(offsets: np.ndarray, data: np.ndarray):
     """Distinct word buckets of each text: (ends into the buckets, buckets)."""
-    spaced = np.where(LETTERS[data] == 1, data, 32).astype(np.uint8)
-    starts, ends, owner = words(spaced, offsets)
-    bucket = (spans_hash(running(spaced), starts, ends) % np.uint64(BUCKETS)).astype(np.int64)
+    code, owner = bare_words(data, offsets)
+    bucket = (code % np.uint64(BUCKETS)).astype(np.int64)
     key = np.unique(owner * BUCKETS + bucket)
     return np.searchsorted(key, np.arange(1, len(offsets)) * BUCKETS), key % BUCKETS
 
