@@ -28,14 +28,16 @@ from pyspark.sql import functions as F
 from .common import bare_words, slices, table, text_of, utf8
 
 #: Hash buckets of words; latent directions, and extra ones of the random range.
-TERMS, RANK, EXTRA = 1 << 13, 96, 16
+TERMS, RANK, EXTRA = 1 << 13, 64, 8
 #: Words of a passage and window, and by how many windows move on.
 SPAN, STEP = 32, 16
 #: Terms in more than this share of the passages carry no weight.
-COMMON = 0.1
+COMMON = 0.03
 #: Least cosine of a candidate, and least shares of an item and of its answer found in order.
-COSINE, COVER, ANSWER = 0.35, 0.7, 0.5
+COSINE, COVER, ANSWER = 0.3, 0.7, 0.5
 BLOCK = 4096
+#: 64-bit words of the bitmap that bounds a common subsequence from above.
+BITS = 16
 #: Bytes of text handled at once.
 PIECE = 1 << 18
 
@@ -59,8 +61,8 @@ def _frequencies(batches):
         for _, _, code, owner in _texts(batch, 0):
             starts = _blocks(owner, SPAN)
             passage = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(code)]))
-            once = np.unique(passage * TERMS + (code % np.uint64(TERMS)).astype(np.int64))
-            total += np.bincount(once % TERMS, minlength=TERMS)
+            once = np.sort((passage * TERMS + (code % np.uint64(TERMS)).astype(np.int64)).astype(np.uint32))
+            total += np.bincount(once[np.r_[True, once[1:] != once[:-1]][: len(once)]] % TERMS, minlength=TERMS)
             passages += len(starts)
     used = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, used], pa.int32()), pa.array(np.r_[passages, total[used]])], names=["term", "n"])
@@ -70,21 +72,26 @@ def _range(idf: np.ndarray, seed: int):
     """Per task: its part of A'(A O), one row per term."""
 
     def run(batches):
-        random = np.random.default_rng(seed).standard_normal((TERMS, RANK + EXTRA)).astype(np.float32)
-        total = np.zeros_like(random, np.float64)
+        random = np.random.default_rng(seed).standard_normal((TERMS, RANK + EXTRA)).astype(np.float32) * idf[:, None]
+        total = np.zeros_like(random)
         for batch in batches:
             for _, _, code, owner in _texts(batch, 0):
-                if not len(code):
-                    continue
                 term = (code % np.uint64(TERMS)).astype(np.uint16)
-                starts, weight = _blocks(owner, SPAN), idf[term]
-                norm = np.sqrt(np.add.reduceat(weight * weight, starts))
+                starts = _blocks(owner, SPAN)
                 passage = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(code)]))
-                weight = weight / np.maximum(norm, 1e-6)[passage]
-                y = np.add.reduceat(random[term] * weight[:, None], starts, axis=0)
+                weighs = idf[term] > 0
+                term, passage = term[weighs], passage[weighs]
+                if not len(term):
+                    continue
+                starts = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]])
+                passage = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(term)]))
+                y = np.add.reduceat(random[term], starts, axis=0)
+                y /= np.add.reduceat(idf[term] ** 2, starts)[:, None]
                 order = np.argsort(term, kind="stable")
-                begin = np.flatnonzero(np.r_[True, term[order][1:] != term[order][:-1]])
-                total[term[order][begin]] += np.add.reduceat(y[passage[order]] * weight[order][:, None], begin, axis=0)
+                ordered = term[order]
+                begin = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+                total[ordered[begin]] += np.add.reduceat(y[passage[order]], begin, axis=0)
+        total *= idf[:, None]
         used = np.flatnonzero(total.any(1))
         for part in np.array_split(used, max(1, len(used) // 1000)):
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([total[i].astype(np.float32).tobytes() for i in part], pa.binary())], names=["term", "part"])
@@ -140,6 +147,13 @@ def common_subsequence(masks: dict[int, int], size: int, words: list[int]) -> in
     return size - row.bit_count()
 
 
+def _bitmap(code: np.ndarray) -> np.ndarray:
+    """One bit of BITS * 64 for each word, chosen by its hash."""
+    out, spot = np.zeros((len(code), BITS), np.uint64), (code >> np.uint64(40)) % np.uint64(64 * BITS)
+    out[np.arange(len(code)), (spot >> np.uint64(6)).astype(np.int64)] = np.uint64(1) << (spot & np.uint64(63))
+    return out
+
+
 def _masks(words: np.ndarray) -> dict[int, int]:
     out: dict[int, int] = {}
     for i, w in enumerate(words.tolist()):
@@ -155,6 +169,9 @@ def _search(space, items):
         ids = [i for i, _ in known]
         words = [(_hashes(t), _hashes(_answer(t))) for _, t in known]
         ready = [(len(w), _masks(w), len(a), _masks(a)) for w, a in words]
+        bits = np.array([np.bitwise_or.reduce(_bitmap(w)) if len(w) else np.zeros(BITS, np.uint64) for w, _ in words]).reshape(-1, BITS)
+        spare = np.array([len(w) - math.ceil(COVER * len(w)) for w, _ in words])
+        around = np.array([-(-max(0, len(w) - SPAN // 2) // STEP) for w, _ in words])
         vectors, of = [], []
         for k, (w, _) in enumerate(words):
             cuts = [w] if len(w) <= 2 * SPAN else [w[a : a + SPAN] for a in range(0, len(w), SPAN)]
@@ -175,20 +192,30 @@ def _search(space, items):
                 more = np.flatnonzero(owner[starts[1:]] == owner[starts[:-1]])
                 joint[more] += half[more + 1]
                 length = np.linalg.norm(joint, axis=1, keepdims=True)
-                window, item = np.nonzero(joint @ matrix >= COSINE * np.maximum(length, 1e-9))
-                if not len(window):
-                    continue
+                window, item = np.divmod(np.flatnonzero(joint @ matrix >= COSINE * np.maximum(length, 1e-9)), matrix.shape[1])
+                item = of[item]
+                # an item word that is nowhere around the window cannot be in the common subsequence
+                present, keep = np.bitwise_or.reduceat(_bitmap(code), starts, axis=0), np.zeros(len(window), bool)
+                for reach in np.unique(around[item]):
+                    here, region = np.flatnonzero(around[item] == reach), present.copy()
+                    for shift in range(1, reach + 2):
+                        region[:-shift] |= present[shift:]
+                        if shift <= reach:
+                            region[shift:] |= present[:-shift]
+                    for part in np.array_split(here, len(here) // 100_000 + 1):
+                        absent = np.bitwise_count(bits[item[part]] & ~region[window[part]]).sum(1)
+                        keep[part] = absent <= spare[item[part]]
+                window, item = window[keep], item[keep]
                 begin = np.searchsorted(owner, np.arange(owner[-1] + 2))
-                plain = code.tolist()
-                for w, k in zip(window.tolist(), of[item].tolist(), strict=True):
+                for w, k in zip(window.tolist(), item.tolist(), strict=True):
                     text = int(owner[starts[w]])
                     size, masks, n_answer, answer = ready[k]
                     if not size or found[a + text].get(k, 0) >= 1:
                         continue
                     reach = max(0, size - SPAN // 2)
-                    around = plain[max(begin[text], starts[w] - reach) : min(begin[text + 1], starts[w] + SPAN + reach)]
-                    share = common_subsequence(masks, size, around) / size
-                    if share >= COVER and common_subsequence(answer, n_answer, around) >= ANSWER * n_answer:
+                    near = code[max(begin[text], starts[w] - reach) : min(begin[text + 1], starts[w] + SPAN + reach)].tolist()
+                    share = common_subsequence(masks, size, near) / size
+                    if share >= COVER and common_subsequence(answer, n_answer, near) >= ANSWER * n_answer:
                         found[a + text][k] = max(share, found[a + text].get(k, 0))
             hits = [sorted(ids[k] for k in f) for f in found]
             yield pa.RecordBatch.from_arrays(
