@@ -1,13 +1,15 @@
 """Queries of the training-data operators, and their SQL where SQL can express them."""
 
-from . import exact_dedup, language_id, near_dedup, pii, sentencepiece_codec, token_counts, toxicity
+from . import decontamination, exact_dedup, language_id, line_dedup, near_dedup, pii, sentencepiece_codec, token_counts, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_near_dedup": near_dedup.op3_near_dedup,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_language_id": language_id.op5_language_id,
     "op6_pii": pii.op6_pii,
+    "op7_decontamination": decontamination.op7_decontamination,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_sentencepiece": sentencepiece_codec.op10_sentencepiece,
 }
