@@ -1,6 +1,6 @@
 """Queries of the training-data operators, and their SQL where SQL can express them."""
 
-from . import decontamination, exact_dedup, language_id, line_dedup, near_dedup, pii, sentencepiece_codec, token_counts, toxicity
+from . import decontamination, exact_dedup, language_id, line_dedup, near_dedup, pii, sentencepiece_codec, suffix_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_language_id": language_id.op5_language_id,
     "op6_pii": pii.op6_pii,
     "op7_decontamination": decontamination.op7_decontamination,
+    "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_sentencepiece": sentencepiece_codec.op10_sentencepiece,
 }
