@@ -3,7 +3,8 @@
 A pass cuts texts into pre-tokens and sends, per task and pre-token, the rows it
 occurs in and how often, as one compact record.  One shuffle brings the records
 of a pre-token together; there the library counts its pieces once, the count is
-joined to the frequencies, and products are summed per row.  Records of very
+joined to the frequencies, and products are summed per row, in packed records
+again until a second shuffle brings the sums of a row together.  Records of very
 common pre-tokens are dealt over several tasks, each of which counts them once.
 
 Nulls count as the empty text, which has 0 tokens.  Special strings inside a
@@ -116,46 +117,90 @@ def _cut(path: str, schema: pa.Schema):
     return run
 
 
-def _summed(path: str, schema: pa.Schema):
-    def run(batches):
-        tokenizer, known = _tokenizer(path), {}
-        sums, held = [], 0
+def _steps(blobs: pa.Array, base: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows and numbers that packed records hold, and the record of each."""
+    offsets, data = utf8(blobs)
+    values, ends = _unpacked(data[offsets[0] : offsets[-1]])
+    step, n = values[::2], values[1::2]
+    first = np.searchsorted(ends[1::2], offsets[:-1] - offsets[0], "right")
+    owner = np.repeat(np.arange(len(blobs)), np.diff(np.r_[first, len(step)]))
+    total = np.cumsum(step)
+    return total - (total[first] - step[first])[owner] + base[owner], n, owner
+
+
+class _Sums:
+    """Numbers by row, merged as they grow."""
+
+    def __init__(self) -> None:
+        self.held, self.parts, self.bases = 0, [], np.zeros(0, np.int64)
+
+    def add(self, row: np.ndarray, n: np.ndarray, base: np.ndarray) -> None:
+        self.parts.append((row, n))
+        self.bases = np.union1d(self.bases, base)
+        self.held += len(row)
+        if self.held >= 2_000_000:
+            self.parts = [self.merged()]
+            self.held = len(self.parts[0][0])
+
+    def merged(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.parts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        row, back = np.unique(np.concatenate([r for r, _ in self.parts]), return_inverse=True)
+        return row, np.bincount(back, np.concatenate([n for _, n in self.parts])).astype(np.int64)
+
+
+def _heads(batch: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([batch.column(f.name) if f.name != "freqs" else pa.nulls(batch.num_rows, f.type) for f in schema], schema=schema)
+
 
-        def merged():
-            row, back = np.unique(np.concatenate([r for r, _ in sums]), return_inverse=True)
-            return row, np.bincount(back, np.concatenate([n for _, n in sums])).astype(np.int64)
+def _counted(path: str, schema: pa.Schema):
+    """Records of pre-tokens to sums of pieces, one packed record for each task that cut them."""
 
-        def rows(row, n):
-            return pa.RecordBatch.from_arrays([pa.array(row), pa.nulls(len(row), schema.field("doc_id").type), pa.nulls(len(row), pa.int64()), pa.array(n)], schema=schema)
+    def packed(sums):
+        row, n = sums.merged()
+        part = np.searchsorted(sums.bases, row, "right") - 1
+        first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(row) else np.zeros(0, np.int64)
+        step = np.diff(row, prepend=0)
+        step[first] = row[first] - sums.bases[part[first]]
+        data, length = _packed(np.stack([step, n], 1).ravel())
+        ends = np.r_[0, np.cumsum(length)][2 * np.r_[first, len(row)]]
+        blobs = [data[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        bases = sums.bases[part[first]]
+        return pa.RecordBatch.from_arrays([pa.array(bases) if f.name == "base" else pa.array(blobs, pa.binary()) if f.name == "freqs" else pa.nulls(len(blobs), f.type) for f in schema], schema=schema)
 
+    def run(batches):
+        tokenizer, known, sums = _tokenizer(path), {}, _Sums()
         for batch in batches:
-            words = batch.column(0)
-            head = words.is_null()
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in (1, 2, 3, 4)], schema=schema).filter(head)
-            batch = batch.filter(words.is_valid())
-            words = batch.column(0).to_pylist()
+            yield _heads(batch.filter(batch.column("pretoken").is_null()), schema)
+            batch = batch.filter(batch.column("pretoken").is_valid())
+            words = batch.column("pretoken").to_pylist()
             new = list(dict.fromkeys(w for w in words if w not in known))
             if len(known) > 500_000:
                 known, new = {}, list(dict.fromkeys(words))
             known.update(zip(new, (len(e.ids) for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-            pieces = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-            offsets, data = utf8(batch.column(5))
-            values, ends = _unpacked(data[offsets[0] : offsets[-1]])
-            step, freq = values[::2], values[1::2]
-            first = np.searchsorted(ends[1::2], offsets[:-1] - offsets[0], "right")
-            owner = np.repeat(np.arange(len(words)), np.diff(np.r_[first, len(step)]))
-            total = np.cumsum(step)
-            at = total - (total[first] - step[first])[owner] + batch.column(1).to_numpy()[owner]
-            sums.append((at, freq * pieces[owner]))
-            held += len(at)
-            if held >= 1_000_000:
-                sums = [merged()]
-                held = len(sums[0][0])
-                if held >= 500_000:
-                    yield rows(*sums.pop())
-                    held = 0
-        if sums:
-            yield rows(*merged())
+            if words:
+                pieces = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+                base = batch.column("base").to_numpy()
+                row, freq, owner = _steps(batch.column("freqs"), base)
+                sums.add(row, freq * pieces[owner], base)
+        yield packed(sums)
+
+    return run
+
+
+def _summed(schema: pa.Schema):
+    """Packed sums to one number a row."""
+
+    def run(batches):
+        sums = _Sums()
+        for batch in batches:
+            yield _heads(batch.filter(batch.column("freqs").is_null()), schema)
+            batch = batch.filter(batch.column("freqs").is_valid())
+            if batch.num_rows:
+                base = batch.column("base").to_numpy()
+                sums.add(*_steps(batch.column("freqs"), base)[:2], base)
+        row, n = sums.merged()
+        yield pa.RecordBatch.from_arrays([pa.array(row) if f.name == "base" else pa.array(n) if f.name == "n" else pa.nulls(len(row), f.type) for f in schema], schema=schema)
 
     return run
 
@@ -168,11 +213,13 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id"
     source = docs.select(F.monotonically_increasing_id().alias("base"), F.col(id_column).alias("doc_id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
     kind = source.schema["doc_id"].dataType.simpleString()
     sent = f"pretoken string, base bigint, doc_id {kind}, n_bytes bigint, n bigint, freqs binary, deal bigint"
+    sums = f"base bigint, doc_id {kind}, n_bytes bigint, n bigint, freqs binary"
     got = f"base bigint, doc_id {kind}, n_bytes bigint, n bigint"
     arrow = lambda schema: to_arrow_schema(spark.createDataFrame([], schema).schema)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     records = source.mapInArrow(_cut(tokenizer_path, arrow(sent)), sent)
-    together = records.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "pretoken", "deal")
-    counted = together.mapInArrow(_summed(tokenizer_path, arrow(got)), got)
+    pieces = records.repartition(parts, "pretoken", "deal").mapInArrow(_counted(tokenizer_path, arrow(sums)), sums)
+    counted = pieces.repartition(parts, "base").mapInArrow(_summed(arrow(got)), got)
     return counted.groupBy("base").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens")).drop("base")
 
 
