@@ -1,4 +1,7 @@
 """Registry of the queries over the reference's own operators."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from . import merges
+
+MODULES = (merges,)
+QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
+ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
