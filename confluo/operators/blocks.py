@@ -40,8 +40,12 @@ def refined_candidates(template: DataFrame, destination: DataFrame, exact: DataF
 def take_greedily(candidates: DataFrame, pair: str) -> DataFrame:
     """For each destination block in order the best template block still free; ties go to the earlier one.
 
-    The choice is sequential within one pair of texts, so it runs per group.
+    Where no two blocks of a pair of texts want the same one, each gets its best;
+    else the choice is sequential within the pair, and those pairs run per group.
     """
+    rank = F.struct("score", (-F.col("template_idx")).alias("t"))
+    best = candidates.groupBy(pair, "destination_idx").agg(F.max_by(F.struct("template_idx", "score"), rank).alias("best")).select(pair, F.col("best.template_idx").alias("template_idx"), "destination_idx", F.col("best.score").alias("score"))
+    clashes = best.groupBy(pair, "template_idx").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(pair).distinct()
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
         taken, out = set(), []
@@ -53,7 +57,8 @@ def take_greedily(candidates: DataFrame, pair: str) -> DataFrame:
                 out.append(free.iloc[0])
         return pd.DataFrame(out, columns=rows.columns).astype(rows.dtypes.to_dict())
 
-    return candidates.groupBy(pair).applyInPandas(choose, candidates.schema)
+    hard = candidates.join(clashes, pair, "left_semi").groupBy(pair).applyInPandas(choose, candidates.schema)
+    return best.join(clashes, pair, "left_anti").unionByName(hard)
 
 
 def match_blocks(template: DataFrame, destination: DataFrame, pair: str) -> DataFrame:

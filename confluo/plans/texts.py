@@ -160,7 +160,7 @@ RETENTION_SQL = """
 WITH d AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents WHERE text IS NOT NULL),
 l AS (SELECT * FROM d WHERE line <> ''), k AS (SELECT DISTINCT doc_id + 1 AS doc_id, line FROM l),
 f AS (SELECT l.doc_id, l.line, k.line IS NOT NULL AS kept FROM l LEFT JOIN k ON l.doc_id = k.doc_id AND l.line = k.line),
-r AS (SELECT doc_id, round(count_if(kept)::DOUBLE / count(*), 9) AS line_ratio, round(sum(CASE WHEN kept THEN strlen(line) ELSE 0 END)::DOUBLE / sum(strlen(line)), 9) AS byte_ratio FROM f GROUP BY doc_id)
+r AS (SELECT doc_id, round(count(*) FILTER (WHERE kept)::DOUBLE / count(*), 9) AS line_ratio, round(sum(CASE WHEN kept THEN strlen(line) ELSE 0 END)::DOUBLE / sum(strlen(line)), 9) AS byte_ratio FROM f GROUP BY doc_id)
 """
 
 
