@@ -1,7 +1,7 @@
 """Registry of the queries over the reference's own operators."""
 
-from . import merges, reviews, texts
+from . import merges, reviews, template_trees, texts
 
-MODULES = (merges, reviews, texts)
+MODULES = (merges, reviews, template_trees, texts)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
