@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table, text_of
+from .common import fresh, stored, table, text_of
 
 #: Slots per digest, and slots per row of the filter before its bound.
 HASHES, SLOTS_PER_ROW = 3, 16
@@ -27,11 +27,10 @@ HASHES, SLOTS_PER_ROW = 3, 16
 SEGMENT_BITS, MAX_SEGMENTS = 1 << 13, 1 << 15
 
 
-def _slots(n_segments: int):
+def _slots(n_segments: int, digest: str = "text_sha256"):
     """Column expressions: the filter row of a digest and its bits in that row."""
-    h = F.xxhash64("text_sha256")
-    segment = F.pmod(h, F.lit(n_segments)).cast("int")
-    bits = [F.pmod(F.xxhash64(F.lit(i + 1), "text_sha256"), F.lit(SEGMENT_BITS)).cast("int") for i in range(HASHES)]
+    segment = F.pmod(F.xxhash64(digest), F.lit(n_segments)).cast("int")
+    bits = [F.pmod(F.xxhash64(F.lit(i + 1), digest), F.lit(SEGMENT_BITS)).cast("int") for i in range(HASHES)]
     return segment, bits
 
 
@@ -88,19 +87,17 @@ def repeated_slots(digests: DataFrame, n_rows: int) -> tuple[DataFrame, int]:
     return partial.groupBy("segment").applyInArrow(_merged, "segment int, repeated binary"), n_segments
 
 
-def split(rows: DataFrame, slots: DataFrame, n_segments: int) -> tuple[DataFrame, DataFrame]:
-    """``rows`` (with text_sha256) as (possibly repeated, certainly alone); neither shuffles."""
-    segment, bits = _slots(n_segments)
-    probe = rows.withColumn("_segment", segment).join(
-        F.broadcast(slots.select(F.col("segment").alias("_segment"), F.col("repeated").alias("_repeated"))), "_segment", "left"
-    )
+def split(rows: DataFrame, slots: DataFrame, n_segments: int, digest: str = "text_sha256") -> tuple[DataFrame, DataFrame]:
+    """``rows`` (with a digest column) as (possibly repeated, certainly alone); neither shuffles."""
+    segment, bits = _slots(n_segments, digest)
+    where, again, maybe = (fresh(rows, n) for n in ("_segment", "_repeated", "_maybe"))
+    probe = rows.withColumn(where, segment).join(F.broadcast(slots.select(F.col("segment").alias(where), F.col("repeated").alias(again))), where, "left")
     hit = F.lit(True)
     for b in bits:
-        byte = F.conv(F.hex(F.substring("_repeated", F.floor(b / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        hit = hit & (F.shiftright(byte, 0).bitwiseAND(F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), b % 8 + 1)) != 0)
-    probe = probe.withColumn("_hit", F.coalesce(hit, F.lit(False)))
-    keep = rows.columns
-    return probe.filter("_hit").select(*keep), probe.filter("not _hit").select(*keep)
+        byte = F.conv(F.hex(F.substring(again, F.floor(b / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        hit = hit & (byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), b % 8 + 1)) != 0)
+    probe = probe.withColumn(maybe, F.coalesce(hit, F.lit(False)))
+    return probe.filter(F.col(maybe)).select(*rows.columns), probe.filter(~F.col(maybe)).select(*rows.columns)
 
 
 def mark_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -124,13 +121,14 @@ def mark_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
 def drop_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The documents that stay, with all their columns; rows without copies do not shuffle."""
-    keyed = docs.withColumn("text_sha256", F.sha2(text_of(docs, text_column).cast("binary"), 256))
-    digests = stored(keyed.select(F.col(id_column).alias("_id"), "text_sha256"), "digests")
+    sha, keep, own = (fresh(docs, n) for n in ("_sha", "_keep", "_own"))
+    keyed = docs.withColumn(sha, F.sha2(text_of(docs, text_column).cast("binary"), 256))
+    digests = stored(keyed.select(F.col(id_column).alias("_id"), F.col(sha).alias("text_sha256")), "digests")
     slots, n_segments = repeated_slots(digests, digests.count())
     slots = stored(slots, "bloom")
-    best = split(digests, slots, n_segments)[0].groupBy("text_sha256").agg(F.max("_id").alias("_keep"))
-    maybe, alone = split(keyed, slots, n_segments)
-    kept = maybe.join(best, "text_sha256").filter(F.col(id_column).eqNullSafe(F.col("_keep"))).drop("_keep").dropDuplicates(["text_sha256"])
+    best = split(digests, slots, n_segments)[0].groupBy(F.col("text_sha256").alias(own)).agg(F.max("_id").alias(keep))
+    maybe, alone = split(keyed, slots, n_segments, sha)
+    kept = maybe.join(best, F.col(sha) == F.col(own)).filter(F.col(id_column).eqNullSafe(F.col(keep))).dropDuplicates([sha])
     return kept.select(*docs.columns).unionByName(alone.select(*docs.columns))
 
 

@@ -1,0 +1,268 @@
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from confluo.llm import components, decontamination, exact_dedup, language_id, line_dedup, near_dedup, pii, sentencepiece_codec, suffix_dedup, token_counts, toxicity
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+SCHEMA = "doc_id bigint, text string, lang string, source string, _key int, score string"
+
+
+def prose(seed, n, vocabulary=400):
+    r = random.Random(seed)
+    return " ".join(f"w{r.randrange(vocabulary)}" for _ in range(n))
+
+
+def edited(text, seed, share):
+    r = random.Random(seed)
+    return " ".join(f"x{r.randrange(999)}" if r.random() < share else w for w in text.split())
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    """Nulls in every column, empty and very long texts, ties, repeated rows, and columns with clashing names."""
+    base, long = prose(1, 300), prose(2, 20_000, 5_000)
+    rows = [
+        (1, base, "en", "a", 1, "s"),
+        (2, base, "en", None, None, None),
+        (3, edited(base, 5, 0.05), None, "a", 1, "s"),
+        (4, None, None, None, None, None),
+        (5, "", "de", "b", 2, "t"),
+        (None, "only this", "en", "a", 1, "s"),
+        (6, long, "fr", "c", 3, "u"),
+        (6, long, "fr", "c", 3, "u"),
+        (7, prose(9, 120), "en", "a", 1, "s"),
+        (8, "line one is here\nanother line\n\nLINE  one is here", "en", "a", 1, "s"),
+        (9, "mail a.b@c.example.org from 10.0.0.255 or +1 (377) 555-0271, card 4111 1111 1111 1111", "en", "a", 1, "s"),
+    ]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_exact_dedup_marks_and_drops(docs, empty):
+    rows = exact_dedup.mark_copies(docs).collect()
+    assert len(rows) == docs.count()
+    by = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in rows}
+    assert (1, 2, 2, False) in by and (2, 2, 2, True) in by
+    assert (4, 5, 2, False) in by and (5, 5, 2, True) in by
+    assert sorted(r.kept for r in rows if r.doc_id == 6) == [False, True]
+    assert all(r.text_sha256 for r in rows)
+    kept = exact_dedup.drop_copies(docs)
+    assert kept.columns == docs.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["2", "3", "5", "None", "6", "7", "8", "9"])
+    assert exact_dedup.mark_copies(empty).count() == 0 and exact_dedup.drop_copies(empty).count() == 0
+
+
+def test_bloom_filter_lets_repeats_through_only(spark):
+    many = spark.range(20_000).select(F.sha2((F.col("id") % 19_000).cast("string"), 256).alias("text_sha256"))
+    slots, n = exact_dedup.repeated_slots(many, 20_000)
+    maybe, alone = exact_dedup.split(many, slots, n)
+    assert maybe.count() + alone.count() == 20_000
+    assert alone.groupBy("text_sha256").count().filter("count > 1").count() == 0
+    assert 2_000 <= maybe.count() < 3_000
+
+
+def test_near_dedup_classes(docs, empty):
+    rows = {r.doc_id: r for r in near_dedup.classes(docs).collect()}
+    assert rows[1].class_id == rows[2].class_id == rows[3].class_id == 1
+    assert rows[1].kept and not rows[3].kept and rows[3].n_links == 1
+    assert rows[4].class_id == rows[5].class_id == 4 and rows[7].class_size == 1
+    assert near_dedup.drop_near_copies(docs).columns == docs.columns
+    assert sorted(str(r.doc_id) for r in near_dedup.drop_near_copies(docs).collect() if r.doc_id != 6) == ["1", "4", "7", "8", "9", "None"]
+    assert near_dedup.classes(empty).count() == 0
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        last, row[0] = row[0], i + 1
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], min(row[j + 1] + 1, row[j] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_alignment_and_bounds_against_brute_force():
+    r = random.Random(0)
+    for _ in range(300):
+        a = [r.randint(2, 60) for _ in range(r.randint(0, 50))]
+        b = [x if r.random() > 0.15 else r.randint(2, 60) for x in a if r.random() > 0.05]
+        left, right, want = np.array(a, np.uint64), np.array(b, np.uint64), edit_distance(a, b)
+        low, high = near_dedup.distance_bounds(left, right)
+        assert low <= want <= high
+        got = near_dedup.aligned([(left, right)], 0.2 + 1e-9)[0]
+        assert got == (want if want <= int((0.2 + 1e-9) * max(len(a), len(b))) else -1)
+
+
+def test_near_dedup_finds_planted_copies(spark):
+    originals = [prose(100 + i, 150, 2_000) for i in range(30)]
+    rows = [(i, t) for i, t in enumerate(originals)] + [(100 + i, edited(t, i, 0.06)) for i, t in enumerate(originals)]
+    found = {r.doc_id: r.class_id for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert all(found[100 + i] == i for i in range(30)) and len(set(found.values())) == 30
+
+
+def test_components_of_a_chain_and_a_star(spark):
+    pairs = [(i + 1, i) for i in range(40)] + [(200 + i, 100) for i in range(1, 30)] + [(7, 7)]
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(pairs, "a int, b int")).collect()}
+    assert all(got[i] == 0 for i in range(41)) and all(got[200 + i] == 100 for i in range(1, 30))
+
+
+def test_line_dedup_keeps_the_first_of_each_group(docs, empty, spark):
+    got = {r.doc_id: r.text for r in line_dedup.drop_repeated_lines(docs).collect()}
+    assert got[8] == "line one is here\nanother line\n" and got[4] is None and got[5] == ""
+    assert got[1] and got[2] == ""
+    assert line_dedup.repeated_lines(empty).count() == 0
+    long = prose(3, 400, 4_000)
+    near = spark.createDataFrame([(1, long), (2, long + " end"), (3, prose(4, 400))], "doc_id bigint, text string")
+    left = {r.doc_id: r.text for r in line_dedup.drop_repeated_lines(near).collect()}
+    assert left[1] == long and left[2] == "" and left[3]
+
+
+def test_simhash_of_long_and_short_lines_agree_with_bit_counts(spark, monkeypatch):
+    xxhash = pytest.importorskip("xxhash")
+
+    def plain(line):
+        h = [xxhash.xxh64(w.encode(), seed=42).intdigest() for w in line.split(" ")]
+        return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) > len(h) // 2) - (1 << 64 if sum(x >> 63 & 1 for x in h) > len(h) // 2 else 0)
+
+    lines = spark.createDataFrame([(prose(i, n),) for i, n in ((1, 1), (2, 8), (3, 77))], "line string")
+    for held in (16_383, 2):
+        monkeypatch.setattr(line_dedup, "PACKED", held)
+        assert all(r.h == plain(r.line) for r in lines.select("line", line_dedup.simhash(F.col("line")).alias("h")).collect())
+
+
+def test_toxicity_learns_from_positives_and_unlabelled(spark, empty):
+    r = random.Random(1)
+    rows = []
+    for i in range(1_500):
+        words = prose(i, 60).split()
+        if toxic := i % 8 == 0:
+            words[r.randrange(60)] = r.choice(["zog", "blarg"])
+        rows.append((i, " ".join(words), int(toxic)))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, x if i % 3 else None) for i, _, x in rows if i % 5 != 4], "doc_id bigint, toxic int")
+    scored = {x.doc_id: x.score for x in toxicity.with_scores(docs, toxicity.train(docs, labels)).collect()}
+    held = [(scored[i] >= 0.5, x) for i, _, x in rows if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert sum(p == bool(x) for p, x in held) / len(held) > 0.95
+    assert toxicity.with_scores(empty, toxicity.train(docs, labels)).count() == 0
+    none = toxicity.train(docs, labels.filter("false"))
+    assert toxicity.with_scores(docs, none).filter("score >= 0.5").count() == 0
+
+
+def test_language_id(spark, docs, empty):
+    tongues = {"aa": "kala mola tiri sana", "bb": "strum gneft pfolk drusch", "cc": "ouieau eaux ielle"}
+    rows = [(i, " ".join(random.Random(i).choices(w.split(), k=20)), k) for i in range(300) for k, w in [list(tongues.items())[i % 3]]]
+    known = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language_id.train(known, F.col("doc_id") % 4 != 2)
+    got = language_id.with_language(known, model).filter("doc_id % 4 = 2").collect()
+    assert all(r.lang == r.lang_pred and 0 <= r.score <= 1 for r in got)
+    odd = {r.doc_id: r.lang_pred for r in language_id.with_language(docs, model).collect()}
+    assert odd[4] == odd[5] == "und" and odd[1] != "und"
+    assert language_id.with_language(empty, model).count() == 0
+    assert language_id.with_language(docs, language_id.train(empty, F.lit(True))).filter("lang_pred != 'und'").count() == 0
+
+
+PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
+
+
+def plain_spans(text):
+    out = []
+    for k, p in enumerate(PATTERNS):
+        for m in re.finditer(p, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            if [True, k == 1 and all(int(x) <= 255 for x in m[0].split(".")), 16 <= len(digits) <= 19 and pii.luhn(digits), 8 <= len(digits) <= 15][k]:
+                out.append((k, m.start(), m.end()))
+    return out
+
+
+def test_base_spans_against_the_plain_patterns(docs):
+    r = random.Random(2)
+    texts = ["".join(r.choices("a1. @+-()é9%", k=60)) for _ in range(3_000)] + ["a@b.c%d@e.f", "1.2.3.4.5.6.7.8", "x" * 5_000 + "@"]
+    assert all(pii.base_spans(t) == plain_spans(t) for t in texts)
+
+
+def test_pii_finds_base_spans_and_survives_odd_rows(docs, empty):
+    model = pii.train(docs)
+    got = {r.doc_id: r for r in pii.find(docs, model).collect()}
+    assert [s.kind for s in got[9].base] == ["email", "ip", "card", "phone"] and set(got[9].base) <= set(got[9].spans)
+    assert got[4].base == [] and got[5].spans == []
+    assert pii.find(empty, model).count() == 0
+
+
+def test_decontamination_finds_passages_and_light_paraphrases(spark, docs, empty):
+    items = [prose(700 + i, 30 + i, 3_000) for i in range(12)]
+    rows = [(i, prose(i, 200, 3_000)) for i in range(60)]
+    rows += [(100 + i, f"{prose(900 + i, 90, 3_000)} {t} {prose(950 + i, 90, 3_000)}") for i, t in enumerate(items)]
+    rows += [(200 + i, f"{prose(900 + i, 70, 3_000)} {edited(t, i, 0.1)}") for i, t in enumerate(items)] + [(300, None), (301, "")]
+    corpus = spark.createDataFrame(rows, "doc_id bigint, text string")
+    bench = spark.createDataFrame([*enumerate(items), (50, None), (None, "x"), (51, "")], "item_id bigint, text string")
+    got = {r.doc_id: r.item_ids for r in decontamination.with_leaks(corpus, bench).collect()}
+    assert all(got[100 + i] == [i] for i in range(12)) and sum(got[200 + i] == [i] for i in range(12)) >= 11
+    assert all(not got[i] for i in [*range(60), 300, 301])
+    assert decontamination.with_leaks(empty, bench).count() == 0
+    assert decontamination.with_leaks(docs, bench.filter("false")).filter("size(item_ids) > 0").count() == 0
+
+
+def test_suffix_array_by_grouping():
+    r = random.Random(3)
+    for _ in range(500):
+        s = [r.randrange(r.choice([2, 3, 26])) for _ in range(r.randint(0, 60))]
+        assert suffix_dedup.suffix_array(s) == sorted(range(len(s)), key=lambda i: s[i:])
+
+
+def plain_removal(texts, length):
+    seen = collections.Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+    for t in texts:
+        gone = [False] * len(t)
+        for i in range(len(t) - length + 1):
+            if seen[t[i : i + length]] > 1:
+                gone[i : i + length] = [True] * length
+        yield sum(gone), bytes(c for c, g in zip(t, gone, strict=True) if not g)
+
+
+@pytest.mark.parametrize("crowded", [1000, 1])
+def test_suffix_dedup_against_brute_force(spark, docs, empty, monkeypatch, crowded):
+    monkeypatch.setattr(suffix_dedup, "MAX_RECORDS", crowded)
+    shared, r = prose(5, 90), random.Random(4)
+    rows = [(i, f"{prose(60 + i, 40)} {shared[r.randrange(40):]} {prose(80 + i, 40)}") for i in range(12)]
+    rows += [(20, "a" * 3_000), (21, "ab" * 700), (22, None), (23, ""), (24, "é" * 300), (25, shared * 3)]
+    rows += [(r.doc_id, r.text) for r in docs.collect() if r.doc_id != 6] + [(None, shared), (None, shared)]
+    got = collections.Counter((r.n_removed, hashlib.sha256(r.kept).hexdigest()) for r in suffix_dedup.without_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    want = collections.Counter((n, hashlib.sha256(k).hexdigest()) for n, k in plain_removal([(t or "").encode() for _, t in rows], suffix_dedup.LENGTH))
+    assert got == want
+    assert suffix_dedup.without_repeats(empty).count() == 0
+
+
+def test_token_counts_equal_the_library(spark, docs, empty):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    odd = ["It's  A TEST's ½ ² İstanbul ΑΣ ﬁ  x y\x1cz", "a<|endoftext|>b<|startoftext|>", "!!'s''t", "日本語 é é 😀😀", None, ""]
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + list(enumerate(odd, 50))
+    got = collections.Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in token_counts.count_tokens(spark.createDataFrame(rows, "doc_id bigint, text string"), path).collect())
+    assert got == collections.Counter((i, len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)) for i, t in rows)
+    assert token_counts.count_tokens(empty, path).count() == 0
+
+
+def test_sentencepiece_equals_the_library_and_round_trips(spark, docs, empty):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library, tables = sentencepiece.SentencePieceProcessor(model_file=path), sentencepiece_codec.load(path)
+    odd = [" ", "  a", "aaaa aaa aa", "hello   world\n\nfoo \t x", "日本語テキスト😀é", "<s> <0x0A>", "a" * 60, "=====-----////", "", None]
+    rows = [(r.doc_id, r.text, "mine") for r in docs.collect()] + [(50 + i, t, "mine") for i, t in enumerate(odd)]
+    coded = sentencepiece_codec.decode(sentencepiece_codec.encode(spark.createDataFrame(rows, "doc_id bigint, text string, piece_ids string"), tables), tables).collect()
+    assert len(coded) == len(rows)
+    for r in coded:
+        assert r.piece_ids == library.encode(r.text or "") and r.decoded == (r.text or "")
+    assert sentencepiece_codec.encode(empty, tables).count() == 0
