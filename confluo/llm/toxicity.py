@@ -6,7 +6,8 @@ toxic texts and unlabelled texts.  The risk is corrected by the class prior p:
     p E_P[l(f)] + max(0, E_U[l(-f)] - p E_P[l(-f)])
 
 with the logistic loss l; when the second term turns negative its gradient is
-reversed, which stops the fit from eating into the unlabelled texts.
+reversed (in the fit that picks words) or left out (in the one that weighs them),
+which stops the fit from eating into the unlabelled texts.
 
 Nulls and empty texts get the score of a text without words.  Repeated rows and
 null ids are scored like any other; a label whose text is absent is not used.
@@ -55,7 +56,7 @@ def _sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return total[ends] - total[np.r_[0, ends[:-1]]]
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 30, batch: int = 1024, rate: float = 0.05, sparsity: float = 0.5, seed: int = 7) -> tuple[np.ndarray, float]:
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 30, batch: int = 1024, rate: float = 0.05, sparsity: float = 0.6, seed: int = 7) -> tuple[np.ndarray, float]:
     """Weights per bucket and the bias that minimise the nnPU risk, by proximal Adam.
 
     A first fit with an L1 penalty picks the words whose excess among the toxic
@@ -64,8 +65,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     """
     penalty = sparsity * prior / max(1, len(positive)) ** 0.5
     weights, bias = _descend(positive, unlabelled, prior, None, epochs, batch, rate, penalty, seed)
-    prior = _mixture(*_levels(positive, unlabelled, weights), prior)
-    weights, bias = _descend(positive, unlabelled, prior, np.flatnonzero(np.abs(weights) > 0.02), 12 * epochs, 1 << 30, rate, 0.0, seed)
+    weights, bias = _descend(positive, unlabelled, prior, np.flatnonzero(np.abs(weights) > 0.2 * np.abs(weights).max(initial=1e-9)), 12 * epochs, 1 << 30, rate, 0.0, seed)
     cuts, in_positive, in_unlabelled = _levels(positive, unlabelled, weights)
     if len(cuts):
         risk = prior * (1 - in_positive) + np.maximum(0, in_unlabelled - prior * in_positive)
@@ -81,12 +81,6 @@ def _levels(positive, unlabelled, weights):
     return cuts, *[1 - np.searchsorted(s, cuts) / max(1, len(s)) for s in scores]
 
 
-def _mixture(cuts, in_positive, in_unlabelled, prior):
-    """The share of positives among the unlabelled: the least ratio above a threshold that a tenth of the positives pass."""
-    ratio = in_unlabelled[in_positive >= 0.1] / in_positive[in_positive >= 0.1]
-    return float(min(prior, ratio.min())) if len(ratio) and ratio.min() > 0 else prior
-
-
 def _descend(positive, unlabelled, prior, chosen_words, epochs, batch, rate, penalty, seed):
     seen = np.bincount(np.concatenate([*positive, *unlabelled, np.zeros(0, np.int64)]).astype(np.int64), minlength=BUCKETS)
     index = np.full(BUCKETS, -1)
@@ -107,7 +101,7 @@ def _descend(positive, unlabelled, prior, chosen_words, epochs, batch, rate, pen
             rest = (loss_neg[1].mean() if len(f[1]) else 0) - prior * (loss_neg[0].mean() if len(f[0]) else 0)
             up = [-sigmoid(-f[0]) * prior / max(1, len(f[0])), np.zeros(len(f[1]))]
             down = [-sigmoid(f[0]) * prior / max(1, len(f[0])), sigmoid(f[1]) / max(1, len(f[1]))]
-            pull = [a + b if rest >= 0 else -b for a, b in zip(up, down, strict=True)]
+            pull = [a + b if rest >= 0 else -b if penalty else a for a, b in zip(up, down, strict=True)]
             grad = sum(np.bincount(x, np.repeat(p, s), len(w)) for x, p, s in zip(flat, pull, sizes, strict=True)) + 1e-5 * w
             g = np.append(grad, sum(p.sum() for p in pull))
             step += 1
