@@ -15,7 +15,7 @@
 4. Marked windows go back to the documents, where their bytes are removed.
 
 Keys with more than MAX_RECORDS different records don't fit one task; their
-windows are counted by hash instead, over all tasks.
+windows are counted by hash instead, dealt by key and hash over all tasks.
 
 Texts are UTF-8 bytes; nulls count as empty, and texts below LENGTH bytes keep
 everything.  Rows that repeat both id and text repeat each other.
@@ -35,6 +35,8 @@ from .common import mix, running, spans_hash, stored, table, text_of, utf8
 LENGTH, GRAM = 400, 64
 WINDOW = LENGTH - GRAM + 1
 MAX_RECORDS = 1000
+#: Window hashes of a crowded key that one group counts.
+HASHES_TOGETHER = 500_000
 #: Bytes handled at once; longer texts are cut, with LENGTH - 1 bytes of overlap.
 PIECE = 1 << 19
 INDEX = np.uint64((1 << 20) - 1)
@@ -236,13 +238,64 @@ def _grouped(batches):
 
 
 def _hashed(batches):
-    """The windows of records of crowded keys, each with the hash of its bytes."""
+    """Window hashes of the records of crowded keys, dealt by hash: one row a record and part."""
     for batch in batches:
-        for k, body, text, n in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+        out = []
+        for k, body, text, n, parts in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
             data = np.frombuffer(text, np.uint8)
             size = len(data) - LENGTH + 1
-            code = spans_hash(running(data), np.arange(size), np.arange(LENGTH, len(data) + 1)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(size, k)), pa.array([body] * size, pa.binary()), pa.array(np.arange(size, dtype=np.int32)), pa.array(code), pa.array(np.full(size, n))], names=["key", "body", "a", "window", "n"])
+            code = spans_hash(running(data), np.arange(size), np.arange(LENGTH, len(data) + 1))
+            part = (code >> np.uint64(32)) % np.uint64(parts)
+            for p in np.unique(part):
+                at = np.flatnonzero(part == p)
+                out.append((k, int(p), body, n, size, at.astype(np.int32).tobytes(), code[at].tobytes()))
+        if out:
+            columns = zip(("key", "part", "body", "n", "size", "at", "codes"), zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)
+            yield pa.RecordBatch.from_pydict({name: pa.array(values, kind) for name, values, kind in columns})
+
+
+def _counted(batches):
+    """Rows sorted by key and part: for each record, a bitmap of its windows whose hash occurs again."""
+    now, rows = None, []
+
+    def settle():
+        codes = [np.frombuffer(r[6], np.uint64) for r in rows]
+        sizes = [len(c) for c in codes]
+        _, back = np.unique(np.concatenate(codes), return_inverse=True)
+        again = np.bincount(back, np.repeat([r[3] for r in rows], sizes))[back] > 1
+        found = []
+        for r, hit in zip(rows, np.split(again, np.cumsum(sizes)[:-1]), strict=True):
+            if hit.any():
+                marks = np.zeros(r[4], bool)
+                marks[np.frombuffer(r[5], np.int32)[hit]] = True
+                found.append((r[0], r[2], r[4], np.packbits(marks).tobytes()))
+        return found
+
+    def packed(found):
+        keys, bodies, sizes, marks = zip(*found, strict=True)
+        return pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.int64()), "body": pa.array(bodies, pa.binary()), "size": pa.array(sizes, pa.int32()), "marks": pa.array(marks, pa.binary())})
+
+    for batch in batches:
+        for r in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+            if r[:2] != now:
+                if rows and (found := settle()):
+                    yield packed(found)
+                now, rows = r[:2], []
+            rows.append(r)
+    if rows and (found := settle()):
+        yield packed(found)
+
+
+def _united(batches):
+    """Bitmaps of a record's parts to ranges of its windows."""
+    for batch in batches:
+        out = []
+        for k, body, size, marks in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            joint = np.bitwise_or.reduce([np.frombuffer(m, np.uint8) for m in marks])
+            out += [(k, body, a, b) for a, b in _ranges(np.unpackbits(joint)[:size].astype(bool))]
+        if out:
+            keys, bodies, a, b = zip(*out, strict=True)
+            yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.int64()), "body": pa.array(bodies, pa.binary()), "a": pa.array(a, pa.int32()), "b": pa.array(b, pa.int32())})
 
 
 def _slices(batches):
@@ -298,9 +351,12 @@ def repeated_ranges(keyed: DataFrame) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     together = texts.filter("not crowded").select("key", "body", "text", "n").repartition(parts, "key").sortWithinPartitions("key")
     sorted_out = together.mapInArrow(_grouped, ranges)
-    windows = texts.filter("crowded").select("key", "body", "text", "n").mapInArrow(_hashed, "key bigint, body binary, a int, window bigint, n bigint")
-    often = windows.groupBy("key", "window").agg(F.sum("n").alias("times")).filter("times > 1")
-    counted = windows.join(often, ["key", "window"]).select("key", "body", "a", F.col("a").alias("b"))
+    parts_of = F.ceil(F.col("bodies") * WINDOW / HASHES_TOGETHER)
+    crowded = texts.filter("crowded").join(keys.select("key", "bodies"), "key").select("key", "body", "text", "n", parts_of.alias("parts"))
+    hashed = crowded.mapInArrow(_hashed, "key bigint, part bigint, body binary, n bigint, size int, at binary, codes binary")
+    dealt = hashed.repartition(parts, "key", "part").sortWithinPartitions("key", "part")
+    maps = dealt.mapInArrow(_counted, "key bigint, body binary, size int, marks binary")
+    counted = maps.groupBy("key", "body", "size").agg(F.collect_list("marks").alias("marks")).mapInArrow(_united, ranges)
     found = stored(plain.unionByName(sorted_out).unionByName(counted), "repeated")
     return cut.join(found, ["key", "body"]).select("doc", (F.col("lo") + F.col("a")).alias("a"), (F.col("lo") + F.col("b")).alias("b"))
 
