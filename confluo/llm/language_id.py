@@ -21,8 +21,8 @@ from .common import BASE, fold, mix, slices, table, text_of, utf8
 
 #: n-gram lengths, and hash buckets they share.
 LENGTHS, BUCKETS = (1, 2, 3), 1 << 16
-#: Documents of each language that the classifier is fitted on at most.
-MAX_PER_LANGUAGE = 800
+#: Documents of each language that the classifier is fitted on, by a hash of the id; never more than 1.2 times as many in all.
+MAX_PER_LANGUAGE = 1000
 #: FTRL step sizes and elastic-net penalties.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.01, 0.1
 
@@ -121,12 +121,12 @@ def train(docs: DataFrame, learn) -> tuple[list[str], np.ndarray, np.ndarray]:
     seen[df.bucket[df.bucket >= 0]] = df.n[df.bucket >= 0]
     n_docs = int(df.n[df.bucket < 0].sum())
     idf = np.where(seen > 0, np.log((1 + n_docs) / (1 + seen)) + 1, 0)
-    share = {r.lang: min(1.0, 1.3 * MAX_PER_LANGUAGE / r["count"]) for r in rows.groupBy("lang").count().collect()}
+    share = {r.lang: min(1.0, MAX_PER_LANGUAGE / r["count"]) for r in rows.groupBy("lang").count().collect()}
     if not share:
         return [], np.zeros((BUCKETS, 1)), np.zeros(1)
     draw = lambda seed: F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_000)) / 1e6
     chosen = rows.filter(draw(1) < F.element_at(F.create_map(*[F.lit(x) for pair in share.items() for x in pair]), F.col("lang")))
-    found = chosen.select("lang", (draw(2) < 0.2).alias("apart"), "text").mapInArrow(_counted, "lang string, apart boolean, buckets array<int>, counts array<int>").toArrow()
+    found = chosen.select("lang", (draw(2) < 0.2).alias("apart"), "text").mapInArrow(_counted, "lang string, apart boolean, buckets array<int>, counts array<int>").limit(int(1.2 * MAX_PER_LANGUAGE) * len(share)).toArrow()
     langs = sorted(share)
     target = np.array([langs.index(x) for x in found.column("lang").to_pylist()], np.int64)
     apart = found.column("apart").to_numpy()

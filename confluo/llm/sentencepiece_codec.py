@@ -28,7 +28,7 @@ from .common import BASE, mix, slices, table, text_of, utf8
 
 MARK = "▁"
 #: Distinct words that are encoded together, and words a worker remembers.
-TOGETHER, REMEMBERED = 50_000, 400_000
+TOGETHER, REMEMBERED = 50_000, 600_000
 NEVER = np.int64(1 << 40)
 
 
@@ -100,13 +100,23 @@ class Viterbi:
     def __init__(self, tables: dict) -> None:
         self.t = tables
         self.powers = np.cumprod(np.r_[np.ones(1, np.uint64), np.full(tables["longest"] + 1, BASE, np.uint64)], dtype=np.uint64)
+        # where the keys with equal first 20 bits start, and how many there are at most
+        high = (tables["keys"] >> np.uint64(44)).astype(np.int64)
+        self.starts = np.searchsorted(high, np.arange((1 << 20) + 1)).astype(np.int32)
+        self.chain = int(np.diff(self.starts).max(initial=1))
+        self.keys = np.r_[tables["keys"], np.zeros(self.chain, np.uint64)]
+        self.ids = np.r_[tables["ids"], np.full(self.chain, -1)]
         self.slot_key, self.slot_ok = np.full(1 << 20, -1, np.int64), np.zeros(1 << 20, bool)
 
     def probe(self, code: np.ndarray, length: np.ndarray | int) -> np.ndarray:
         """Ids of the pieces with these string hashes; -1 where there is none."""
         key = mix(code + np.uint64(length) if np.isscalar(length) else code + length.astype(np.uint64))
-        at = np.minimum(np.searchsorted(self.t["keys"], key), len(self.t["keys"]) - 1)
-        return np.where(self.t["keys"][at] == key, self.t["ids"][at], -1)
+        at = self.starts[(key >> np.uint64(44)).astype(np.int64)]
+        out = np.where(self.keys[at] == key, self.ids[at], -1)
+        for i in range(1, self.chain):
+            more = self.keys[at + i] == key
+            out[more] = self.ids[at + i][more]
+        return out
 
     def follows(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         """Whether the model leaves ``second`` right after ``first`` unmerged."""
@@ -177,19 +187,23 @@ class Viterbi:
             at[live] -= back[live, at[live]]
         return pieces[np.arange(size)[None, :] >= (size - counts)[:, None]], counts
 
-    def encode(self, words: list[str]) -> list[np.ndarray]:
-        """Piece ids of each word; characters without a piece as bytes."""
-        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(words)
+    def encode(self, words: list[str]) -> list[bytes]:
+        """Piece ids of each word as 32-bit integers; characters without a piece as bytes."""
+        out = [b""] * len(words)
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         order = np.argsort(sizes, kind="stable")
         for group in np.split(order, np.flatnonzero(np.diff(sizes[order])) + 1):
             size = int(sizes[group[0]])
             for a in range(0, len(group), max(1, 400_000 // size)):
-                part = group[a : a + max(1, 400_000 // size)]
-                points = _points("".join(words[i] for i in part)).reshape(len(part), size)
-                ids, counts = self.equal_length(points)
-                for i, x in zip(part, np.split(ids.astype(np.int32), np.cumsum(counts)[:-1]), strict=True):
-                    out[i] = x if (x != self.t["unknown"]).all() else self._with_bytes(words[i], x)
+                part = group[a : a + max(1, 400_000 // size)].tolist()
+                ids, counts = self.equal_length(_points("".join([words[i] for i in part])).reshape(len(part), size))
+                ends = np.cumsum(counts)
+                raw, first = ids.astype(np.int32).tobytes(), 0
+                for i, end in zip(part, (4 * ends).tolist(), strict=True):
+                    out[i] = raw[first:end]
+                    first = end
+                for k in np.unique(np.searchsorted(ends, np.flatnonzero(ids == self.t["unknown"]), "right")).tolist():
+                    out[part[k]] = self._with_bytes(words[part[k]], ids[ends[k] - counts[k] : ends[k]]).tobytes()
         return out
 
     def _with_bytes(self, word: str, ids: np.ndarray) -> np.ndarray:
@@ -220,7 +234,7 @@ def encode(docs: DataFrame, tables: dict, text_column: str = "text", ids_column:
                     known, new = {}, list({w for t in texts for w in t})
                 for first in range(0, len(new), TOGETHER):
                     some = new[first : first + TOGETHER]
-                    known.update(zip(some, (x.tobytes() for x in viterbi.encode(some)), strict=True))
+                    known.update(zip(some, viterbi.encode(some), strict=True))
                 ids = [b"".join(map(known.__getitem__, t)) for t in texts]
                 ends = pa.array(np.r_[0, np.cumsum([len(x) // 4 for x in ids])], pa.int32())
                 lists = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(ids), np.int32)))
