@@ -215,7 +215,19 @@ e AS (SELECT doc_id, b, list_transform(b, lambda x, i: CASE WHEN (i - 1 + doc_id
 SELECT doc_id, ok, CASE WHEN ok THEN md5(array_to_string(m, chr(10))) END AS digest FROM e
 """
 
-QUERIES = {f.__name__: f for f in (merge3_orders_decisions, merge3_orders_conflicts, merge3_orders_result, merge3_columns, classify_changes, comment_delta, import_set_merge, owner_match_2way, merge2_destination_wins, append_missing, commutative_union, keyed_member_edits, zip_plan, aligned_line_merge)}
+def json_two_way(spark, sf_dir):
+    """Each event's properties into a template of two members."""
+    e = table(spark, sf_dir, "events")
+    third = (F.col("event_id") % 3).cast("string")
+    template = e.select("event_id", F.concat(F.lit('{"t'), third, F.lit('":"x\\"y","k":'), F.col("event_id").cast("string"), F.lit("}")).alias("source"))
+    return merge.merge_json(template, e.select("event_id", F.col("props").alias("source")), ["event_id"], "source")
+
+
+JSON_SQL = """
+SELECT event_id, '{"t' || event_id % 3 || '":"x\\"y","k":' || coalesce(json_extract(props, '$.k')::VARCHAR, event_id::VARCHAR) || '}' AS merged FROM events
+"""
+
+QUERIES = {f.__name__: f for f in (merge3_orders_decisions, merge3_orders_conflicts, merge3_orders_result, merge3_columns, classify_changes, comment_delta, import_set_merge, owner_match_2way, merge2_destination_wins, append_missing, commutative_union, keyed_member_edits, zip_plan, aligned_line_merge, json_two_way)}
 ORACLE_SQL = {
     "merge3_orders_decisions": ROWS_SQL + "SELECT decision, count(*) AS n FROM d GROUP BY decision",
     "merge3_orders_conflicts": ROWS_SQL + "SELECT o_orderkey, decision AS category FROM d WHERE decision IN ('add_add', 'delete_edit', 'edit_edit')",
@@ -231,4 +243,5 @@ ORACLE_SQL = {
     "keyed_member_edits": KEYED_SQL,
     "zip_plan": ZIP_SQL,
     "aligned_line_merge": ALIGNED_SQL,
+    "json_two_way": JSON_SQL,
 }
