@@ -32,6 +32,8 @@ SUFFIXES = [
     (r"\.toml$", ("toml", "toml", "toml")),
     (r"\.rbs$", ("rbs", "rbs", "rbs")),
 ]
+#: The logical path that is omitted, the one that is renamed, and the one named after the project.
+OMITTED, RENAMED, PROJECT_SPEC = ".kettle-jem.yml", (".env.local", ".env.local.example"), "gem.gemspec"
 
 
 def logical_path(path: Column) -> Column:
@@ -55,7 +57,7 @@ def destination_path(path: Column, project: str | None) -> Column:
     """Where a logical path goes; null omits it."""
     name = (project or "").strip()
     spec = F.lit(f"{name}.gemspec") if name else path
-    return F.when(path == ".kettle-jem.yml", F.lit(None)).when(path == ".env.local", ".env.local.example").when(path == "gem.gemspec", spec).otherwise(path)
+    return F.when(path == OMITTED, F.lit(None)).when(path == RENAMED[0], RENAMED[1]).when(path == PROJECT_SPEC, spec).otherwise(path)
 
 
 def plan(templates: DataFrame, overrides: DataFrame, project: str | None, default: str = "merge") -> DataFrame:

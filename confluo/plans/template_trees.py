@@ -8,7 +8,7 @@ from ..functions import text as T
 from ..operators import templates
 from ..sources.tables import table
 
-NAMES = ["README.md.example", "Gemfile", "config/settings.yml.example", "package.json", ".env.local.no-osc.example", "gem.gemspec.example", ".kettle-jem.yml", "bin/run.sh", "lib/tool.rb.example", "tsconfig.jsonc", "pyproject.toml", "notes.txt"]
+NAMES = ["README.md.example", "Gemfile", "config/settings.yml.example", "package.json", ".env.local.no-osc.example", f"{templates.PROJECT_SPEC}.example", templates.OMITTED, "bin/run.sh", "lib/tool.rb.example", "tsconfig.jsonc", "pyproject.toml", "notes.txt"]
 REPLACEMENTS = {"KJ|NAME": "demo", "KJ|AUTHOR:EMAIL": "a@b.example"}
 
 
@@ -94,7 +94,7 @@ TREE_SQL = f"""
 WITH t AS (SELECT page_id, CASE WHEN page_id % 12 IN (4, 5, 6) THEN '' ELSE 'p' || page_id || '/' END || [{_NAMES}][page_id % 12 + 1] AS src,
    CASE WHEN doc_id % 3 = 0 THEN '{{KJ|NAME}} {{bad}} ' WHEN doc_id % 7 = 0 THEN '{{KJ|AUTHOR:EMAIL}} {{KJ|OTHER}} ' ELSE '' END || coalesce(text, '') AS content FROM pages JOIN documents ON page_id = doc_id),
 l AS (SELECT *, regexp_replace(src, '(\\.no-osc)?\\.example$', '') AS lp FROM t),
-p AS (SELECT *, CASE lp WHEN '.kettle-jem.yml' THEN NULL WHEN '.env.local' THEN '.env.local.example' WHEN 'gem.gemspec' THEN 'demo.gemspec' ELSE lp END AS dp,
+p AS (SELECT *, CASE lp WHEN '{templates.OMITTED}' THEN NULL WHEN '.env.local' THEN '.env.local.example' WHEN 'gem.gemspec' THEN 'demo.gemspec' ELSE lp END AS dp,
    CASE page_id % 12 WHEN 11 THEN 'keep_destination' WHEN 7 THEN 'raw_copy' WHEN 3 THEN 'accept_template' ELSE 'merge' END AS strategy,
    replace(replace(content, '{{KJ|AUTHOR:EMAIL}}', 'a@b.example'), '{{KJ|NAME}}', 'demo') AS resolved FROM l),
 k AS (SELECT *, CASE page_id % 12 WHEN 0 THEN 'markdown' WHEN 1 THEN 'gemfile' WHEN 2 THEN 'yaml' WHEN 3 THEN 'json' WHEN 4 THEN 'dotenv' WHEN 5 THEN 'gemspec' WHEN 6 THEN 'yaml' WHEN 7 THEN 'bash' WHEN 8 THEN 'ruby' WHEN 9 THEN 'json' WHEN 10 THEN 'toml' ELSE 'text' END AS file_type,
