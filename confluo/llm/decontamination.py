@@ -39,7 +39,7 @@ BLOCK = 4096
 #: 64-bit words of the bitmap that bounds a common subsequence from above.
 BITS = 16
 #: Bytes of text handled at once.
-PIECE = 1 << 18
+PIECE = 1 << 16
 
 
 def _texts(batch: pa.RecordBatch, column: int):
@@ -166,6 +166,7 @@ def _search(space, items):
 
     def run(batches):
         projection, known = space.value, items.value
+        weighs = projection.any(1)
         ids = [i for i, _ in known]
         words = [(_hashes(t), _hashes(_answer(t))) for _, t in known]
         ready = [(len(w), _masks(w), len(a), _masks(a)) for w, a in words]
@@ -187,7 +188,13 @@ def _search(space, items):
                 if not len(code) or not matrix.shape[1]:
                     continue
                 starts = _blocks(owner, STEP)
-                half = np.add.reduceat(projection[(code % np.uint64(TERMS)).astype(np.int64)], starts, axis=0)
+                term = (code % np.uint64(TERMS)).astype(np.int64)
+                used = np.flatnonzero(weighs[term])
+                first = np.searchsorted(used, starts)
+                full = np.flatnonzero(np.diff(np.r_[first, len(used)]))
+                half = np.zeros((len(starts), projection.shape[1]), np.float32)
+                if len(full):
+                    half[full] = np.add.reduceat(projection[term[used]], first[full], axis=0)
                 joint = half.copy()
                 more = np.flatnonzero(owner[starts[1:]] == owner[starts[:-1]])
                 joint[more] += half[more + 1]
