@@ -13,9 +13,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Each round hangs neighbours on smaller nodes; the number of rounds grows
     with the logarithm of a component's size.  A round's links are written out
-    before the next reads them.
+    before the next reads them; rounds end when count and hash of the links stay.
     """
+    state = lambda rows: tuple(rows.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
     now = stored(links.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u != v").distinct(), "links")
+    before = state(now)
     while True:
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -24,7 +26,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         root = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(root, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").unionByName(root.select("u", F.col("m").alias("v"))).distinct()
         new = stored(small, "links")
-        if new.count() == now.count() and new.exceptAll(now).isEmpty():
+        after = state(new)
+        if after == before:
             break
-        now = new
+        now, before = new, after
     return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()).groupBy("node").agg(F.min("root").alias("root"))
