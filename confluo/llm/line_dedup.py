@@ -7,7 +7,13 @@ BLOCKS - DISTANCE of BLOCKS blocks, so every choice of that many blocks is a
 join key.  Within a key each line is compared with the key's least line, and
 those that fail with the least of their own, ROUNDS times; a link is a Hamming
 distance of at most DISTANCE and an edit similarity (1 - Levenshtein / longer
-length) of at least 0.8.  Of each connected group the first occurrence stays,
+length) of at least 0.8.
+
+So small a distance of hashes is met by long lines with few edits only.  Lines
+also share a key where they agree on a band of PICK MinHashes of their words: of
+lines with a third of the words different, BANDS bands miss 0.2 %.  Links of
+bands need the edit similarity only.  Lines that differ by single characters in
+half of their words or more may share no band.  Of each connected group the first occurrence stays,
 by doc_id (null first), document and line number.
 
 Blank lines are never removed.  Nulls count as the empty text.  Rows that repeat
@@ -26,6 +32,8 @@ from .common import fresh, stored, table, text_of
 from .components import components
 
 BLOCKS, DISTANCE, SIMILARITY, ROUNDS = 5, 3, 0.8, 2
+#: Bands of a line, and MinHashes of words in a band.
+BANDS, PICK = 20, 3
 #: First bit and width of the blocks of a hash.
 WIDTHS = [(64 * i // BLOCKS, 64 * (i + 1) // BLOCKS - 64 * i // BLOCKS) for i in range(BLOCKS)]
 #: The lowest bit of either counter in a long.
@@ -39,18 +47,25 @@ def normalised(line: Column) -> Column:
 
 
 def simhashes(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, hash): SimHash of the words of each normalised ``line``.
+    """(keys, hash): SimHash of the words of each normalised ``line``."""
+    return summaries(lines, keys).drop("bands")
+
+
+def summaries(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, hash, bands): SimHash and MinHash bands of the words of each normalised ``line``.
 
     Words are exploded and their hashes' bits summed, two 32-bit counters to a
     long; a bit of the result is set if more than half of the words have it.
     """
     words = lines.select(*keys, F.explode(F.split("line", " ")).alias("word")).select(*keys, F.xxhash64("word").alias("h"))
     sums = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(LANES))).alias(f"c{i}") for i in range(32)]
-    counted = words.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *sums)
+    least = [F.min(F.hash("h", F.lit(i))).alias(f"m{i}") for i in range(BANDS * PICK)]
+    counted = words.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *sums, *least)
     bit = lambda count, at: F.when(count * 2 > F.col("n"), F.lit((1 << at) - (1 << 64 if at == 63 else 0)).cast("long")).otherwise(F.lit(0).cast("long"))
     low = [bit(F.col(f"c{i}").bitwiseAND(F.lit(0xFFFFFFFF)), i) for i in range(32)]
     high = [bit(F.shiftrightunsigned(f"c{i}", 32), i + 32) for i in range(32)]
-    return counted.select(*keys, reduce(lambda a, b: a.bitwiseOR(b), low + high).alias("hash"))
+    bands = [F.xxhash64(F.lit(i), *[f"m{i * PICK + j}" for j in range(PICK)]) for i in range(BANDS)]
+    return counted.select(*keys, reduce(lambda a, b: a.bitwiseOR(b), low + high).alias("hash"), F.array(*bands).alias("bands"))
 
 
 def block_keys(hash_: Column) -> Column:
@@ -103,7 +118,7 @@ def _verified(lines: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def links(lines: DataFrame, known: DataFrame) -> DataFrame:
-    """(a, b): keys of different lines that are near each other.  ``known``: key and hash of each distinct line.
+    """(a, b): keys of different lines that are near each other.  ``known``: key, hash and bands of each distinct line.
 
     Blocks are compared between distinct hashes; lines of one hash are compared
     with the least of them, which stands for the hash elsewhere.
@@ -112,14 +127,16 @@ def links(lines: DataFrame, known: DataFrame) -> DataFrame:
     alike = known.join(heads.filter("n > 1"), "hash").filter("key != head").select(F.col("key").alias("a"), F.col("head").alias("b"))
     entries = heads.select("hash", block_keys(F.col("hash")).alias("block"))
     lead = F.first("hash").over(Window.partitionBy("block").orderBy("hash"))
-    found = None
+    least = F.min("key").over(Window.partitionBy("block"))
+    banded = known.select("key", F.explode("bands").alias("block")).withColumn("b", least).filter("key != b").select(F.col("key").alias("a"), "b")
+    found = _verified(lines, stored(banded.distinct(), "line-pairs"))
     for turn in range(ROUNDS):
         tests = stored(entries.withColumn("lead", lead).filter("hash != lead"), "line-tests")
         close = tests.filter(F.bit_count(F.col("hash").bitwiseXOR(F.col("lead"))) <= DISTANCE).select("hash", "lead").distinct()
         pairs = close.join(heads.select("hash", F.col("head").alias("a")), "hash").join(heads.select(F.col("hash").alias("lead"), F.col("head").alias("b")), "lead")
         wanted = stored(pairs.select("a", "b").unionByName(alike) if turn == 0 else pairs.select("a", "b"), "line-pairs")
         linked = _verified(lines, wanted)
-        found = linked if found is None else found.unionByName(linked)
+        found = found.unionByName(linked)
         if turn + 1 < ROUNDS:
             ends = linked.join(heads.select("hash", F.col("head").alias("a")), "a").join(heads.select(F.col("hash").alias("lead"), F.col("head").alias("b")), "b")
             entries = stored(tests.join(ends.select("hash", "lead"), ["hash", "lead"], "left_anti").select("hash", "block"), "line-entries")
@@ -131,9 +148,9 @@ def links(lines: DataFrame, known: DataFrame) -> DataFrame:
 def repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc, removed): per document key, the numbers of the lines that go."""
     lines = _lines(docs, id_column, text_column)
-    cut = stored(simhashes(lines.withColumn("key", _key("line")), ["doc_id", "doc", "pos", "key"]), "lines")
-    known = stored(cut.groupBy("key").agg(F.first("hash").alias("hash"), F.min(F.struct("doc_id", "doc", "pos")).alias("first"), F.count(F.lit(1)).alias("n")), "known-lines")
-    node = components(links(lines, known.select("key", "hash")))
+    cut = stored(summaries(lines.withColumn("key", _key("line")), ["doc_id", "doc", "pos", "key"]), "lines")
+    known = stored(cut.groupBy("key").agg(F.first("hash").alias("hash"), F.first("bands").alias("bands"), F.min(F.struct("doc_id", "doc", "pos")).alias("first"), F.count(F.lit(1)).alias("n")), "known-lines")
+    node = components(links(lines, known.select("key", "hash", "bands")))
     grouped = known.join(node, known["key"] == node["node"], "left").select("key", "first", "n", F.coalesce("root", "key").alias("root"))
     stays = grouped.groupBy("root").agg(F.min("first").alias("stays"), F.sum("n").alias("total")).filter("total > 1")
     doubled = grouped.select("key", "root").join(stays, "root").select("key", "stays")

@@ -127,6 +127,22 @@ def test_line_dedup_keeps_the_first_of_each_group(docs, empty, spark):
     assert left[1] == long and left[2] == "" and left[3]
 
 
+def test_line_dedup_recall_against_brute_force(spark):
+    """Lines of 5 to 40 words, up to a fifth of the words replaced or changed by a character."""
+    r, rows = random.Random(8), []
+    for i in range(240):
+        words = ["".join(r.choices("abcdefghijklmnop", k=r.randint(3, 9))) for _ in range(r.randint(5, 40))]
+        other = list(words)
+        for at in r.sample(range(len(words)), r.randint(1, len(words) // 5)):
+            other[at] = other[at] + "," if i % 2 else "".join(r.choices("qrstuvwxyz", k=len(other[at])))
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    near = {i for i in range(240) if edit_distance(rows[2 * i][1], rows[2 * i + 1][1]) <= int(0.2 * max(len(rows[2 * i][1]), len(rows[2 * i + 1][1])) + 1e-6)}
+    left = {x.doc_id: x.text for x in line_dedup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert len(near) > 200 and all(left[2 * i] for i in range(240))
+    assert {i for i in range(240) if not left[2 * i + 1]} <= near
+    assert sum(not left[2 * i + 1] for i in near) >= 0.98 * len(near)
+
+
 def test_simhash_agrees_with_bit_counts(spark):
     xxhash = pytest.importorskip("xxhash")
 
