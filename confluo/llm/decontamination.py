@@ -5,7 +5,8 @@
    Z = A'(A O) for a random O, and Z (O'Z)^-1 Z' approximates A'A, whose leading
    eigenvectors are the latent directions.
 3. Overlapping windows of every text are folded in and compared by cosine with
-   the benchmark items; a candidate counts if the longest common subsequence of
+   the benchmark items (those without a vector, of either side, with all of
+   the other); a candidate counts if the longest common subsequence of
    the item's words and the words around the window covers most of the item,
    and enough of the item's answer (what follows its last question mark, else
    its last sentence, else its last third).
@@ -31,8 +32,6 @@ from .common import bare_words, slices, table, text_of, utf8
 TERMS, RANK, EXTRA = 1 << 13, 64, 8
 #: Words of a passage and window, and by how many windows move on.
 SPAN, STEP = 32, 16
-#: Terms in more than this share of the passages carry no weight.
-COMMON = 0.03
 #: Least cosine of a candidate, and least shares of an item and of its answer found in order.
 COSINE, COVER, ANSWER = 0.3, 0.7, 0.5
 BLOCK = 4096
@@ -79,12 +78,8 @@ def _range(idf: np.ndarray, seed: int):
                 term = (code % np.uint64(TERMS)).astype(np.uint16)
                 starts = _blocks(owner, SPAN)
                 passage = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(code)]))
-                weighs = idf[term] > 0
-                term, passage = term[weighs], passage[weighs]
                 if not len(term):
                     continue
-                starts = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]])
-                passage = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(term)]))
                 y = np.add.reduceat(random[term], starts, axis=0)
                 y /= np.add.reduceat(idf[term] ** 2, starts)[:, None]
                 order = np.argsort(term, kind="stable")
@@ -110,7 +105,7 @@ def latent_space(docs: DataFrame, text_column: str = "text", seed: int = 11) ->
     df = texts.mapInArrow(_frequencies, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
     passages, seen = int(df.n[df.term < 0].sum()), np.zeros(TERMS)
     seen[df.term[df.term >= 0]] = df.n[df.term >= 0]
-    idf = np.where((seen > COMMON * passages) & (passages > 100), 0, np.log((1 + passages) / (1 + seen)) + 0.1).astype(np.float32)
+    idf = (np.log((1 + passages) / (1 + seen)) + 0.1).astype(np.float32)
     sums = texts.mapInArrow(_range(idf, seed), "term int, part binary").groupBy("term").applyInArrow(_added, "term int, part binary").toArrow()
     z = np.zeros((TERMS, RANK + EXTRA))
     for term, part in zip(sums.column("term").to_pylist(), sums.column("part").to_pylist(), strict=True):
@@ -166,7 +161,6 @@ def _search(space, items):
 
     def run(batches):
         projection, known = space.value, items.value
-        weighs = projection.any(1)
         ids = [i for i, _ in known]
         words = [(_hashes(t), _hashes(_answer(t))) for _, t in known]
         ready = [(len(w), _masks(w), len(a), _masks(a)) for w, a in words]
@@ -178,10 +172,11 @@ def _search(space, items):
             cuts = [w] if len(w) <= 2 * SPAN else [w[a : a + SPAN] for a in range(0, len(w), SPAN)]
             for cut in cuts:
                 v = projection[(cut % np.uint64(TERMS)).astype(np.int64)].sum(0)
-                if np.linalg.norm(v) > 0:
-                    vectors.append(v / np.linalg.norm(v))
+                if len(cut):
+                    vectors.append(v / max(np.linalg.norm(v), 1e-30))
                     of.append(k)
-        matrix, of = np.array(vectors, np.float32).reshape(-1, projection.shape[1]).T.copy(), np.array(of, np.int64)
+        matrix, of = np.array(vectors, np.float32).reshape(len(vectors), projection.shape[1]).T.copy(), np.array(of, np.int64)
+        blind = ~matrix.any(0)
         for batch in batches:
             found: list[dict[int, float]] = [{} for _ in range(batch.num_rows)]
             for a, _, code, owner in _texts(batch, batch.num_columns - 1):
@@ -189,17 +184,14 @@ def _search(space, items):
                     continue
                 starts = _blocks(owner, STEP)
                 term = (code % np.uint64(TERMS)).astype(np.int64)
-                used = np.flatnonzero(weighs[term])
-                first = np.searchsorted(used, starts)
-                full = np.flatnonzero(np.diff(np.r_[first, len(used)]))
-                half = np.zeros((len(starts), projection.shape[1]), np.float32)
-                if len(full):
-                    half[full] = np.add.reduceat(projection[term[used]], first[full], axis=0)
+                half = np.add.reduceat(projection[term], starts, axis=0)
                 joint = half.copy()
                 more = np.flatnonzero(owner[starts[1:]] == owner[starts[:-1]])
                 joint[more] += half[more + 1]
                 length = np.linalg.norm(joint, axis=1, keepdims=True)
-                window, item = np.divmod(np.flatnonzero(joint @ matrix >= COSINE * np.maximum(length, 1e-9)), matrix.shape[1])
+                # what has no vector, item or window, goes to the exact check with all of the other side
+                near = (joint @ matrix >= COSINE * length) | (length == 0) | blind
+                window, item = np.divmod(np.flatnonzero(near), matrix.shape[1])
                 item = of[item]
                 # an item word that is nowhere around the window cannot be in the common subsequence
                 present, keep = np.bitwise_or.reduceat(_bitmap(code), starts, axis=0), np.zeros(len(window), bool)

@@ -228,6 +228,31 @@ def test_decontamination_finds_passages_and_light_paraphrases(spark, docs, empty
     assert decontamination.with_leaks(docs, bench.filter("false")).filter("size(item_ids) > 0").count() == 0
 
 
+def test_decontamination_finds_an_item_that_a_hot_source_repeats(spark):
+    """Each word of the item is in far more than a few hundredths of the passages; a second one has common words only."""
+    item, plain = prose(5_071, 40, 3_000), " ".join(random.Random(72).choices([f"c{i}" for i in range(24)], k=40))
+    rows = [(i, f"{prose(i, 150, 3_000)} {item if i % 2 == 0 else ''} {prose(1_000 + i, 100, 3_000)}") for i in range(90)]
+    rows += [(100 + i, f"{prose(2_000 + i, 60, 3_000)} {' '.join(random.Random(i).choices([f'c{j}' for j in range(24)], k=40))}") for i in range(90)]
+    rows += [(300, f"{prose(3_000, 100, 3_000)} {plain} {prose(3_001, 100, 3_000)}")]
+    bench = spark.createDataFrame([(1, item), (2, plain)], "item_id bigint, text string")
+    got = {r.doc_id: r.item_ids for r in decontamination.with_leaks(spark.createDataFrame(rows, "doc_id bigint, text string"), bench).collect()}
+    assert all((1 in got[i]) == (i % 2 == 0) for i in range(90)) and got[300] == [2]
+
+
+def test_decontamination_without_vectors_is_exact():
+    """An item or window of zero length in the latent space is compared word by word."""
+    import types
+
+    import pyarrow as pa
+
+    item = prose(73, 40)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([f"{prose(74, 50)} {item}", prose(75, 90, 3_000)])], names=["doc_id", "text"])
+    held = lambda value: types.SimpleNamespace(value=value)
+    space = np.zeros((decontamination.TERMS, 4), np.float32)
+    (out,) = decontamination._search(held(space), held([(9, item)]))([batch])
+    assert out.column("item_ids").to_pylist() == [[9], []]
+
+
 def test_suffix_array_by_grouping():
     r = random.Random(3)
     for _ in range(500):
