@@ -4,8 +4,9 @@ Lines are normalised (lower case, white space collapsed) and equal ones folded.
 Each distinct line gets a 64-bit SimHash of its words.  By the pigeonhole
 principle two hashes that differ in at most DISTANCE bits agree on at least
 BLOCKS - DISTANCE of BLOCKS blocks, so every choice of that many blocks is a
-join key.  Within a key each line is compared with the key's least line, and
-those that fail with the least of their own, ROUNDS times; a link is a Hamming
+join key.  Within a key each line is compared with the key's least line first;
+then all pairs of the key that these links leave in different components, so no
+two lines of a key stay apart untested.  A link is a Hamming
 distance of at most DISTANCE and an edit similarity (1 - Levenshtein / longer
 length) of at least 0.8.
 
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import fresh, stored, table, text_of
 from .components import components
 
-BLOCKS, DISTANCE, SIMILARITY, ROUNDS = 5, 3, 0.8, 2
+BLOCKS, DISTANCE, SIMILARITY = 5, 3, 0.8
 #: Bands of a line, and MinHashes of words in a band.
 BANDS, PICK = 20, 3
 #: First bit and width of the blocks of a hash.
@@ -117,40 +118,51 @@ def _verified(lines: DataFrame, pairs: DataFrame) -> DataFrame:
     return stored(both.filter(F.expr("levenshtein(line_a, line_b, bound)") >= 0).select("a", "b"), "line-links")
 
 
+def _near_length(a: str, b: str) -> Column:
+    longer = F.greatest(F.col(a), F.col(b))
+    return F.abs(F.col(a) - F.col(b)) <= F.floor(F.lit(1 - SIMILARITY + 1e-9) * longer)
+
+
+def _crowded(entries: DataFrame) -> DataFrame:
+    """The entries (block, key, size, hash) of blocks with several lines, with the block's least as ``lead``."""
+    block = Window.partitionBy("block")
+    led = entries.withColumns({"lead": F.min(F.struct("key", "size", "hash")).over(block), "last": F.max("key").over(block)})
+    return stored(led.filter("last != lead.key").drop("last"), "line-blocks")
+
+
+def _apart(crowd: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs of a block that lie in different components; the key of ``b`` is the less."""
+    named = crowd.drop("lead").join(roots, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key")).drop("node")
+    mixed = named.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("block")
+    left = stored(named.join(mixed, "block"), "line-entries")
+    other = left.select("block", *[F.col(c).alias(f"{c}_b") for c in ("key", "size", "hash", "root")])
+    return left.join(other, "block").filter((F.col("key") > F.col("key_b")) & (F.col("root") != F.col("root_b")) & _near_length("size", "size_b"))
+
+
 def links(lines: DataFrame, known: DataFrame) -> DataFrame:
-    """(a, b): keys of different lines that are near each other.  ``known``: key, hash and bands of each distinct line.
+    """(a, b): keys of different lines that are near each other.  ``known``: key, size, hash and bands of each distinct line.
 
-    Blocks are compared between distinct hashes; lines of one hash are compared
-    with the least of them, which stands for the hash elsewhere.
+    Links join what all tests within the blocks would join; pairs that others
+    join already are not tested.
     """
-    heads = stored(known.groupBy("hash").agg(F.min("key").alias("head"), F.count(F.lit(1)).alias("n")), "line-hashes")
-    alike = known.join(heads.filter("n > 1"), "hash").filter("key != head").select(F.col("key").alias("a"), F.col("head").alias("b"))
-    entries = heads.select("hash", block_keys(F.col("hash")).alias("block"))
-    lead = F.first("hash").over(Window.partitionBy("block").orderBy("hash"))
-    least = F.min("key").over(Window.partitionBy("block"))
-    banded = known.select("key", F.explode("bands").alias("block")).withColumn("b", least).filter("key != b").select(F.col("key").alias("a"), "b")
-    found = _verified(lines, stored(banded.distinct(), "line-pairs"))
-    for turn in range(ROUNDS):
-        tests = stored(entries.withColumn("lead", lead).filter("hash != lead"), "line-tests")
-        close = tests.filter(F.bit_count(F.col("hash").bitwiseXOR(F.col("lead"))) <= DISTANCE).select("hash", "lead").distinct()
-        pairs = close.join(heads.select("hash", F.col("head").alias("a")), "hash").join(heads.select(F.col("hash").alias("lead"), F.col("head").alias("b")), "lead")
-        wanted = stored(pairs.select("a", "b").unionByName(alike) if turn == 0 else pairs.select("a", "b"), "line-pairs")
-        linked = _verified(lines, wanted)
-        found = found.unionByName(linked)
-        if turn + 1 < ROUNDS:
-            ends = linked.join(heads.select("hash", F.col("head").alias("a")), "a").join(heads.select(F.col("hash").alias("lead"), F.col("head").alias("b")), "b")
-            entries = stored(tests.join(ends.select("hash", "lead"), ["hash", "lead"], "left_anti").select("hash", "block"), "line-entries")
-            if entries.isEmpty():
-                break
-    return found.distinct()
+    hashed = _crowded(known.select("key", "size", "hash", block_keys(F.col("hash")).alias("block")))
+    banded = _crowded(known.select("key", "size", F.lit(0).cast("long").alias("hash"), F.explode("bands").alias("block")))
+    close = lambda other: F.bit_count(F.col("hash").bitwiseXOR(F.col(other))) <= DISTANCE
+    led = hashed.filter(close("lead.hash")).select("key", "size", "lead").unionByName(banded.select("key", "size", "lead")).filter("key != lead.key")
+    tests = stored(led.filter(_near_length("size", "lead.size")).select(F.col("key").alias("a"), F.col("lead.key").alias("b")).distinct(), "line-pairs")
+    found = _verified(lines, tests)
+    roots = stored(components(found), "line-roots")
+    rest = _apart(hashed, roots).filter(close("hash_b")).select("key", "key_b").unionByName(_apart(banded, roots).select("key", "key_b"))
+    rest = rest.select(F.col("key").alias("a"), F.col("key_b").alias("b")).distinct().join(tests, ["a", "b"], "left_anti")
+    return found.unionByName(_verified(lines, stored(rest, "line-pairs")))
 
 
 def repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc, removed): per document key, the numbers of the lines that go."""
     lines = _lines(docs, id_column, text_column)
-    cut = stored(summaries(lines.withColumn("key", _key("line")), ["doc_id", "doc", "pos", "key"]), "lines")
-    known = stored(cut.groupBy("key").agg(F.first("hash").alias("hash"), F.first("bands").alias("bands"), F.min(F.struct("doc_id", "doc", "pos")).alias("first"), F.count(F.lit(1)).alias("n")), "known-lines")
-    node = components(links(lines, known.select("key", "hash", "bands")))
+    cut = stored(summaries(lines.withColumns({"key": _key("line"), "size": F.length("line")}), ["doc_id", "doc", "pos", "key", "size"]), "lines")
+    known = stored(cut.groupBy("key").agg(F.first("size").alias("size"), F.first("hash").alias("hash"), F.first("bands").alias("bands"), F.min(F.struct("doc_id", "doc", "pos")).alias("first"), F.count(F.lit(1)).alias("n")), "known-lines")
+    node = components(links(lines, known.select("key", "size", "hash", "bands")))
     grouped = known.join(node, known["key"] == node["node"], "left").select("key", "first", "n", F.coalesce("root", "key").alias("root"))
     stays = grouped.groupBy("root").agg(F.min("first").alias("stays"), F.sum("n").alias("total")).filter("total > 1")
     doubled = grouped.select("key", "root").join(stays, "root").select("key", "stays")

@@ -143,6 +143,23 @@ def test_line_dedup_recall_against_brute_force(spark):
     assert sum(not left[2 * i + 1] for i in near) >= 0.98 * len(near)
 
 
+def test_line_dedup_leaves_no_pair_of_a_block_apart(spark):
+    """Ten chains of three lines in one block: neighbours are near, the ends of a chain are not."""
+    lines, chain = [], {}
+    for c in range(10):
+        words = ["".join(random.Random(100 * c + i).choices("abcdefghijklmnopqrstuvwxy", k=5)) for i in range(40)]
+        for k in range(3):
+            lines.append(" ".join(["zzzzz"[: len(w)] if k and i < 6 * k else w for i, w in enumerate(words)]))
+            chain[lines[-1]] = c
+    table = spark.createDataFrame([(x,) for x in lines], "line string").withColumn("key", line_dedup._key("line"))
+    known = table.select("key", F.length("line").alias("size"), F.xxhash64("line").alias("hash"), F.array(F.lit(7).cast("long")).alias("bands"))
+    text = {bytes(r.key): r.line for r in table.collect()}
+    root = {text[bytes(r.node)]: bytes(r.root) for r in components.components(line_dedup.links(table, known)).collect()}
+    for a in lines:
+        assert {b for b in lines if root[b] == root[a]} == {b for b in lines if chain[b] == chain[a]}
+    assert edit_distance(lines[0], lines[2]) > 0.2 * len(lines[0])
+
+
 def test_simhash_agrees_with_bit_counts(spark):
     xxhash = pytest.importorskip("xxhash")
 
