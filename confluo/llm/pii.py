@@ -3,14 +3,14 @@
 The base patterns give e-mail addresses, IP addresses, card and phone numbers.
 A bidirectional LSTM with a CRF layer, trained in numpy on base spans and
 written variants of them (labels follow the variant), reads windows around every
-digit and ``@`` and adds spans that the patterns miss.  Windows overlap; each
+digit, ``@``, ``(at)`` and ``[at]`` and adds spans that the patterns miss.  Windows overlap; each
 character takes its tag from the window in whose middle it stands nearest, and
 spans are joined over the whole text.  Base spans always stay; an added span
 that overlaps a base span is dropped.
 
 Offsets are code points, end exclusive.  Nulls count as the empty text.  Texts
-without a digit and without ``@`` cannot hold any of the four kinds and are not
-read further.  Repeated rows and null ids are treated like any other.
+without any of these hold none of the four kinds in a form that training writes
+and are not read further.  Repeated rows and null ids are treated like any other.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ EMAIL = re.compile(r"[A-Za-z0-9._%+-]++(@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)?")
 IP = re.compile(r"[0-9]++(\.[0-9]+\.[0-9]+\.[0-9]+)?")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-TRIGGER = re.compile("[0-9@]")
+TRIGGER = re.compile(r"[0-9@]|\(at\)|\[at\]")
 
 
 def luhn(digits: str) -> bool:

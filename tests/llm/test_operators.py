@@ -231,6 +231,19 @@ def test_pii_finds_base_spans_and_survives_odd_rows(docs, empty):
     assert pii.find(empty, model).count() == 0
 
 
+def test_pii_reads_written_addresses_far_from_digits():
+    r = random.Random(6)
+    name = lambda: "".join(r.choices("abcdefghijklmnoprstu", k=r.randint(3, 8)))
+    said = lambda n: " ".join(name() for _ in range(n))
+    model = pii.fit([f"{said(12)} {name()}.{name()}@{name()}.example.org {said(12)}" for _ in range(300)])
+    for form in ("(at)", "[at]", " (at) ", " [at] "):
+        texts = [f"{said(30)} {name()}.{name()}{form}{name()}.example.org {said(30)}" for _ in range(20)]
+        at = [t.index(form) for t in texts]
+        found = list(pii.find_all(model, texts))
+        assert sum(any(k == 0 and a <= x < b for k, a, b in spans) for (_, spans), x in zip(found, at, strict=True)) >= 10
+    assert list(pii.find_all(model, [said(60)])) == [([], [])]
+
+
 def test_decontamination_finds_passages_and_light_paraphrases(spark, docs, empty):
     items = [prose(700 + i, 30 + i, 3_000) for i in range(12)]
     rows = [(i, prose(i, 200, 3_000)) for i in range(60)]
