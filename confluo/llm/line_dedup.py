@@ -12,7 +12,7 @@ length) of at least 0.8.
 
 So small a distance of hashes is met by long lines with few edits only.  Lines
 also share a key where they agree on a band of PICK MinHashes of their words: of
-lines with a third of the words different, BANDS bands miss 0.2 %.  Links of
+lines with a fifth of the words different, BANDS bands miss 0.1 % (calculated).  Links of
 bands need the edit similarity only.  Lines that differ by single characters in
 half of their words or more may share no band.  Of each connected group the first occurrence stays,
 by doc_id (null first), document and line number.
