@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,17 +21,24 @@ U64 = np.uint64
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named in spark.checkpoint.dir.
+
+    Where that is unset, a temporary folder serves a local session; executors of a
+    cluster could not see it, so there an unset folder is an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        known = spark.sparkContext.getCheckpointDir()
-        folder = known or f"file://{tempfile.mkdtemp(prefix='confluo-')}"
-        if not known:
-            spark.sparkContext.setCheckpointDir(folder)
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
+        folder = f"file://{tempfile.mkdtemp(prefix='confluo-')}"
+        spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+#: Paths of stored tables that are still there, by the identity of their DataFrames.
+_STORED: dict[int, tuple[DataFrame, str]] = {}
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -43,13 +50,23 @@ def _remove(spark: SparkSession, path: str) -> None:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: lineage ends here.
 
-    The files survive lost executors; they are removed when the program ends.
+    The files survive lost executors; ``discard`` removes them after their last
+    use, and the end of the program what is left.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    _STORED[id(back)] = back, path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove the files of stored tables that nothing will read again."""
+    for df in tables:
+        if found := _STORED.pop(id(df), None):
+            _remove(df.sparkSession, found[1])
 
 
 def text_of(docs: DataFrame, column: str = "text") -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -13,7 +13,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Each round hangs neighbours on smaller nodes; the number of rounds grows
     with the logarithm of a component's size.  A round's links are written out
-    before the next reads them; rounds end when count and hash of the links stay.
+    before the next reads them, and removed after it; rounds end when count and hash of the links stay.
     """
     state = lambda rows: tuple(rows.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
     now = stored(links.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u != v").distinct(), "links")
@@ -27,7 +27,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = down.join(root, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").unionByName(root.select("u", F.col("m").alias("v"))).distinct()
         new = stored(small, "links")
         after = state(new)
-        if after == before:
+        discard(now)
+        now, done, before = new, after == before, after
+        if done:
             break
-        now, before = new, after
     return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()).groupBy("node").agg(F.min("root").alias("root"))

@@ -1,24 +1,29 @@
 """Fuzzy line deduplication in DataFrame functions only.
 
-Lines are normalised (lower case, white space collapsed) and equal ones folded.
-Each distinct line gets a 64-bit SimHash of its words.  By the pigeonhole
-principle two hashes that differ in at most DISTANCE bits agree on at least
-BLOCKS - DISTANCE of BLOCKS blocks, so every choice of that many blocks is a
-join key.  Within a key each line is compared with the key's least line first;
-then all pairs of the key that these links leave in different components, so no
-two lines of a key stay apart untested.  A link is a Hamming
-distance of at most DISTANCE and an edit similarity (1 - Levenshtein / longer
-length) of at least 0.8.
-
-So small a distance of hashes is met by long lines with few edits only.  Lines
-also share a key where they agree on a band of PICK MinHashes of their words: of
-lines with a fifth of the words different, BANDS bands miss 0.1 % (calculated).  Links of
-bands need the edit similarity only.  Lines that differ by single characters in
-half of their words or more may share no band.  Of each connected group the first occurrence stays,
-by doc_id (null first), document and line number.
+1. Lines are normalised (lower case, white space collapsed) and equal ones folded.
+   Each distinct line gets a 64-bit SimHash of its words, and BANDS bands of PICK
+   MinHashes of its word pairs, in the same shuffle that folds the lines.
+2. Lines share a block where they agree on a band, or on enough blocks of the
+   SimHash: by the pigeonhole principle hashes that differ in at most DISTANCE bits
+   agree on at least BLOCKS - DISTANCE of BLOCKS blocks, so every choice of that
+   many blocks is a join key.
+3. Within a block each line is tested against the block's least line first, then
+   all pairs that these links leave in different components, so no two lines of a
+   block stay apart untested.  A test is passed with at most REACH of the 64
+   SimHash bits different (cheap, inside the join) and an edit similarity
+   (1 - Levenshtein / longer length) of at least SIMILARITY.
+4. Of each connected group the first occurrence stays: by doc_id (null first),
+   document and line number.
+
+Small distances of SimHashes reach few of the lines that are similar at 0.8,
+hence the bands; the README has figures.  Lines of one to three words that differ in a character
+share no band and are found by their SimHash only, if at all.
 
 Blank lines are never removed.  Nulls count as the empty text.  Rows that repeat
-both id and text are one document here and get the same result each.
+both id and text are one document here and get the same result each.  An empty
+table gives an empty result.  Very long lines are read whole: their words are
+exploded and their edit distance is computed within the bound.  Other columns,
+whatever their names, are neither read nor changed.
 """
 
 from __future__ import annotations
@@ -29,56 +34,69 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, stored, table, text_of
+from .common import discard, fresh, stored, table, text_of
 from .components import components
 
-BLOCKS, DISTANCE, SIMILARITY = 5, 3, 0.8
-#: Bands of a line, and MinHashes of words in a band.
-BANDS, PICK = 20, 3
+BLOCKS, DISTANCE, SIMILARITY = 4, 2, 0.8
+#: Bits of two SimHashes that may differ where the lines share a block.
+REACH = 18
+#: Bands of a line, and MinHashes of word pairs in a band.
+BANDS, PICK = 12, 3
 #: First bit and width of the blocks of a hash.
 WIDTHS = [(64 * i // BLOCKS, 64 * (i + 1) // BLOCKS - 64 * i // BLOCKS) for i in range(BLOCKS)]
 #: The lowest bit of either counter in a long.
 LANES = 0x0000000100000001
 #: Bits of the bitmap of wanted lines: 4 MB, whatever the input.
 SLOTS = 1 << 25
+#: White space besides single blanks, which most lines lack.
+SPACES = ("  ", "\t", "\r", "\x0b", "\x0c")
 
 
-def normalised(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"\s+", " "))
+def _signed(x: int) -> int:
+    x &= (1 << 64) - 1
+    return x - (1 << 64 if x >> 63 else 0)
 
 
-def simhashes(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, hash): SimHash of the words of each normalised ``line``."""
-    return summaries(lines, keys).drop("bands")
+def normalised(line: Column) -> Column:
+    low = F.lower(line)
+    odd = reduce(lambda a, b: a | b, [F.contains(low, F.lit(s)) for s in SPACES])
+    return F.trim(F.when(odd, F.regexp_replace(low, r"\s+", " ")).otherwise(low))
 
 
 def summaries(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, hash, bands): SimHash and MinHash bands of the words of each normalised ``line``.
+    """(keys, hash, bands): SimHash of the words and MinHash bands of the word pairs of each normalised ``line``.
 
-    Words are exploded and their hashes' bits summed, two 32-bit counters to a
-    long; a bit of the result is set if more than half of the words have it.
+    Words are runs of letters and digits (a line without any is split at blanks),
+    exploded with their successors.  The bits of their hashes are summed,
+    two 32-bit counters to a long; a bit of the result is set if more than half
+    of the words have it; where half of them do, one word's hash decides.  A MinHash is the least hash of a pair after a constant
+    is XORed to it.
     """
-    words = lines.select(*keys, F.explode(F.split("line", " ")).alias("word")).select(*keys, F.xxhash64("word").alias("h"))
+    bare = F.trim(F.regexp_replace("line", r"[^\p{L}\p{N}]+", " "))
+    words = F.split(F.when(bare != "", bare).otherwise(F.col("line")), " ")
+    pairs = lines.select(*keys, F.inline(F.arrays_zip(words.alias("w"), F.slice(words, 2, 1 << 30).alias("v"))).alias("w", "v"))
+    hashed = pairs.select(*keys, F.xxhash64("w").alias("h"), F.xxhash64("w", "v").alias("p"))
     sums = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(LANES))).alias(f"c{i}") for i in range(32)]
-    least = [F.min(F.hash("h", F.lit(i))).alias(f"m{i}") for i in range(BANDS * PICK)]
-    counted = words.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *sums, *least)
-    bit = lambda count, at: F.when(count * 2 > F.col("n"), F.lit((1 << at) - (1 << 64 if at == 63 else 0)).cast("long")).otherwise(F.lit(0).cast("long"))
+    least = [F.min(F.col("p").bitwiseXOR(F.lit(_signed((i + 1) * 0x9E3779B97F4A7C15)))).alias(f"m{i}") for i in range(BANDS * PICK)]
+    counted = hashed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("one"), *sums, *least).withColumn("one", F.xxhash64("one"))
+
+    def bit(count: Column, at: int) -> Column:
+        mask = F.lit(_signed(1 << at)).cast("long")
+        return F.when(count * 2 > F.col("n"), mask).when(count * 2 == F.col("n"), F.col("one").bitwiseAND(mask)).otherwise(F.lit(0).cast("long"))
+
     low = [bit(F.col(f"c{i}").bitwiseAND(F.lit(0xFFFFFFFF)), i) for i in range(32)]
     high = [bit(F.shiftrightunsigned(f"c{i}", 32), i + 32) for i in range(32)]
-    bands = [F.xxhash64(F.lit(i), *[f"m{i * PICK + j}" for j in range(PICK)]) for i in range(BANDS)]
+    bands = [F.xxhash64(F.lit(i), *[f"m{i + j * BANDS}" for j in range(PICK)]) for i in range(BANDS)]
     return counted.select(*keys, reduce(lambda a, b: a.bitwiseOR(b), low + high).alias("hash"), F.array(*bands).alias("bands"))
 
 
-def block_keys(hash_: Column) -> Column:
+def block_keys(hash_: Column) -> list[Column]:
     """One key for each choice of blocks that must agree, numbered so that choices don't mix."""
     keys = []
     for k, chosen in enumerate(combinations(range(BLOCKS), BLOCKS - DISTANCE)):
-        key = F.lit(k).cast("long")
-        for i in chosen:
-            first, width = WIDTHS[i]
-            key = F.shiftleft(key, width).bitwiseOR(F.shiftrightunsigned(hash_, first).bitwiseAND(F.lit((1 << width) - 1).cast("long")))
-        keys.append(key.cast("int"))
-    return F.explode(F.array(*keys))
+        parts = [F.shiftrightunsigned(hash_, WIDTHS[i][0]).bitwiseAND(F.lit((1 << WIDTHS[i][1]) - 1).cast("long")) for i in chosen]
+        keys.append(F.xxhash64(F.lit(k), *parts))
+    return keys
 
 
 def _document_key(id_column: str, text: Column) -> Column:
@@ -86,10 +104,11 @@ def _document_key(id_column: str, text: Column) -> Column:
 
 
 def _lines(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(doc_id, doc, pos, line): the normalised lines, blank ones left out."""
+    """(doc_id, doc, pos, key, line): the normalised lines and their digests, blank ones left out."""
     text = text_of(docs, text_column)
     cut = docs.select(F.col(id_column).alias("doc_id"), _document_key(id_column, text).alias("doc"), F.posexplode(F.split(text, "\n")).alias("pos", "raw"))
-    return cut.select("doc_id", "doc", "pos", normalised(F.col("raw")).alias("line")).filter("line != ''")
+    clean = cut.select("doc_id", "doc", "pos", normalised(F.col("raw")).alias("line")).filter("line != ''")
+    return clean.select("doc_id", "doc", "pos", _key("line").alias("key"), "line")
 
 
 def _key(line: str) -> Column:
@@ -97,76 +116,93 @@ def _key(line: str) -> Column:
 
 
 def _among(lines: DataFrame, keys: DataFrame) -> DataFrame:
-    """The lines whose key is one of ``keys``: a bitmap of fixed size keeps most others from the shuffle."""
+    """The rows of ``lines`` whose key may be one of ``keys``: a bitmap of fixed size keeps most others from the shuffle."""
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS)).cast("long")
     maps = keys.select(slot("key").alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
-    keyed = lines.select(_key("line").alias("key"), "line").withColumn("slot", slot("key"))
+    keyed = lines.withColumn("slot", slot("key"))
     near = keyed.join(F.broadcast(maps), F.bitmap_bucket_number("slot") == F.col("bucket"))
     at = F.bitmap_bit_position("slot")
     byte = F.conv(F.hex(F.substring("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     hit = byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (at % 8).cast("int") + 1)) != 0
-    return near.filter(hit).select("key", "line").join(keys, "key", "left_semi").dropDuplicates(["key"])
+    return near.filter(hit).select(*lines.columns)
+
 
+def _texts(lines: DataFrame, known: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, line) of the lines in ``pairs``."""
+    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    keys = stored(known.select("id", "key").join(wanted, "id"), "line-wanted")
+    once = _among(lines.select("key", "line"), keys).join(keys, "key").dropDuplicates(["id"])
+    return stored(once.select("id", "line"), "line-texts")
 
-def _verified(lines: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of line keys whose lines have edit similarity of SIMILARITY or more."""
-    keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    texts = stored(_among(lines, keys), "line-texts")
-    both = pairs.join(texts.select(F.col("key").alias("a"), F.col("line").alias("line_a")), "a").join(texts.select(F.col("key").alias("b"), F.col("line").alias("line_b")), "b")
+
+def _verified(lines: DataFrame, known: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of line ids whose lines have edit similarity of SIMILARITY or more."""
+    texts = _texts(lines, known, pairs)
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("line_b")), "b")
     bound = F.floor(F.lit(1 - SIMILARITY + 1e-9) * F.greatest(F.length("line_a"), F.length("line_b"))).cast("int")
     both = both.withColumn("bound", bound).filter(F.abs(F.length("line_a") - F.length("line_b")) <= F.col("bound"))
-    return stored(both.filter(F.expr("levenshtein(line_a, line_b, bound)") >= 0).select("a", "b"), "line-links")
+    found = stored(both.filter(F.expr("levenshtein(line_a, line_b, bound)") >= 0).select("a", "b"), "line-links")
+    discard(texts)
+    return found
 
 
-def _near_length(a: str, b: str) -> Column:
-    longer = F.greatest(F.col(a), F.col(b))
-    return F.abs(F.col(a) - F.col(b)) <= F.floor(F.lit(1 - SIMILARITY + 1e-9) * longer)
+def _crowded(known: DataFrame) -> DataFrame:
+    """(block, id, hash, lead) of the lines that share a block with others; ``lead`` is the block's least line."""
+    keys = F.explode(F.concat("bands", F.array(*block_keys(F.col("hash"))))).alias("block")
+    block = Window.partitionBy("block")
+    led = known.select("id", "hash", keys).withColumns({"lead": F.min("id").over(block), "last": F.max("id").over(block)})
+    return stored(led.filter("last != lead").drop("last"), "line-blocks")
 
 
-def _crowded(entries: DataFrame) -> DataFrame:
-    """The entries (block, key, size, hash) of blocks with several lines, with the block's least as ``lead``."""
-    block = Window.partitionBy("block")
-    led = entries.withColumns({"lead": F.min(F.struct("key", "size", "hash")).over(block), "last": F.max("key").over(block)})
-    return stored(led.filter("last != lead.key").drop("last"), "line-blocks")
+def _close(a: str, b: str) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= REACH
 
 
 def _apart(crowd: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs of a block that lie in different components; the key of ``b`` is the less."""
-    named = crowd.drop("lead").join(roots, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key")).drop("node")
+    """(a, b): the pairs of a block that lie in different components and have close hashes; b is the less."""
+    named = crowd.drop("lead").join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
     mixed = named.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("block")
     left = stored(named.join(mixed, "block"), "line-entries")
-    other = left.select("block", *[F.col(c).alias(f"{c}_b") for c in ("key", "size", "hash", "root")])
-    return left.join(other, "block").filter((F.col("key") > F.col("key_b")) & (F.col("root") != F.col("root_b")) & _near_length("size", "size_b"))
+    other = left.select("block", *[F.col(c).alias(f"{c}_b") for c in ("id", "hash", "root")])
+    pairs = left.join(other, (left["block"] == other["block"]) & (F.col("id") > F.col("id_b")) & (F.col("root") != F.col("root_b")) & _close("hash", "hash_b"))
+    return pairs.select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
-def links(lines: DataFrame, known: DataFrame) -> DataFrame:
-    """(a, b): keys of different lines that are near each other.  ``known``: key, size, hash and bands of each distinct line.
+def groups(lines: DataFrame, known: DataFrame) -> DataFrame:
+    """(node, root): ids of lines near other lines, and the least of their group.  ``known``: id, key, hash and bands of each distinct line.
 
-    Links join what all tests within the blocks would join; pairs that others
+    Groups are what all tests within the blocks would join; pairs that others
     join already are not tested.
     """
-    hashed = _crowded(known.select("key", "size", "hash", block_keys(F.col("hash")).alias("block")))
-    banded = _crowded(known.select("key", "size", F.lit(0).cast("long").alias("hash"), F.explode("bands").alias("block")))
-    close = lambda other: F.bit_count(F.col("hash").bitwiseXOR(F.col(other))) <= DISTANCE
-    led = hashed.filter(close("lead.hash")).select("key", "size", "lead").unionByName(banded.select("key", "size", "lead")).filter("key != lead.key")
-    tests = stored(led.filter(_near_length("size", "lead.size")).select(F.col("key").alias("a"), F.col("lead.key").alias("b")).distinct(), "line-pairs")
-    found = _verified(lines, tests)
-    roots = stored(components(found), "line-roots")
-    rest = _apart(hashed, roots).filter(close("hash_b")).select("key", "key_b").unionByName(_apart(banded, roots).select("key", "key_b"))
-    rest = rest.select(F.col("key").alias("a"), F.col("key_b").alias("b")).distinct().join(tests, ["a", "b"], "left_anti")
-    return found.unionByName(_verified(lines, stored(rest, "line-pairs")))
+    crowd = _crowded(known)
+    leads = crowd.filter("id = lead").select(F.col("block").alias("of"), F.col("hash").alias("hash_b"))
+    led = crowd.join(leads, (F.col("block") == F.col("of")) & (F.col("id") != F.col("lead")) & _close("hash", "hash_b"))
+    tests = stored(led.select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct(), "line-pairs")
+    roots = stored(components(_verified(lines, known, tests)), "line-roots")
+    rest = stored(_apart(crowd, roots).join(tests, ["a", "b"], "left_anti"), "line-rest")
+    more = _verified(lines, known, rest)
+    found = stored(components(roots.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "line-groups")
+    discard(crowd, tests, roots, rest, more)
+    return found
+
+
+def distinct_lines(lines: DataFrame) -> DataFrame:
+    """(id, key, first, n, hash, bands) of each distinct line; one shuffle by key folds and summarises."""
+    folded = lines.groupBy("key").agg(F.first("line").alias("line"), F.min(F.struct("doc_id", "doc", "pos")).alias("first"), F.count(F.lit(1)).alias("n"))
+    joined = folded.drop("line").join(summaries(folded.select("key", "line"), ["key"]), "key")
+    return stored(joined.withColumn("id", F.monotonically_increasing_id()), "known-lines")
 
 
 def repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc, removed): per document key, the numbers of the lines that go."""
     lines = _lines(docs, id_column, text_column)
-    cut = stored(summaries(lines.withColumns({"key": _key("line"), "size": F.length("line")}), ["doc_id", "doc", "pos", "key", "size"]), "lines")
-    known = stored(cut.groupBy("key").agg(F.first("size").alias("size"), F.first("hash").alias("hash"), F.first("bands").alias("bands"), F.min(F.struct("doc_id", "doc", "pos")).alias("first"), F.count(F.lit(1)).alias("n")), "known-lines")
-    node = components(links(lines, known.select("key", "size", "hash", "bands")))
-    grouped = known.join(node, known["key"] == node["node"], "left").select("key", "first", "n", F.coalesce("root", "key").alias("root"))
+    known = distinct_lines(lines)
+    node = groups(lines.select("key", "line"), known.select("id", "key", "hash", "bands"))
+    grouped = known.select("id", "key", "first", "n").join(node, F.col("id") == F.col("node"), "left").select("key", "first", "n", F.coalesce("root", "id").alias("root"))
     stays = grouped.groupBy("root").agg(F.min("first").alias("stays"), F.sum("n").alias("total")).filter("total > 1")
-    doubled = grouped.select("key", "root").join(stays, "root").select("key", "stays")
-    gone = cut.join(doubled, "key").filter(~F.struct("doc_id", "doc", "pos").eqNullSafe(F.col("stays")))
+    doubled = stored(grouped.select("key", "root").join(stays, "root").select("key", "stays"), "line-doubled")
+    own = _among(lines.drop("line"), doubled.select("key"))
+    gone = own.join(doubled, "key").filter(~F.struct("doc_id", "doc", "pos").eqNullSafe(F.col("stays")))
     return gone.groupBy("doc").agg(F.array_sort(F.collect_set("pos")).alias("removed"))
 
 
