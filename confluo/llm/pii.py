@@ -2,15 +2,20 @@
 
 The base patterns give e-mail addresses, IP addresses, card and phone numbers.
 A bidirectional LSTM with a CRF layer, trained in numpy on base spans and
-written variants of them (labels follow the variant), reads windows around every
+rewritten forms of them (labels follow the text), reads windows around every
 digit, ``@``, ``(at)`` and ``[at]`` and adds spans that the patterns miss.  Windows overlap; each
 character takes its tag from the window in whose middle it stands nearest, and
-spans are joined over the whole text.  Base spans always stay; an added span
-that overlaps a base span is dropped.
+spans are joined over the whole text and completed to the ends of the words they
+cut.  Base spans always stay; an added span that overlaps a base span or breaks
+its kind's rule is dropped.
 
 Offsets are code points, end exclusive.  Nulls count as the empty text.  Texts
-without any of these hold none of the four kinds in a form that training writes
-and are not read further.  Repeated rows and null ids are treated like any other.
+without a trigger hold none of the four kinds in a form that training writes
+and are not read further; texts of any length and digit runs of any length are
+read whole.  Where tags tie, the lower one wins.  Repeated rows and null ids are
+treated like any other; an empty table gives an empty result, and one without
+base spans a model that adds little.  Other columns, whatever their names, are
+not read.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ from .common import table, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 #: Texts that training windows come from at most, training windows, and steps.
-MAX_TEXTS, MAX_WINDOWS, STEPS = 600, 1_200, 160
+MAX_TEXTS, MAX_WINDOWS, STEPS = 600, 3_000, 360
 #: Characters of a window, by how much windows move on, and context around a trigger.
 WINDOW, STRIDE, MARGIN = 96, 48, 40
 HIDDEN, EMBED = 16, 10
@@ -49,12 +54,18 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _small(digits: str) -> bool:
+    """Whether a run of digits, however long, is at most 255."""
+    digits = digits.lstrip("0")
+    return len(digits) < 3 or (len(digits) == 3 and digits <= "255")
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of the base patterns, by kind and start."""
     found = []
     if "@" in text:
         found += [(0, m.start(), m.end()) for m in EMAIL.finditer(text) if m[1]]
-    found += [(1, m.start(), m.end()) for m in IP.finditer(text) if m[1] and all(int(x) <= 255 for x in m[0].split("."))]
+    found += [(1, m.start(), m.end()) for m in IP.finditer(text) if m[1] and all(map(_small, m[0].split(".")))]
     for m in CARD.finditer(text):
         digits = re.sub("[^0-9]", "", m[0])
         if 16 <= len(digits) <= 19 and luhn(digits):
@@ -73,28 +84,42 @@ def code_points(text: str) -> np.ndarray:
 SYMBOLS = 98
 
 
+def _renewed(kind: int, value: str, rng: np.random.Generator) -> str:
+    """A span of the same form with other digits, so that no number is learned by heart."""
+    if kind == 1:
+        return ".".join(str(x) for x in rng.integers(256, size=4))
+    value = "".join(str(rng.integers(10)) if c in "0123456789" else c for c in value)
+    if kind == 2:
+        at = max(i for i, c in enumerate(value) if c in "0123456789")
+        last = (value[:at] + d + value[at + 1 :] for d in "0123456789")
+        value = next(x for x in last if luhn(re.sub("[^0-9]", "", x)))
+    return value
+
+
+def rewritten(kind: int, value: str, rng: np.random.Generator) -> str:
+    """A span as people write it to keep programs from reading it; none of these forms meets its base pattern."""
+    if kind == 0:
+        value = value.replace("@", rng.choice([" @ ", " (at) ", "(at)", " [at] ", "[at]"]))
+        return value.replace(".", " . ") if rng.random() < 0.3 and "@" in value else value
+    if kind == 1:
+        return value.replace(".", rng.choice([" . ", "[.]", ". ", "(.)"]))
+    if kind == 2:
+        return rng.choice([".", "/", "  ", "_"]).join(re.findall("[0-9]{1,4}", re.sub("[^0-9]", "", value)))
+    return re.sub(r"[\x20().-]+", rng.choice([" ", ".", "-", "/"]), value.lstrip("+")).strip(" ./-")
+
+
 def _variants(text: str, spans: list[tuple[int, int, int]], rng: np.random.Generator):
-    """The text with each span rewritten or left, and the spans in the new text."""
-    out, labels, at = [], [], 0
+    """The text with each span renewed and most of them rewritten, and the spans in the new text."""
+    out, labels, at, size = [], [], 0, 0
     for kind, a, b in sorted(spans, key=lambda s: s[1]):
         if a < at:
             continue
-        value, how = text[a:b], rng.integers(4)
-        if kind == 0 and how == 1:
-            value = value.replace("@", rng.choice([" @ ", " (at) ", "(at)", " [at] "]))
-        elif kind == 0 and how == 2:
-            value = value.replace("@", " @ ").replace(".", " . ")
-        elif kind == 1 and how == 1:
-            value = value.replace(".", rng.choice([" . ", "[.]", ". "]))
-        elif kind == 2 and how == 1:
-            value = re.sub("(?<=[0-9]{4})(?=[0-9])", rng.choice([".", "/", "  "]), re.sub("[^0-9]", "", value))
-        elif kind == 3 and how == 1:
-            value = value.lstrip("+")
-        elif kind == 3 and how == 2:
-            value = re.sub(r"[\x20().-]+", rng.choice([" ", ".", "-", "/"]), value.lstrip("+")).strip(" ./-")
+        value = _renewed(kind, text[a:b], rng)
+        if rng.random() < 0.75:
+            value = rewritten(kind, value, rng)
         out += [text[at:a], value]
-        start = sum(map(len, out)) - len(value)
-        labels.append((kind, start, start + len(value)))
+        size += a - at + len(value)
+        labels.append((kind, size - len(value), size))
         at = b
     return "".join([*out, text[at:]]), labels
 
@@ -198,22 +223,26 @@ def _gradients(p: dict[str, np.ndarray], symbols: np.ndarray, tags: np.ndarray):
 
 
 def fit(texts: list[str], seed: int = 3) -> dict[str, np.ndarray]:
-    """Train on windows around triggers of the texts, base spans as labels, half of them rewritten."""
+    """Train on windows of the texts: around base spans as they stand, around renewed and rewritten ones, and around other triggers."""
     rng = np.random.default_rng(seed)
     shape = {"embed": (SYMBOLS, EMBED), "ahead": (EMBED + HIDDEN + 1, 4 * HIDDEN), "behind": (EMBED + HIDDEN + 1, 4 * HIDDEN), "out": (2 * HIDDEN, TAGS), "bias": (TAGS,), "moves": (TAGS, TAGS)}
     p = {k: rng.normal(0, 0.2, s).astype(np.float32) for k, s in shape.items()}
     p["bias"][0] += 2
     inputs, targets = [], []
     for text in texts:
-        for turn in range(2):
-            new, labels = _variants(text, base_spans(text), rng) if turn else (text, base_spans(text))
+        for turn in range(4):
+            base = base_spans(text)
+            if turn and not base:
+                break
+            new, labels = _variants(text, base, rng) if turn else (text, base)
             tags, symbols = np.zeros(len(new), np.int64), code_points(new)
             for kind, a, b in labels:
                 tags[a:b] = 2 + 2 * kind
                 tags[a] = 1 + 2 * kind
-            at = [m.start() for m in TRIGGER.finditer(new)]
-            for spot in at[:: max(1, len(at) // 2)][:3]:
-                first = max(0, min(spot - int(rng.integers(WINDOW)), len(new) - WINDOW))
+            spots = [m.start() for m in TRIGGER.finditer(new)]
+            at = [a for _, a, _ in labels][:3] + ([] if turn else spots[:: max(1, len(spots) // 2)][:2])
+            for spot in at:
+                first = max(0, min(spot - int(rng.integers(WINDOW - 30)), len(new) - WINDOW))
                 pad = max(0, WINDOW - (len(new) - first))
                 inputs.append(np.r_[symbols[first : first + WINDOW], np.zeros(pad, np.int64)])
                 targets.append(np.r_[tags[first : first + WINDOW], np.zeros(pad, np.int64)])
@@ -258,13 +287,28 @@ def _plausible(kind: int, value: str) -> bool:
     digits = "".join(c for c in value if c in "0123456789")
     parts = re.findall("[0-9]+", value)
     return {
-        0: "@" in value or "at" in value,
-        1: len(parts) == 4 and all(int(x) <= 255 for x in parts),
+        0: bool(re.search(r"[A-Za-z0-9]\s*(@|\(at\)|\[at\])\s*[A-Za-z0-9-]+(\s*\.\s*[A-Za-z0-9-]+)+$", value)),
+        1: len(parts) == 4 and all(map(_small, parts)),
         2: 16 <= len(digits) <= 19 and luhn(digits),
         3: 8 <= len(digits) <= 15,
     }[kind]
 
 
+#: Characters that a span of each kind may go on with.
+GOES_ON = ("[A-Za-z0-9._%+-]", "[0-9]", "[0-9]", "[0-9]")
+
+
+def _completed(text: str, kind: int, a: int, b: int) -> tuple[int, int, int]:
+    """The span up to the ends of the words or numbers that it cuts, without outer blanks and stops."""
+    goes_on = re.compile(GOES_ON[kind]).match
+    while a > 0 and goes_on(text[a - 1]) and goes_on(text[a]):
+        a -= 1
+    while b < len(text) and goes_on(text[b]) and goes_on(text[b - 1]):
+        b += 1
+    part = text[a:b]
+    return kind, a + len(part) - len(part.lstrip(" .,;:-/_")), b - (len(part) - len(part.rstrip(" .,;:-/_")))
+
+
 def find_all(p: dict[str, np.ndarray], texts: list[str], batch: int = 256):
     """Per text: its base spans, and all spans by kind and start."""
     where = [(i, s) for i, t in enumerate(texts) for s in (_windows(t) if TRIGGER.search(t) else [])]
@@ -288,16 +332,26 @@ def find_all(p: dict[str, np.ndarray], texts: list[str], batch: int = 256):
             yield [], []
             continue
         base = base_spans(text)
-        more = [(k, a, b) for k, a, b in _tagged(tags[i][: len(text)]) if _plausible(k, text[a:b]) and all(b <= x or y <= a for _, x, y in base)]
+        more = []
+        for k, a, b in (_completed(text, *span) for span in _tagged(tags[i][: len(text)])):
+            if a < b and _plausible(k, text[a:b]) and all(b <= x or y <= a for _, x, y in base + more):
+                more.append((k, a, b))
         yield base, sorted(base + more)
 
 
 def train(docs: DataFrame, text_column: str = "text") -> dict[str, np.ndarray]:
-    """Fit on at most MAX_TEXTS texts that hold a digit or ``@``, chosen by a hash of the text."""
-    rows = docs.select(text_of(docs, text_column).alias("text")).filter(F.col("text").rlike("[0-9@]"))
+    """Fit on at most MAX_TEXTS texts that hold a digit or ``@``, the first by a hash of the text.
+
+    Texts that look as if they held a base span come first; what the hash bounds is
+    ordered before it is cut, so the model does not depend on partitions.
+    """
+    rows = docs.select(text_of(docs, text_column).alias("text"))
+    likely = F.col("text").rlike(r"@[A-Za-z0-9-]+\.|\+[0-9]|[0-9]\.[0-9]|[0-9]{12}")
+    marked = rows.filter(F.col("text").rlike("[0-9@]")).withColumn("likely", likely)
+    counts = marked.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("likely"), 1)).alias("likely")).first()
     share = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / 1e6
-    few = rows.filter(share < min(1.0, 1.5 * MAX_TEXTS / max(1, rows.count()))).limit(MAX_TEXTS)
-    return fit([r.text for r in few.collect()])
+    few = lambda kept, n, most: kept.filter(share < min(1.0, 1.5 * most / max(1, n))).orderBy(F.xxhash64("text"), "text").limit(most).collect()
+    return fit([r.text for r in few(marked.filter("likely"), counts.likely, MAX_TEXTS) + few(marked.filter("not likely"), counts.n - counts.likely, MAX_TEXTS // 6)])
 
 
 def find(docs: DataFrame, model: dict[str, np.ndarray], id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -322,4 +376,5 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = lambda c: F.concat_ws(",", F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     counts = [count(kind) for kind in KINDS]
-    return found.select("doc_id", *counts, F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+    more = [F.size("spans").cast("long").alias("n_spans"), (F.size("spans") > 0).alias("personal")]
+    return found.select("doc_id", *counts, F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"), *more)

@@ -14,16 +14,22 @@
    each other; a record seen more than once is marked whole.
 4. Marked windows go back to the documents, where their bytes are removed.
 
-Keys with more than MAX_RECORDS different records don't fit one task; their
-windows are counted by hash instead, dealt by key and hash over all tasks.
-
-Texts are UTF-8 bytes; nulls count as empty, and texts below LENGTH bytes keep
-everything.  Rows that repeat both id and text repeat each other.
+A key with more than MAX_RECORDS different records is dealt anew by a longer
+context: its windows are cut into runs of neighbouring distances to the
+minimizer, and all windows of a run share the bytes around it, whose hash is the
+new key.  Runs get shorter until no key is crowded; at one window a run all
+records of a key are equal.  Every group goes through the same steps.
+
+Texts are UTF-8 bytes; nulls and empty texts have none, and texts below LENGTH
+bytes keep everything.  Very long texts are cut into pieces that overlap.  Rows
+that repeat both id and text repeat each other.  An empty table gives an empty
+result.  Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +40,8 @@ from .common import mix, running, spans_hash, stored, table, text_of, utf8
 
 LENGTH, GRAM = 400, 64
 WINDOW = LENGTH - GRAM + 1
-MAX_RECORDS = 1000
-#: Window hashes of a crowded key that one group counts.
-HASHES_TOGETHER = 500_000
+#: Different records of a key that are handled together, and windows of a run where there are more.
+MAX_RECORDS, RUNS = 1000, (48, 6, 1)
 #: Bytes handled at once; longer texts are cut, with LENGTH - 1 bytes of overlap.
 PIECE = 1 << 19
 INDEX = np.uint64((1 << 20) - 1)
@@ -166,19 +171,35 @@ def marked_windows(bodies: list[bytes], counts: list[int]) -> list[np.ndarray]:
         return out
     data = np.frombuffer(b"\0".join(bodies) + b"\0", np.uint8)
     begin = np.cumsum([0] + [len(b) + 1 for b in bodies])
-    # only stretches whose every GRAM-byte string occurs twice can hold a repeated window
+    # only windows whose hash occurs twice can be repeated
     inside = np.ones(len(data), bool)
     inside[begin[1:] - 1] = False
     whole = np.r_[0, np.cumsum(~inside)]
-    n = len(data) - GRAM + 1
-    gram = spans_hash(running(data), np.arange(n), np.arange(GRAM, len(data) + 1))
-    _, back, times = np.unique(gram, return_inverse=True, return_counts=True)
-    lone = np.r_[0, np.cumsum((times[back] < 2) | (whole[GRAM:] - whole[:n] > 0))]
-    starts = np.flatnonzero(lone[WINDOW:] == lone[: len(lone) - WINDOW])
+    n = len(data) - LENGTH + 1
+    code = spans_hash(running(data), np.arange(n), np.arange(LENGTH, len(data) + 1))
+    able = whole[LENGTH:] == whole[:n]
+    _, back, times = np.unique(code, return_inverse=True, return_counts=True)
+    starts = np.flatnonzero(able & (times[back] > 1))
     if not len(starts):
         return out
     breaks = np.flatnonzero(np.diff(starts) != 1)
     runs = list(zip(starts[np.r_[0, breaks + 1]].tolist(), starts[np.r_[breaks, len(starts) - 1]].tolist(), strict=True))
+
+    def mark(spots: np.ndarray) -> None:
+        which = np.searchsorted(begin, spots, "right") - 1
+        for k in np.unique(which):
+            out[k][spots[which == k] - begin[k]] = True
+
+    # equal stretches are folded, as equal records were; the array is built over the different ones
+    same: dict[bytes, list[tuple[int, int]]] = {}
+    for a, b in runs:
+        same.setdefault(data[a : b + LENGTH].tobytes(), []).append((a, b))
+    for places in same.values():
+        if len(places) > 1:
+            mark(np.concatenate([np.arange(a, b + 1) for a, b in places]))
+    if all(len(places) > 1 for places in same.values()):
+        return out
+    runs = [places[0] for places in same.values()]
     text, origin = [], []
     for a, b in runs:
         text += (data[a : b + LENGTH].astype(np.int64) + 1).tolist() + [0]
@@ -194,10 +215,8 @@ def marked_windows(bodies: list[bytes], counts: list[int]) -> list[np.ndarray]:
     for i, j in zip(order, order[1:], strict=False):
         if packed[2 * i : 2 * (i + LENGTH)] == packed[2 * j : 2 * (j + LENGTH)]:
             hit |= {i, j}
-    spots = np.array(sorted(origin[i] for i in hit), np.int64)
-    which = np.searchsorted(begin, spots, "right") - 1
-    for k in np.unique(which):
-        out[k][spots[which == k] - begin[k]] = True
+    if hit:
+        mark(np.array(sorted(origin[i] for i in hit), np.int64))
     return out
 
 
@@ -237,65 +256,35 @@ def _grouped(batches):
         yield packed(rows)
 
 
-def _hashed(batches):
-    """Window hashes of the records of crowded keys, dealt by hash: one row a record and part."""
-    for batch in batches:
-        out = []
-        for k, body, text, n, parts in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-            data = np.frombuffer(text, np.uint8)
-            size = len(data) - LENGTH + 1
-            code = spans_hash(running(data), np.arange(size), np.arange(LENGTH, len(data) + 1))
-            part = (code >> np.uint64(32)) % np.uint64(parts)
-            for p in np.unique(part):
-                at = np.flatnonzero(part == p)
-                out.append((k, int(p), body, n, size, at.astype(np.int32).tobytes(), code[at].tobytes()))
-        if out:
-            columns = zip(("key", "part", "body", "n", "size", "at", "codes"), zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)
-            yield pa.RecordBatch.from_pydict({name: pa.array(values, kind) for name, values, kind in columns})
-
-
-def _counted(batches):
-    """Rows sorted by key and part: for each record, a bitmap of its windows whose hash occurs again."""
-    now, rows = None, []
+PIECES = "key bigint, body binary, text binary, n bigint, anchor int, of_key bigint, of_body binary, shift int"
 
-    def settle():
-        codes = [np.frombuffer(r[6], np.uint64) for r in rows]
-        sizes = [len(c) for c in codes]
-        _, back = np.unique(np.concatenate(codes), return_inverse=True)
-        again = np.bincount(back, np.repeat([r[3] for r in rows], sizes))[back] > 1
-        found = []
-        for r, hit in zip(rows, np.split(again, np.cumsum(sizes)[:-1]), strict=True):
-            if hit.any():
-                marks = np.zeros(r[4], bool)
-                marks[np.frombuffer(r[5], np.int32)[hit]] = True
-                found.append((r[0], r[2], r[4], np.packbits(marks).tobytes()))
-        return found
-
-    def packed(found):
-        keys, bodies, sizes, marks = zip(*found, strict=True)
-        return pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.int64()), "body": pa.array(bodies, pa.binary()), "size": pa.array(sizes, pa.int32()), "marks": pa.array(marks, pa.binary())})
 
-    for batch in batches:
-        for r in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
-            if r[:2] != now:
-                if rows and (found := settle()):
-                    yield packed(found)
-                now, rows = r[:2], []
-            rows.append(r)
-    if rows and (found := settle()):
-        yield packed(found)
-
-
-def _united(batches):
-    """Bitmaps of a record's parts to ranges of its windows."""
-    for batch in batches:
-        out = []
-        for k, body, size, marks in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            joint = np.bitwise_or.reduce([np.frombuffer(m, np.uint8) for m in marks])
-            out += [(k, body, a, b) for a, b in _ranges(np.unpackbits(joint)[:size].astype(bool))]
-        if out:
-            keys, bodies, a, b = zip(*out, strict=True)
-            yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.int64()), "body": pa.array(bodies, pa.binary()), "a": pa.array(a, pa.int32()), "b": pa.array(b, pa.int32())})
+def _split(width: int):
+    """Records of crowded keys as runs of windows, each with the hash of what all windows of the run share as key."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for key, _, text, n, anchor, of_key, of_body, shift in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
+                data = np.frombuffer(text, np.uint8)
+                sums = running(data)
+                if anchor < 0:
+                    grams = np.arange(len(data) - GRAM + 1)
+                    anchor = int(np.argmax(spans_hash(sums, grams, grams + GRAM).view(np.int64) == key))
+                last = len(data) - LENGTH
+                for c in range((anchor - last) // width, anchor // width + 1):
+                    far, near = max(0, anchor - (c + 1) * width + 1), min(last, anchor - c * width)
+                    core = spans_hash(sums, np.array([anchor - c * width]), np.array([anchor - (c + 1) * width + 1 + LENGTH]))
+                    new = mix(core + np.uint64(c)) ^ mix(np.array([key], np.int64).view(np.uint64))
+                    part = text[far : near + LENGTH]
+                    out.append((int(new.view(np.int64)[0]), hashlib.blake2b(part, digest_size=16).digest(), part, n, anchor - far, of_key, of_body, shift + far))
+            for a in range(0, len(out), 5_000):
+                columns = zip(*out[a : a + 5_000], strict=True)
+                kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32())
+                names = [f.split()[0] for f in PIECES.split(", ")]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    return run
 
 
 def _slices(batches):
@@ -329,14 +318,14 @@ def _removed(batches):
             for a, b in spans:
                 kept.append(raw[at:a])
                 at = b
-            out.append((len(raw), sum(b - a for a, b in spans), len(spans), b"".join([*kept, raw[at:]])))
-        sizes, gone, runs, kept = zip(*out, strict=True) if out else ((), (), (), ())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            out.append((len(raw), sum(b - a for a, b in spans), len(spans), b"".join([*kept, raw[at:]]), [{"start": a, "end": b} for a, b in spans]))
+        sizes, gone, runs, kept, removed = zip(*out, strict=True) if out else ((), (), (), (), ())
+        span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary()), pa.array(removed, span)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "removed"])
 
 
 def repeated_ranges(keyed: DataFrame) -> DataFrame:
     """(doc, a, b): ranges of window starts that are repeated.  ``keyed``: doc and text."""
-    ranges = "key bigint, body binary, a int, b int"
     cut = stored(keyed.select("doc", "text").mapInArrow(_cut, "doc binary, lo int, hi int, key bigint, body binary"), "records")
     folded = cut.groupBy("key", "body").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "lo", "hi")).alias("one"))
     folded = stored(folded, "folded")
@@ -347,29 +336,37 @@ def repeated_ranges(keyed: DataFrame) -> DataFrame:
     by_doc = wanted.groupBy(F.col("one.doc").alias("doc")).agg(F.collect_list(F.struct("key", "body", "n", F.col("one.lo").alias("lo"), F.col("one.hi").alias("hi"), "crowded")).alias("found"))
     one_each = keyed.select("doc", "text").join(by_doc, "doc").dropDuplicates(["doc"])
     texts = stored(one_each.select("text", "found").mapInArrow(_slices, "key bigint, body binary, text binary, n bigint, crowded boolean"), "variants")
-    spark = keyed.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    together = texts.filter("not crowded").select("key", "body", "text", "n").repartition(parts, "key").sortWithinPartitions("key")
-    sorted_out = together.mapInArrow(_grouped, ranges)
-    parts_of = F.ceil(F.col("bodies") * WINDOW / HASHES_TOGETHER)
-    crowded = texts.filter("crowded").join(keys.select("key", "bodies"), "key").select("key", "body", "text", "n", parts_of.alias("parts"))
-    hashed = crowded.mapInArrow(_hashed, "key bigint, part bigint, body binary, n bigint, size int, at binary, codes binary")
-    dealt = hashed.repartition(parts, "key", "part").sortWithinPartitions("key", "part")
-    maps = dealt.mapInArrow(_counted, "key bigint, body binary, size int, marks binary")
-    counted = maps.groupBy("key", "body", "size").agg(F.collect_list("marks").alias("marks")).mapInArrow(_united, ranges)
-    found = stored(plain.unionByName(sorted_out).unionByName(counted), "repeated")
-    return cut.join(found, ["key", "body"]).select("doc", (F.col("lo") + F.col("a")).alias("a"), (F.col("lo") + F.col("b")).alias("b"))
+    found = stored(plain.unionByName(_marked(texts.filter("not crowded").select("key", "body", "text", "n"))), "repeated")
+    crowd = texts.filter("crowded").select("key", "body", "text", "n", F.lit(-1).alias("anchor"), F.col("key").alias("of_key"), F.col("body").alias("of_body"), F.lit(0).alias("shift"))
+    levels = [found]
+    for width in RUNS:
+        if crowd.isEmpty():
+            break
+        pieces = stored(crowd.mapInArrow(_split(width), PIECES), "pieces")
+        once = pieces.groupBy("key", "body").agg(F.first("text").alias("text"), F.sum("n").alias("n"))
+        keys = stored(pieces.groupBy("key", "body").agg(F.sum("n").alias("n")).groupBy("key").agg(F.count(F.lit(1)).alias("bodies"), F.sum("n").alias("total")).filter("total > 1"), "piece-keys")
+        fits = stored(_marked(once.join(keys.filter(F.col("bodies") <= MAX_RECORDS), "key", "left_semi")), "piece-ranges")
+        levels.append(pieces.join(fits, ["key", "body"]).select(F.col("of_key").alias("key"), F.col("of_body").alias("body"), (F.col("shift") + F.col("a")).alias("a"), (F.col("shift") + F.col("b")).alias("b")))
+        crowd = pieces.join(keys.filter(F.col("bodies") > MAX_RECORDS), "key", "left_semi").select(*pieces.columns)
+    whole = reduce(DataFrame.unionByName, levels)
+    return cut.join(whole, ["key", "body"]).select("doc", (F.col("lo") + F.col("a")).alias("a"), (F.col("lo") + F.col("b")).alias("b"))
+
+
+def _marked(rows: DataFrame) -> DataFrame:
+    """(key, body, a, b): ranges of repeated windows of the different records (key, body, text, n) of each key."""
+    return rows.select("key", "body", "text", "n").repartition("key").sortWithinPartitions("key").mapInArrow(_grouped, "key bigint, body binary, a int, b int")
 
 
 def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans and the remaining bytes, kept."""
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, the remaining bytes, kept, and the removed runs, removed (start, end)."""
     text = text_of(docs, text_column)
     keyed = docs.select(F.col(id_column).alias("doc_id"), F.unhex(F.md5(F.concat(F.coalesce(F.col(id_column).cast("string"), F.lit("?")), F.lit(":"), text).cast("binary"))).alias("doc"), text.alias("text"))
     spans = repeated_ranges(keyed).groupBy("doc").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     kind = keyed.schema["doc_id"].dataType.simpleString()
-    return keyed.join(spans, "doc", "left").select("doc_id", "text", "spans").mapInArrow(_removed, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    return keyed.join(spans, "doc", "left").select("doc_id", "text", "spans").mapInArrow(_removed, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, removed array<struct<start:int,end:int>>")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    left = F.make_valid_utf8(F.col("kept").cast("string"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_removed") > 0).alias("repeats"), "removed", left.alias("kept_text"))

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from confluo.llm import components, decontamination, exact_dedup, language_id, line_dedup, near_dedup, pii, sentencepiece_codec, suffix_dedup, token_counts, toxicity
+from confluo.llm.common import stored
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 SCHEMA = "doc_id bigint, text string, lang string, source string, _key int, score string"
@@ -152,9 +153,9 @@ def test_line_dedup_leaves_no_pair_of_a_block_apart(spark):
             lines.append(" ".join(["zzzzz"[: len(w)] if k and i < 6 * k else w for i, w in enumerate(words)]))
             chain[lines[-1]] = c
     table = spark.createDataFrame([(x,) for x in lines], "line string").withColumn("key", line_dedup._key("line"))
-    known = table.select("key", F.length("line").alias("size"), F.xxhash64("line").alias("hash"), F.array(F.lit(7).cast("long")).alias("bands"))
-    text = {bytes(r.key): r.line for r in table.collect()}
-    root = {text[bytes(r.node)]: bytes(r.root) for r in components.components(line_dedup.links(table, known)).collect()}
+    known = stored(table.select("key", F.lit(0).cast("long").alias("hash"), F.array(F.lit(7).cast("long")).alias("bands"), F.monotonically_increasing_id().alias("id")), "known")
+    text = {r.id: r.line for r in table.join(known, "key").collect()}
+    root = {text[r.node]: r.root for r in line_dedup.groups(table, known).collect()}
     for a in lines:
         assert {b for b in lines if root[b] == root[a]} == {b for b in lines if chain[b] == chain[a]}
     assert edit_distance(lines[0], lines[2]) > 0.2 * len(lines[0])
@@ -163,14 +164,17 @@ def test_line_dedup_leaves_no_pair_of_a_block_apart(spark):
 def test_simhash_agrees_with_bit_counts(spark):
     xxhash = pytest.importorskip("xxhash")
 
+    signed = lambda x: x - (1 << 64 if x >> 63 else 0)
+
     def plain(line):
         h = [xxhash.xxh64(w.encode(), seed=42).intdigest() for w in line.split(" ")]
-        whole = sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) > len(h) // 2)
-        return whole - (1 << 64 if whole >> 63 else 0)
+        one = xxhash.xxh64(min(map(signed, h)).to_bytes(8, "little", signed=True), seed=42).intdigest()
+        ones = [2 * sum(x >> b & 1 for x in h) for b in range(64)]
+        return signed(sum(1 << b for b in range(64) if ones[b] > len(h) or (ones[b] == len(h) and one >> b & 1)))
 
     lines = spark.createDataFrame([(i, prose(i, n)) for i, n in ((1, 1), (2, 8), (3, 77), (4, 40_000))], "id int, line string")
     text = {r.id: r.line for r in lines.collect()}
-    assert all(r.hash == plain(text[r.id]) for r in line_dedup.simhashes(lines, ["id"]).collect())
+    assert all(r.hash == plain(text[r.id]) for r in line_dedup.summaries(lines, ["id"]).collect())
 
 
 def test_toxicity_learns_from_positives_and_unlabelled(spark, empty):
@@ -305,6 +309,7 @@ def test_suffix_dedup_against_brute_force(spark, docs, empty, monkeypatch, crowd
     monkeypatch.setattr(suffix_dedup, "MAX_RECORDS", crowded)
     shared, r = prose(5, 90), random.Random(4)
     rows = [(i, f"{prose(60 + i, 40)} {shared[r.randrange(40):]} {prose(80 + i, 40)}") for i in range(12)]
+    rows += [(30 + i, f"{prose(90 + i, 9)} {shared[:400]}{prose(95 + i, 9)}") for i in range(5)]
     rows += [(20, "a" * 3_000), (21, "ab" * 700), (22, None), (23, ""), (24, "é" * 300), (25, shared * 3)]
     rows += [(r.doc_id, r.text) for r in docs.collect() if r.doc_id != 6] + [(None, shared), (None, shared)]
     got = collections.Counter((r.n_removed, hashlib.sha256(r.kept).hexdigest()) for r in suffix_dedup.without_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
