@@ -69,6 +69,23 @@ def discard(*tables: DataFrame) -> None:
             _remove(df.sparkSession, found[1])
 
 
+#: Keys that hold more than one in so many rows are hot; there are no more of them than this.
+HOT = 1_000
+
+
+def join_hot(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """``rows`` joined to one row per key; ``size`` is how many rows a key has at most.
+
+    The rows of hot keys (fewer than HOT, so their groups are broadcast) stay where
+    they are; only the others shuffle.  The column ``size`` is kept.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    hot = groups.filter(F.col(size) > max(1, total // HOT))
+    cold = groups.filter(F.col(size) <= max(1, total // HOT))
+    left = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(left.join(cold, key))
+
+
 def text_of(docs: DataFrame, column: str = "text") -> Column:
     """The text, null as the empty string."""
     return F.coalesce(docs[column].cast("string"), F.lit(""))

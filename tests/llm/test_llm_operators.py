@@ -152,29 +152,49 @@ def test_line_dedup_leaves_no_pair_of_a_block_apart(spark):
         for k in range(3):
             lines.append(" ".join(["zzzzz"[: len(w)] if k and i < 6 * k else w for i, w in enumerate(words)]))
             chain[lines[-1]] = c
-    table = spark.createDataFrame([(x,) for x in lines], "line string").withColumn("key", line_dedup._key("line"))
-    known = stored(table.select("key", F.lit(0).cast("long").alias("hash"), F.array(F.lit(7).cast("long")).alias("bands"), F.monotonically_increasing_id().alias("id")), "known")
-    text = {r.id: r.line for r in table.join(known, "key").collect()}
-    root = {text[r.node]: r.root for r in line_dedup.groups(table, known).collect()}
+    docs = spark.createDataFrame([*enumerate(lines)], "doc_id bigint, text string")
+    known = line_dedup.distinct_lines(line_dedup.cut_lines(docs)).withColumns({"blocks": F.lit(b"\1\0\0\0\0\0" * line_dedup.N_KEYS), "hash": F.lit(0).cast("long"), **{f"s{i}": F.lit(0).cast("long") for i in range(3)}})
+    text = {r.id: lines[r.first.doc_id] for r in known.collect()}
+    root = {text[r.node]: r.root for r in line_dedup.groups(docs.select("text"), stored(known, "known")).collect()}
     for a in lines:
         assert {b for b in lines if root[b] == root[a]} == {b for b in lines if chain[b] == chain[a]}
     assert edit_distance(lines[0], lines[2]) > 0.2 * len(lines[0])
 
 
-def test_simhash_agrees_with_bit_counts(spark):
-    xxhash = pytest.importorskip("xxhash")
-
-    signed = lambda x: x - (1 << 64 if x >> 63 else 0)
-
+def test_simhash_agrees_with_bit_counts():
     def plain(line):
-        h = [xxhash.xxh64(w.encode(), seed=42).intdigest() for w in line.split(" ")]
-        one = xxhash.xxh64(min(map(signed, h)).to_bytes(8, "little", signed=True), seed=42).intdigest()
+        data = np.frombuffer(line.encode(), np.uint8)
+        h = [int(x) for x in decontamination._hashes(line)]
+        one = int(near_dedup.mix(np.array([min(h)], np.uint64))[0])
         ones = [2 * sum(x >> b & 1 for x in h) for b in range(64)]
-        return signed(sum(1 << b for b in range(64) if ones[b] > len(h) or (ones[b] == len(h) and one >> b & 1)))
+        assert len(data)
+        return sum(1 << b for b in range(64) if ones[b] > len(h) or (ones[b] == len(h) and one >> b & 1))
+
+    lines = [prose(i, n) for i, n in ((1, 1), (2, 8), (3, 77), (4, 4_000))] + ["a | b | c", "ünïcode, yes"]
+    data = np.frombuffer("\n".join(lines).encode(), np.uint8)
+    joined, starts, ends, text, number = line_dedup.normal_lines(np.array([0, len(data)]), data)
+    hashes, _ = line_dedup.summaries(joined, starts, ends)
+    assert [int(h) for h in hashes] == [plain(x) for x in lines] and number.tolist() == [*range(len(lines))] and not text.any()
+
+
+def test_lines_are_normalised_and_numbered():
+    texts = ["  a\t b \n\n c\n", "", "d", "\n\n e  f", "  \n \t", "gé h"]
+    offsets = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    joined, starts, ends, text, number = line_dedup.normal_lines(offsets, np.frombuffer("".join(texts).encode(), np.uint8))
+    raw = joined.tobytes()
+    want = [(i, k, " ".join(line.split())) for i, t in enumerate(texts) for k, line in enumerate(t.split("\n")) if line.strip()]
+    assert [(int(t), int(k), raw[a:b].decode()) for t, k, a, b in zip(text, number, starts, ends, strict=True)] == want
+
 
-    lines = spark.createDataFrame([(i, prose(i, n)) for i, n in ((1, 1), (2, 8), (3, 77), (4, 40_000))], "id int, line string")
-    text = {r.id: r.line for r in lines.collect()}
-    assert all(r.hash == plain(text[r.id]) for r in line_dedup.summaries(lines, ["id"]).collect())
+def test_edit_distance_of_lines_against_brute_force():
+    r = random.Random(1)
+    for _ in range(300):
+        w = ["".join(r.choices("abcde", k=r.randint(1, 6))) for _ in range(r.randint(1, 12))]
+        a, b = " ".join(w), " ".join(x if r.random() > 0.15 else "".join(r.choices("abcde", k=3)) for x in w)
+        points = [np.array([ord(c) for c in x], np.int64) for x in (a, b)]
+        want = edit_distance(a, b)
+        assert line_dedup._by_words(*points) >= want
+        assert all(line_dedup.distance_within(*points, k) == (want <= k) for k in (want - 1, want, want + 1, int(0.2 * max(len(a), len(b)))))
 
 
 def test_toxicity_learns_from_positives_and_unlabelled(spark, empty):
@@ -235,6 +255,42 @@ def test_pii_finds_base_spans_and_survives_odd_rows(docs, empty):
     assert pii.find(empty, model).count() == 0
 
 
+def pii_text(seed):
+    r = random.Random(seed)
+    name = lambda: "".join(r.choices("abcdefghijklmnoprstu", k=r.randint(3, 8)))
+    number = lambda n: "".join(r.choices("0123456789", k=n))
+    card = number(15)
+    card += next(d for d in "0123456789" if pii.luhn(card + d))
+    spans = [f"{name()}.{number(2)}@{name()}.example.com", ".".join(str(r.randrange(256)) for _ in range(4)), card, f"+1 ({number(3)}) 555-{number(4)}"]
+    said = lambda: " ".join(name() for _ in range(r.randint(6, 12)))
+    return " ".join(f"{said()} {s}" for s in r.sample(spans, 3)) + f" {said()} {number(r.randint(1, 6))} {said()}"
+
+
+def test_pii_adds_held_out_rewritten_spans_of_every_kind():
+    model, rng = pii.fit([pii_text(i) for i in range(300)]), np.random.default_rng(1)
+    total, hit, added, wrong = collections.Counter(), collections.Counter(), 0, 0
+    for i in range(1_000, 1_150):
+        text, out, labels, at = pii_text(i), "", [], 0
+        for kind, a, b in sorted(pii.base_spans(text), key=lambda s: s[1]):
+            out += text[at:a]
+            labels.append((kind, len(out), len(out) + len(value := pii.rewritten(kind, text[a:b], rng))))
+            out, at = out + value, b
+        out += text[at:]
+        ((base, spans),) = pii.find_all(model, [out])
+        for span in labels:
+            total[span[0]] += 1
+            hit[span[0]] += span in spans
+        more = set(spans) - set(base)
+        added, wrong = added + len(more), wrong + len(more - set(labels))
+    assert all(hit[k] >= 0.85 * total[k] for k in range(4)) and wrong <= 0.1 * added
+
+
+def test_pii_survives_digit_runs_of_any_length():
+    text = "9" * 5_000 + ".1.1.1 then 000000255.0.0.1"
+    assert [s[0] for s in pii.base_spans(text)] == [1]
+    assert len(list(pii.find_all(pii.fit([]), [text, "1" * 20_000]))) == 2
+
+
 def test_pii_reads_written_addresses_far_from_digits():
     r = random.Random(6)
     name = lambda: "".join(r.choices("abcdefghijklmnoprstu", k=r.randint(3, 8)))
