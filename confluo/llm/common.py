@@ -205,3 +205,36 @@ def bare_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     spaced = np.where(LETTERS[data] == 1, data, 32).astype(np.uint8)
     starts, ends, owner = words(spaced, bounds)
     return spans_hash(running(spaced), starts, ends), owner
+
+
+def distance_within(a: list[int], b: list[int], bound: int) -> int | None:
+    """The edit distance of two sequences if it is at most ``bound``.
+
+    One column of the table is held as bits of two integers, so memory grows with
+    the sequences' length only; it stops where ``bound`` is out of reach.
+    """
+    if not a:
+        return len(b) if len(b) <= bound else None
+    places: dict[int, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    size = len(a)
+    mask, top = (1 << size) - 1, 1 << (size - 1)
+    up, down, score = mask, 0, size
+    left = len(b)
+    for c in b:
+        left -= 1
+        eq = places.get(c, 0)
+        across = eq | down
+        diagonal = (((eq & up) + up) ^ up) | eq
+        rise, fall = down | ~(diagonal | up) & mask, up & diagonal
+        if rise & top:
+            score += 1
+        elif fall & top:
+            score -= 1
+        if score - left > bound:
+            return None
+        rise = (rise << 1 | 1) & mask
+        fall = fall << 1 & mask
+        up, down = fall | ~(across | rise) & mask, rise & across
+    return score if score <= bound else None

@@ -13,20 +13,23 @@
 
 The benchmark is the query set: it is taken in blocks of at most BLOCK items.
 Null or empty texts and items match nothing; repeated ids are separate rows
-with results of their own; an empty benchmark leaves every document clean.
+with results of their own; an empty benchmark leaves every document clean, and an
+empty table, or one without words, gives no hits.  Texts of any length are read
+whole, in overlapping windows; of equal shares the items are listed by id.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bare_words, slices, table, text_of, utf8
+from .common import bare_words, fresh, slices, table, text_of, utf8
 
 #: Hash buckets of words; latent directions, and extra ones of the random range.
 TERMS, RANK, EXTRA = 1 << 13, 64, 8
@@ -34,7 +37,8 @@ TERMS, RANK, EXTRA = 1 << 13, 64, 8
 SPAN, STEP = 32, 16
 #: Least cosine of a candidate, and least shares of an item and of its answer found in order.
 COSINE, COVER, ANSWER = 0.3, 0.7, 0.5
-BLOCK = 4096
+#: Items, and bytes of items, that are searched for at once.
+BLOCK, BLOCK_BYTES = 4096, 1 << 25
 #: 64-bit words of the bitmap that bounds a common subsequence from above.
 BITS = 16
 #: Bytes of text handled at once.
@@ -156,7 +160,7 @@ def _masks(words: np.ndarray) -> dict[int, int]:
     return out
 
 
-def _search(space, items):
+def _search(space, items, items_column: str = "item_ids", cover_column: str = "cover"):
     """Per document: ids of the items found in it, and the largest share of one found in order."""
 
     def run(batches):
@@ -219,30 +223,36 @@ def _search(space, items):
             hits = [sorted(ids[k] for k in f) for f in found]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(hits, pa.list_(pa.int64())), pa.array([max(f.values(), default=0.0) for f in found])],
-                names=[*batch.schema.names[:-1], "item_ids", "cover"],
+                names=[*batch.schema.names[:-1], items_column, cover_column],
             )
 
     return run
 
 
-def with_leaks(docs: DataFrame, benchmark: DataFrame, text_column: str = "text") -> DataFrame:
-    """``docs`` with ``item_ids``, the benchmark items found in each text, and ``cover``, the best share of one."""
-    spark, kept = docs.sparkSession, [c for c in docs.columns if c not in ("item_ids", "cover")]
+def with_leaks(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", items_column: str = "item_ids", cover_column: str = "cover") -> DataFrame:
+    """``docs`` with the benchmark items found in each text, and the best share of one.
+
+    Input columns named like the two output columns are replaced; all others come back as they were.
+    """
+    spark, kept = docs.sparkSession, [c for c in docs.columns if c.lower() not in (items_column.lower(), cover_column.lower())]
+    found_items, found_cover, folded = (fresh(docs, n) for n in ("_items", "_cover", "_folded"))
     items = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    n_blocks = math.ceil(items.count() / BLOCK)
-    out = docs.select(*kept).withColumns({"item_ids": F.array().cast("array<bigint>"), "cover": F.lit(0.0)})
+    n_items, size = items.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    n_blocks = max(math.ceil(n_items / BLOCK), math.ceil((size or 0) / BLOCK_BYTES))
+    nothing = {items_column: F.array().cast("array<bigint>"), cover_column: F.lit(0.0)}
+    out = docs.select(*kept).withColumns(nothing)
     if not n_blocks:
         return out
     schema, space = out.schema, spark.sparkContext.broadcast(latent_space(docs, text_column))
     for k in range(n_blocks):
         block = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == k).orderBy("item_id", "text")
-        search = _search(space, spark.sparkContext.broadcast([(r.item_id, r.text) for r in block.collect()]))
-        own = docs if k == 0 else out.withColumnsRenamed({"item_ids": "_items", "cover": "_cover"})
-        names = kept if k == 0 else [*kept, "_items", "_cover"]
-        to = schema if k == 0 else own.select(*names).withColumns({"item_ids": F.array().cast("array<bigint>"), "cover": F.lit(0.0)}).schema
-        out = own.select(*names, F.lower(text_of(own, text_column)).alias("_folded")).mapInArrow(search, to)
+        search = partial(_search, space, spark.sparkContext.broadcast([(r.item_id, r.text) for r in block.collect()]))
+        own = docs if k == 0 else out.withColumnsRenamed({items_column: found_items, cover_column: found_cover})
+        names = kept if k == 0 else [*kept, found_items, found_cover]
+        to = schema if k == 0 else own.select(*names).withColumns(nothing).schema
+        out = own.select(*names, F.lower(text_of(own, text_column)).alias(folded)).mapInArrow(search(items_column, cover_column), to)
         if k:
-            out = out.select(*kept, F.array_sort(F.concat("_items", "item_ids")).alias("item_ids"), F.greatest("_cover", "cover").alias("cover"))
+            out = out.select(*kept, F.array_sort(F.concat(found_items, items_column)).alias(items_column), F.greatest(found_cover, cover_column).alias(cover_column))
     return out
 
 

@@ -6,7 +6,10 @@ a row with a slot of its own cannot have a copy and passes straight through;
 the others ("possibly repeated") shuffle by digest and are compared exactly.
 False positives cost a shuffled row, never a wrong result.
 
-Nulls count as the empty text.  Rows equal in text and in ``doc_id`` are copies
+The filter has SLOTS_PER_ROW slots a row up to 32 MB, the bound of what is broadcast
+(about 17 million rows; a fuller one lets more rows shuffle).  Nulls count as the
+empty text; texts of any length are digested whole; an empty table gives an empty
+result; other columns, whatever their names, come back as they were.  Rows equal in text and in ``doc_id`` are copies
 of each other too; one of them stays.  A null ``doc_id`` sorts below all others.
 """
 
@@ -19,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, stored, table, text_of
+from .common import fresh, join_hot, stored, table, text_of
 
 #: Slots per digest, and slots per row of the filter before its bound.
 HASHES, SLOTS_PER_ROW = 3, 16
@@ -113,7 +116,7 @@ def mark_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     slots = stored(slots, "bloom")
     maybe, alone = split(digests, slots, n_segments)
     best = maybe.groupBy("text_sha256").agg(F.max(F.struct("doc_id", "_row")).alias("_best"), F.count(F.lit(1)).alias("group_size"))
-    marked = maybe.join(best, "text_sha256").select(
+    marked = join_hot(maybe, stored(best, "copies"), "text_sha256", "group_size").select(
         "doc_id", F.col("_best.doc_id").alias("keep_id"), "group_size", (F.col("_row") == F.col("_best._row")).alias("kept"), "text_sha256"
     )
     return marked.unionByName(alone.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"))
@@ -126,9 +129,9 @@ def drop_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     digests = stored(keyed.select(F.col(id_column).alias("_id"), F.col(sha).alias("text_sha256")), "digests")
     slots, n_segments = repeated_slots(digests, digests.count())
     slots = stored(slots, "bloom")
-    best = split(digests, slots, n_segments)[0].groupBy(F.col("text_sha256").alias(own)).agg(F.max("_id").alias(keep))
+    best = split(digests, slots, n_segments)[0].groupBy(F.col("text_sha256").alias(sha)).agg(F.max("_id").alias(keep), F.count(F.lit(1)).alias(own))
     maybe, alone = split(keyed, slots, n_segments, sha)
-    kept = maybe.join(best, F.col(sha) == F.col(own)).filter(F.col(id_column).eqNullSafe(F.col(keep))).dropDuplicates([sha])
+    kept = join_hot(maybe, stored(best, "copies"), sha, own).filter(F.col(id_column).eqNullSafe(F.col(keep))).dropDuplicates([sha])
     return kept.select(*docs.columns).unionByName(alone.select(*docs.columns))
 
 

@@ -7,7 +7,9 @@ temperature fitted on rows kept apart calibrates the probabilities.
 
 A text that is null or has no letter is ``und`` with score 0.  Empty tables and
 tables without a language give ``und`` throughout.  Ties between languages go
-to the one first in alphabetical order; null ids are predicted like any other.
+to the one first in alphabetical order; null ids and repeated rows are predicted
+like any other, and texts of any length whole.  The caller may name the two output
+columns; input columns of those names are replaced, all others stay as they were.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASE, fold, mix, slices, table, text_of, utf8
+from .common import BASE, fold, fresh, mix, slices, table, text_of, utf8
 
 #: n-gram lengths, and hash buckets they share.
 LENGTHS, BUCKETS = (1, 2, 3), 1 << 16
@@ -57,11 +59,10 @@ def _frequencies(batches):
     for batch in batches:
         rows += batch.num_rows
         for a, b, gram, owner in _each(batch, 0):
-            for first in range(0, b - a, 64):
-                here = (owner >= first) & (owner < first + 64)
-                seen = np.zeros((64, BUCKETS), bool)
-                seen[owner[here] - first, gram[here]] = True
-                total += seen.sum(0)
+            kind = np.uint32 if b - a <= 1 << 16 else np.uint64
+            key = np.sort(owner.astype(kind) * kind(BUCKETS) + gram.astype(kind))
+            once = key[np.r_[True, key[1:] != key[:-1]][: len(key)]]
+            total += np.bincount((once % kind(BUCKETS)).astype(np.int64), minlength=BUCKETS)
     used = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, used], pa.int32()), pa.array(np.r_[rows, total[used]])], names=["bucket", "n"])
 
@@ -126,7 +127,7 @@ def train(docs: DataFrame, learn) -> tuple[list[str], np.ndarray, np.ndarray]:
         return [], np.zeros((BUCKETS, 1)), np.zeros(1)
     draw = lambda seed: F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_000)) / 1e6
     chosen = rows.filter(draw(1) < F.element_at(F.create_map(*[F.lit(x) for pair in share.items() for x in pair]), F.col("lang")))
-    found = chosen.select("lang", (draw(2) < 0.2).alias("apart"), "text").mapInArrow(_counted, "lang string, apart boolean, buckets array<int>, counts array<int>").limit(int(1.2 * MAX_PER_LANGUAGE) * len(share)).toArrow()
+    found = chosen.orderBy(draw(1), "doc_id", "lang", "text").limit(int(1.2 * MAX_PER_LANGUAGE) * len(share)).select("lang", (draw(2) < 0.2).alias("apart"), "text").mapInArrow(_counted, "lang string, apart boolean, buckets array<int>, counts array<int>").toArrow()
     langs = sorted(share)
     target = np.array([langs.index(x) for x in found.column("lang").to_pylist()], np.int64)
     apart = found.column("apart").to_numpy()
@@ -142,8 +143,8 @@ def train(docs: DataFrame, learn) -> tuple[list[str], np.ndarray, np.ndarray]:
     return langs, w[:-1] * idf[:, None] / t, w[-1] / t
 
 
-def with_language(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray]) -> DataFrame:
-    """``docs`` with ``lang_pred`` and its probability ``score``, from the whole text."""
+def with_language(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], language: str = "lang_pred", score: str = "score") -> DataFrame:
+    """``docs`` with a column ``language`` and its probability ``score``, from the whole text."""
     langs, weights, bias = model
     shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
     names = np.array([*langs, "und"], object)
@@ -151,19 +152,19 @@ def with_language(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarra
     def run(batches):
         for batch in batches:
             letters = batch.column(batch.num_columns - 2).to_numpy(zero_copy_only=False).astype(bool) & bool(langs)
-            best, score = np.full(batch.num_rows, len(langs)), np.zeros(batch.num_rows)
+            best, sure = np.full(batch.num_rows, len(langs)), np.zeros(batch.num_rows)
             for a, b, gram, owner in _each(batch, batch.num_columns - 1):
                 size = np.maximum(1, np.bincount(owner, minlength=b - a))
                 logit = np.stack([np.bincount(owner, shared.value[gram, k], b - a) for k in range(len(bias))], 1) / size[:, None] + bias
                 p = _softmax(logit)
-                best[a:b], score[a:b] = p.argmax(1), p.max(1)
-            best, score = np.where(letters, best, len(langs)), np.where(letters, score, 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(names[best], pa.string()), pa.array(score)], names=[*batch.schema.names[:-2], "lang_pred", "score"])
+                best[a:b], sure[a:b] = p.argmax(1), p.max(1)
+            best, sure = np.where(letters, best, len(langs)), np.where(letters, sure, 0.0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(names[best], pa.string()), pa.array(sure)], names=[*batch.schema.names[:-2], language, score])
 
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    kept = [c for c in docs.columns if c.lower() not in (language.lower(), score.lower())]
     text = text_of(docs)
-    schema = docs.select(*kept).withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema
-    return docs.select(*kept, text.rlike(r"\p{L}").alias("_letters"), F.lower(text).alias("_folded")).mapInArrow(run, schema)
+    schema = docs.select(*kept).withColumn(language, F.lit("")).withColumn(score, F.lit(0.0)).schema
+    return docs.select(*kept, text.rlike(r"\p{L}").alias(fresh(docs, "_letters")), F.lower(text).alias(fresh(docs, "_folded"))).mapInArrow(run, schema)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BASE, LETTERS, discard, fresh, join_hot, mix, running, slices, spans_hash, stored, table, text_of, utf8, words
+from .common import BASE, LETTERS, discard, distance_within, fresh, join_hot, mix, running, slices, spans_hash, stored, table, text_of, utf8, words
 from .components import components
 from .near_dedup import _increasing
 
@@ -227,7 +227,7 @@ def _texts(folded: DataFrame, known: DataFrame, pairs: DataFrame) -> DataFrame:
     return texts
 
 
-def distance_within(a: np.ndarray, b: np.ndarray, bound: int) -> bool:
+def similar_within(a: np.ndarray, b: np.ndarray, bound: int) -> bool:
     """Whether the edit distance of two arrays of code points is at most ``bound``.
 
     Equal ends are cut off; then bounds from the common words are tried, and bit
@@ -254,7 +254,7 @@ def distance_within(a: np.ndarray, b: np.ndarray, bound: int) -> bool:
         return True
     if len(a) > len(b):
         a, b = b, a
-    return _column_distance(a.tolist(), b.tolist(), bound)
+    return distance_within(a.tolist(), b.tolist(), bound) is not None
 
 
 def _by_words(a: np.ndarray, b: np.ndarray) -> int:
@@ -282,38 +282,11 @@ def _by_words(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.maximum(wide_a, wide_b).sum() - size.sum()) + differ
 
 
-def _column_distance(a: list[int], b: list[int], bound: int) -> bool:
-    """The edit distance with one column of the table as bits of two integers, stopped where ``bound`` is out of reach."""
-    places: dict[int, int] = {}
-    for i, c in enumerate(a):
-        places[c] = places.get(c, 0) | 1 << i
-    size = len(a)
-    mask, top = (1 << size) - 1, 1 << (size - 1)
-    up, down, score = mask, 0, size
-    left = len(b)
-    for c in b:
-        left -= 1
-        eq = places.get(c, 0)
-        across = eq | down
-        diagonal = (((eq & up) + up) ^ up) | eq
-        rise, fall = down | ~(diagonal | up) & mask, up & diagonal
-        if rise & top:
-            score += 1
-        elif fall & top:
-            score -= 1
-        if score - left > bound:
-            return False
-        rise = (rise << 1 | 1) & mask
-        fall = fall << 1 & mask
-        up, down = fall | ~(across | rise) & mask, rise & across
-    return score <= bound
-
-
 def _verify(batches):
     """The pairs whose lines are similar."""
     for batch in batches:
         sides = [[np.frombuffer(x.decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(np.int64) for x in batch.column(i).to_pylist()] for i in (2, 3)]
-        near = [distance_within(a, b, int((1 - SIMILARITY) * max(len(a), len(b)) + 1e-6)) for a, b in zip(*sides, strict=True)]
+        near = [similar_within(a, b, int((1 - SIMILARITY) * max(len(a), len(b)) + 1e-6)) for a, b in zip(*sides, strict=True)]
         yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
 

@@ -9,12 +9,17 @@ link is an edit similarity (1 - distance / longer length) of at least 0.8.  Boun
 where they leave it open.
 
 Equal texts are folded into one node first.  Within a bucket each text is
-aligned with the bucket's least text only, and those that fail it form a bucket
-again, for ``ROUNDS`` rounds: the work grows with the members, never with their
-pairs.  Classes are the connected components of the links.
+aligned with the bucket's least text, and those that fail it form a bucket
+again, for ``ROUNDS`` rounds, which link the members of large groups in linear work.
+Then all pairs of a bucket that these links leave in different components and
+that were not aligned yet are, so no two texts of a bucket stay apart untested.
+Classes are the connected components of the links.
 
 Nulls count as the empty text; empty texts are one class.  Texts of one to four
-words have one k-mer of all their words.  Ids may be null or repeated.
+words have one k-mer of all their words; very long texts are read whole, and pairs
+whose band would be too large are aligned by bit vectors instead, with the same
+result.  Ids may be null or repeated; an empty table gives an empty result; other
+columns, whatever their names, come back as they were.
 """
 
 from __future__ import annotations
@@ -26,10 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASE, fresh, mix, running, slices, spans_hash, stored, table, text_of, utf8, words
+from .common import BASE, discard, distance_within, fresh, join_hot, mix, running, slices, spans_hash, stored, table, text_of, utf8, words
 from .components import components
 
 WORDS, SKETCHES, PICK, SIMILARITY, ROUNDS = 5, 32, 2, 0.8, 3
+#: Cells of a band from which on bit vectors align a pair.
+MAX_CELLS = 20_000_000
 U = np.uint64
 
 
@@ -102,6 +109,12 @@ def aligned(pairs: list[tuple[np.ndarray, np.ndarray]], share: float) -> np.ndar
     bound = np.floor(share * size.max(1, initial=0)).astype(np.int64)
     out = np.full(len(pairs), -1)
     todo = np.flatnonzero(np.abs(size[:, 0] - size[:, 1]) <= bound)
+    long = size[todo].max(1) * (2 * bound[todo] + 1) > MAX_CELLS
+    for i in todo[long]:
+        a, b = pairs[i]
+        d = distance_within(a.tolist(), b.tolist(), int(bound[i]))
+        out[i] = -1 if d is None else d
+    todo = todo[~long]
     todo = todo[np.argsort(size[todo].max(1), kind="stable")]
     while len(todo):
         cells = np.cumsum(2 * bound[todo] + 1)
@@ -208,25 +221,37 @@ def links(texts: DataFrame) -> DataFrame:
     """(a, b): keys of near-duplicate texts, b the less.  ``texts``: key and folded text, keys may repeat."""
     entries = stored(texts.select("key", "text").mapInArrow(_sketch, "bucket bigint, key binary").distinct(), "sketches")
     shared = entries.groupBy("bucket").agg(F.min("key").alias("lead"), F.max("key").alias("other")).filter("lead != other").select("bucket")
-    left = stored(entries.join(shared, "bucket"), "buckets")
-    wanted = left.select("key").distinct()
+    crowd = stored(entries.join(shared, "bucket"), "buckets")
+    discard(entries)
+    wanted = crowd.select("key").distinct()
     kept = stored(texts.join(wanted, "key", "left_semi").dropDuplicates(["key"]), "candidates")
-    known = None
-    for turn in range(ROUNDS):
-        lead = left.groupBy("bucket").agg(F.min("key").alias("b"))
-        tests = left.join(lead, "bucket").filter("key != b")
+
+    def check(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(kept.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").join(kept.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
+        return stored(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a binary, b binary, near boolean"), "checked")
+
+    known, left = None, crowd
+    for _ in range(ROUNDS):
+        sizes = left.groupBy("bucket").agg(F.min("key").alias("b"), F.count(F.lit(1)).alias("n"))
+        tests = join_hot(left, stored(sizes, "leads"), "bucket", "n").filter("key != b").drop("n")
         pairs = tests.select(F.col("key").alias("a"), "b").distinct()
         if known is not None:
             pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
-        both = pairs.join(kept.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").join(kept.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
-        checked = stored(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a binary, b binary, near boolean"), "checked")
+        checked = check(pairs)
         known = checked if known is None else known.unionByName(checked)
-        if turn + 1 < ROUNDS:
-            failed = known.filter("not near").select(F.col("a").alias("key"), "b")
-            left = stored(tests.join(failed, ["key", "b"], "left_semi").select("bucket", "key"), "buckets")
-            if left.isEmpty():
-                break
-    return known.filter("near").select("a", "b")
+        failed = known.filter("not near").select(F.col("a").alias("key"), "b")
+        left = stored(tests.join(failed, ["key", "b"], "left_semi").select("bucket", "key"), "buckets")
+        if left.isEmpty():
+            break
+    near = known.filter("near").select("a", "b")
+    roots = stored(components(near), "roots")
+    named = crowd.join(roots, F.col("key") == F.col("node"), "left").select("bucket", "key", F.coalesce("root", "key").alias("root"))
+    mixed = named.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("bucket")
+    apart = stored(named.join(mixed, "bucket"), "apart")
+    other = apart.select(F.col("bucket").alias("of"), F.col("key").alias("b"), F.col("root").alias("root_b"))
+    pairs = apart.join(other, (F.col("bucket") == F.col("of")) & (F.col("key") > F.col("b")) & (F.col("root") != F.col("root_b"))).select(F.col("key").alias("a"), "b").distinct()
+    rest = check(stored(pairs.join(known.select("a", "b"), ["a", "b"], "left_anti"), "rest"))
+    return near.unionByName(rest.filter("near").select("a", "b"))
 
 
 def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -246,7 +271,7 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
         "members",
     )
     best = rows.groupBy("root").agg(F.min(F.struct("doc_id", "_row")).alias("best"), F.count(F.lit(1)).alias("class_size"))
-    return rows.join(best, "root").select("doc_id", F.col("best.doc_id").alias("class_id"), "class_size", "n_links", (F.col("_row") == F.col("best._row")).alias("kept"), "key")
+    return join_hot(rows, stored(best, "classes"), "root", "class_size").select("doc_id", F.col("best.doc_id").alias("class_id"), "class_size", "n_links", (F.col("_row") == F.col("best._row")).alias("kept"), "key")
 
 
 def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASE, mix, slices, table, text_of, utf8
+from .common import BASE, fresh, mix, slices, table, text_of, utf8
 
 MARK = "▁"
 #: Distinct words that are encoded together, and words a worker remembers.
@@ -103,7 +103,7 @@ class Viterbi:
         # where the keys with equal first 20 bits start, and how many there are at most
         high = (tables["keys"] >> np.uint64(44)).astype(np.int64)
         self.starts = np.searchsorted(high, np.arange((1 << 20) + 1)).astype(np.int32)
-        self.chain = int(np.diff(self.starts).max(initial=1))
+        self.chain, self.crowded = int(np.diff(self.starts).max(initial=1)), np.diff(self.starts) > 1
         self.keys = np.r_[tables["keys"], np.zeros(self.chain, np.uint64)]
         self.ids = np.r_[tables["ids"], np.full(self.chain, -1)]
         self.slot_key, self.slot_ok = np.full(1 << 20, -1, np.int64), np.zeros(1 << 20, bool)
@@ -111,11 +111,15 @@ class Viterbi:
     def probe(self, code: np.ndarray, length: np.ndarray | int) -> np.ndarray:
         """Ids of the pieces with these string hashes; -1 where there is none."""
         key = mix(code + np.uint64(length) if np.isscalar(length) else code + length.astype(np.uint64))
-        at = self.starts[(key >> np.uint64(44)).astype(np.int64)]
-        out = np.where(self.keys[at] == key, self.ids[at], -1)
-        for i in range(1, self.chain):
-            more = self.keys[at + i] == key
-            out[more] = self.ids[at + i][more]
+        slot = (key >> np.uint64(44)).astype(np.int64)
+        at = self.starts[slot]
+        hit = self.keys[at] == key
+        out = np.where(hit, self.ids[at], -1)
+        # few slots hold several keys
+        rest = np.flatnonzero(self.crowded[slot] & ~hit)
+        for i in range(1, self.chain if len(rest) else 0):
+            more = self.keys[at[rest] + i] == key[rest]
+            out[rest[more]] = self.ids[at[rest[more]] + i]
         return out
 
     def follows(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -164,10 +168,12 @@ class Viterbi:
             ids[(ids >= 0) & ~self.t["whole"][ids]] = -1
             found.append(ids)
         found[0][found[0] < 0] = unknown
+        some = [(ids >= 0).any(0).tolist() for ids in found]
         last, back = np.full((n, size + 1), -1), np.zeros((n, size + 1), np.int64)
         rows = np.arange(n)
         for end in range(1, size + 1):
-            widths = np.arange(1, min(longest, end) + 1)
+            # widths of pieces that end here in some word
+            widths = np.array([w for w in range(1, min(longest, end) + 1) if some[w - 1][end - w]])
             piece = np.stack([found[w - 1][:, end - w] for w in widths], 1)
             before = last[:, end - widths]
             open_ = (piece >= 0) & ((before >= 0) | (end == widths)[None, :])
@@ -240,9 +246,9 @@ def encode(docs: DataFrame, tables: dict, text_column: str = "text", ids_column:
                 lists = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(ids), np.int32)))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists], names=[*batch.schema.names[:-1], ids_column])
 
-    kept = [c for c in docs.columns if c != ids_column]
+    kept = [c for c in docs.columns if c.lower() != ids_column.lower()]
     schema = docs.select(*kept).withColumn(ids_column, F.array(F.lit(0))).schema
-    return docs.select(*kept, text_of(docs, text_column).alias("_whole")).mapInArrow(run, schema)
+    return docs.select(*kept, text_of(docs, text_column).alias(fresh(docs, "_whole"))).mapInArrow(run, schema)
 
 
 def decode(docs: DataFrame, tables: dict, ids_column: str = "piece_ids", text_column: str = "decoded") -> DataFrame:
@@ -261,9 +267,9 @@ def decode(docs: DataFrame, tables: dict, ids_column: str = "piece_ids", text_co
                     texts.append(raw[at].tobytes().removeprefix(b" ").decode("utf-8", "replace"))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*batch.schema.names[:-1], text_column])
 
-    kept = [c for c in docs.columns if c != text_column]
+    kept = [c for c in docs.columns if c.lower() != text_column.lower()]
     schema = docs.select(*kept).withColumn(text_column, F.lit("")).schema
-    return docs.select(*kept, docs[ids_column].alias("_ids")).mapInArrow(run, schema)
+    return docs.select(*kept, docs[ids_column].alias(fresh(docs, "_ids"))).mapInArrow(run, schema)
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

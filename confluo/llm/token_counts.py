@@ -8,8 +8,9 @@ again until a second shuffle brings the sums of a row together.  Records of very
 common pre-tokens are dealt over several tasks, each of which counts them once.
 
 Nulls count as the empty text, which has 0 tokens.  Special strings inside a
-text are one token each, as the library treats them by default.  Repeated rows
-are counted each for itself.
+text are one token each, as the library treats them by default.  Repeated rows,
+null ids and ties are counted each for itself, texts of any length whole; an empty
+table gives an empty result.  Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -32,11 +33,12 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 
 
-def _tokenizer(path: str):
+def _tokenizer(shared):
+    """The tokenizer from its broadcast file, which executors need not have."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    return Tokenizer.from_str(shared.value)
 
 
 class _Vocabulary(dict):
@@ -67,7 +69,7 @@ def _unpacked(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values, ends
 
 
-def _cut(path: str, schema: pa.Schema):
+def _cut(shared, schema: pa.Schema):
     import regex
 
     def rows(**columns):
@@ -93,7 +95,7 @@ def _cut(path: str, schema: pa.Schema):
             yield rows(pretoken=names[part], base=np.full(len(cut) - 1, owners[0]), freqs=blob, deal=np.where(n_rows[part] >= COMMON, owners[0] + code[cuts[part]], 0))
 
     def run(batches):
-        normal = _tokenizer(path).normalizer.normalize_str
+        normal = _tokenizer(shared).normalizer.normalize_str
         find = regex.compile(PATTERN).findall
         split = regex.compile("|".join(map(regex.escape, SPECIAL))).split
         vocabulary, codes, owners, sizes, held = _Vocabulary(), [], [], [], 0
@@ -153,7 +155,7 @@ def _heads(batch: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column(f.name) if f.name != "freqs" else pa.nulls(batch.num_rows, f.type) for f in schema], schema=schema)
 
 
-def _counted(path: str, schema: pa.Schema):
+def _counted(shared, schema: pa.Schema):
     """Records of pre-tokens to sums of pieces, one packed record for each task that cut them."""
 
     def packed(sums):
@@ -169,7 +171,7 @@ def _counted(path: str, schema: pa.Schema):
         return pa.RecordBatch.from_arrays([pa.array(bases) if f.name == "base" else pa.array(blobs, pa.binary()) if f.name == "freqs" else pa.nulls(len(blobs), f.type) for f in schema], schema=schema)
 
     def run(batches):
-        tokenizer, known, sums = _tokenizer(path), {}, _Sums()
+        tokenizer, known, sums = _tokenizer(shared), {}, _Sums()
         for batch in batches:
             yield _heads(batch.filter(batch.column("pretoken").is_null()), schema)
             batch = batch.filter(batch.column("pretoken").is_valid())
@@ -216,10 +218,11 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id"
     sums = f"base bigint, doc_id {kind}, n_bytes bigint, n bigint, freqs binary"
     got = f"base bigint, doc_id {kind}, n_bytes bigint, n bigint"
     arrow = lambda schema: to_arrow_schema(spark.createDataFrame([], schema).schema)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    records = source.mapInArrow(_cut(tokenizer_path, arrow(sent)), sent)
-    pieces = records.repartition(parts, "pretoken", "deal").mapInArrow(_counted(tokenizer_path, arrow(sums)), sums)
-    counted = pieces.repartition(parts, "base").mapInArrow(_summed(arrow(got)), got)
+    with open(tokenizer_path, encoding="utf-8") as f:
+        shared = spark.sparkContext.broadcast(f.read())
+    records = source.mapInArrow(_cut(shared, arrow(sent)), sent)
+    pieces = records.repartition("pretoken", "deal").mapInArrow(_counted(shared, arrow(sums)), sums)
+    counted = pieces.repartition("base").mapInArrow(_summed(arrow(got)), got)
     return counted.groupBy("base").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens")).drop("base")
 
 

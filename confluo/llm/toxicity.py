@@ -9,8 +9,12 @@ with the logistic loss l; when the second term turns negative its gradient is
 reversed (in the fit that picks words) or left out (in the one that weighs them),
 which stops the fit from eating into the unlabelled texts.
 
-Nulls and empty texts get the score of a text without words.  Repeated rows and
-null ids are scored like any other; a label whose text is absent is not used.
+Nulls and empty texts get the score of a text without words.  Texts of any length
+are scored whole; an empty table gives an empty result, and one without toxic
+labels a model that rejects nothing.  Repeated rows and null ids are scored like
+any other; a label whose text is absent is not used, and of labels that repeat an
+id the larger holds.  The score goes to a column whose name the caller may choose;
+an input column of that name is replaced, all others come back as they were.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bare_words, fold, slices, table, text_of, utf8
+from .common import bare_words, fold, fresh, slices, table, text_of, utf8
 
 #: Hash buckets of words.
 BUCKETS = 1 << 18
@@ -126,9 +130,9 @@ def train(docs: DataFrame, labels: DataFrame, held_out_parts: int = 5) -> tuple[
     if not n_toxic:
         return np.zeros(BUCKETS), -30.0
     order = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1e6
-    toxic = marked.filter("toxic = 1").filter(order < min(1.0, 1.1 * MAX_POSITIVE / n_toxic)).select("doc_id", "toxic").limit(MAX_POSITIVE)
+    toxic = marked.filter("toxic = 1").filter(order < min(1.0, 1.1 * MAX_POSITIVE / n_toxic)).select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_POSITIVE)
     source = docs.select("doc_id", F.lower(text_of(docs)).alias("text")).filter(fold(F.col("doc_id"), held_out_parts) != 0)
-    some = source.filter(F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(1_000_000)) / 1e6 < min(1.0, 1.3 * MAX_UNLABELLED / max(1, n_docs))).select(F.lit(0).alias("toxic"), "text").limit(MAX_UNLABELLED)
+    some = source.filter(F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(1_000_000)) / 1e6 < min(1.0, 1.3 * MAX_UNLABELLED / max(1, n_docs))).orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id", "text").select(F.lit(0).alias("toxic"), "text").limit(MAX_UNLABELLED)
     rows = source.join(F.broadcast(toxic), "doc_id").select(F.col("toxic").cast("int").alias("toxic"), "text").unionByName(some)
     found = rows.mapInArrow(_gather, "toxic int, buckets array<int>").toArrow()
     kind = found.column("toxic").to_numpy()
@@ -137,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out_parts: int = 5) -> tuple[
     return fit([t for t, k in zip(texts, kind, strict=True) if k], [t for t, k in zip(texts, kind, strict=True) if not k], min(0.9, n_toxic / n))
 
 
-def with_scores(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
+def with_scores(docs: DataFrame, model: tuple[np.ndarray, float], score: str = "score") -> DataFrame:
     """``docs`` with a column ``score``: the probability of toxicity of each whole text."""
     shared, bias = docs.sparkSession.sparkContext.broadcast(model[0].astype(np.float32)), model[1]
 
@@ -147,11 +151,11 @@ def with_scores(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
             out = np.zeros(batch.num_rows)
             for a, b, ends, buckets in _each(batch, batch.num_columns - 1):
                 out[a:b] = 1 / (1 + np.exp(-np.clip(_sums(weights[buckets].astype(np.float64), ends) + bias, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out)], names=[*batch.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out)], names=[*batch.schema.names[:-1], score])
 
-    kept = [c for c in docs.columns if c != "score"]
-    source = docs.select(*kept, F.lower(text_of(docs)).alias("_folded"))
-    return source.mapInArrow(run, docs.select(*kept).withColumn("score", F.lit(0.0)).schema)
+    kept = [c for c in docs.columns if c.lower() != score.lower()]
+    source = docs.select(*kept, F.lower(text_of(docs)).alias(fresh(docs, "_folded")))
+    return source.mapInArrow(run, docs.select(*kept).withColumn(score, F.lit(0.0)).schema)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -104,6 +104,31 @@ def test_alignment_and_bounds_against_brute_force():
         assert got == (want if want <= int((0.2 + 1e-9) * max(len(a), len(b))) else -1)
 
 
+def test_long_pairs_are_aligned_alike(monkeypatch):
+    r = random.Random(5)
+    pairs = []
+    for _ in range(60):
+        a = [r.randint(2, 60) for _ in range(r.randint(1, 60))]
+        pairs.append(tuple(np.array(x, np.uint64) for x in (a, [x if r.random() > 0.15 else 1 for x in a])))
+    banded = near_dedup.aligned(pairs, 0.2)
+    monkeypatch.setattr(near_dedup, "MAX_CELLS", 0)
+    assert (near_dedup.aligned(pairs, 0.2) == banded).all() and (banded >= 0).any() and (banded < 0).any()
+
+
+def test_near_dedup_links_drifting_texts_and_crowded_buckets(spark, monkeypatch):
+    """Chains of three whose ends are not near each other, all in the same buckets."""
+    n = near_dedup.SKETCHES
+    monkeypatch.setattr(near_dedup, "sketches", lambda offsets, data: (np.arange(len(offsets) - 1), np.ones((len(offsets) - 1, n), np.int64)))
+    rows, chain = [], {}
+    for c in range(8):
+        words = [f"w{c}x{i}" for i in range(60)]
+        for k in range(3):
+            chain[len(rows)] = c
+            rows.append((len(rows), " ".join(["changed" if i < 9 * k else w for i, w in enumerate(words)])))
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert all((got[a] == got[b]) == (chain[a] == chain[b]) for a in got for b in got)
+
+
 def test_near_dedup_finds_planted_copies(spark):
     originals = [prose(100 + i, 150, 2_000) for i in range(30)]
     rows = [(i, t) for i, t in enumerate(originals)] + [(100 + i, edited(t, i, 0.06)) for i, t in enumerate(originals)]
@@ -194,7 +219,7 @@ def test_edit_distance_of_lines_against_brute_force():
         points = [np.array([ord(c) for c in x], np.int64) for x in (a, b)]
         want = edit_distance(a, b)
         assert line_dedup._by_words(*points) >= want
-        assert all(line_dedup.distance_within(*points, k) == (want <= k) for k in (want - 1, want, want + 1, int(0.2 * max(len(a), len(b)))))
+        assert all(line_dedup.similar_within(*points, k) == (want <= k) for k in (want - 1, want, want + 1, int(0.2 * max(len(a), len(b)))))
 
 
 def test_toxicity_learns_from_positives_and_unlabelled(spark, empty):
