@@ -63,10 +63,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Remove the files of stored tables that nothing will read again."""
+    """Remove the files of stored tables that nothing will read again.
+
+    Shuffle files go when the driver collects what refers to them, which a large
+    heap puts off; it is asked to do so now.
+    """
     for df in tables:
         if found := _STORED.pop(id(df), None):
             _remove(df.sparkSession, found[1])
+    if session := SparkSession.getActiveSession():
+        session.sparkContext._jvm.System.gc()
 
 
 #: Keys that hold more than one in so many rows are hot; there are no more of them than this.

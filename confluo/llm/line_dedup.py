@@ -49,7 +49,7 @@ MINIMA, BANDS, PICK = 48, 14, 2
 #: Bits of two SimHashes that may differ, and sketch entries that must agree, where lines share a block.
 REACH, ALIKE = 18, 17
 #: Bytes of a band in storage: few unrelated lines share one even among 10**11.
-BAND_BYTES = 6
+BAND_BYTES = 5
 #: First bit and width of the blocks of a hash.
 WIDTHS = [(64 * i // BLOCKS, 64 * (i + 1) // BLOCKS - 64 * i // BLOCKS) for i in range(BLOCKS)]
 #: Bits of the bitmap of wanted lines: 4 MB, whatever the input.
@@ -114,14 +114,20 @@ def sketches(minima: np.ndarray) -> np.ndarray:
     return np.stack([np.bitwise_or.reduce(four[:, i : i + 16] << shift, axis=1) for i in range(0, MINIMA, 16)], 1)
 
 
-def band_keys(minima: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Block keys of each line: BANDS bands, and one for each choice of SimHash blocks that must agree."""
+def band_keys(minima: np.ndarray) -> np.ndarray:
+    """Block keys of each line from its MinHashes: lines x BANDS."""
     keys = []
     for i in range(BANDS):
         key = np.full(len(minima), i + 1, U)
         for j in range(PICK):
             key = mix(key * U(BASE) + minima[:, i + j * BANDS])
         keys.append(key)
+    return np.stack(keys, 1)
+
+
+def block_keys(hashes: np.ndarray) -> np.ndarray:
+    """Block keys of each line from its SimHash: one for each choice of blocks that must agree."""
+    keys = []
     for k, chosen in enumerate(combinations(range(BLOCKS), BLOCKS - DISTANCE)):
         key = np.full(len(hashes), BANDS + k + 1, U)
         for i in chosen:
@@ -131,9 +137,6 @@ def band_keys(minima: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return np.stack(keys, 1)
 
 
-N_KEYS = BANDS + len(list(combinations(range(BLOCKS), BLOCKS - DISTANCE)))
-
-
 def _fixed(raw: np.ndarray, width: int) -> pa.Array:
     """Rows of bytes as a binary column."""
     n = raw.size // width
@@ -161,24 +164,23 @@ def _cut(batches):
             hashes, minima = summaries(joined, starts, ends)
             lead = np.r_[0, np.cumsum((joined & 0xC0) != 0x80)]
             three = sketches(minima).view(np.int64)
-            keys = band_keys(minima, hashes).view(np.uint8).reshape(len(starts), N_KEYS, 8)[:, :, :BAND_BYTES]
+            keys = band_keys(minima).view(np.uint8).reshape(len(starts), BANDS, 8)[:, :, :BAND_BYTES]
             rows = pa.array(text)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(number.astype(np.int32)), _fixed(_digests(joined, starts, ends), 16), pa.array((lead[ends] - lead[starts]).astype(np.int32)),
-                 pa.array(hashes.view(np.int64)), *[pa.array(three[:, i]) for i in range(3)], _fixed(keys, N_KEYS * BAND_BYTES)],
-                names=["doc_id", "doc", "pos", "key", "size", "hash", "s0", "s1", "s2", "blocks"],
+                 pa.array(hashes.view(np.int64)), *[pa.array(three[:, i]) for i in range(3)], _fixed(keys, BANDS * BAND_BYTES)],
+                names=["doc_id", "doc", "pos", "key", "size", "hash", "s0", "s1", "s2", "bands"],
             )
 
 
 def _entries(batches):
     """(block, id) of every block of every line."""
     for batch in batches:
-        data = utf8(batch.column(1))[1]
-        offsets = utf8(batch.column(1))[0]
-        raw = data[offsets[0] : offsets[-1]].reshape(-1, BAND_BYTES)
-        block = np.zeros((len(raw), 8), np.uint8)
-        block[:, :BAND_BYTES] = raw
-        yield pa.RecordBatch.from_arrays([pa.array(block.view(np.int64).ravel()), batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), N_KEYS)))], names=["block", "id"])
+        offsets, data = utf8(batch.column(2))
+        bands = np.zeros((batch.num_rows, BANDS, 8), np.uint8)
+        bands[:, :, :BAND_BYTES] = data[offsets[0] : offsets[-1]].reshape(-1, BANDS, BAND_BYTES)
+        blocks = np.concatenate([bands.view(np.int64)[:, :, 0], block_keys(batch.column(1).to_numpy().view(U)).view(np.int64)], axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(blocks.ravel()), batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), blocks.shape[1])))], names=["block", "id"])
 
 
 def _slot(digests: np.ndarray) -> np.ndarray:
@@ -305,9 +307,12 @@ CARRIED = ("size", "hash", "s0", "s1", "s2")
 def _crowded(known: DataFrame) -> DataFrame:
     """(block, id, lead) and what tests compare, of the lines that share a block with others; ``lead`` is the block's least line."""
     block = Window.partitionBy("block")
-    entries = known.select("id", "blocks").mapInArrow(_entries, "block bigint, id bigint")
+    entries = known.select("id", "hash", "bands").mapInArrow(_entries, "block bigint, id bigint")
     led = entries.withColumns({"lead": F.min("id").over(block), "last": F.max("id").over(block)}).filter("last != lead").drop("last")
-    return stored(led.join(known.select("id", *CARRIED), "id"), "line-blocks")
+    crowd = stored(led, "line-blocks")
+    found = stored(crowd.join(known.select("id", *CARRIED), "id"), "line-blocks")
+    discard(crowd)
+    return found
 
 
 def _likely() -> Column:
@@ -336,7 +341,7 @@ def _apart(crowd: DataFrame, roots: DataFrame) -> DataFrame:
 def groups(folded: DataFrame, known: DataFrame) -> DataFrame:
     """(node, root): ids of lines near other lines, and the least of their group.
 
-    ``folded`` has the lower-case texts; ``known`` id, key, blocks, size, hash and
+    ``folded`` has the lower-case texts; ``known`` id, key, bands, size, hash and
     sketch of each distinct line.  Groups are what all tests within the blocks
     would join; pairs that others join already are not tested.
     """
@@ -357,16 +362,16 @@ def _document_key(id_column: str, text: Column) -> Column:
 
 
 def cut_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row for each line that is not blank: doc_id, doc, pos, key, size, hash, s0, s1, s2, blocks."""
+    """One row for each line that is not blank: doc_id, doc, pos, key, size, hash, s0, s1, s2, bands."""
     text = text_of(docs, text_column)
     source = docs.select(F.col(id_column).alias("doc_id"), _document_key(id_column, text).alias("doc"), F.lower(text).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(_cut, f"doc_id {kind}, doc binary, pos int, key binary, size int, hash bigint, s0 bigint, s1 bigint, s2 bigint, blocks binary")
+    return source.mapInArrow(_cut, f"doc_id {kind}, doc binary, pos int, key binary, size int, hash bigint, s0 bigint, s1 bigint, s2 bigint, bands binary")
 
 
 def distinct_lines(cut: DataFrame) -> DataFrame:
-    """(id, key, first, n, blocks, size, hash and sketch) of each distinct line."""
-    once = cut.groupBy("key").agg(F.min(F.struct("doc_id", "doc", "pos")).alias("first"), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("blocks", *CARRIED)])
+    """(id, key, n, bands, size, hash and sketch) of each distinct line."""
+    once = cut.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("bands", *CARRIED)])
     return stored(once.withColumn("id", F.monotonically_increasing_id()), "known-lines")
 
 
@@ -374,11 +379,15 @@ def repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """(doc, removed): per document key, the numbers of the lines that go."""
     cut = stored(cut_lines(docs, id_column, text_column), "lines")
     known = distinct_lines(cut)
+    discard()
     node = groups(docs.select(F.lower(text_of(docs, text_column)).alias("text")), known)
-    grouped = known.select("id", "key", "first", "n").join(node, F.col("id") == F.col("node"), "left").select("key", "first", "n", F.coalesce("root", "id").alias("root"))
-    stays = grouped.groupBy("root").agg(F.min("first").alias("stays"), F.sum("n").alias("total")).filter("total > 1")
-    doubled = stored(grouped.join(stays, "root").select("key", "stays", "n"), "line-doubled")
-    gone = join_hot(cut.select("doc_id", "doc", "pos", "key"), doubled, "key", "n").filter(~F.struct("doc_id", "doc", "pos").eqNullSafe(F.col("stays")))
+    grouped = known.select("id", "key", "n").join(node, F.col("id") == F.col("node"), "left").select("key", "n", F.coalesce("root", "id").alias("root"))
+    totals = grouped.groupBy("root").agg(F.sum("n").alias("total")).filter("total > 1")
+    doubled = stored(grouped.join(totals, "root").select("key", "root", "n"), "line-doubled")
+    places = stored(join_hot(cut.select("doc_id", "doc", "pos", "key"), doubled, "key", "n").select("doc_id", "doc", "pos", "root"), "line-places")
+    stays = stored(places.groupBy("root").agg(F.min(F.struct("doc_id", "doc", "pos")).alias("stays"), F.count(F.lit(1)).alias("n")), "line-stays")
+    gone = join_hot(places, stays, "root", "n").filter(~F.struct("doc_id", "doc", "pos").eqNullSafe(F.col("stays")))
+    discard(cut, known, node, doubled)
     return gone.groupBy("doc").agg(F.array_sort(F.collect_set("pos")).alias("removed"))
 
 

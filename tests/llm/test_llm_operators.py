@@ -178,8 +178,8 @@ def test_line_dedup_leaves_no_pair_of_a_block_apart(spark):
             lines.append(" ".join(["zzzzz"[: len(w)] if k and i < 6 * k else w for i, w in enumerate(words)]))
             chain[lines[-1]] = c
     docs = spark.createDataFrame([*enumerate(lines)], "doc_id bigint, text string")
-    known = line_dedup.distinct_lines(line_dedup.cut_lines(docs)).withColumns({"blocks": F.lit(b"\1\0\0\0\0\0" * line_dedup.N_KEYS), "hash": F.lit(0).cast("long"), **{f"s{i}": F.lit(0).cast("long") for i in range(3)}})
-    text = {r.id: lines[r.first.doc_id] for r in known.collect()}
+    known = line_dedup.distinct_lines(line_dedup.cut_lines(docs)).withColumns({"bands": F.lit(b"\1" * line_dedup.BANDS * line_dedup.BAND_BYTES), "hash": F.lit(0).cast("long"), **{f"s{i}": F.lit(0).cast("long") for i in range(3)}})
+    text = {r.id: r.text for r in known.join(line_dedup.cut_lines(docs).select("key", "doc_id"), "key").join(docs, "doc_id").collect()}
     root = {text[r.node]: r.root for r in line_dedup.groups(docs.select("text"), stored(known, "known")).collect()}
     for a in lines:
         assert {b for b in lines if root[b] == root[a]} == {b for b in lines if chain[b] == chain[a]}
