@@ -8,6 +8,9 @@ agree on a sketch are candidates; a banded alignment of their words decides: a
 link is an edit similarity (1 - distance / longer length) of at least 0.8.  Bounds of the distance come first; the band decides
 where they leave it open.
 
+Before texts are fetched, the joins compare lengths and outlines (small MinHashes of
+the words), which few pairs below the threshold pass.
+
 Equal texts are folded into one node first.  Within a bucket each text is
 aligned with the bucket's least text, and those that fail it form a bucket
 again, for ``ROUNDS`` rounds, which link the members of large groups in linear work.
@@ -28,13 +31,16 @@ from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import BASE, discard, distance_within, fresh, join_hot, mix, running, slices, spans_hash, stored, table, text_of, utf8, words
 from .components import components
 
 WORDS, SKETCHES, PICK, SIMILARITY, ROUNDS = 5, 32, 2, 0.8, 3
+#: MinHashes of a text's outline, and how many must agree: of pairs at SIMILARITY all but about one in 5000 do.
+MINIMA, ALIKE = 96, 50
+FEATURES = ("size", *[f"s{i}" for i in range(MINIMA // 16)])
 #: Cells of a band from which on bit vectors align a pair.
 MAX_CELLS = 20_000_000
 U = np.uint64
@@ -49,7 +55,12 @@ def kmers(word: np.ndarray, owner: np.ndarray, n_texts: int) -> tuple[np.ndarray
     for j in range(WORDS):
         code = code * U(BASE) + np.where(left > j, padded[j : j + len(word)], U(0))
     starts = (left >= WORDS) | (np.arange(len(word)) == first[owner])
-    code, owner = mix(code[starts]), owner[starts]
+    return labelled(mix(code[starts]), owner[starts]), owner[starts]
+
+
+def labelled(code: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Codes that tell apart the occurrences of one code in a text, in text order."""
+    code = code.copy()
     pair = mix(code + mix(owner.astype(U)))
     ordered = np.sort(pair)
     again = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
@@ -61,13 +72,27 @@ def kmers(word: np.ndarray, owner: np.ndarray, n_texts: int) -> tuple[np.ndarray
         begin = np.r_[0, np.flatnonzero(run[1:] != run[:-1]) + 1]
         number = np.arange(len(run)) - np.repeat(begin, np.diff(np.r_[begin, len(run)]))
         code[spots[order]] += mix(number.astype(U)) * U(2) + U(1)
-    return code, owner
+    return code
+
+
+def outlines(word: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text that has words: their number, and four bits of each of MINIMA MinHashes of its labelled words, sixteen to a long."""
+    first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+    code, out = labelled(word, owner), np.zeros((len(first), MINIMA // 16), U)
+    for i in range(MINIMA):
+        least = np.minimum.reduceat(mix(code ^ U((i + 1) * BASE & 0xFFFFFFFFFFFFFFFF)), first)
+        out[:, i // 16] |= (least & U(15)) << U(4 * (i % 16))
+    return np.diff(np.r_[first, len(owner)]), out.view(np.int64)
 
 
 def sketches(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The texts that have words, and their sketches (texts x SKETCHES)."""
     starts, ends, owner = words(data, offsets)
-    code, owner = kmers(spans_hash(running(data), starts, ends), owner, len(offsets) - 1)
+    return sketched(spans_hash(running(data), starts, ends), owner, len(offsets) - 1)
+
+
+def sketched(word: np.ndarray, owner: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
+    code, owner = kmers(word, owner, n_texts)
     if not len(code):
         return np.zeros(0, np.int64), np.zeros((0, SKETCHES), np.int64)
     first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
@@ -95,12 +120,27 @@ def sketches(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _sketch(batches):
+    """One row a text: key, size, outline, and the sketches as bytes; texts without words have none."""
     for batch in batches:
         offsets, data = utf8(batch.column(1))
         for a, b in slices(offsets):
-            rows, values = sketches(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]])
-            keys = batch.column(0).take(pa.array(np.repeat(rows + a, SKETCHES)))
-            yield pa.RecordBatch.from_arrays([pa.array(values.ravel()), keys], names=["bucket", "key"])
+            bounds, part = offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]]
+            starts, ends, owner = words(part, bounds)
+            if not len(starts):
+                continue
+            word = spans_hash(running(part), starts, ends)
+            rows, values = sketched(word, owner, b - a)
+            size, outline = outlines(word, owner)
+            blob = np.ascontiguousarray(values).tobytes()
+            raw = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.arange(0, (len(rows) + 1) * 8 * SKETCHES, 8 * SKETCHES, dtype=np.int32).tobytes()), pa.py_buffer(blob)])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows + a)), pa.array(size.astype(np.int32)), *[pa.array(outline[:, i]) for i in range(MINIMA // 16)], raw], names=["key", *FEATURES, "sketches"])
+
+
+def _buckets(batches):
+    for batch in batches:
+        offsets, data = utf8(batch.column(1))
+        buckets = data[offsets[0] : offsets[-1]].view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(buckets), batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), SKETCHES)))], names=["bucket", "key"])
 
 
 def aligned(pairs: list[tuple[np.ndarray, np.ndarray]], share: float) -> np.ndarray:
@@ -219,39 +259,57 @@ def _verify(batches):
 
 def links(texts: DataFrame) -> DataFrame:
     """(a, b): keys of near-duplicate texts, b the less.  ``texts``: key and folded text, keys may repeat."""
-    entries = stored(texts.select("key", "text").mapInArrow(_sketch, "bucket bigint, key binary").distinct(), "sketches")
-    shared = entries.groupBy("bucket").agg(F.min("key").alias("lead"), F.max("key").alias("other")).filter("lead != other").select("bucket")
-    crowd = stored(entries.join(shared, "bucket"), "buckets")
-    discard(entries)
-    wanted = crowd.select("key").distinct()
-    kept = stored(texts.join(wanted, "key", "left_semi").dropDuplicates(["key"]), "candidates")
-
-    def check(pairs: DataFrame) -> DataFrame:
+    kinds = ", ".join(["key binary", "size int", *[f"{f} bigint" for f in FEATURES[1:]], "sketches binary"])
+    known = stored(texts.select("key", "text").mapInArrow(_sketch, kinds).dropDuplicates(["key"]), "sketches")
+    entries = known.select("key", "sketches").mapInArrow(_buckets, "bucket bigint, key binary")
+    block = Window.partitionBy("bucket")
+    shared = stored(entries.withColumns({"low": F.min("key").over(block), "high": F.max("key").over(block)}).filter("low != high").select("bucket", "key"), "shared")
+    crowd = stored(shared.join(known.select("key", *FEATURES), "key"), "buckets")
+    discard(shared)
+    kept = stored(texts.join(crowd.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]), "candidates")
+
+    def near(pairs: DataFrame) -> DataFrame:
         both = pairs.join(kept.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").join(kept.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
         return stored(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a binary, b binary, near boolean"), "checked")
 
+    other = lambda source: [F.col(f"{source}{f}").alias(f"{f}_b") for f in FEATURES]
     known, left = None, crowd
     for _ in range(ROUNDS):
-        sizes = left.groupBy("bucket").agg(F.min("key").alias("b"), F.count(F.lit(1)).alias("n"))
-        tests = join_hot(left, stored(sizes, "leads"), "bucket", "n").filter("key != b").drop("n")
-        pairs = tests.select(F.col("key").alias("a"), "b").distinct()
+        leads = stored(left.groupBy("bucket").agg(F.min(F.struct("key", *FEATURES)).alias("lead"), F.count(F.lit(1)).alias("n")), "leads")
+        tests = join_hot(left, leads.select("bucket", F.col("lead.key").alias("b"), *other("lead."), "n"), "bucket", "n").filter("key != b").drop("n")
+        pairs = tests.filter(_likely()).select(F.col("key").alias("a"), "b").distinct()
         if known is not None:
             pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
-        checked = check(pairs)
+        checked = near(pairs)
         known = checked if known is None else known.unionByName(checked)
-        failed = known.filter("not near").select(F.col("a").alias("key"), "b")
-        left = stored(tests.join(failed, ["key", "b"], "left_semi").select("bucket", "key"), "buckets")
+        linked = known.filter("near").select(F.col("a").alias("key"), "b")
+        left = stored(tests.join(linked, ["key", "b"], "left_anti").select("bucket", "key", *FEATURES), "left")
         if left.isEmpty():
             break
-    near = known.filter("near").select("a", "b")
-    roots = stored(components(near), "roots")
-    named = crowd.join(roots, F.col("key") == F.col("node"), "left").select("bucket", "key", F.coalesce("root", "key").alias("root"))
+    found = known.filter("near").select("a", "b")
+    roots = stored(components(found), "roots")
+    named = crowd.join(roots, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key")).drop("node")
     mixed = named.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("bucket")
     apart = stored(named.join(mixed, "bucket"), "apart")
-    other = apart.select(F.col("bucket").alias("of"), F.col("key").alias("b"), F.col("root").alias("root_b"))
-    pairs = apart.join(other, (F.col("bucket") == F.col("of")) & (F.col("key") > F.col("b")) & (F.col("root") != F.col("root_b"))).select(F.col("key").alias("a"), "b").distinct()
-    rest = check(stored(pairs.join(known.select("a", "b"), ["a", "b"], "left_anti"), "rest"))
-    return near.unionByName(rest.filter("near").select("a", "b"))
+    others = apart.select(F.col("bucket").alias("of"), F.col("key").alias("b"), F.col("root").alias("root_b"), *other(""))
+    pairs = apart.join(others, (F.col("bucket") == F.col("of")) & (F.col("key") > F.col("b")) & (F.col("root") != F.col("root_b")) & _likely())
+    rest = near(stored(pairs.select(F.col("key").alias("a"), "b").distinct().join(known.select("a", "b"), ["a", "b"], "left_anti"), "rest"))
+    discard(crowd, kept, roots, apart)
+    return found.unionByName(rest.filter("near").select("a", "b"))
+
+
+def _likely() -> Column:
+    """Whether sizes and outlines let two texts be similar: of SIMILARITY or more, two thirds of their labelled words at least are common."""
+    longer = F.greatest("size", "size_b")
+    close = F.abs(F.col("size") - F.col("size_b")) <= F.floor(F.lit(1 - SIMILARITY + 1e-9) * longer)
+    differ = F.lit(0)
+    for f in FEATURES[1:]:
+        x = F.col(f).bitwiseXOR(F.col(f"{f}_b"))
+        some = x
+        for i in range(1, 4):
+            some = some.bitwiseOR(F.shiftrightunsigned(x, i))
+        differ = differ + F.bit_count(some.bitwiseAND(F.lit(0x1111111111111111)))
+    return close & (differ <= MINIMA - ALIKE)
 
 
 def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
