@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ABSENT = "absent"
-
 
 def three_way_rows(base: DataFrame, ours: DataFrame, theirs: DataFrame, keys: list[str], value: str) -> DataFrame:
     """One row a key of any revision: value_base, value_ours, value_theirs and a presence flag for each.
@@ -138,29 +136,3 @@ def archive_plan(rows: DataFrame) -> DataFrame:
         .otherwise("rewrite")
     )
     return rows.filter(ours | theirs).withColumn("decision", decision)
-
-
-def json_members(docs: DataFrame, keys: list[str], column: str) -> DataFrame:
-    """One row a member of a JSON object: position in the text, key, and the value as JSON text."""
-    spark = docs.sparkSession
-    named = docs.select(*keys, F.col(column).alias("source"))
-    listed = ", ".join(f"`{k}`" for k in keys)
-    values = spark.sql(f"SELECT {listed}, key, to_json(value) AS value FROM {{named}}, LATERAL variant_explode(parse_json(source))", named=named)
-    places = named.select(*keys, F.posexplode(F.json_object_keys("source")).alias("pos", "key"))
-    return places.join(values, [*keys, "key"])
-
-
-def merge_json(template: DataFrame, destination: DataFrame, keys: list[str], column: str) -> DataFrame:
-    """(keys, merged): objects merged member by member, template keys first, destination values winning.
-
-    Members that are objects on both sides are taken from the destination whole;
-    nested members are merged by passing them as objects of their own.
-    """
-    t = json_members(template, keys, column).select(*keys, "key", F.col("pos").alias("_tp"), F.col("value").alias("_t"))
-    d = json_members(destination, keys, column).select(*keys, "key", F.col("pos").alias("_dp"), F.col("value").alias("_d"))
-    both = t.join(d, [*keys, "key"], "full_outer")
-    place = F.coalesce("_tp", F.col("_dp") + 1_000_000)
-    member = F.concat(F.to_json(F.array("key")), F.lit(":"), F.coalesce("_d", "_t"))
-    member = F.regexp_replace(member, r'^\[("(?:[^"\\\\]|\\\\.)*")\]', "$1")
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(place.alias("place"), member.alias("member")))), lambda x: x["member"])
-    return both.groupBy(*keys).agg(F.concat(F.lit("{"), F.array_join(ordered, ","), F.lit("}")).alias("merged"))

@@ -133,16 +133,9 @@ def json_pointer_escape(spark, sf_dir):
     return part.select("p_partkey", T.pointer_join(F.lit("/parts"), name).alias("pointer"))
 
 
-def json_owners(spark, sf_dir):
-    """Members of each event's JSON object, as owner rows in key order."""
-    events = table(spark, sf_dir, "events")
-    keys = F.explode(F.array_sort(F.json_object_keys("props"))).alias("key")
-    return events.select("event_id", keys, "props").select("event_id", T.pointer_join(F.lit(""), F.col("key")).alias("path"), F.lit("member").alias("owner_kind"), F.col("key").alias("match_key"))
-
-
 def conflict_documents(spark, sf_dir):
-    """Conflict-marker documents of orders whose two sides differ."""
-    o = table(spark, sf_dir, "orders").filter("o_orderkey % 7 = 0")
+    """Conflict-marker documents of all orders, whose two sides differ."""
+    o = table(spark, sf_dir, "orders")
     text = T.conflict_document(F.concat("o_orderpriority", F.lit("#o")), F.col("o_orderpriority"), F.concat("o_orderpriority", F.lit("#t")), 9)
     return o.select("o_orderkey", text.alias("document"))
 
@@ -171,45 +164,7 @@ def default_driver_eval(spark, sf_dir):
     return r.select("doc_id", score.alias("score"), (score >= 0.95).alias("eligible"), F.when(score >= 0.95, "").otherwise("formatting_below_threshold").alias("reason"))
 
 
-def section_bounds(spark, sf_dir):
-    """Sections start at lines of up to three words; each ends before the next one."""
-    from pyspark.sql import Window
-
-    lines = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "content"))
-    count = lines.withColumn("n_lines", F.count(F.lit(1)).over(Window.partitionBy("doc_id")))
-    heads = count.filter(F.size(F.split("content", " ")) <= 3)
-    return heads.select("doc_id", F.col("line").cast("long").alias("start_line"), (F.lead("line").over(Window.partitionBy("doc_id").orderBy("line")) - 1).alias("next"), "n_lines").select("doc_id", "start_line", F.coalesce("next", F.col("n_lines") - 1).cast("long").alias("end_line"))
-
-
-SECTION_SQL = """
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line, len(string_split(text, chr(10))) AS n FROM documents WHERE text IS NOT NULL)
-SELECT doc_id, line::BIGINT AS start_line, coalesce(lead(line) OVER (PARTITION BY doc_id ORDER BY line) - 1, n - 1)::BIGINT AS end_line FROM l WHERE len(string_split(content, ' ')) <= 3
-"""
-
-
-def markdown_owners(spark, sf_dir):
-    """Heading and fence owners of documents whose short lines are headings: path by kind and number, level, slug."""
-    from pyspark.sql import Window
-
-    lines = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    words = F.size(F.split("raw", " "))
-    source = lines.withColumn("content", F.when(words <= 3, F.concat(F.repeat(F.lit("#"), words), F.lit(" "), "raw")).otherwise(F.col("raw")))
-    level = F.length(F.regexp_extract("content", "^(#{1,6}) ", 1))
-    heads = source.withColumn("level", level).filter("level > 0")
-    ordinal = F.row_number().over(Window.partitionBy("doc_id").orderBy("line")) - 1
-    title = F.regexp_replace("content", "^#{1,6} +", "")
-    return heads.select("doc_id", F.concat(F.lit("/heading/"), ordinal.cast("string")).alias("path"), F.col("level").cast("long").alias("level"), T.slug(title).alias("match_key"))
-
-
-MARKDOWN_SQL = r"""
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents WHERE text IS NOT NULL),
-c AS (SELECT doc_id, line, CASE WHEN len(string_split(raw, ' ')) <= 3 THEN repeat('#', len(string_split(raw, ' '))::INT) || ' ' || raw ELSE raw END AS content FROM l),
-h AS (SELECT *, length(regexp_extract(content, '^(#{1,6}) ', 1)) AS level FROM c)
-SELECT doc_id, '/heading/' || (row_number() OVER (PARTITION BY doc_id ORDER BY line) - 1) AS path, level::BIGINT AS level,
-       coalesce(nullif(regexp_replace(regexp_replace(lower(regexp_replace(content, '^#{1,6} +', '')), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), ''), 'section') AS match_key FROM h WHERE level > 0
-"""
-
-QUERIES = {f.__name__: f for f in (text_normalize, text_blocks, token_set, block_jaccard, levenshtein_sim, length_similarity, position_similarity, exact_block_match, refined_block_match, merge_text, slugify, json_pointer_escape, json_owners, conflict_documents, source_retention, default_driver_eval, section_bounds, markdown_owners)}
+QUERIES = {f.__name__: f for f in (text_normalize, text_blocks, token_set, block_jaccard, levenshtein_sim, length_similarity, position_similarity, exact_block_match, refined_block_match, merge_text, slugify, json_pointer_escape, conflict_documents, source_retention, default_driver_eval)}
 ORACLE_SQL = {
     "text_normalize": BLOCKS_SQL + "SELECT doc_id, strlen(array_to_string(bs, chr(10) || chr(10))) AS n_bytes, md5(array_to_string(bs, chr(10) || chr(10))) AS digest FROM b",
     "text_blocks": TEXT_BLOCKS_SQL,
@@ -221,10 +176,7 @@ ORACLE_SQL = {
     "exact_block_match": EXACT_SQL,
     "slugify": SLUG_SQL,
     "json_pointer_escape": "SELECT p_partkey, '/parts/' || replace(replace(p_name || '/~' || p_type, '~', '~0'), '/', '~1') AS pointer FROM part",
-    "json_owners": "SELECT event_id, '/' || replace(replace(k, '~', '~0'), '/', '~1') AS path, 'member' AS owner_kind, k AS match_key FROM (SELECT event_id, unnest(json_keys(props)) AS k FROM events)",
-    "conflict_documents": "SELECT o_orderkey, '<<<<<<<<< ours' || chr(10) || o_orderpriority || '#o' || chr(10) || '||||||||| base' || chr(10) || o_orderpriority || chr(10) || '=========' || chr(10) || o_orderpriority || '#t' || chr(10) || '>>>>>>>>> theirs' AS document FROM orders WHERE o_orderkey % 7 = 0",
+    "conflict_documents": "SELECT o_orderkey, '<<<<<<<<< ours' || chr(10) || o_orderpriority || '#o' || chr(10) || '||||||||| base' || chr(10) || o_orderpriority || chr(10) || '=========' || chr(10) || o_orderpriority || '#t' || chr(10) || '>>>>>>>>> theirs' AS document FROM orders",
     "source_retention": RETENTION_SQL + "SELECT * FROM r",
     "default_driver_eval": RETENTION_SQL + "SELECT doc_id, round((line_ratio + byte_ratio) / 2, 6) AS score, round((line_ratio + byte_ratio) / 2, 6) >= 0.95 AS eligible, CASE WHEN round((line_ratio + byte_ratio) / 2, 6) >= 0.95 THEN '' ELSE 'formatting_below_threshold' END AS reason FROM r",
-    "section_bounds": SECTION_SQL,
-    "markdown_owners": MARKDOWN_SQL,
 }

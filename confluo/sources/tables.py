@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,3 +26,29 @@ def file_tree(spark: SparkSession, root: str) -> DataFrame:
 def write_tree(files: DataFrame, root: str) -> None:
     """Sink of a planned tree: (path, content) rows as Parquet below ``root``, one row a file."""
     files.select("path", "content").write.mode("overwrite").parquet(root)
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back, so that the steps of a loop don't plan all steps before.
+
+    The folder is spark.checkpoint.dir; a local session without one uses a temporary folder.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
+        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='confluo-')}")
+        folder = spark.sparkContext.getCheckpointDir()
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_removed, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _removed(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the session may be gone at exit
+        return
