@@ -198,6 +198,12 @@ def _bitmap(batches):
     yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([packed[i].tobytes() for i in full], pa.binary())], names=["piece", "bits"])
 
 
+def _united(key, parts):
+    """One piece of the bitmap from at most 64 tasks."""
+    bits = [np.frombuffer(x.as_py(), np.uint8) for x in parts.column("bits")]
+    return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.bitwise_or.reduce(bits).tobytes()], pa.binary())})
+
+
 def _wanted(bitmap):
     """(key, line) of the lines whose digest may be wanted."""
 
@@ -221,8 +227,9 @@ def _texts(folded: DataFrame, known: DataFrame, pairs: DataFrame) -> DataFrame:
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     keys = stored(known.select("id", "key").join(wanted, "id"), "line-wanted")
     bits = np.zeros((64, SLOTS // 8 // 64), np.uint8)
-    for r in keys.select("key").coalesce(64).mapInArrow(_bitmap, "piece int, bits binary").toLocalIterator():
-        bits[r.piece] |= np.frombuffer(r.bits, np.uint8)
+    maps = keys.select("key").coalesce(64).mapInArrow(_bitmap, "piece int, bits binary").groupBy("piece").applyInArrow(_united, "piece int, bits binary")
+    for r in maps.collect():
+        bits[r.piece] = np.frombuffer(r.bits, np.uint8)
     lines = folded.mapInArrow(_wanted(spark.sparkContext.broadcast(bits.ravel())), "key binary, line binary")
     texts = stored(lines.join(keys, "key").dropDuplicates(["id"]).select("id", "line"), "line-texts")
     discard(keys)
@@ -286,9 +293,12 @@ def _by_words(a: np.ndarray, b: np.ndarray) -> int:
 
 def _verify(batches):
     """The pairs whose lines are similar."""
+    points = lambda x: np.frombuffer(x.as_py().decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(np.int64)
     for batch in batches:
-        sides = [[np.frombuffer(x.decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(np.int64) for x in batch.column(i).to_pylist()] for i in (2, 3)]
-        near = [similar_within(a, b, int((1 - SIMILARITY) * max(len(a), len(b)) + 1e-6)) for a, b in zip(*sides, strict=True)]
+        near = []
+        for left, right in zip(batch.column(2), batch.column(3), strict=True):
+            a, b = points(left), points(right)
+            near.append(similar_within(a, b, int((1 - SIMILARITY) * max(len(a), len(b)) + 1e-6)))
         yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
 
