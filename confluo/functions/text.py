@@ -30,8 +30,9 @@ def normalized(text: Column) -> Column:
 
 def spans(bs: Column) -> Column:
     """Of an array of blocks: (idx, normalized, start, end), byte spans of blocks two bytes apart."""
-    size = lambda i: F.aggregate(F.slice(bs, 1, i), F.lit(0), lambda s, x: s + F.octet_length(x) + 2)
-    return F.transform(bs, lambda b, i: F.struct(i.alias("idx"), b.alias("normalized"), size(i).alias("start"), (size(i) + F.octet_length(b)).alias("end")))
+    starts = F.aggregate(bs, F.array(F.lit(0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + F.octet_length(x) + 2)))
+    placed = F.arrays_zip(bs.alias("b"), F.slice(starts, 1, F.size(bs)).alias("start"))
+    return F.transform(placed, lambda x, i: F.struct(i.alias("idx"), x["b"].alias("normalized"), x["start"].alias("start"), (x["start"] + F.octet_length(x["b"])).alias("end")))
 
 
 def token_set(text: Column) -> Column:

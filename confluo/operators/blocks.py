@@ -15,6 +15,19 @@ def block_rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return cut.select(id_column, F.inline(T.spans(F.col("bs"))), F.size("bs").alias("total"))
 
 
+def block_scores(left: DataFrame, right: DataFrame, pair: str, text_column: str) -> DataFrame:
+    """(pair, score): mean Jaccard of the words of blocks paired by number, over the larger number of blocks; no blocks at all are alike.
+
+    Blocks are cut once and joined by number, so nothing nested is evaluated per pair.
+    """
+    cut = lambda side, name: side.select(pair, F.posexplode(T.blocks(F.col(text_column))).alias("idx", "b")).select(pair, "idx", F.array_distinct(F.split("b", " ")).alias(name))
+    both = cut(left, "a").join(cut(right, "b"), [pair, "idx"], "full_outer")
+    one = F.coalesce(F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b")), F.lit(0.0))
+    means = both.groupBy(pair).agg(F.avg(one).alias("score"))
+    pairs = left.select(pair).join(right.select(pair), pair)
+    return pairs.join(means, pair, "left").select(pair, F.coalesce("score", F.lit(1.0)).alias("score"))
+
+
 def exact_pairs(template: DataFrame, destination: DataFrame, pair: str) -> DataFrame:
     """(pair, template_idx, destination_idx): the k-th occurrence of a block with the k-th one of the other side."""
     nth = lambda side, name: side.select(pair, "normalized", F.col("idx").alias(name), F.row_number().over(Window.partitionBy(pair, "normalized").orderBy("idx")).alias("k"))

@@ -1,7 +1,7 @@
 """Registry of the queries over the reference's own operators."""
 
-from . import documents, layouts, merges, reviews, template_trees, texts
+from . import documents, layouts, merges, nests, reviews, template_trees, texts
 
-MODULES = (documents, layouts, merges, reviews, template_trees, texts)
+MODULES = (documents, layouts, merges, nests, reviews, template_trees, texts)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}

@@ -189,9 +189,10 @@ def profile_selection(spark, sf_dir):
 
 
 def contract_dangling(spark, sf_dir):
-    """Results that name no case: labels of documents outside the first nine tenths of the ids."""
-    docs = table(spark, sf_dir, "documents").filter("doc_id % 10 != 9")
-    return review.dangling(table(spark, sf_dir, "labels"), "doc_id", docs, "doc_id").select("doc_id")
+    """Results that name no case: documents are named by ten times their id, users by theirs."""
+    docs = table(spark, sf_dir, "documents").select((F.col("doc_id") * 10).alias("case_id"))
+    named = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("case_id"))
+    return review.dangling(named, "case_id", docs, "case_id").select("event_id", "case_id")
 
 
 def contract_duplicates(spark, sf_dir):
@@ -201,7 +202,7 @@ def contract_duplicates(spark, sf_dir):
 def contract_counts(spark, sf_dir):
     """Declared counts (documents by source) against recomputed ones of labelled documents, where they differ."""
     d, l = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    declared = d.filter("doc_id % 3 = 0").groupBy("source").agg(F.count(F.lit(1)).alias("declared"))
+    declared = d.groupBy("source").agg(F.count(F.lit(1)).alias("declared"))
     counted = d.join(l, "doc_id", "left_semi").groupBy("source").agg(F.count(F.lit(1)).alias("counted"))
     both = declared.join(counted, "source", "full_outer").na.fill(0, ["declared", "counted"])
     return both.filter("declared != counted")
@@ -271,9 +272,9 @@ ORACLE_SQL = {
     "conformance_rollup": SELECT_SQL + ", o AS (SELECT family, CASE WHEN status = 'skipped' THEN 'skipped' WHEN p_size % 5 = 0 THEN 'failed' WHEN p_size % 7 = 0 THEN 'unknown' ELSE 'passed' END AS o FROM s JOIN part USING (p_partkey)) SELECT family, count(*) AS total, count(*) FILTER (WHERE o = 'passed') AS passed, count(*) FILTER (WHERE o = 'failed') AS failed, count(*) FILTER (WHERE o = 'skipped') AS skipped FROM o GROUP BY family",
     "profile_promotion": PROMOTION_SQL + "SELECT * FROM s",
     "profile_selection": PROMOTION_SQL + ", k AS (SELECT *, regexp_replace(source, '[^0-9]', '', 'g')::INT % 4 AS k FROM s) SELECT source, ['experimental', 'available', 'recommended', 'default'][k + 1] AS minimum, status, CASE status WHEN 'recommended' THEN 3 ELSE 2 END >= k + 1 AS reached, CASE status WHEN 'recommended' THEN 3 ELSE 2 END >= k + 1 OR k = 3 AS allowed FROM k",
-    "contract_dangling": "SELECT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 10 <> 9)",
+    "contract_dangling": "SELECT event_id, user_id AS case_id FROM events WHERE user_id NOT IN (SELECT doc_id * 10 FROM documents)",
     "contract_duplicates": "SELECT md5(coalesce(text, '')) AS digest, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1",
-    "contract_counts": "WITH a AS (SELECT source, count(*) AS declared FROM documents WHERE doc_id % 3 = 0 GROUP BY 1), b AS (SELECT source, count(*) AS counted FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY 1) SELECT source, coalesce(declared, 0) AS declared, coalesce(counted, 0) AS counted FROM a FULL OUTER JOIN b USING (source) WHERE coalesce(declared, 0) <> coalesce(counted, 0)",
+    "contract_counts": "WITH a AS (SELECT source, count(*) AS declared FROM documents GROUP BY 1), b AS (SELECT source, count(*) AS counted FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY 1) SELECT source, coalesce(declared, 0) AS declared, coalesce(counted, 0) AS counted FROM a FULL OUTER JOIN b USING (source) WHERE coalesce(declared, 0) <> coalesce(counted, 0)",
     "contract_eligibility": "SELECT lang, count(*) AS results, count(*) FILTER (WHERE lang <> 'fr' AND NOT (quality = 0 AND toxic = 0)) AS eligible, count(*) FILTER (WHERE lang <> 'fr' AND NOT (quality = 0 AND toxic = 0) AND toxic = 1) AS false_auto_merges FROM labels JOIN documents USING (doc_id) GROUP BY lang",
     "contract_grouped": "SELECT p AS partition, count(doc_id) AS n FROM (VALUES ('en'), ('de'), ('fr'), ('es'), ('holdout')) v(p) LEFT JOIN documents ON coalesce(lang, 'none') = p GROUP BY p",
     "inline_hash": "WITH r AS (SELECT 'benchmark' AS kind, item_id AS id, text FROM benchmark UNION ALL SELECT 'document', doc_id, text FROM documents) SELECT kind, id, strlen(text) > 4096 AS too_long, id % 9 = 0 AS digest_mismatch FROM r WHERE strlen(text) > 4096 OR id % 9 = 0",

@@ -1,4 +1,4 @@
-"""Queries over the template pipeline: pages give paths, documents of their number give contents."""
+"""Queries over the template pipeline: documents give paths by their number, and contents."""
 
 from __future__ import annotations
 
@@ -13,18 +13,16 @@ REPLACEMENTS = {"KJ|NAME": "demo", "KJ|AUTHOR:EMAIL": "a@b.example"}
 
 
 def _templates(spark, sf_dir):
-    pages, docs = table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents").withColumn("page_id", F.col("doc_id"))
     k = (F.col("page_id") % len(NAMES)).cast("int")
     name = F.element_at(F.array(*[F.lit(n) for n in NAMES]), k + 1)
     folder = F.when(k.isin(4, 5, 6), "").otherwise(F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit("/")))
-    rows = pages.select("page_id", F.concat(folder, name).alias("template_source_path"))
     token = F.when(F.col("doc_id") % 3 == 0, "{KJ|NAME} {bad} ").when(F.col("doc_id") % 7 == 0, "{KJ|AUTHOR:EMAIL} {KJ|OTHER} ").otherwise("")
-    text = docs.select(F.col("doc_id").alias("page_id"), F.concat(token, F.coalesce("text", F.lit(""))).alias("template_content"))
-    return rows.join(text, "page_id")
+    return docs.select("page_id", F.concat(folder, name).alias("template_source_path"), F.concat(token, F.coalesce("text", F.lit(""))).alias("template_content"))
 
 
 def _overrides(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages")
+    pages = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"))
     path = F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit("/"), F.when(F.col("page_id") % 12 == 11, "notes.txt").when(F.col("page_id") % 12 == 7, "bin/run.sh").otherwise("package.json"))
     strategy = F.when(F.col("page_id") % 12 == 11, "keep_destination").when(F.col("page_id") % 12 == 7, "raw_copy").otherwise("accept_template")
     return pages.filter("page_id % 12 IN (3, 7, 11)").select(F.col("page_id").alias("pos"), path.alias("path"), strategy.alias("strategy"))
@@ -92,7 +90,7 @@ def required_families(spark, sf_dir):
 _NAMES = ", ".join(f"'{n}'" for n in NAMES)
 TREE_SQL = f"""
 WITH t AS (SELECT page_id, CASE WHEN page_id % 12 IN (4, 5, 6) THEN '' ELSE 'p' || page_id || '/' END || [{_NAMES}][page_id % 12 + 1] AS src,
-   CASE WHEN doc_id % 3 = 0 THEN '{{KJ|NAME}} {{bad}} ' WHEN doc_id % 7 = 0 THEN '{{KJ|AUTHOR:EMAIL}} {{KJ|OTHER}} ' ELSE '' END || coalesce(text, '') AS content FROM pages JOIN documents ON page_id = doc_id),
+   CASE WHEN doc_id % 3 = 0 THEN '{{KJ|NAME}} {{bad}} ' WHEN doc_id % 7 = 0 THEN '{{KJ|AUTHOR:EMAIL}} {{KJ|OTHER}} ' ELSE '' END || coalesce(text, '') AS content FROM (SELECT doc_id AS page_id FROM documents) JOIN documents ON page_id = doc_id),
 l AS (SELECT *, regexp_replace(src, '(\\.no-osc)?\\.example$', '') AS lp FROM t),
 p AS (SELECT *, CASE lp WHEN '{templates.OMITTED}' THEN NULL WHEN '.env.local' THEN '.env.local.example' WHEN 'gem.gemspec' THEN 'demo.gemspec' ELSE lp END AS dp,
    CASE page_id % 12 WHEN 11 THEN 'keep_destination' WHEN 7 THEN 'raw_copy' WHEN 3 THEN 'accept_template' ELSE 'merge' END AS strategy,

@@ -54,7 +54,9 @@ def _neighbours(spark, sf_dir):
 
 
 def block_jaccard(spark, sf_dir):
-    return _neighbours(spark, sf_dir).select("doc_id", F.round(T.similarity_score(F.col("other"), F.col("text")), 9).alias("score"))
+    d = _docs(spark, sf_dir)
+    scores = blocks.block_scores(d.select((F.col("doc_id") + 1).alias("doc_id"), "text"), d, "doc_id", "text")
+    return scores.select("doc_id", F.round("score", 9).alias("score"))
 
 
 BLOCK_JACCARD_SQL = BLOCKS_SQL + r"""

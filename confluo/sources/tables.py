@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,9 +24,29 @@ def file_tree(spark: SparkSession, root: str) -> DataFrame:
     return files.withColumns({"full": full, "base": base}).select(relative.alias("path"), F.col("content").cast("string").alias("content"))
 
 
-def write_tree(files: DataFrame, root: str) -> None:
-    """Sink of a planned tree: (path, content) rows as Parquet below ``root``, one row a file."""
-    files.select("path", "content").write.mode("overwrite").parquet(root)
+def write_tree(files: DataFrame, root: str) -> int:
+    """Sink of a planned tree: each (path, content) row as a file below ``root``; the number of files.
+
+    Tasks write their own rows, so a repeated task writes the same bytes again.
+    Paths that are absolute or leave the root are an error.
+    """
+
+    def run(batches):
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if path.startswith("/") or ".." in path.split("/"):
+                    raise ValueError(f"{path} leaves the tree")
+                target = f"{base.rstrip('/')}/{path}"
+                store.create_dir(target.rpartition("/")[0], recursive=True)
+                with store.open_output_stream(target) as out:
+                    out.write((content or "").encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    written = files.select(F.col("path").cast("string"), F.col("content").cast("string")).mapInArrow(run, "n bigint")
+    return int(written.agg(F.sum("n")).first()[0] or 0)
 
 
 def settled(df: DataFrame, name: str) -> DataFrame:
