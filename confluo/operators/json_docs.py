@@ -31,6 +31,11 @@ def canonical(source: Column) -> Column:
     return F.to_json(F.try_parse_json(source))
 
 
+def without_trailing_commas(source: Column) -> Column:
+    """JSON text without commas before a closing bracket; what stands in strings stays."""
+    return F.regexp_replace(source, r'("(?:[^"\\]|\\.)*")|,(?=\s*[}\]])', "$1")
+
+
 def members(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
     """(keys, pos, key, value): the members of the objects in ``column``; other rows and empty objects have none.
 
@@ -89,13 +94,16 @@ def _assembled(levels: list[DataFrame], key: str) -> DataFrame:
 def merge_two(template: DataFrame, destination: DataFrame, key: str, column: str) -> DataFrame:
     """(key, merged, diagnostic): objects merged member by member at every depth, the destination winning elsewhere.
 
-    Template members come first, in their order; arrays are taken whole.  A text that
-    does not parse gives no merge but ``template_parse_error`` or ``destination_parse_error``.
+    Template members come first, in their order; arrays are taken whole.  A destination
+    that parses without its trailing commas only is merged so, as ``fallback_applied``; any
+    other text that does not parse gives no merge but ``template_parse_error`` or ``destination_parse_error``.
     """
     t = template.select(key, F.col(column).alias("t"))
-    d = destination.select(key, F.col(column).alias("d"))
-    both = t.join(d, key).withColumn("diagnostic", F.when(kind(F.col("t")).isNull(), "template_parse_error").when(kind(F.col("d")).isNull(), "destination_parse_error"))
-    fine = both.filter("diagnostic IS NULL").select(key, F.lit("").alias("path"), F.lit(None).cast("string").alias("parent"), F.lit(0).cast("long").alias("pos"), F.lit("").alias("name"), "t", "d")
+    d = destination.select(key, F.col(column).alias("source"))
+    whole = kind(F.col("source")).isNotNull()
+    both = t.join(d, key).withColumn("d", F.when(whole, F.col("source")).otherwise(without_trailing_commas(F.col("source"))))
+    both = both.withColumn("diagnostic", F.when(kind(F.col("t")).isNull(), "template_parse_error").when(kind(F.col("d")).isNull(), "destination_parse_error").when(~whole, "fallback_applied"))
+    fine = both.filter("diagnostic IS NULL OR diagnostic = 'fallback_applied'").select(key, F.lit("").alias("path"), F.lit(None).cast("string").alias("parent"), F.lit(0).cast("long").alias("pos"), F.lit("").alias("name"), "t", "d")
     levels, now = [], fine
     while True:
         open_ = F.coalesce((kind(F.col("t")) == "OBJECT") & (kind(F.col("d")) == "OBJECT"), F.lit(False))

@@ -35,15 +35,15 @@ SELECT event_id, path, owner_kind, match_key FROM events JOIN o ON event_id % 5
 
 def json_two_way(spark, sf_dir):
     """Nested, empty, malformed and clashing documents, the destination winning."""
-    template = [['{"meta":{"mode":"template","id":', ID, '},"list":[1,2],"only_t":true}'], ["{}"], ['{"a":1}'], ['{"a":{"x":1},"b":[1]}'], ["[1,2]"]]
-    destination = [['{"meta":{"enabled":true,"id":1', ID, '},"list":[3],"z":null}'], ["{ }"], ['{"a":'], ['{"a":5,"b":{"y":"', ID, '"}}'], ['{"k":', ID, "}"]]
-    return json_docs.merge_two(_variant(spark, sf_dir, 5, template), _variant(spark, sf_dir, 5, destination), "event_id", "source")
+    template = [['{"meta":{"mode":"template","id":', ID, '},"list":[1,2],"only_t":true}'], ["{}"], ['{"a":1}'], ['{"a":{"x":1},"b":[1]}'], ["[1,2]"], ['{"alpha":1}']]
+    destination = [['{"meta":{"enabled":true,"id":1', ID, '},"list":[3],"z":null}'], ["{ }"], ['{"a":'], ['{"a":5,"b":{"y":"', ID, '"}}'], ['{"k":', ID, "}"], ['{"beta":[",]",', ID, ",],}"]]
+    return json_docs.merge_two(_variant(spark, sf_dir, 6, template), _variant(spark, sf_dir, 6, destination), "event_id", "source")
 
 
 TWO_WAY_SQL = """
-SELECT event_id, CASE WHEN event_id % 5 = 2 THEN 'destination_parse_error' END AS diagnostic,
-  CASE event_id % 5 WHEN 0 THEN '{"meta":{"mode":"template","id":1' || event_id || ',"enabled":true},"list":[3],"only_t":true,"z":null}' WHEN 1 THEN '{}'
-    WHEN 3 THEN '{"a":5,"b":{"y":"' || event_id || '"}}' WHEN 4 THEN '{"k":' || event_id || '}' END AS merged FROM events
+SELECT event_id, CASE event_id % 6 WHEN 2 THEN 'destination_parse_error' WHEN 5 THEN 'fallback_applied' END AS diagnostic,
+  CASE event_id % 6 WHEN 0 THEN '{"meta":{"mode":"template","id":1' || event_id || ',"enabled":true},"list":[3],"only_t":true,"z":null}' WHEN 1 THEN '{}'
+    WHEN 3 THEN '{"a":5,"b":{"y":"' || event_id || '"}}' WHEN 4 THEN '{"k":' || event_id || '}' WHEN 5 THEN '{"alpha":1,"beta":[",]",' || event_id || ']}' END AS merged FROM events
 """
 
 

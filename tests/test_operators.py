@@ -90,3 +90,128 @@ def test_file_tree(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a" / "b.txt").write_text("hé")
     assert [tuple(r) for r in file_tree(spark, f"file://{tmp_path}").collect()] == [("a/b.txt", "hé")]
+
+
+def test_json_merge_recurses_and_names_what_does_not_parse(spark):
+    from confluo.operators import json_docs
+
+    sides = [
+        (1, '{"meta":{"mode":"template"},"items":[1,2]}', '{"meta":{"enabled":true},"items":[3]}'),
+        (2, "{}", "{}"),
+        (3, '{"a":1}', '{"a":'),
+        (4, None, "{}"),
+        (5, '{"b":1,"a":{"z":{"y":1}}}', '{"a":{"z":{"x":2}},"c":{"q":"\\u00e9\\n"}}'),
+    ]
+    t = spark.createDataFrame([(i, x) for i, x, _ in sides], "id int, source string")
+    d = spark.createDataFrame([(i, x) for i, _, x in sides], "id int, source string")
+    got = {r.id: (r.merged, r.diagnostic) for r in json_docs.merge_two(t, d, "id", "source").collect()}
+    assert got == {
+        1: ('{"meta":{"mode":"template","enabled":true},"items":[3]}', None),
+        2: ("{}", None),
+        3: (None, "destination_parse_error"),
+        4: (None, "template_parse_error"),
+        5: ('{"b":1,"a":{"z":{"y":1,"x":2}},"c":{"q":"é\\n"}}', None),
+    }
+    assert json_docs.merge_two(t.limit(0), d, "id", "source").count() == 0
+
+
+def test_json_three_way_conflicts_where_a_type_changes(spark):
+    from confluo.operators import json_docs
+
+    sides = spark.createDataFrame([(1, '{"a":{"x":1},"b":2}', '{"a":{"x":1,"y":3},"b":2}', '{"a":[],"b":3}'), (2, "[1]", "[2]", "[1 ]")], "id int, base string, ours string, theirs string")
+    merged, conflicts = json_docs.merge_three(sides, "id")
+    assert {r.id: r.merged for r in merged.collect()} == {1: '{"a":{"x":1,"y":3},"b":3}', 2: "[2]"}
+    assert [tuple(r) for r in conflicts.collect()] == [(1, "/a", "edit_edit")]
+
+
+def test_markdown_owners_skip_what_stands_in_fences(spark):
+    from confluo.functions import markdown
+
+    text = "intro\n# Title #\n```ts strict\n# not a heading\n~~~\n````\n## Next  part ##\n#no\n~~~\nopen"
+    rows = [(r.kind, r.match_key, r.start, r.end) for r in one(spark, markdown.owners(F.col("t")), t=text)]
+    assert rows == [("heading", "h1:title", 1, 1), ("code_fence", "fence:ts", 2, 5), ("heading", "h2:next-part", 6, 6), ("code_fence", "fence:plain", 8, 9)]
+    assert one(spark, markdown.owners(F.col("t")), t="") == []
+
+
+def test_freeze_directives_discard_the_blocks_of_a_text_with_findings(spark):
+    from confluo.operators import layout
+
+    texts = {1: ["# keep:freeze why", "x", "#Keep: UNFREEZE"], 2: ["# keep:freeze", "# keep:freeze"], 3: ["# keep:unfreeze", "# keep:freeze", "# keep:unfreeze"], 4: ["plain"]}
+    lines = spark.createDataFrame([(k, i + 1, x) for k, xs in texts.items() for i, x in enumerate(xs)], "k int, line int, text string")
+    blocks, findings = layout.freeze_directives(lines, "k", "keep", "hash_comment")
+    assert [tuple(r) for r in blocks.collect()] == [(1, 1, 3, "why")]
+    assert sorted(tuple(r) for r in findings.collect()) == [(2, 1, "unclosed_freeze_open"), (2, 2, "nested_freeze_open"), (3, 1, "unmatched_freeze_close")]
+
+
+def test_archive_paths(spark):
+    from confluo.functions import layout
+
+    cases = {"a\\..\\b": ("b", False), "../../x": ("../../x", True), "./.": ("", False), "/a/../..": ("/", True), "d/./": ("d/", False), "..": ("..", True)}
+    for path, (clean, escapes) in cases.items():
+        assert one(spark, layout.clean_path(F.col("p")), p=path) == clean and one(spark, layout.escapes_root(F.col("p")), p=path) is escapes
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        last, row[0] = row[0], i + 1
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], min(row[j + 1] + 1, row[j] + 1, last + (x != y))
+    return row[-1]
+
+
+def plain_matches(t, d):
+    """Exact matches by occurrence, then for each destination block the best free template block from 0.7 up."""
+    pairs, used = {}, set()
+    for j, y in enumerate(d):
+        k = d[:j].count(y)
+        where = [i for i, x in enumerate(t) if x == y]
+        if k < len(where):
+            pairs[j] = (where[k], 1.0)
+            used.add(where[k])
+    place = lambda i, n: 0.5 if n <= 1 else i / (n - 1)
+    for j, y in enumerate(d):
+        if j in pairs:
+            continue
+        best = None
+        for i, x in enumerate(t):
+            if i in used:
+                continue
+            content = 1 - edit_distance(x, y) / max(len(x), len(y))
+            sizes = sorted((len(x.encode()), len(y.encode())))
+            score = 0.7 * content + 0.15 * sizes[0] / sizes[1] + 0.15 * (1 - abs(place(i, len(t)) - place(j, len(d))))
+            if score >= 0.7 and (best is None or score > best[1] + 1e-12):
+                best = (i, score)
+        if best:
+            pairs[j] = best
+            used.add(best[0])
+    return pairs
+
+
+def test_refined_matches_and_merges_against_brute_force(spark):
+    import random
+
+    r = random.Random(3)
+    rows = []
+    for k in range(25):
+        t = [" ".join("".join(r.choices("abcé", k=r.randint(1, 5))) for _ in range(r.randint(1, 6))) for _ in range(r.randint(1, 7))]
+        d = [" ".join(w if r.random() > 0.2 else "zz" for w in b.split()) for b in r.sample(t, r.randint(0, len(t)))] + r.choices(t, k=r.randint(0, 2)) or ["only"]
+        rows.append((k, t, d))
+    t = blocks.block_rows(spark.createDataFrame([(k, "\n\n".join(x)) for k, x, _ in rows], "id int, text string"), "id", "text")
+    d = blocks.block_rows(spark.createDataFrame([(k, "\n\n".join(x)) for k, _, x in rows], "id int, text string"), "id", "text")
+    matches = blocks.match_blocks(t, d, "id")
+    got = {}
+    for m in matches.collect():
+        got.setdefault(m.id, {})[m.destination_idx] = (m.template_idx, round(m.score, 9))
+    want = {k: {j: (i, round(s, 9)) for j, (i, s) in plain_matches(a, b).items()} for k, a, b in rows}
+    assert got == {k: v for k, v in want.items() if v}
+    merged = {x.id: x.merged for x in blocks.merge_blocks(t, d, matches, "id").collect()}
+    assert merged == {k: "\n\n".join([*b, *[x for i, x in enumerate(a) if i not in {p for p, _ in want[k].values()}]]) for k, a, b in rows}
+
+
+def test_tree_is_written_as_files(spark, tmp_path):
+    from confluo.sources.tables import write_tree
+
+    files = spark.createDataFrame([("a/b.txt", "hé"), ("c.txt", None)], "path string, content string")
+    assert write_tree(files, f"file://{tmp_path}/out") == 2
+    assert (tmp_path / "out" / "a" / "b.txt").read_text() == "hé" and (tmp_path / "out" / "c.txt").read_text() == ""
