@@ -27,6 +27,8 @@ LENGTHS, BUCKETS = (1, 2, 3), 1 << 16
 MAX_PER_LANGUAGE = 1000
 #: FTRL step sizes and elastic-net penalties.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.01, 0.1
+#: Factor of the features: shares of n-grams are small numbers, with which few steps would learn next to nothing.
+SCALE = 50.0
 
 
 def _grams(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,13 +136,13 @@ def train(docs: DataFrame, learn) -> tuple[list[str], np.ndarray, np.ndarray]:
     texts = []
     for at, k in zip(found.column("buckets"), found.column("counts"), strict=True):
         at, k = at.values.to_numpy(), k.values.to_numpy()
-        texts.append((at, k / max(1, k.sum()) * idf[at]))
+        texts.append((at, SCALE * k / max(1, k.sum()) * idf[at]))
     fitted = np.flatnonzero(~apart) if (~apart).any() else np.arange(len(texts))
     w = fit([texts[i] for i in fitted], target[fitted], len(langs))
     checked = np.flatnonzero(apart)
     logits = np.array([x @ w[at] + w[-1] for at, x in (texts[i] for i in checked)]).reshape(-1, len(langs))
     t = temperature(logits, target[checked])
-    return langs, w[:-1] * idf[:, None] / t, w[-1] / t
+    return langs, SCALE * w[:-1] * idf[:, None] / t, w[-1] / t
 
 
 def with_language(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], language: str = "lang_pred", score: str = "score") -> DataFrame:
