@@ -9,13 +9,14 @@ from ..functions import markdown
 from ..operators import json_docs
 from ..sources.tables import table
 
-ID = F.col("event_id").cast("string")
+#: Stands for the event's id in a text.
+ID = None
 
 
 def _variant(spark, sf_dir, n: int, texts: list):
     """Events with one of several texts, by number; the texts hold the event's id."""
     k = F.col("event_id") % n
-    choice = F.coalesce(*[F.when(k == i, F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])) for i, parts in enumerate(texts)])
+    choice = F.coalesce(*[F.when(k == i, F.concat(*[F.col("event_id").cast("string") if p is ID else F.lit(p) for p in parts])) for i, parts in enumerate(texts)])
     return table(spark, sf_dir, "events").select("event_id", choice.alias("source"))
 
 
