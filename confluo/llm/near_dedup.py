@@ -14,8 +14,9 @@ the words), which few pairs below the threshold pass.
 Equal texts are folded into one node first.  Within a bucket each text is
 aligned with the bucket's least text, and those that fail it form a bucket
 again, for ``ROUNDS`` rounds, which link the members of large groups in linear work.
-Then all pairs of a bucket that these links leave in different components and
-that were not aligned yet are, so no two texts of a bucket stay apart untested.
+Then each text is aligned with the text of another component in its buckets whose
+outline is most like its own, among those it was not aligned with, until a round of
+that links nothing: the texts to align never outnumber the texts.
 Classes are the connected components of the links.
 
 Nulls count as the empty text; empty texts are one class.  Texts of one to four
@@ -287,21 +288,28 @@ def links(texts: DataFrame) -> DataFrame:
         if left.isEmpty():
             break
     found = known.filter("near").select("a", "b")
-    roots = stored(components(found), "roots")
-    named = crowd.join(roots, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key")).drop("node")
-    mixed = named.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("bucket")
-    apart = stored(named.join(mixed, "bucket"), "apart")
-    others = apart.select(F.col("bucket").alias("of"), F.col("key").alias("b"), F.col("root").alias("root_b"), *other(""))
-    pairs = apart.join(others, (F.col("bucket") == F.col("of")) & (F.col("key") > F.col("b")) & (F.col("root") != F.col("root_b")) & _likely())
-    rest = near(stored(pairs.select(F.col("key").alias("a"), "b").distinct().join(known.select("a", "b"), ["a", "b"], "left_anti"), "rest"))
-    discard(crowd, kept, roots, apart)
-    return found.unionByName(rest.filter("near").select("a", "b"))
+    while True:
+        roots = stored(components(found), "roots")
+        named = stored(crowd.join(roots, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key")).drop("node"), "named")
+        mixed = named.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least != most").select("bucket")
+        apart = stored(named.join(mixed, "bucket"), "apart")
+        others = apart.select(F.col("bucket").alias("of"), F.col("key").alias("b"), F.col("root").alias("root_b"), *other(""))
+        pairs = apart.join(others, (F.col("bucket") == F.col("of")) & (F.col("root") != F.col("root_b")) & _likely()).select(F.col("key").alias("a"), "b", _unlike().alias("unlike"))
+        tried = known.select("a", "b").unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        best = pairs.join(tried, ["a", "b"], "left_anti").groupBy("a").agg(F.min(F.struct("unlike", "b")).alias("best"))
+        tests = stored(best.select(F.greatest("a", "best.b").alias("a"), F.least("a", "best.b").alias("b")).distinct(), "rest")
+        checked = near(tests)
+        known, new = known.unionByName(checked), checked.filter("near").select("a", "b")
+        discard(roots, named, apart, tests)
+        if new.isEmpty():
+            break
+        found = found.unionByName(new)
+    discard(crowd, kept)
+    return found
 
 
-def _likely() -> Column:
-    """Whether sizes and outlines let two texts be similar: of SIMILARITY or more, two thirds of their labelled words at least are common."""
-    longer = F.greatest("size", "size_b")
-    close = F.abs(F.col("size") - F.col("size_b")) <= F.floor(F.lit(1 - SIMILARITY + 1e-9) * longer)
+def _unlike() -> Column:
+    """How many entries of two outlines differ."""
     differ = F.lit(0)
     for f in FEATURES[1:]:
         x = F.col(f).bitwiseXOR(F.col(f"{f}_b"))
@@ -309,7 +317,14 @@ def _likely() -> Column:
         for i in range(1, 4):
             some = some.bitwiseOR(F.shiftrightunsigned(x, i))
         differ = differ + F.bit_count(some.bitwiseAND(F.lit(0x1111111111111111)))
-    return close & (differ <= MINIMA - ALIKE)
+    return differ
+
+
+def _likely() -> Column:
+    """Whether sizes and outlines let two texts be similar: of SIMILARITY or more, two thirds of their labelled words at least are common."""
+    longer = F.greatest("size", "size_b")
+    close = F.abs(F.col("size") - F.col("size_b")) <= F.floor(F.lit(1 - SIMILARITY + 1e-9) * longer)
+    return close & (_unlike() <= MINIMA - ALIKE)
 
 
 def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
