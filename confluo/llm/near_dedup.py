@@ -14,9 +14,11 @@ the words), which few pairs below the threshold pass.
 Equal texts are folded into one node first.  Within a bucket each text is
 aligned with the bucket's least text, and those that fail it form a bucket
 again, for ``ROUNDS`` rounds, which link the members of large groups in linear work.
-Then each text is aligned with the text of another component in its buckets whose
-outline is most like its own, among those it was not aligned with, until a round of
-that links nothing: the texts to align never outnumber the texts.
+Then the texts of other components in a bucket are aligned with the bucket's text of
+most links, until a round of that links nothing, and in buckets of at most FEW texts
+all pairs of different components.  In larger buckets two texts that are near each
+other but near none of those they were aligned with stay apart unless another bucket
+links them; no work grows with the pairs of a bucket.
 Classes are the connected components of the links.
 
 Nulls count as the empty text; empty texts are one class.  Texts of one to four
@@ -42,6 +44,8 @@ WORDS, SKETCHES, PICK, SIMILARITY, ROUNDS = 5, 32, 2, 0.8, 3
 #: MinHashes of a text's outline, and how many must agree: of pairs at SIMILARITY all but about one in 5000 do.
 MINIMA, ALIKE = 96, 50
 FEATURES = ("size", *[f"s{i}" for i in range(MINIMA // 16)])
+#: Texts of a bucket up to which all pairs of different components are aligned.
+FEW = 32
 #: Cells of a band from which on bit vectors align a pair.
 MAX_CELLS = 20_000_000
 U = np.uint64
@@ -278,9 +282,8 @@ def links(texts: DataFrame) -> DataFrame:
     for _ in range(ROUNDS):
         leads = stored(left.groupBy("bucket").agg(F.min(F.struct("key", *FEATURES)).alias("lead"), F.count(F.lit(1)).alias("n")), "leads")
         tests = join_hot(left, leads.select("bucket", F.col("lead.key").alias("b"), *other("lead."), "n"), "bucket", "n").filter("key != b").drop("n")
-        pairs = tests.filter(_likely()).select(F.col("key").alias("a"), "b").distinct()
-        if known is not None:
-            pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
+        likely = tests.filter(_likely())
+        pairs = likely.select(F.col("key").alias("a"), "b").distinct() if known is None else _untried(likely, known)
         checked = near(pairs)
         known = checked if known is None else known.unionByName(checked)
         linked = known.filter("near").select(F.col("a").alias("key"), "b")
@@ -288,24 +291,34 @@ def links(texts: DataFrame) -> DataFrame:
         if left.isEmpty():
             break
     found = known.filter("near").select("a", "b")
+    roots = stored(components(found), "roots")
     while True:
-        roots = stored(components(found), "roots")
         named = stored(crowd.join(roots, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key")).drop("node"), "named")
-        mixed = named.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least != most").select("bucket")
-        apart = stored(named.join(mixed, "bucket"), "apart")
-        others = apart.select(F.col("bucket").alias("of"), F.col("key").alias("b"), F.col("root").alias("root_b"), *other(""))
-        pairs = apart.join(others, (F.col("bucket") == F.col("of")) & (F.col("root") != F.col("root_b")) & _likely()).select(F.col("key").alias("a"), "b", _unlike().alias("unlike"))
-        tried = known.select("a", "b").unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        best = pairs.join(tried, ["a", "b"], "left_anti").groupBy("a").agg(F.min(F.struct("unlike", "b")).alias("best"))
-        tests = stored(best.select(F.greatest("a", "best.b").alias("a"), F.least("a", "best.b").alias("b")).distinct(), "rest")
-        checked = near(tests)
+        degree = found.select(F.col("a").alias("key")).unionByName(found.select(F.col("b").alias("key"))).groupBy("key").agg(F.count(F.lit(1)).alias("degree"))
+        ranked = named.join(degree, "key", "left").select("bucket", F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), "key", "root", *FEATURES).alias("lead"))
+        hubs = stored(ranked.groupBy("bucket").agg(F.max("lead").alias("lead"), F.count(F.lit(1)).alias("n")), "hubs")
+        tests = join_hot(named, hubs.select("bucket", F.col("lead.key").alias("b"), F.col("lead.root").alias("root_b"), *other("lead."), "n"), "bucket", "n")
+        pairs = _untried(tests.filter((F.col("root") != F.col("root_b")) & _likely()), known)
+        checked = near(pairs)
         known, new = known.unionByName(checked), checked.filter("near").select("a", "b")
-        discard(roots, named, apart, tests)
         if new.isEmpty():
             break
         found = found.unionByName(new)
-    discard(crowd, kept)
-    return found
+        roots = stored(components(roots.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new)), "roots")
+        discard(named, hubs)
+    few = hubs.filter(F.col("n") <= FEW).select("bucket")
+    apart = stored(named.join(few, "bucket"), "apart")
+    others = apart.select(F.col("bucket").alias("of"), F.col("key").alias("b"), F.col("root").alias("root_b"), *other(""))
+    pairs = apart.join(others, (F.col("bucket") == F.col("of")) & (F.col("key") > F.col("b")) & (F.col("root") != F.col("root_b")) & _likely())
+    rest = near(stored(_untried(pairs, known), "rest")).filter("near").select("a", "b")
+    discard(crowd, kept, roots, named, hubs, apart)
+    return found.unionByName(rest)
+
+
+def _untried(tests: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs (a, b) of tests, b the less, that were not aligned yet."""
+    pairs = tests.select(F.greatest("key", "b").alias("a"), F.least("key", "b").alias("b")).distinct()
+    return pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
 
 
 def _unlike() -> Column:

@@ -118,7 +118,7 @@ def test_long_pairs_are_aligned_alike(monkeypatch):
 def test_near_dedup_links_drifting_texts_and_crowded_buckets(spark, monkeypatch):
     """Chains of three whose ends are not near each other, all in the same buckets."""
     n = near_dedup.SKETCHES
-    monkeypatch.setattr(near_dedup, "sketched", lambda word, owner, n_texts: (np.arange(n_texts), np.ones((n_texts, n), np.int64)))
+    monkeypatch.setattr(near_dedup, "sketched", lambda word, owner, n_texts: (np.arange(n_texts), np.tile(np.arange(n), (n_texts, 1))))
     rows, chain = [], {}
     for c in range(8):
         words = [f"w{c}x{i}" for i in range(60)]
