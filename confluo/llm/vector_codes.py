@@ -59,7 +59,7 @@ class Tree:
                 own = points[order[lo:hi]]
                 wide = int(np.argmax(own.max(0) - own.min(0)))
                 order[lo:hi] = order[lo:hi][np.argsort(own[:, wide], kind="stable")] if own.dtype == object else order[lo:hi][np.argpartition(own[:, wide], mid - lo)]
-            bounds = np.sort(np.concatenate([bounds, middles]))
+            bounds = np.unique(np.concatenate([bounds, middles]))  # a node of one point is not cut
             self.bounds.append(bounds)
         self.order, self.points = order.astype(np.int32), points[order]
         at = [b[:-1] for b in self.bounds]
