@@ -1,9 +1,10 @@
 """JSON documents as rows: owners at every depth, and merges of two or three revisions that recurse into objects.
 
-Each step handles one depth of all documents at once, so the number of steps is
-the depth of the deepest document and nothing is parsed outside Spark.  Objects
-keep the order of their members in the text; values that are taken whole keep it
-too.  An object that repeats a key does not parse.
+Each revision is read once, all depths together; revisions meet in a join on document
+and pointer, and a document's text is put together in one ordered aggregation.  So the
+number of jobs does not depend on how deep documents are.  Objects keep the order of
+their members, numbers keep their text, and of a name that an object repeats the last
+value counts, at the place of the first.
 """
 
 from __future__ import annotations
@@ -13,82 +14,68 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import pointer_join
-from ..sources.tables import settled
+from ..functions.json_nodes import json_nodes
 
-#: Text of values that are missing, which no JSON text is.
-EMPTY = "map<string,string>"
+#: Places of one side's own members come after all places of the side before.
+NEXT_SIDE = 1 << 32
+CONFLICTS = ("add_add", "delete_edit", "edit_edit")
+PIECE = "struct<order:array<bigint>,depth:int,open:boolean,label:string,value:string>"
 
 
-def kind(source: Column) -> Column:
-    """OBJECT, ARRAY, another name of a value's type, or null where the text is no JSON."""
-    name = F.schema_of_variant(F.try_parse_json(source))
-    return F.when(F.startswith(name, F.lit("OBJECT")), "OBJECT").when(F.startswith(name, F.lit("ARRAY")), "ARRAY").otherwise(name)
+def owners(rows: DataFrame, key: str, column: str) -> DataFrame:
+    """(key, path, owner_kind, match_key) of every member and element at every depth; elements have an empty match key.
+
+    Rows whose text is no JSON have no owners.
+    """
+    found = json_nodes(rows, [key], column).filter("parent IS NOT NULL")
+    return found.select(key, "path", F.when(F.col("name").isNull(), "element").otherwise("member").alias("owner_kind"), F.coalesce("name", F.lit("")).alias("match_key"))
 
 
-def canonical(source: Column) -> Column:
-    """JSON text with sorted keys and no blanks; null where the text is no JSON."""
-    return F.to_json(F.try_parse_json(source))
+def _side(rows: DataFrame, key: str, column: str, prefix: str, lenient: bool = False) -> DataFrame:
+    """Nodes with prefixed columns, but for those that the sides share."""
+    own = json_nodes(rows, [key], column, lenient)
+    return own.select(key, "path", "parent", "name", "label", *[F.col(c).alias(f"{prefix}_{c}") for c in ("pos", "order", "kind", "value", "digest", "repaired")])
 
 
-def without_trailing_commas(source: Column) -> Column:
-    """JSON text without commas before a closing bracket; what stands in strings stays."""
-    return F.regexp_replace(source, r'("(?:[^"\\]|\\.)*")|,(?=\s*[}\]])', "$1")
+def _joined(sides: list[DataFrame], key: str) -> DataFrame:
+    """Full outer join on document and pointer; parent, name and label are those of any side."""
+    shared = ("parent", "name", "label")
+    out = sides[0]
+    for n, side in enumerate(sides[1:]):
+        right = side.select(*[F.col(c).alias(f"{c}_{n}") if c in shared else F.col(c) for c in side.columns])
+        both = out.join(right, [key, "path"], "full_outer")
+        out = both.select(*[F.coalesce(c, f"{c}_{n}").alias(c) if c in shared else F.col(c) for c in out.columns], *[c for c in right.columns if c not in out.columns and not c.endswith(f"_{n}")])
+    return out
 
 
-def members(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
-    """(keys, pos, key, value): the members of the objects in ``column``; other rows and empty objects have none.
+def _reached(rows: DataFrame, key: str, prefixes: list[str]) -> DataFrame:
+    """Rows whose parent is merged member by member, and roots; with ``order``, their place in the merged text.
 
-    Objects and arrays keep their text; other values are written canonically.
+    ``rows`` has ``open``.  Where a value is open, all that holds it is open too, so its
+    parent decides.  An open parent stands in every side and is placed by the first.
     """
-    raw = rows.filter(kind(F.col(column)) == "OBJECT").select(*keys, F.col(column).alias("source"))
-    listed = ", ".join(f"`{k}`" for k in keys)
-    typed = rows.sparkSession.sql(f"SELECT {listed}, key AS key, to_json(value) AS plain FROM {{raw}}, LATERAL variant_explode(try_parse_json(source))", raw=raw)
-    placed = raw.select(*keys, F.posexplode(F.map_entries(F.from_json("source", EMPTY))).alias("pos", "m")).select(*keys, "pos", F.col("m.key").alias("key"), F.col("m.value").alias("text"))
-    whole = F.when(F.substring("plain", 1, 1).isin("{", "["), F.col("text")).otherwise(F.col("plain"))
-    return placed.join(typed, [*keys, "key"]).select(*keys, "pos", "key", whole.alias("value"))
+    first = prefixes[0]
+    parents = rows.filter("open").select(key, F.col("path").alias("parent"), F.col(f"{first}_order").alias("parent_order"))
+    inner = rows.filter("parent IS NOT NULL").join(parents, [key, "parent"])
+    own = F.coalesce(*[F.col(f"{p}_pos") + F.lit(i * NEXT_SIDE) for i, p in enumerate(prefixes)])
+    placed = inner.withColumn("order", F.coalesce(f"{first}_order", F.concat("parent_order", F.array(own)))).drop("parent_order")
+    return rows.filter("parent IS NULL").withColumn("order", F.array().cast("array<bigint>")).unionByName(placed)
 
 
-def quoted(key: Column) -> Column:
-    """A member name as a JSON string."""
-    text = F.to_json(F.array(key))
-    return F.substring(text, F.lit(2), F.length(text) - 2)
+def _assembled(rows: DataFrame, key: str) -> DataFrame:
+    """(key, text) from reached rows with order, open, label and value; rows neither open nor with a value are left out."""
+    kept = rows.filter("open OR value IS NOT NULL")
+    piece = F.struct("order", F.size("order").alias("depth"), "open", F.coalesce("label", F.lit("")).alias("label"), F.coalesce("value", F.lit("")).alias("value"))
+    grouped = kept.groupBy(key).agg(F.array_sort(F.collect_list(piece)).cast(f"array<{PIECE}>").alias("parts"))
+    parts = F.col("parts")
 
+    def text(p: Column, i: Column) -> Column:
+        inside = p["depth"] + F.when(p["open"], 1).otherwise(0)
+        comma = F.when((i > 0) & (F.get(parts, i - 1)["depth"] >= p["depth"]), ",").otherwise("")
+        following = F.coalesce(F.get(parts, i + 1)["depth"], F.lit(0))
+        return F.concat(comma, p["label"], F.when(p["open"], "{").otherwise(p["value"]), F.repeat(F.lit("}"), F.greatest(inside - F.greatest(following, F.lit(1)), F.lit(0)) + F.when(i == F.size(parts) - 1, F.least(inside, F.lit(1))).otherwise(0)))
 
-def owners(rows: DataFrame, key: str, column: str) -> DataFrame:
-    """(key, path, owner_kind, match_key) of every member and element at every depth; elements have an empty match key.
-
-    Rows whose text is no JSON have no owners.
-    """
-    level = rows.select(key, F.lit("").alias("path"), F.col(column).alias("source"))
-    found = []
-    while True:
-        open_ = level.filter(kind(F.col("source")).isin("OBJECT", "ARRAY"))
-        rows_ = open_.sparkSession.sql(f"SELECT `{key}`, path AS parent, pos AS pos, key AS member, value AS v FROM {{open_}}, LATERAL variant_explode(try_parse_json(source))", open_=open_)
-        name = F.coalesce("member", F.col("pos").cast("string"))
-        level = rows_.select(key, pointer_join(F.col("parent"), name).alias("path"), F.when(F.col("member").isNull(), "element").otherwise("member").alias("owner_kind"), F.coalesce("member", F.lit("")).alias("match_key"), F.to_json("v").alias("source"))
-        level = settled(level, "json-owners")
-        if level.isEmpty():
-            break
-        found.append(level.select(key, "path", "owner_kind", "match_key"))
-    return reduce(DataFrame.unionByName, found) if found else level.select(key, "path", "owner_kind", "match_key")
-
-
-def _assembled(levels: list[DataFrame], key: str) -> DataFrame:
-    """(key, value) of the roots: each level's decided values, those of open rows built from the level below.
-
-    Levels hold key, path, pos, parent, name, value, kept and open; the deepest comes last.
-    """
-    below = None
-    for rows in reversed(levels):
-        if below is not None:
-            text = F.concat(quoted(F.col("name")), F.lit(":"), F.col("value"))
-            member = F.when(F.col("kept"), F.struct("pos", "name", text.alias("text")))
-            built = below.groupBy(key, F.col("parent").alias("path")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(member)), lambda m: m["text"]), ",").alias("inner"))
-            rows = rows.join(built, [key, "path"], "left")
-            rows = rows.withColumn("value", F.when(F.col("open"), F.concat(F.lit("{"), F.coalesce("inner", F.lit("")), F.lit("}"))).otherwise(F.col("value"))).drop("inner")
-        below = rows
-    return below.select(key, "value")
+    return grouped.select(key, F.array_join(F.transform(parts, text), "").alias("text"))
 
 
 def merge_two(template: DataFrame, destination: DataFrame, key: str, column: str) -> DataFrame:
@@ -97,35 +84,52 @@ def merge_two(template: DataFrame, destination: DataFrame, key: str, column: str
     Template members come first, in their order; arrays are taken whole.  A destination
     that parses without its trailing commas only is merged so, as ``fallback_applied``; any
     other text that does not parse gives no merge but ``template_parse_error`` or ``destination_parse_error``.
+    Null texts do not parse; a document of one side only is left out.
     """
-    t = template.select(key, F.col(column).alias("t"))
-    d = destination.select(key, F.col(column).alias("source"))
-    whole = kind(F.col("source")).isNotNull()
-    both = t.join(d, key).withColumn("d", F.when(whole, F.col("source")).otherwise(without_trailing_commas(F.col("source"))))
-    both = both.withColumn("diagnostic", F.when(kind(F.col("t")).isNull(), "template_parse_error").when(kind(F.col("d")).isNull(), "destination_parse_error").when(~whole, "fallback_applied"))
-    fine = both.filter("diagnostic IS NULL OR diagnostic = 'fallback_applied'").select(key, F.lit("").alias("path"), F.lit(None).cast("string").alias("parent"), F.lit(0).cast("long").alias("pos"), F.lit("").alias("name"), "t", "d")
-    levels, now = [], fine
-    while True:
-        open_ = F.coalesce((kind(F.col("t")) == "OBJECT") & (kind(F.col("d")) == "OBJECT"), F.lit(False))
-        rows = now.withColumns({"open": open_, "kept": F.lit(True), "value": F.coalesce("d", "t")})
-        levels.append(rows.select(key, "path", "parent", "pos", "name", "value", "kept", "open"))
-        inner = rows.filter("open").select(key, "path", "t", "d")
-        left = members(inner, [key, "path"], "t").select(key, "path", F.col("key").alias("name"), F.col("pos").alias("tp"), F.col("value").alias("t"))
-        right = members(inner, [key, "path"], "d").select(key, "path", F.col("key").alias("name"), F.col("pos").alias("dp"), F.col("value").alias("d"))
-        joined = left.join(right, [key, "path", "name"], "full_outer")
-        # destination-only members follow all of the template's
-        place = F.coalesce(F.col("tp").cast("long"), F.col("dp") + F.lit(1 << 32))
-        now = joined.select(key, pointer_join(F.col("path"), F.col("name")).alias("path"), F.col("path").alias("parent"), place.alias("pos"), "name", "t", "d")
-        now = settled(now, "json-members")
-        if now.isEmpty():
-            break
-    merged = _assembled(levels, key)
-    return both.select(key, "diagnostic").join(merged.withColumnRenamed("value", "merged"), key, "left")
-
-
-def _equal(a: str, b: str) -> Column:
-    """Both absent, or equal as JSON values."""
-    return F.col(a).eqNullSafe(F.col(b)) | canonical(F.col(a)).eqNullSafe(canonical(F.col(b)))
+    pairs = template.select(key, F.coalesce(F.col(column), F.lit("")).alias("t")).join(destination.select(key, F.coalesce(F.col(column), F.lit("")).alias("d")), key)
+    rows = _joined([_side(pairs, key, "t", "t"), _side(pairs, key, "d", "d", True)], key)
+    both = F.coalesce((F.col("t_kind") == "object") & (F.col("d_kind") == "object"), F.lit(False))
+    rows = rows.withColumns({"open": both, "value": F.coalesce("d_value", "t_value")})
+    said = F.when(F.col("t_kind").isNull(), "template_parse_error").when(F.col("d_kind").isNull(), "destination_parse_error").when(F.col("d_repaired"), "fallback_applied")
+    roots = rows.filter("path = ''").select(key, said.alias("diagnostic"))
+    fine = rows.filter("path <> '' OR (t_kind IS NOT NULL AND d_kind IS NOT NULL)")
+    merged = _assembled(_reached(fine, key, ["t", "d"]), key).withColumnRenamed("text", "merged")
+    return roots.join(merged, key, "left")
+
+
+def decide_three(sides: DataFrame, key: str) -> DataFrame:
+    """Reached values of base, ours and theirs with ``decision``: ours, theirs, open, a conflict, or parse_error at a root."""
+    names = ("ours", "theirs", "base")
+    rows = _joined([_side(sides, key, n, n) for n in names], key)
+    digest = {n: F.col(f"{n}_digest") for n in names}
+    same = lambda a, b: digest[a].eqNullSafe(digest[b])
+    objects = reduce(lambda p, q: p & q, [F.coalesce(F.col(f"{n}_kind") == "object", F.lit(False)) for n in names])
+    wrong = reduce(lambda p, q: p | q, [F.col(f"{n}_order").isNotNull() & F.col(f"{n}_kind").isNull() for n in names])
+    there = {n: F.col(f"{n}_digest").isNotNull() for n in names}
+    decision = (
+        F.when(wrong, "parse_error")
+        .when(same("ours", "theirs"), "ours")
+        .when(same("base", "ours"), "theirs")
+        .when(same("base", "theirs"), "ours")
+        .when(objects, "open")
+        .when(~there["base"], "add_add")
+        .when(~there["ours"] | ~there["theirs"], "delete_edit")
+        .otherwise("edit_edit")
+    )
+    rows = rows.withColumn("decision", decision)
+    return _reached(rows.withColumn("open", F.col("decision") == "open"), key, list(names))
+
+
+def merged_three(rows: DataFrame, key: str) -> DataFrame:
+    """(key, merged) of decided values; documents with a side that does not parse have none."""
+    gone = F.col("decision").eqNullSafe("delete_edit") & F.col("ours_value").isNull()
+    value = F.when((F.col("decision") == "theirs") | gone, F.col("theirs_value")).otherwise(F.col("ours_value"))
+    return _assembled(rows.filter("decision <> 'parse_error'").withColumn("value", F.when(~F.col("open"), value)), key).withColumnRenamed("text", "merged")
+
+
+def conflicts_three(rows: DataFrame, key: str) -> DataFrame:
+    """(key, path, category) of decided values in conflict."""
+    return rows.filter(F.col("decision").isin(*CONFLICTS, "parse_error")).select(key, "path", F.col("decision").alias("category"))
 
 
 def merge_three(sides: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
@@ -134,28 +138,8 @@ def merge_three(sides: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     Objects on all three sides are merged member by member; elsewhere a change of one
     side is taken, and different changes conflict at that path with ours kept (theirs
     where ours has deleted).  A member whose type changed conflicts as a whole.
-    Rows of which a side does not parse have a conflict ``parse_error`` and no merge.
+    Rows of which a side does not parse have a conflict ``parse_error`` and no merge;
+    a null side is absent.
     """
-    bad = reduce(lambda p, q: p | q, [F.col(s).isNotNull() & kind(F.col(s)).isNull() for s in ("base", "ours", "theirs")])
-    wrong = sides.filter(bad).select(key, F.lit("").alias("path"), F.lit("parse_error").alias("category"))
-    now = sides.filter(~bad).select(key, F.lit("").alias("path"), F.lit(None).cast("string").alias("parent"), F.lit(0).cast("long").alias("pos"), F.lit("").alias("name"), "base", "ours", "theirs")
-    levels, conflicts = [], [wrong]
-    while True:
-        b, o, t = F.col("base"), F.col("ours"), F.col("theirs")
-        objects = reduce(lambda p, q: p & q, [F.coalesce(kind(c) == "OBJECT", F.lit(False)) for c in (b, o, t)])
-        decision = F.when(_equal("ours", "theirs"), "ours").when(_equal("base", "ours"), "theirs").when(_equal("base", "theirs"), "ours").when(objects, "open").when(b.isNull(), "add_add").when(o.isNull() | t.isNull(), "delete_edit").otherwise("edit_edit")
-        rows = now.withColumn("decision", decision)
-        value = F.when(F.col("decision") == "theirs", t).when((F.col("decision") == "delete_edit") & o.isNull(), t).otherwise(o)
-        rows = rows.withColumns({"open": F.col("decision") == "open", "value": value}).withColumn("kept", F.col("open") | F.col("value").isNotNull())
-        levels.append(rows.select(key, "path", "parent", "pos", "name", "value", "kept", "open"))
-        conflicts.append(rows.filter(F.col("decision").isin("add_add", "delete_edit", "edit_edit")).select(key, "path", F.col("decision").alias("category")))
-        inner = rows.filter("open")
-        parts = None
-        for i, side in enumerate(("ours", "theirs", "base")):
-            part = members(inner, [key, "path"], side).select(key, "path", F.col("key").alias("name"), (F.col("pos").cast("long") + F.lit(i << 32)).alias(f"pos_{side}"), F.col("value").alias(side))
-            parts = part if parts is None else parts.join(part, [key, "path", "name"], "full_outer")
-        now = parts.select(key, pointer_join(F.col("path"), F.col("name")).alias("path"), F.col("path").alias("parent"), F.coalesce("pos_ours", "pos_theirs", "pos_base").alias("pos"), "name", "base", "ours", "theirs")
-        now = settled(now, "json-members")
-        if now.isEmpty():
-            break
-    return _assembled(levels, key).withColumnRenamed("value", "merged"), reduce(DataFrame.unionByName, conflicts)
+    rows = decide_three(sides, key)
+    return merged_three(rows, key), conflicts_three(rows, key)
