@@ -1,7 +1,7 @@
 """Registry of the queries over the reference's own operators."""
 
-from . import documents, layouts, manifests, merges, nests, placements, reviews, sections, splices, template_trees, texts, upkeep
+from . import documents, layouts, manifests, merges, nests, placements, reviews, rules, sections, splices, template_trees, texts, upkeep
 
-MODULES = (documents, layouts, manifests, merges, nests, placements, reviews, sections, splices, template_trees, texts, upkeep)
+MODULES = (documents, layouts, manifests, merges, nests, placements, reviews, rules, sections, splices, template_trees, texts, upkeep)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
