@@ -72,7 +72,7 @@ def _cases(spark, sf_dir):
     cases = table(spark, sf_dir, "orders").select(k.alias("case"), handler.alias("handler"), F.when(k % 12 == 0, "ordered").otherwise("commutative").alias("policy"))
     n = F.col("l_linenumber")
     members = table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("case"), F.element_at(F.array(F.lit("base"), F.lit("left"), F.lit("right")), (n % 3 + 1).cast("int")).alias("side"), (n * 1_000_000_000 + F.col("l_partkey") * 10_000 + F.col("l_suppkey")).alias("pos"), n.cast("string").alias("node"),
+        F.col("l_orderkey").alias("case"), F.element_at(F.array(F.lit("base"), F.lit("left"), F.lit("right")), (n % 3 + 1).cast("int")).alias("side"), (n.cast("long") * 1_000_000_000 + F.col("l_partkey") * 10_000 + F.col("l_suppkey")).alias("pos"), n.cast("string").alias("node"),
         F.when(n == 1, "").otherwise(F.concat(F.lit("s"), (F.col("l_partkey") % 3).cast("string"))).alias("signature"), F.concat(F.lit("k"), (F.col("l_suppkey") % 3).cast("string")).alias("key"), (F.col("l_quantity").cast("int") % 2).cast("string").alias("value"),
     )
     return cases, members
@@ -87,7 +87,7 @@ def conflict_handlers(spark, sf_dir):
 
 HANDLERS_SQL = f"""
 WITH c AS (SELECT o_orderkey AS k, o_orderkey % 4 = 0 AS ins, o_orderkey % 4 IN (1, 2) AS edits, o_orderkey % 12 = 0 AS ordered FROM orders),
-m AS (SELECT l_orderkey AS k, l_linenumber AS nr, l_linenumber * 1000000000 + l_partkey * 10000 + l_suppkey AS n, l_linenumber % 3 AS side, CASE WHEN l_linenumber = 1 THEN l_linenumber::VARCHAR ELSE 's' || l_partkey % 3 END AS sig, 'k' || l_suppkey % 3 AS key, (l_quantity::INT % 2)::VARCHAR AS v FROM lineitem),
+m AS (SELECT l_orderkey AS k, l_linenumber AS nr, l_linenumber::BIGINT * 1000000000 + l_partkey * 10000 + l_suppkey AS n, l_linenumber % 3 AS side, CASE WHEN l_linenumber = 1 THEN l_linenumber::VARCHAR ELSE 's' || l_partkey % 3 END AS sig, 'k' || l_suppkey % 3 AS key, (l_quantity::INT % 2)::VARCHAR AS v FROM lineitem),
 i AS (SELECT k, sig, min(struct_pack(s := side, n := n)) AS first, arg_min(nr::VARCHAR || ':' || key || '=' || v, struct_pack(s := side, n := n)) AS item FROM m GROUP BY k, sig),
 e AS (SELECT k, key, min(struct_pack(s := side, n := n)) AS first, arg_max(v, struct_pack(s := side, n := n)) AS v, arg_max(v, n) FILTER (side = 1) AS l, min(v) FILTER (side = 2) AS lo, max(v) FILTER (side = 2) AS hi FROM m GROUP BY k, key),
 x AS (SELECT k, string_agg(item, ',' ORDER BY first) AS merged FROM i GROUP BY k),
