@@ -14,7 +14,7 @@ the words), which few pairs below the threshold pass.
 Equal texts are folded into one node first.  Within a bucket each text is
 aligned with the bucket's least text, and those that fail it form a bucket
 again, for ``ROUNDS`` rounds, which link the members of large groups in linear work.
-Then the texts of other components in a bucket are aligned with the bucket's text of
+Then, in buckets that hold several components, the texts of other components are aligned with the bucket's text of
 most links, until a round of that links nothing, and in buckets of at most FEW texts
 all pairs of different components.  In larger buckets two texts that are near each
 other but near none of those they were aligned with stay apart unless another bucket
@@ -31,6 +31,7 @@ columns, whatever their names, come back as they were.
 from __future__ import annotations
 
 from bisect import bisect_left
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +46,7 @@ WORDS, SKETCHES, PICK, SIMILARITY, ROUNDS = 5, 32, 2, 0.8, 3
 MINIMA, ALIKE = 96, 50
 FEATURES = ("size", *[f"s{i}" for i in range(MINIMA // 16)])
 #: Texts of a bucket up to which all pairs of different components are aligned.
-FEW = 32
+FEW = 128
 #: Cells of a band from which on bit vectors align a pair.
 MAX_CELLS = 20_000_000
 U = np.uint64
@@ -269,56 +270,76 @@ def links(texts: DataFrame) -> DataFrame:
     entries = known.select("key", "sketches").mapInArrow(_buckets, "bucket bigint, key binary")
     block = Window.partitionBy("bucket")
     shared = stored(entries.withColumns({"low": F.min("key").over(block), "high": F.max("key").over(block)}).filter("low != high").select("bucket", "key"), "shared")
-    crowd = stored(shared.join(known.select("key", *FEATURES), "key"), "buckets")
-    discard(shared)
-    kept = stored(texts.join(crowd.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]), "candidates")
+    wanted = stored(shared.select("key").distinct(), "wanted")
+    features = stored(known.select("key", *FEATURES).join(wanted, "key", "left_semi"), "features")
+    kept = stored(texts.join(wanted, "key", "left_semi").dropDuplicates(["key"]), "candidates")
+    discard(known, wanted)
 
     def near(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(kept.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").join(kept.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
+        """Pairs (a, b) with whether they are near; those whose features rule it out are left out."""
+        both = pairs
+        for side, end in (("a", ""), ("b", "_b")):
+            both = both.join(features.select(F.col("key").alias(side), *[F.col(f).alias(f"{f}{end}") for f in FEATURES]), side)
+        both = both.filter(_likely()).select("a", "b")
+        for side in ("a", "b"):
+            both = both.join(kept.select(F.col("key").alias(side), F.col("text").alias(f"text_{side}")), side)
         return stored(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a binary, b binary, near boolean"), "checked")
 
-    other = lambda source: [F.col(f"{source}{f}").alias(f"{f}_b") for f in FEATURES]
-    known, left = None, crowd
+    tried, left, checks = None, shared, []
     for _ in range(ROUNDS):
-        leads = stored(left.groupBy("bucket").agg(F.min(F.struct("key", *FEATURES)).alias("lead"), F.count(F.lit(1)).alias("n")), "leads")
-        tests = join_hot(left, leads.select("bucket", F.col("lead.key").alias("b"), *other("lead."), "n"), "bucket", "n").filter("key != b").drop("n")
-        likely = tests.filter(_likely())
-        pairs = likely.select(F.col("key").alias("a"), "b").distinct() if known is None else _untried(likely, known)
-        checked = near(pairs)
-        known = checked if known is None else known.unionByName(checked)
-        linked = known.filter("near").select(F.col("a").alias("key"), "b")
-        left = stored(tests.join(linked, ["key", "b"], "left_anti").select("bucket", "key", *FEATURES), "left")
+        leads = stored(left.groupBy("bucket").agg(F.min("key").alias("b"), F.count(F.lit(1)).alias("n")), "leads")
+        tests = join_hot(left, leads, "bucket", "n").filter("key != b").drop("n")
+        pairs = stored(_untried(tests, tried), "pairs")
+        checks.append(near(pairs))
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        linked = _linked(checks).select(F.col("a").alias("key"), "b")
+        before, left = left, stored(tests.join(linked, ["key", "b"], "left_anti").select("bucket", "key"), "left")
+        discard(leads, *([before] if before is not shared else []))
         if left.isEmpty():
             break
-    found = known.filter("near").select("a", "b")
-    roots = stored(components(found), "roots")
-    while True:
-        named = stored(crowd.join(roots, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key")).drop("node"), "named")
+    roots = stored(components(_linked(checks)), "roots")
+    mixed = _mixed(shared, roots)
+    discard(left, shared)
+    while not mixed.isEmpty():
+        found = _linked(checks)
         degree = found.select(F.col("a").alias("key")).unionByName(found.select(F.col("b").alias("key"))).groupBy("key").agg(F.count(F.lit(1)).alias("degree"))
-        ranked = named.join(degree, "key", "left").select("bucket", F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), "key", "root", *FEATURES).alias("lead"))
+        ranked = mixed.join(degree, "key", "left").select("bucket", F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), "key", "root").alias("lead"))
         hubs = stored(ranked.groupBy("bucket").agg(F.max("lead").alias("lead"), F.count(F.lit(1)).alias("n")), "hubs")
-        tests = join_hot(named, hubs.select("bucket", F.col("lead.key").alias("b"), F.col("lead.root").alias("root_b"), *other("lead."), "n"), "bucket", "n")
-        pairs = _untried(tests.filter((F.col("root") != F.col("root_b")) & _likely()), known)
-        checked = near(pairs)
-        known, new = known.unionByName(checked), checked.filter("near").select("a", "b")
+        tests = join_hot(mixed, hubs.select("bucket", F.col("lead.key").alias("b"), F.col("lead.root").alias("root_b"), "n"), "bucket", "n").filter("root != root_b")
+        pairs = stored(_untried(tests, tried), "pairs")
+        checks.append(near(pairs))
+        tried, new = tried.unionByName(pairs), checks[-1].filter("near").select("a", "b")
         if new.isEmpty():
             break
-        found = found.unionByName(new)
         roots = stored(components(roots.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new)), "roots")
-        discard(named, hubs)
-    few = hubs.filter(F.col("n") <= FEW).select("bucket")
-    apart = stored(named.join(few, "bucket"), "apart")
-    others = apart.select(F.col("bucket").alias("of"), F.col("key").alias("b"), F.col("root").alias("root_b"), *other(""))
+        before, mixed = mixed, _mixed(mixed.select("bucket", "key"), roots)
+        discard(before, hubs)
+    few = mixed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= FEW).select("bucket")
+    apart = stored(mixed.join(few, "bucket", "left_semi").join(features, "key"), "apart")
+    others = apart.select(F.col("bucket").alias("of"), F.col("key").alias("b"), F.col("root").alias("root_b"), *[F.col(f).alias(f"{f}_b") for f in FEATURES])
     pairs = apart.join(others, (F.col("bucket") == F.col("of")) & (F.col("key") > F.col("b")) & (F.col("root") != F.col("root_b")) & _likely())
-    rest = near(stored(_untried(pairs, known), "rest")).filter("near").select("a", "b")
-    discard(crowd, kept, roots, named, hubs, apart)
-    return found.unionByName(rest)
+    checks.append(near(stored(_untried(pairs, tried), "pairs")))
+    discard(mixed, apart, roots, kept, features)
+    return _linked(checks)
 
 
-def _untried(tests: DataFrame, known: DataFrame) -> DataFrame:
-    """The pairs (a, b) of tests, b the less, that were not aligned yet."""
+def _linked(checks: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, [c.filter("near").select("a", "b") for c in checks])
+
+
+def _mixed(entries: DataFrame, roots: DataFrame) -> DataFrame:
+    """(bucket, key, root) of the entries of buckets that hold several components; a text without links is one by itself."""
+    named = stored(entries.join(roots, F.col("key") == F.col("node"), "left").select("bucket", "key", F.coalesce("root", "key").alias("root")), "named")
+    several = named.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("bucket")
+    mixed = stored(named.join(several, "bucket", "left_semi"), "mixed")
+    discard(named)
+    return mixed
+
+
+def _untried(tests: DataFrame, tried: DataFrame | None) -> DataFrame:
+    """The pairs (a, b) of tests, b the less, that were not looked at yet."""
     pairs = tests.select(F.greatest("key", "b").alias("a"), F.least("key", "b").alias("b")).distinct()
-    return pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
+    return pairs if tried is None else pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
 
 
 def _unlike() -> Column:
