@@ -42,7 +42,9 @@ BLOCK, BLOCK_BYTES = 4096, 1 << 25
 #: 64-bit words of the bitmap that bounds a common subsequence from above.
 BITS = 16
 #: Bytes of text handled at once.
-PIECE = 1 << 16
+PIECE = 1 << 17
+#: Rows from which on a run of rows is summed by itself.
+LONG = 12
 
 
 def _texts(batch: pa.RecordBatch, column: int):
@@ -58,6 +60,27 @@ def _blocks(owner: np.ndarray, size: int) -> np.ndarray:
     return np.flatnonzero(place % size == 0)
 
 
+def _block_sums(rows: np.ndarray, term: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """Sums of ``rows[term]`` over blocks of at most ``size`` terms; the last of ``rows`` is zero and fills short blocks."""
+    place = starts[:, None] + np.arange(size)
+    ends = np.r_[starts[1:], len(term)][:, None]
+    picked = np.where(place < ends, term[np.minimum(place, len(term) - 1)], len(rows) - 1)
+    return np.matmul(np.ones((1, size), np.float32), rows[picked])[:, 0]
+
+
+def _run_sums(rows: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Sums of the runs of rows that begin there: long runs one by one, the others by their first rows, second rows and so on."""
+    size = np.diff(np.r_[begin, len(rows)])
+    out = rows[begin]
+    for k in np.flatnonzero(size >= LONG):
+        out[k] = rows[begin[k] : begin[k] + size[k]].sum(0)
+    short = np.flatnonzero((size < LONG) & (size > 1))
+    for i in range(1, LONG - 1):
+        short = short[size[short] > i]
+        out[short] += rows[begin[short] + i]
+    return out
+
+
 def _frequencies(batches):
     total, passages = np.zeros(TERMS, np.int64), 0
     for batch in batches:
@@ -77,6 +100,7 @@ def _range(idf: np.ndarray, seed: int):
     def run(batches):
         random = np.random.default_rng(seed).standard_normal((TERMS, RANK + EXTRA)).astype(np.float32) * idf[:, None]
         total = np.zeros_like(random)
+        random, weight = np.r_[random, np.zeros((1, random.shape[1]), np.float32)], idf**2
         for batch in batches:
             for _, _, code, owner in _texts(batch, 0):
                 term = (code % np.uint64(TERMS)).astype(np.uint16)
@@ -84,12 +108,12 @@ def _range(idf: np.ndarray, seed: int):
                 passage = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(code)]))
                 if not len(term):
                     continue
-                y = np.add.reduceat(random[term], starts, axis=0)
-                y /= np.add.reduceat(idf[term] ** 2, starts)[:, None]
+                y = _block_sums(random, term, starts, SPAN)
+                y /= np.add.reduceat(weight[term], starts)[:, None]
                 order = np.argsort(term, kind="stable")
                 ordered = term[order]
                 begin = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-                total[ordered[begin]] += np.add.reduceat(y[passage[order]], begin, axis=0)
+                total[ordered[begin]] += _run_sums(y[passage[order]], begin)
         total *= idf[:, None]
         used = np.flatnonzero(total.any(1))
         for part in np.array_split(used, max(1, len(used) // 1000)):
@@ -164,7 +188,7 @@ def _search(space, items, items_column: str = "item_ids", cover_column: str = "c
     """Per document: ids of the items found in it, and the largest share of one found in order."""
 
     def run(batches):
-        projection, known = space.value, items.value
+        projection, known = np.r_[space.value, np.zeros((1, space.value.shape[1]), np.float32)], items.value
         ids = [i for i, _ in known]
         words = [(_hashes(t), _hashes(_answer(t))) for _, t in known]
         ready = [(len(w), _masks(w), len(a), _masks(a)) for w, a in words]
@@ -188,7 +212,7 @@ def _search(space, items, items_column: str = "item_ids", cover_column: str = "c
                     continue
                 starts = _blocks(owner, STEP)
                 term = (code % np.uint64(TERMS)).astype(np.int64)
-                half = np.add.reduceat(projection[term], starts, axis=0)
+                half = _block_sums(projection, term, starts, STEP)
                 joint = half.copy()
                 more = np.flatnonzero(owner[starts[1:]] == owner[starts[:-1]])
                 joint[more] += half[more + 1]
