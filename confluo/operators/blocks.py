@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.tables import settled
 
 
 def block_rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -34,31 +35,63 @@ def exact_pairs(template: DataFrame, destination: DataFrame, pair: str) -> DataF
     return nth(template, "template_idx").join(nth(destination, "destination_idx"), [pair, "normalized", "k"]).select(pair, "template_idx", "destination_idx")
 
 
-def refined_candidates(template: DataFrame, destination: DataFrame, exact: DataFrame, pair: str) -> DataFrame:
-    """Scored pairs of blocks that no exact match took, within each pair of texts, from the threshold up.
+def _left_over(side: DataFrame, exact: DataFrame, pair: str, name: str, text: str, total: str) -> DataFrame:
+    """Blocks of a side that no exact match took."""
+    rest = side.join(exact.select(pair, F.col(name).alias("idx")), [pair, "idx"], "left_anti")
+    return rest.select(pair, F.col("idx").alias(name), F.col("normalized").alias(text), F.col("total").alias(total))
 
-    A pair of blocks whose lengths alone keep it below the threshold is dropped before any edit distance.
+
+def _scored(both: DataFrame, pair: str, least: Column) -> DataFrame:
+    """(pair, template_idx, destination_idx, score) of pairs of blocks that reach ``least``.
+
+    Lengths and places bound the score first; what is left of it for the content bounds
+    the edit distance, which is given up where it passes that.
     """
-    left = template.join(exact.select(pair, F.col("template_idx").alias("idx")), [pair, "idx"], "left_anti").select(pair, F.col("idx").alias("template_idx"), F.col("normalized").alias("a"), F.col("total").alias("n"))
-    right = destination.join(exact.select(pair, F.col("destination_idx").alias("idx")), [pair, "idx"], "left_anti").select(pair, F.col("idx").alias("destination_idx"), F.col("normalized").alias("b"), F.col("total").alias("m"))
-    both = left.join(right, pair)
-    ratio = F.least(F.length("a"), F.length("b")) / F.greatest(F.length("a"), F.length("b"))
     content, length, position = T.WEIGHTS
-    place = T.position_similarity(F.col("template_idx"), F.col("destination_idx"), F.col("n"), F.col("m"))
-    bound = content * ratio + length * T.length_similarity(F.col("a"), F.col("b")) + position * place
-    score = T.refined_similarity(F.col("a"), F.col("b"), F.col("template_idx"), F.col("destination_idx"), F.col("n"), F.col("m"))
-    return both.filter(bound >= T.REFINED - 1e-9).select(pair, "template_idx", "destination_idx", score.alias("score")).filter(F.col("score") >= T.REFINED)
+    longer = F.greatest(F.length("a"), F.length("b"))
+    fixed = length * T.length_similarity(F.col("a"), F.col("b")) + position * T.position_similarity(F.col("template_idx"), F.col("destination_idx"), F.col("n"), F.col("m"))
+    needed = (least - fixed) / content
+    rows = both.withColumns({"fixed": fixed, "longer": longer, "most": F.floor((1 - needed) * longer + 1e-6).cast("int")})
+    rows = rows.filter((F.col("most") >= 0) & (F.abs(F.length("a") - F.length("b")) <= F.col("most")))
+    rows = rows.withColumn("distance", F.expr("CASE WHEN a = b THEN 0 ELSE levenshtein(a, b, most) END")).filter("distance >= 0")
+    return rows.select(pair, "template_idx", "destination_idx", (content * (1 - F.col("distance") / F.col("longer")) + F.col("fixed")).alias("score")).filter(F.col("score") >= T.REFINED)
+
+
+#: A word says which blocks belong together if no more blocks of a text hold it than these.
+RARE = 8
+
+
+def likely_partners(left: DataFrame, right: DataFrame, pair: str) -> DataFrame:
+    """(pair, template_idx, destination_idx): for each destination block the template block that shares most rare words."""
+    cut = lambda side, name, text: side.select(pair, name, F.explode(F.array_distinct(F.split(text, " "))).alias("word"))
+    words = cut(left, "template_idx", "a")
+    rare = words.groupBy(pair, "word").agg(F.collect_list("template_idx").alias("at"), F.count(F.lit(1)).alias("n")).filter(F.col("n") <= RARE)
+    shared = cut(right, "destination_idx", "b").join(rare, [pair, "word"]).select(pair, "destination_idx", F.explode("at").alias("template_idx"))
+    counted = shared.groupBy(pair, "destination_idx", "template_idx").agg(F.count(F.lit(1)).alias("n"))
+    return counted.groupBy(pair, "destination_idx").agg(F.max_by("template_idx", F.struct("n", -F.col("template_idx"))).alias("template_idx"))
+
+
+def refined_best(left: DataFrame, right: DataFrame, pair: str) -> DataFrame:
+    """(pair, template_idx, destination_idx, score): the best template block of each destination block, if any reaches the threshold; ties go to the earlier.
+
+    A partner that shares rare words is scored first; the others are looked at only as
+    far as they might beat it, so most edit distances are given up after a few steps.
+    """
+    ahead = likely_partners(left, right, pair).join(left, [pair, "template_idx"]).join(right, [pair, "destination_idx"])
+    first = settled(_scored(ahead, pair, F.lit(T.REFINED)), "partners")
+    seeds = first.select(pair, "destination_idx", F.col("template_idx").alias("seed"), F.col("score").alias("seed_score"))
+    both = left.join(right.join(seeds, [pair, "destination_idx"], "left"), pair).filter("seed IS NULL OR seed != template_idx")
+    rest = _scored(both, pair, F.coalesce("seed_score", F.lit(T.REFINED)))
+    rank = F.struct("score", (-F.col("template_idx")).alias("t"))
+    best = first.unionByName(rest).groupBy(pair, "destination_idx").agg(F.max_by(F.struct("template_idx", "score"), rank).alias("best"))
+    return best.select(pair, F.col("best.template_idx").alias("template_idx"), "destination_idx", F.col("best.score").alias("score"))
 
 
 def take_greedily(candidates: DataFrame, pair: str) -> DataFrame:
     """For each destination block in order the best template block still free; ties go to the earlier one.
 
-    Where no two blocks of a pair of texts want the same one, each gets its best;
-    else the choice is sequential within the pair, and those pairs run per group.
+    Sequential within a pair of texts, so each runs as a group of its scored pairs.
     """
-    rank = F.struct("score", (-F.col("template_idx")).alias("t"))
-    best = candidates.groupBy(pair, "destination_idx").agg(F.max_by(F.struct("template_idx", "score"), rank).alias("best")).select(pair, F.col("best.template_idx").alias("template_idx"), "destination_idx", F.col("best.score").alias("score"))
-    clashes = best.groupBy(pair, "template_idx").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(pair).distinct()
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
         taken, out = set(), []
@@ -70,15 +103,24 @@ def take_greedily(candidates: DataFrame, pair: str) -> DataFrame:
                 out.append(free.iloc[0])
         return pd.DataFrame(out, columns=rows.columns).astype(rows.dtypes.to_dict())
 
-    hard = candidates.join(clashes, pair, "left_semi").groupBy(pair).applyInPandas(choose, candidates.schema)
-    return best.join(clashes, pair, "left_anti").unionByName(hard)
+    return candidates.groupBy(pair).applyInPandas(choose, candidates.schema)
 
 
 def match_blocks(template: DataFrame, destination: DataFrame, pair: str) -> DataFrame:
-    """(pair, template_idx, destination_idx, phase, score) of all matches."""
-    exact = exact_pairs(template, destination, pair)
-    refined = take_greedily(refined_candidates(template, destination, exact, pair), pair)
-    return exact.withColumns({"phase": F.lit("exact"), "score": F.lit(1.0)}).unionByName(refined.withColumn("phase", F.lit("refined")))
+    """(pair, template_idx, destination_idx, phase, score) of all matches, stored.
+
+    Where no two destination blocks of a pair of texts want one template block, each
+    gets its best; only pairs where some do score all their blocks and choose in turn.
+    """
+    exact = settled(exact_pairs(template, destination, pair), "exact")
+    left = settled(_left_over(template, exact, pair, "template_idx", "a", "n"), "left-over")
+    right = settled(_left_over(destination, exact, pair, "destination_idx", "b", "m"), "left-over")
+    best = settled(refined_best(left, right, pair), "best")
+    clashes = best.groupBy(pair, "template_idx").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(pair).distinct()
+    contested = _scored(left.join(clashes, pair, "left_semi").join(right, pair), pair, F.lit(T.REFINED))
+    refined = best.join(clashes, pair, "left_anti").unionByName(take_greedily(contested, pair))
+    rows = exact.withColumns({"phase": F.lit("exact"), "score": F.lit(1.0)}).unionByName(refined.withColumn("phase", F.lit("refined")))
+    return settled(rows, "matches")
 
 
 def merge_blocks(template: DataFrame, destination: DataFrame, matches: DataFrame, pair: str) -> DataFrame:

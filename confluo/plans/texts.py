@@ -117,6 +117,27 @@ def merge_text(spark, sf_dir):
     return merged.select("doc_id", F.octet_length("merged").alias("n_bytes"), F.md5(F.col("merged").cast("binary")).alias("digest"))
 
 
+#: Every pair of left-over blocks scored, then each destination block in turn takes the best that is free.
+MATCH_SQL = r"""
+WITH RECURSIVE src AS (SELECT doc_id, string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10)) AS bs FROM documents WHERE text IS NOT NULL),
+raw AS (SELECT doc_id, unnest(bs) AS b, generate_subscripts(bs, 1) - 1 AS i FROM src),
+both_ AS (SELECT doc_id, i, 0 AS side, b FROM raw UNION ALL SELECT doc_id, i, 1, CASE WHEN i % 3 = 1 THEN 'Changed ' || b ELSE b END FROM raw),
+clean AS (SELECT doc_id, side, i, trim(regexp_replace(b, '\s+', ' ', 'g')) AS x FROM both_),
+idx AS (SELECT doc_id, side, x, row_number() OVER (PARTITION BY doc_id, side ORDER BY i) - 1 AS idx, count(*) OVER (PARTITION BY doc_id, side) AS total FROM clean WHERE x <> ''),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, side, x ORDER BY idx) AS k FROM idx),
+ex AS (SELECT t.doc_id, t.idx AS t, d.idx AS d FROM k t JOIN k d ON t.side = 0 AND d.side = 1 AND t.doc_id = d.doc_id AND t.x = d.x AND t.k = d.k),
+l AS (SELECT * FROM idx WHERE side = 0 AND (doc_id, idx) NOT IN (SELECT (doc_id, t) FROM ex)), r AS (SELECT * FROM idx WHERE side = 1 AND (doc_id, idx) NOT IN (SELECT (doc_id, d) FROM ex)),
+p0 AS (SELECT l.doc_id, l.idx AS t, r.idx AS d, l.x AS a, r.x AS b, 0.15::DOUBLE * (least(strlen(l.x), strlen(r.x))::DOUBLE / greatest(strlen(l.x), strlen(r.x)))
+  + 0.15::DOUBLE * (1 - abs(CASE WHEN l.total <= 1 THEN 0.5 ELSE l.idx::DOUBLE / (l.total - 1) END - CASE WHEN r.total <= 1 THEN 0.5 ELSE r.idx::DOUBLE / (r.total - 1) END)) AS fixed FROM l JOIN r ON l.doc_id = r.doc_id),
+p1 AS (SELECT *, greatest(length(a), length(b)) AS longer FROM p0 WHERE 0.7::DOUBLE * (least(length(a), length(b))::DOUBLE / greatest(length(a), length(b))) + fixed >= 0.7 - 1e-9),
+c AS MATERIALIZED (SELECT doc_id, t, d, score FROM (SELECT doc_id, t, d, 0.7::DOUBLE * (1 - levenshtein(a, b)::DOUBLE / longer) + fixed AS score FROM p1) WHERE score >= 0.7::DOUBLE),
+o AS MATERIALIZED (SELECT doc_id, d, row_number() OVER (PARTITION BY doc_id ORDER BY d) AS step, list({'t': t, 's': score} ORDER BY score DESC, t) AS wanted FROM c GROUP BY doc_id, d),
+g(doc_id, step, d, hit, taken) AS (SELECT DISTINCT doc_id, 0::BIGINT, NULL::BIGINT, NULL::STRUCT(t BIGINT, s DOUBLE), []::BIGINT[] FROM o UNION ALL
+  SELECT n.doc_id, n.step, n.d, n.hit, CASE WHEN n.hit IS NULL THEN n.taken ELSE list_append(n.taken, n.hit.t) END FROM (SELECT o.doc_id, o.step, o.d, list_filter(o.wanted, lambda w: NOT list_contains(g.taken, w.t))[1] AS hit, g.taken FROM g JOIN o ON o.doc_id = g.doc_id AND o.step = g.step + 1) n),
+m AS (SELECT doc_id, t AS template_idx, d AS destination_idx, 'exact' AS phase, 1.0::DOUBLE AS score FROM ex UNION ALL SELECT doc_id, hit.t, d, 'refined', round(hit.s, 9) FROM g WHERE hit IS NOT NULL)
+"""
+
+
 def slugify(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
@@ -176,6 +197,10 @@ ORACLE_SQL = {
     "length_similarity": "WITH d AS (SELECT doc_id, strlen(replace(text, chr(10), chr(10) || chr(10))) AS n FROM documents WHERE text IS NOT NULL) SELECT r.doc_id, round(CASE WHEN greatest(l.n, r.n) = 0 THEN 1.0 ELSE least(l.n, r.n)::DOUBLE / greatest(l.n, r.n) END, 9) AS similarity FROM d l JOIN d r ON l.doc_id + 1 = r.doc_id",
     "position_similarity": "WITH n AS (SELECT l_orderkey, l_linenumber, l_linenumber - 1 AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem), p AS (SELECT *, (l_linenumber * 3 - 1) % n AS j FROM n) SELECT l_orderkey, l_linenumber, round(1 - abs(CASE WHEN n <= 1 THEN 0.5 ELSE i::DOUBLE / (n - 1) END - CASE WHEN n <= 1 THEN 0.5 ELSE j::DOUBLE / (n - 1) END), 9) AS similarity FROM p",
     "exact_block_match": EXACT_SQL,
+    "refined_block_match": MATCH_SQL + "SELECT doc_id, template_idx::INT AS template_idx, destination_idx::INT AS destination_idx, phase, score FROM m",
+    "merge_text": MATCH_SQL
+    + """, f AS (SELECT doc_id, 1 - side AS part, idx, x FROM idx WHERE side = 1 UNION ALL SELECT doc_id, 1, idx, x FROM idx WHERE side = 0 AND (doc_id, idx) NOT IN (SELECT (doc_id, template_idx) FROM m)),
+      w AS (SELECT doc_id, string_agg(x, chr(10) || chr(10) ORDER BY part, idx) AS t FROM f GROUP BY doc_id) SELECT doc_id, strlen(t)::INT AS n_bytes, md5(t) AS digest FROM w""",
     "slugify": SLUG_SQL,
     "json_pointer_escape": "SELECT p_partkey, '/parts/' || replace(replace(p_name || '/~' || p_type, '~', '~0'), '/', '~1') AS pointer FROM part",
     "conflict_documents": "SELECT o_orderkey, '<<<<<<<<< ours' || chr(10) || o_orderpriority || '#o' || chr(10) || '||||||||| base' || chr(10) || o_orderpriority || chr(10) || '=========' || chr(10) || o_orderpriority || '#t' || chr(10) || '>>>>>>>>> theirs' AS document FROM orders",
