@@ -27,7 +27,7 @@ ROWS = 8192
 #: Columns of a node, besides the keys of its text; offsets count bytes and lines from 0, ends are open.
 NODE = {
     "path": "string", "parent": "string", "name": "string", "pos": "bigint", "order": "array<bigint>", "kind": "string", "label": "string", "value": "string", "digest": "string",
-    "start": "bigint", "end": "bigint", "line": "bigint", "end_line": "bigint", "repaired": "boolean",
+    "start": "bigint", "end": "bigint", "line": "bigint", "end_line": "bigint", "in_array": "boolean", "repaired": "boolean",
 }
 
 
@@ -104,7 +104,7 @@ def nodes(source: str) -> list[dict]:
             continue
         own, begins, at = name or (None, m.start(), line)
         name = None
-        node = {"name": own, "start": begins, "line": at, "label": "", "repaired": False}
+        node = {"name": own, "start": begins, "line": at, "label": "", "in_array": bool(top) and (top["in_array"] or top["kind"] == "array"), "repaired": False}
         if top:
             before = top["parts"].get(own) if top["kind"] == "object" else None
             node["pos"] = before["pos"] if before else len(top["parts"])
@@ -139,7 +139,7 @@ def _rows(lenient: bool):
             return nodes(source)
         if lenient and valid(repaired := TRAILING.sub(lambda m: m[1] or "", source)):
             return [n | {"repaired": True} for n in nodes(repaired)]
-        return [{"path": "", "order": [], "pos": 0}]
+        return [{"path": "", "order": [], "pos": 0, "in_array": False}]
 
     def batch_of(batch, at, rows, schema):
         names = schema.names[batch.num_columns - 1 :]

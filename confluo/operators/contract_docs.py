@@ -81,9 +81,9 @@ def history_violations(rows: DataFrame, key: str, operation: str = "history_repl
 def canonical_summaries(docs: DataFrame, rows: DataFrame, violations: DataFrame, key: str, column: str) -> DataFrame:
     """One row for each document without violations: counts, sorted ids and categories, the safety gate, and the document's digest."""
     fine = rows.filter("v IS NOT NULL").join(violations.select(key).distinct(), key, "left_anti")
-    results = _section(fine, key, "$.case_results").select(key, _at("value", "id", "string").alias("id"), _at("value", "outcome", "string").alias("outcome"), F.coalesce(_at("value", "score_eligible", "boolean"), F.lit(False)).alias("eligible"))
+    results = _section(fine, key, "$.case_results").select(key, _at("value", "id", "string").alias("result_id"), _at("value", "outcome", "string").alias("outcome"), F.coalesce(_at("value", "score_eligible", "boolean"), F.lit(False)).alias("eligible"))
     excluded, harmful = F.col("outcome").isin(*EXCLUDED), F.col("eligible") & (F.col("outcome") == "false_auto_merge")
-    ids = lambda when: F.array_sort(F.collect_list(F.when(when, F.col("id"))))
+    ids = lambda when: F.array_sort(F.collect_list(F.when(when, F.col("result_id"))))
     per = results.groupBy(key).agg(F.count(F.lit(1)).alias("results"), ids(F.col("eligible")).alias("eligible_ids"), ids(excluded).alias("excluded_ids"), F.count_if(harmful).alias("false_auto_merges"))
     cases = _section(fine, key, "$.cases").groupBy(key).agg(F.count(F.lit(1)).alias("cases"))
     reasons = fine.select(key, F.try_variant_get("v", "$.run_manifest.selection.explanation", "map<string,variant>").alias("m"), (F.try_variant_get("v", "$.run_manifest.base_adapter", "variant").isNotNull().cast("int") + 1).alias("adapters"), F.size(F.try_variant_get("v", "$.run_manifest.selection.selected_case_ids", "array<variant>")).alias("selected"))

@@ -32,8 +32,8 @@ def owners(rows: DataFrame, key: str, column: str) -> DataFrame:
 
 
 def _side(rows: DataFrame, key: str, column: str, prefix: str, lenient: bool = False) -> DataFrame:
-    """Nodes with prefixed columns, but for those that the sides share."""
-    own = json_nodes(rows, [key], column, lenient)
+    """Nodes with prefixed columns, but for those that the sides share; arrays are taken whole, so what stands in them is left out."""
+    own = json_nodes(rows, [key], column, lenient).filter("NOT in_array")
     return own.select(key, "path", "parent", "name", "label", *[F.col(c).alias(f"{prefix}_{c}") for c in ("pos", "order", "kind", "value", "digest", "repaired")])
 
 

@@ -60,6 +60,7 @@ def upserted(text: Column, heading: Column, replacement: Column, level: int = 2)
     """The first section of that heading and level replaced, subsections and all; put in after the first paragraph where there is none.
 
     A blank line is kept between the section and what stands around it; one line feed ends the text.
+    Text after a section that was put in belongs to it until the next heading, as in any section.
     """
     lines, none = text_lines(text), F.array().cast("array<string>")
     n, new = F.size(lines), F.split(replacement, "\n")
