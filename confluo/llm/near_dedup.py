@@ -14,9 +14,9 @@ the words), which few pairs below the threshold pass.
 Equal texts are folded into one node first.  Within a bucket each text is
 aligned with the bucket's least text, and those that fail it form a bucket
 again, for ``ROUNDS`` rounds, which link the members of large groups in linear work.
-Then, in buckets that hold several components, the texts of other components are aligned with the bucket's text of
-most links, until a round of that links nothing, and in buckets of at most FEW texts
-all pairs of different components.  In larger buckets two texts that are near each
+Then, where a bucket holds several components, all its pairs of different ones follow if
+it has at most FEW texts; in larger buckets the texts of other components are aligned with
+the bucket's text of most links, until a round of that links nothing.  In larger buckets two texts that are near each
 other but near none of those they were aligned with stay apart unless another bucket
 links them; no work grows with the pairs of a bucket.
 Classes are the connected components of the links.
@@ -280,9 +280,9 @@ def links(texts: DataFrame) -> DataFrame:
         both = pairs
         for side, end in (("a", ""), ("b", "_b")):
             both = both.join(features.select(F.col("key").alias(side), *[F.col(f).alias(f"{f}{end}") for f in FEATURES]), side)
-        both = both.filter(_likely()).select("a", "b")
+        likely = both = stored(both.filter(_likely()).select("a", "b"), "likely")
         for side in ("a", "b"):
-            both = both.join(kept.select(F.col("key").alias(side), F.col("text").alias(f"text_{side}")), side)
+            both = both.join(_with_keys(kept, likely.select(F.col(side).alias("key"))).select(F.col("key").alias(side), F.col("text").alias(f"text_{side}")), side)
         return stored(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a binary, b binary, near boolean"), "checked")
 
     tried, left, checks = None, shared, []
@@ -300,25 +300,29 @@ def links(texts: DataFrame) -> DataFrame:
     roots = stored(components(_linked(checks)), "roots")
     mixed = _mixed(shared, roots)
     discard(left, shared)
-    while not mixed.isEmpty():
+    sizes = mixed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    few, many = (mixed.join(sizes.filter(which).select("bucket"), "bucket", "left_semi") for which in (F.col("n") <= FEW, F.col("n") > FEW))
+    apart = stored(few.join(features, "key"), "apart")
+    others = apart.select(F.col("bucket").alias("of"), F.col("key").alias("b"), F.col("root").alias("root_b"), *[F.col(f).alias(f"{f}_b") for f in FEATURES])
+    rest = apart.join(others, (F.col("bucket") == F.col("of")) & (F.col("key") > F.col("b")) & (F.col("root") != F.col("root_b")) & _likely()).select("key", "b")
+    mixed, before = stored(many, "mixed"), mixed
+    discard(before)
+    while True:
         found = _linked(checks)
         degree = found.select(F.col("a").alias("key")).unionByName(found.select(F.col("b").alias("key"))).groupBy("key").agg(F.count(F.lit(1)).alias("degree"))
         ranked = mixed.join(degree, "key", "left").select("bucket", F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), "key", "root").alias("lead"))
         hubs = stored(ranked.groupBy("bucket").agg(F.max("lead").alias("lead"), F.count(F.lit(1)).alias("n")), "hubs")
-        tests = join_hot(mixed, hubs.select("bucket", F.col("lead.key").alias("b"), F.col("lead.root").alias("root_b"), "n"), "bucket", "n").filter("root != root_b")
-        pairs = stored(_untried(tests, tried), "pairs")
+        tests = join_hot(mixed, hubs.select("bucket", F.col("lead.key").alias("b"), F.col("lead.root").alias("root_b"), "n"), "bucket", "n").filter("root != root_b").select("key", "b")
+        pairs = stored(_untried(tests if rest is None else tests.unionByName(rest), tried), "pairs")
         checks.append(near(pairs))
-        tried, new = tried.unionByName(pairs), checks[-1].filter("near").select("a", "b")
-        if new.isEmpty():
+        tried, rest, new = tried.unionByName(pairs), None, checks[-1].filter("near").select("a", "b")
+        if mixed.isEmpty() or new.isEmpty():
             break
         roots = stored(components(roots.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new)), "roots")
         before, mixed = mixed, _mixed(mixed.select("bucket", "key"), roots)
         discard(before, hubs)
-    few = mixed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= FEW).select("bucket")
-    apart = stored(mixed.join(few, "bucket", "left_semi").join(features, "key"), "apart")
-    others = apart.select(F.col("bucket").alias("of"), F.col("key").alias("b"), F.col("root").alias("root_b"), *[F.col(f).alias(f"{f}_b") for f in FEATURES])
-    pairs = apart.join(others, (F.col("bucket") == F.col("of")) & (F.col("key") > F.col("b")) & (F.col("root") != F.col("root_b")) & _likely())
-    checks.append(near(stored(_untried(pairs, tried), "pairs")))
+        if mixed.isEmpty():
+            break
     discard(mixed, apart, roots, kept, features)
     return _linked(checks)
 
@@ -327,6 +331,20 @@ def _linked(checks: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [c.filter("near").select("a", "b") for c in checks])
 
 
+#: Bits of a map of wanted keys: 4 MB, whatever the input.
+KEY_BITS = 1 << 25
+
+
+def _with_keys(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose key is not in ``keys``: a bitmap of fixed size is broadcast, and nothing shuffles."""
+    slot = F.pmod(F.xxhash64("key"), F.lit(KEY_BITS))
+    maps = keys.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    probe = rows.withColumn("part", F.bitmap_bucket_number(slot)).join(F.broadcast(maps), "part")
+    bit = F.bitmap_bit_position(slot).cast("int")
+    byte = F.conv(F.hex(F.substring("bits", F.shiftright(bit, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    return probe.filter(byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), bit % 8 + 1)) != 0).select(*rows.columns)
+
+
 def _mixed(entries: DataFrame, roots: DataFrame) -> DataFrame:
     """(bucket, key, root) of the entries of buckets that hold several components; a text without links is one by itself."""
     named = stored(entries.join(roots, F.col("key") == F.col("node"), "left").select("bucket", "key", F.coalesce("root", "key").alias("root")), "named")
