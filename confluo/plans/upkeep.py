@@ -48,6 +48,42 @@ SELECT doc_id, replace(CASE doc_id % 5 WHEN 1 THEN text WHEN 0 THEN head || '|'
 """
 
 
+def _marked(spark, sf_dir):
+    """Whole documents, some of whose lines are a title, markers or version headings by number."""
+    k = F.col("doc_id")
+
+    def line(x, i):
+        return (
+            F.when((i == 0) & (k % 2 == 0), F.concat(F.lit("# "), x)).when((i == 1) & (k % 3 < 2), "<!-- m:start -->").when((i == 4) & (k % 3 == 0), "<!-- m:end -->")
+            .when((i == 2) & (k % 5 == 0), F.concat(F.lit("## "), x)).when((i == 3) & (k % 5 == 1), "## unreleased things").when((i > 4) & (i % 7 < 3), "").otherwise(x)
+        )
+
+    return table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", F.array_join(F.transform(F.split("text", "\n"), line), "\n").alias("text"))
+
+
+def managed_texts(spark, sf_dir):
+    """Blocks kept up to date in whole documents, and their titles."""
+    block = F.concat(F.lit("<!-- m:start -->\nid "), F.col("doc_id").cast("string"), F.lit("\n<!-- m:end -->"))
+    made = {"markdown": managed.markdown_block(F.col("text"), "m", block), "plain": managed.text_block(F.col("text"), "<!-- m:start -->", "<!-- m:end -->", block), "titled": managed.titled(F.col("text"), F.lit("New"))}
+    return _marked(spark, sf_dir).select("doc_id", *[F.md5(c.cast("binary")).alias(name) for name, c in made.items()])
+
+
+def changelog_texts(spark, sf_dir):
+    """Whole documents as changelogs."""
+    return _marked(spark, sf_dir).select("doc_id", F.md5(managed.changelog(F.col("text")).cast("binary")).alias("changelog"))
+
+
+MARKED_SQL = r"""
+WITH r AS (SELECT doc_id AS k, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents WHERE text IS NOT NULL),
+l AS (SELECT k, i, CASE WHEN i = 0 AND k % 2 = 0 THEN '# ' || raw WHEN i = 1 AND k % 3 < 2 THEN '<!-- m:start -->' WHEN i = 4 AND k % 3 = 0 THEN '<!-- m:end -->' WHEN i = 2 AND k % 5 = 0 THEN '## ' || raw WHEN i = 3 AND k % 5 = 1 THEN '## unreleased things' WHEN i > 4 AND i % 7 < 3 THEN '' ELSE raw END AS x FROM r),
+t AS (SELECT k, string_agg(x, chr(10) ORDER BY i) AS text, max(i) + 1 AS n, min(i) FILTER (x = '<!-- m:start -->') AS a, min(i) FILTER (x = '<!-- m:end -->') AS b, min(i) FILTER (starts_with(x, '# ')) AS title, min(i) FILTER (starts_with(x, '## ')) AS section,
+  bool_or(regexp_matches(lower(x), '^## (\[unreleased\]|unreleased)')) AS open_, '<!-- m:start -->' || chr(10) || 'id ' || k || chr(10) || '<!-- m:end -->' AS block FROM l GROUP BY k),
+c AS (SELECT t.*, (SELECT string_agg(x || chr(10), '' ORDER BY i) FROM l WHERE l.k = t.k AND i < a) AS head, (SELECT string_agg(chr(10) || x, '' ORDER BY i) FROM l WHERE l.k = t.k AND i > b) AS tail,
+  (SELECT string_agg(x || chr(10), '' ORDER BY i) FROM l WHERE l.k = t.k AND i < title) AS above, (SELECT string_agg(chr(10) || x, '' ORDER BY i) FROM l WHERE l.k = t.k AND i > title) AS under,
+  (SELECT string_agg(x, chr(10) ORDER BY i) FROM l WHERE l.k = t.k AND i < coalesce(section, n)) AS before, (SELECT string_agg(x, chr(10) ORDER BY i) FROM l WHERE l.k = t.k AND i >= section) AS after FROM t)
+"""
+
+
 def heading_keys(spark, sf_dir):
     """Headings, licences and addresses made of part names."""
     k, name = F.col("p_partkey"), F.col("p_name")
@@ -106,10 +142,19 @@ def report_cover(spark, sf_dir):
     return contracts.report_cover(table(spark, sf_dir, "labels").select((F.col("doc_id") + 3).alias("result_id")), reported)
 
 
-QUERIES = {f.__name__: f for f in (managed_blocks, changelogs, heading_keys, contract_cases, contract_results, report_cover)}
+QUERIES = {f.__name__: f for f in (managed_blocks, changelogs, managed_texts, changelog_texts, heading_keys, contract_cases, contract_results, report_cover)}
 ORACLE_SQL = {
     "managed_blocks": BLOCKS_SQL,
     "changelogs": CHANGELOG_SQL,
+    "managed_texts": MARKED_SQL
+    + """SELECT k AS doc_id, md5(CASE WHEN b > a THEN coalesce(head, '') || block || coalesce(tail, '') ELSE rtrim(text, chr(10)) || chr(10) || chr(10) || block || chr(10) END) AS markdown,
+      md5(CASE WHEN b > a THEN coalesce(head, '') || block || coalesce(tail, '') WHEN rtrim(text, chr(10)) = '' THEN block ELSE rtrim(text, chr(10)) || chr(10) || block END) AS plain,
+      md5(CASE WHEN title IS NULL THEN '# New' || chr(10) || chr(10) || text ELSE coalesce(above, '') || '# New' || coalesce(under, '') END) AS titled FROM c""",
+    "changelog_texts": MARKED_SQL
+    + r""", u AS (SELECT *, starts_with(text, '# ') AS own, chr(10) || '## [Unreleased]' || chr(10) || chr(10) || '### Added' || chr(10) || chr(10) || '### Changed' || chr(10) || chr(10) || '### Fixed' || chr(10) AS todo FROM c),
+    w AS (SELECT *, CASE WHEN own THEN '' ELSE '# Changelog' || chr(10) || chr(10) END || coalesce(before || chr(10), '') || todo || coalesce(chr(10) || after, '') AS whole FROM u),
+    m AS (SELECT k, CASE WHEN open_ THEN CASE WHEN own THEN '' ELSE '# Changelog' || chr(10) || chr(10) END || text ELSE rtrim(regexp_replace(regexp_replace(whole, '^\n{2,}', chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), chr(10)) END AS text FROM w)
+    SELECT k AS doc_id, md5(CASE WHEN ends_with(text, chr(10)) THEN text ELSE text || chr(10) END) AS changelog FROM m""",
     "heading_keys": HEADINGS_SQL,
     "contract_cases": CASES_SQL
     + "SELECT case_id, unnest(list_filter([CASE WHEN k % 11 = 0 THEN 'schema' END, CASE WHEN k % 3 = 2 THEN 'enum_operation' END, CASE WHEN k % 7 < 2 THEN 'unsorted_capabilities' END, CASE WHEN k % 3 = 0 AND k % 5 = 0 THEN 'missing_field' END, CASE WHEN k % 4 = 0 AND k * 2 NOT IN (SELECT case_id FROM c) THEN 'unknown_parent' END, CASE WHEN case_id IN (SELECT case_id FROM c GROUP BY 1 HAVING count(*) > 1) THEN 'repeated_id' END], lambda x: x IS NOT NULL)) AS category FROM c",
