@@ -56,33 +56,38 @@ def section_paths(tree: DataFrame, key: str) -> DataFrame:
     return reduce(step, range(5), out).drop("up")
 
 
-def upserted(text: Column, heading: Column, replacement: Column, level: int = 2) -> Column:
-    """The first section of that heading and level replaced, subsections and all; put in after the first paragraph where there is none.
+def upsert_sections(rows: DataFrame, text: str, heading: str, replacement: str, result: str, level: int = 2) -> DataFrame:
+    """``rows`` with ``result``: the text with the first section of that heading and level replaced, subsections and all.
 
-    A blank line is kept between the section and what stands around it; one line feed ends the text.
+    Where there is none it is put in after the first paragraph.  A blank line is kept
+    between the section and what stands around it; one line feed ends the text.
     Text after a section that was put in belongs to it until the next heading, as in any section.
     """
-    lines, none = text_lines(text), F.array().cast("array<string>")
-    n, new = F.size(lines), F.split(replacement, "\n")
-    bare = F.transform(lines, lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
-    at = F.array_position(bare, F.concat(F.lit("#" * level + " "), heading)).cast("int")
-    rest = F.slice(lines, at + 1, F.greatest(n - at, F.lit(0)))
-    stop = F.array_position(F.transform(rest, lambda x: (level_of(x) > 0) & (level_of(x) <= level)), True).cast("int")
-    end = F.when(stop > 0, at + stop - 1).otherwise(n)
+    none, lines, n = F.array().cast("array<string>"), F.col("_lines"), F.col("_n")
 
     def first(test, start: Column) -> Column:
         """The first line from ``start`` that the test holds for, else the number of lines."""
         found = F.array_position(F.transform(F.slice(lines, start + 1, F.greatest(n - start, F.lit(0))), test), True).cast("int")
         return F.when(found > 0, start + found - 1).otherwise(n)
 
-    titled = F.when(F.coalesce(level_of(F.get(lines, F.lit(0))), F.lit(0)) == 1, first(lambda x: x != "", F.lit(1))).otherwise(0)
-    place = first(lambda x: x != "", first(lambda x: x == "", titled))
+    # a column for every step, so that no step is evaluated again for the next
+    bare = F.transform(lines, lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
+    steps = [
+        {"_lines": text_lines(F.col(text))},
+        {"_n": F.size("_lines"), "_at": F.array_position(bare, F.concat(F.lit("#" * level + " "), F.col(heading))).cast("int") - 1},
+        {"_end": F.when(F.col("_at") >= 0, first(lambda x: (level_of(x) > 0) & (level_of(x) <= level), F.col("_at") + 1)), "_body": F.when(F.coalesce(level_of(F.get(lines, F.lit(0))), F.lit(0)) == 1, first(lambda x: x != "", F.lit(1))).otherwise(0)},
+        {"_blank": first(lambda x: x == "", F.col("_body"))},
+        {"_place": F.when(F.col("_at") >= 0, F.col("_at")).otherwise(first(lambda x: x != "", F.col("_blank")))},
+        {"_resume": F.coalesce("_end", "_place")},
+    ]
+    out = rows
+    for step in steps:
+        out = out.withColumns(step)
     gap = lambda line: F.when(F.coalesce(line != "", F.lit(False)), F.array(F.lit(""))).otherwise(none)
     run = lambda start, stop: F.slice(lines, start + 1, F.greatest(stop - start, F.lit(0)))
-    replaced = F.concat(run(F.lit(0), at - 1), new, gap(F.get(lines, end)), run(end, n))
-    inserted = F.concat(run(F.lit(0), place), gap(F.get(lines, place - 1)), new, gap(F.get(lines, place)), run(place, n))
-    whole = F.when(n == 0, new).when(at > 0, replaced).otherwise(inserted)
-    return F.concat(F.array_join(whole, "\n"), F.lit("\n"))
+    ahead = F.when(F.col("_at") >= 0, none).otherwise(gap(F.get(lines, F.col("_place") - 1)))
+    whole = F.concat(run(F.lit(0), F.col("_place")), ahead, F.split(replacement, "\n"), gap(F.get(lines, F.col("_resume"))), run(F.col("_resume"), n))
+    return out.withColumn(result, F.concat(F.array_join(whole, "\n"), F.lit("\n"))).drop(*[c for step in steps for c in step])
 
 
 #: Languages of a family in their order, and what they are called.
@@ -121,8 +126,9 @@ def resolved(content: Column, tokens: Column) -> Column:
     return F.aggregate(F.array_sort(F.map_entries(tokens)), content, lambda c, e: F.replace(c, F.concat(F.lit("{"), e["key"], F.lit("}")), e["value"]))
 
 
-def family_readme(text: Column, family: Column, name: Column, summary: Column, partial: str) -> Column:
-    """A readme with the family's section brought up to date; one that is missing (null) begins with name and summary."""
-    section = F.regexp_replace(resolved(F.lit(partial), family_tokens(family)), r"\n+\z", "")
-    base = F.coalesce(text, F.concat(F.lit("# "), name, F.lit("\n\n"), summary, F.lit("\n")))
-    return upserted(base, F.coalesce(family["heading"], F.lit("")), section)
+def family_readmes(rows: DataFrame, text: str, family: str, name: str, summary: str, partial: str, result: str) -> DataFrame:
+    """``rows`` with ``result``: readmes with the family's section brought up to date; one that is missing (null) begins with name and summary."""
+    section = F.regexp_replace(resolved(F.lit(partial), family_tokens(F.col(family))), r"\n+\z", "")
+    base = F.coalesce(text, F.concat(F.lit("# "), F.col(name), F.lit("\n\n"), F.col(summary), F.lit("\n")))
+    ready = rows.withColumns({"_base": base, "_section": section, "_heading": F.coalesce(F.col(family)["heading"], F.lit(""))})
+    return upsert_sections(ready, "_base", "_heading", "_section", result).drop("_base", "_section", "_heading")

@@ -53,9 +53,10 @@ def _families(spark, sf_dir):
 
 def readme_sections(spark, sf_dir):
     """Readmes with the family section replaced, inserted, or begun anew, and whether that changed them."""
-    f = _families(spark, sf_dir)
-    new = sections.family_readme(F.col("text"), F.col("family"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")), F.lit("A summary."), PARTIAL)
-    return f.select("doc_id", new.alias("new"), "text").select("doc_id", F.md5(F.col("new").cast("binary")).alias("digest"), (~F.col("new").eqNullSafe(F.col("text"))).alias("changed"), F.col("text").isNull().alias("created"))
+    f = _families(spark, sf_dir).withColumns({"name": F.concat(F.lit("doc"), F.col("doc_id").cast("string")), "summary": F.lit("A summary.")})
+    done = sections.family_readmes(f, "text", "family", "name", "summary", PARTIAL, "new")
+    return done.select("doc_id", F.md5(F.col("new").cast("binary")).alias("digest"), (~F.col("new").eqNullSafe(F.col("text"))).alias("changed"), F.col("text").isNull().alias("created"))
+
 
 
 HEADED_SQL = r"""

@@ -233,7 +233,7 @@ def test_sections_of_random_texts(spark):
     for x in sections.section_tree(df, "id", "text").collect():
         got.setdefault(x.id, []).append((x.line, x.level, x.title, x.end, x.parent))
     assert {k: sorted(v) for k, v in got.items()} == {k: v for k, t in rows if (v := headings(t))}
-    new = df.filter("text IS NOT NULL").select("id", sections.upserted(F.col("text"), F.lit("Family"), F.lit("## Family\n\nnew")).alias("new"))
+    new = sections.upsert_sections(df.filter("text IS NOT NULL").withColumns({"heading": F.lit("Family"), "section": F.lit("## Family\n\nnew")}), "text", "heading", "section", "new")
     want = {k: upserted(t, "Family", "## Family\n\nnew") for k, t in [*rows, (-2, "")]}
     assert {x.id: x.new for x in new.collect()} == want
 
