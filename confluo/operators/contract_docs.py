@@ -93,3 +93,19 @@ def canonical_summaries(docs: DataFrame, rows: DataFrame, violations: DataFrame,
         key, "adapters", F.coalesce("cases", F.lit(0)).alias("cases"), F.coalesce("results", F.lit(0)).alias("results"), "selected", F.coalesce("eligible_ids", none).alias("eligible_ids"), F.coalesce("excluded_ids", none).alias("excluded_ids"),
         F.coalesce("false_auto_merges", F.lit(0)).alias("false_auto_merges"), F.when(F.col("false_auto_merges") > 0, "fail").otherwise("pass").alias("gate"), F.array_sort(F.map_keys("m")).alias("reasons"), "digest",
     )
+
+
+def membership_violations(rows: DataFrame, key: str, fields: list[tuple[str, str, str]]) -> DataFrame:
+    """(key, subject, category) of members whose value the document's own lists do not hold.
+
+    ``fields``: section (an array of objects with ids), member, and the list under
+    ``contract``.  A member that is missing is held against the list as an empty text; a
+    list that is missing holds nothing.
+    """
+    found = None
+    for section, member, listed in fields:
+        lists = rows.select(key, F.coalesce(F.try_variant_get("v", f"$.contract.{listed}", "array<string>"), F.array().cast("array<string>")).alias("known"))
+        part = _section(rows, key, f"$.{section}").select(key, _at("value", "id", "string").alias("subject"), F.coalesce(_at("value", member, "string"), F.lit("")).alias("said"))
+        bad = part.join(lists, key).filter(~F.array_contains("known", F.col("said"))).select(key, "subject", F.lit(f"{member}_not_in_{listed}").alias("category"))
+        found = bad if found is None else found.unionByName(bad)
+    return found

@@ -136,3 +136,20 @@ def archive_plan(rows: DataFrame) -> DataFrame:
         .otherwise("rewrite")
     )
     return rows.filter(ours | theirs).withColumn("decision", decision)
+
+
+def merge_nested_keys(template: DataFrame, destination: DataFrame, doc: str, path: str, value: str) -> DataFrame:
+    """(doc, path, value, source): tables of nested keys merged at every depth, the destination winning.
+
+    A row is a leaf; ``path`` is the array of keys that lead to it.  A template leaf stays
+    unless the destination has that leaf, a leaf above it (a value where the template has
+    a table), or a leaf below it (a table where the template has a value).
+    """
+    above = lambda leaf: F.transform(F.sequence(F.lit(1), F.size(leaf)), lambda n: F.slice(leaf, F.lit(1), n))
+    # every prefix of a destination leaf is taken for template leaves there; whole leaves are for those below
+    taken = destination.select(doc, F.explode(above(F.col(path))).alias(path)).distinct()
+    whole = destination.select(doc, F.col(path).alias("_above")).distinct()
+    rest = template.join(taken, [doc, path], "left_anti")
+    below = rest.select(doc, path, F.explode(above(F.col(path))).alias("_above")).join(whole, [doc, "_above"], "left_semi").select(doc, path).distinct()
+    kept = rest.join(below, [doc, path], "left_anti")
+    return destination.select(doc, path, value, F.lit("destination").alias("source")).unionByName(kept.select(doc, path, value, F.lit("template").alias("source")))

@@ -33,7 +33,7 @@ def _documents(spark, sf_dir):
     m = F.col("contract")
     base = F.when(m % 2 == 0, ',"base_adapter":{"id":"b"}').otherwise("")
     why = F.when(m % 4 == 0, '{"size":1,"age":2}').otherwise('{"risk":null,"Kind":[]}')
-    whole = cat('{"run_manifest":{"selection":{"selected_case_ids":[', F.col("ids"), '],"explanation":', why, "}", base, '},"cases":[', F.col("cases"), '],"case_results":[', F.coalesce("results", F.lit("")), "]}")
+    whole = cat('{"run_manifest":{"selection":{"selected_case_ids":[', F.col("ids"), '],"explanation":', why, "}", base, '},"contract":{"operations":["merge3"', F.when(m % 6 == 0, "").otherwise(',"history_replay"'), "]", F.when(m % 5 == 0, "").otherwise(',"outcomes":["merged","unsupported","conflict"]'), '},"cases":[', F.col("cases"), '],"case_results":[', F.coalesce("results", F.lit("")), "]}")
     return cases.join(results, "contract", "left").select("contract", whole.alias("source"))
 
 
@@ -56,6 +56,12 @@ def contract_summaries(spark, sf_dir):
     return done.select("contract", "adapters", "cases", "results", "selected", listed("eligible_ids"), listed("excluded_ids"), "false_auto_merges", "gate", listed("reasons"))
 
 
+def contract_memberships(spark, sf_dir):
+    """Operations and outcomes that a contract's own lists do not hold."""
+    rows = contract_docs.parsed(_documents(spark, sf_dir), "contract", "source")
+    return contract_docs.membership_violations(rows, "contract", [("cases", "operation", "operations"), ("case_results", "outcome", "outcomes")])
+
+
 DOCS_SQL = """
 WITH l AS (SELECT o_custkey AS c, l_orderkey AS k, l_linenumber AS n, o_custkey % 3 = 0 AS bad, 'r' || (l_orderkey * 10 + l_linenumber) AS id, ['merged', 'unsupported', 'conflict', 'false_auto_merge'][l_partkey % 4 + 1] AS outcome, l_suppkey % 2 = 0 AS eligible FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
 h AS (SELECT o_custkey AS c, o_orderkey AS k, o_orderkey % 5 AS f, o_orderkey % 3 = 0 AS inputs FROM orders WHERE o_orderkey % 4 = 0 AND o_custkey % 3 = 0),
@@ -114,10 +120,13 @@ m AS (
   UNION ALL SELECT k, 13, sev, 'unknown signature selector ' || f FROM s WHERE inv AND s2 <> '' AND f <> l AND f <> 'leaf'
   UNION ALL SELECT k, 14, sev, 'unknown commutative parent selector ' || f FROM s WHERE inv AND f <> l AND f <> 'leaf')
 """
-QUERIES = {f.__name__: f for f in (contract_records, contract_histories, contract_summaries, profile_violations, profile_policies)}
+QUERIES = {f.__name__: f for f in (contract_records, contract_histories, contract_memberships, contract_summaries, profile_violations, profile_policies)}
 ORACLE_SQL = {
     "contract_records": DOCS_SQL + "SELECT * FROM r",
     "contract_histories": DOCS_SQL + "SELECT * FROM v",
+    "contract_memberships": DOCS_SQL
+    + """SELECT o_custkey AS contract, o_orderkey::VARCHAR AS subject, 'operation_not_in_operations' AS category FROM orders WHERE o_orderkey % 4 = 0 AND o_custkey % 6 = 0
+      UNION ALL SELECT c, id, 'outcome_not_in_outcomes' FROM l WHERE c % 5 = 0 OR outcome = 'false_auto_merge'""",
     "contract_summaries": DOCS_SQL
     + """, ok AS (SELECT o_custkey AS c, count(*) AS cases FROM orders WHERE o_custkey NOT IN (SELECT contract FROM r UNION SELECT contract FROM v) GROUP BY o_custkey),
     a AS (SELECT c, count(*) AS results, string_agg(id, ',' ORDER BY id) FILTER (eligible) AS e, string_agg(id, ',' ORDER BY id) FILTER (outcome = 'unsupported') AS x, count(*) FILTER (eligible AND outcome = 'false_auto_merge') AS f FROM l WHERE NOT (bad AND n = 7) GROUP BY c)

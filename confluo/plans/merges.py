@@ -216,8 +216,28 @@ SELECT doc_id, ok, CASE WHEN ok THEN md5(array_to_string(m, chr(10))) END AS dig
 """
 
 
-QUERIES = {f.__name__: f for f in (merge3_orders_decisions, merge3_orders_conflicts, merge3_orders_result, merge3_columns, classify_changes, comment_delta, import_set_merge, owner_match_2way, merge2_destination_wins, append_missing, commutative_union, keyed_member_edits, zip_plan, aligned_line_merge)}
+
+def nested_key_merge(spark, sf_dir):
+    """Order lines as nested keys of their orders: the even parts as template, the odd suppliers as destination, at depths that clash."""
+    n = F.col("l_linenumber")
+    key = lambda c, by: F.concat(F.lit(by), c.cast("string"))
+    l = table(spark, sf_dir, "lineitem")
+    template = l.groupBy("l_orderkey", F.when(n % 3 == 0, F.array(key(n, "k"))).when(n % 3 == 1, F.array(key(n, "k"), F.lit("a"))).otherwise(F.array(F.lit("t"), key(n, "k"), F.lit("b"))).alias("path")).agg(F.max("l_returnflag").alias("value"))
+    m = F.col("l_linenumber") + 1
+    destination = l.filter("l_suppkey % 2 = 1").groupBy("l_orderkey", F.when(m % 3 == 0, F.array(key(m, "k"), F.lit("c"))).when(m % 3 == 1, F.array(key(m, "k"))).when(m == 2, F.array(F.lit("t"), F.lit("k2"), F.lit("b"))).otherwise(F.array(F.lit("t"), F.lit("k5"))).alias("path")).agg(F.max("l_linestatus").alias("value"))
+    done = merge.merge_nested_keys(template, destination, "l_orderkey", "path", "value")
+    return done.select("l_orderkey", F.array_join("path", "/").alias("path"), "value", "source")
+
+
+NESTED_SQL = """
+WITH t AS (SELECT l_orderkey, CASE l_linenumber % 3 WHEN 0 THEN 'k' || l_linenumber WHEN 1 THEN 'k' || l_linenumber || '/a' ELSE 't/k' || l_linenumber || '/b' END AS path, max(l_returnflag) AS value FROM lineitem GROUP BY ALL),
+d AS (SELECT l_orderkey, CASE WHEN (l_linenumber + 1) % 3 = 0 THEN 'k' || (l_linenumber + 1) || '/c' WHEN (l_linenumber + 1) % 3 = 1 THEN 'k' || (l_linenumber + 1) WHEN l_linenumber = 1 THEN 't/k2/b' ELSE 't/k5' END AS path, max(l_linestatus) AS value FROM lineitem WHERE l_suppkey % 2 = 1 GROUP BY ALL)
+SELECT *, 'destination' AS source FROM d UNION ALL SELECT *, 'template' FROM t WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.l_orderkey = t.l_orderkey AND (d.path = t.path OR starts_with(d.path, t.path || '/') OR starts_with(t.path, d.path || '/')))
+"""
+
+QUERIES = {f.__name__: f for f in (merge3_orders_decisions, merge3_orders_conflicts, merge3_orders_result, merge3_columns, classify_changes, comment_delta, import_set_merge, owner_match_2way, merge2_destination_wins, append_missing, commutative_union, keyed_member_edits, zip_plan, aligned_line_merge, nested_key_merge)}
 ORACLE_SQL = {
+    "nested_key_merge": NESTED_SQL,
     "merge3_orders_decisions": ROWS_SQL + "SELECT decision, count(*) AS n FROM d GROUP BY decision",
     "merge3_orders_conflicts": ROWS_SQL + "SELECT o_orderkey, decision AS category FROM d WHERE decision IN ('add_add', 'delete_edit', 'edit_edit')",
     "merge3_orders_result": ROWS_SQL + "SELECT o_orderkey, CASE WHEN decision = 'theirs' OR (decision = 'delete_edit' AND NOT ho) THEN tv ELSE ov END AS value FROM d WHERE decision <> 'drop'",

@@ -28,8 +28,12 @@ def write_tree(files: DataFrame, root: str) -> int:
     """Sink of a planned tree: each (path, content) row as a file below ``root``; the number of files.
 
     Tasks write their own rows, so a repeated task writes the same bytes again.
-    Paths that are absolute or leave the root are an error.
+    Paths that are absolute, empty or leave the root are an error, and so is one that
+    two rows name, since either could be the last.
     """
+    twice = files.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR path IS NULL OR path = ''").select("path").first()
+    if twice:
+        raise ValueError(f"{twice.path!r} is no path of one file")
 
     def run(batches):
         from pyarrow import fs

@@ -215,3 +215,6 @@ def test_tree_is_written_as_files(spark, tmp_path):
     files = spark.createDataFrame([("a/b.txt", "hé"), ("c.txt", None)], "path string, content string")
     assert write_tree(files, f"file://{tmp_path}/out") == 2
     assert (tmp_path / "out" / "a" / "b.txt").read_text() == "hé" and (tmp_path / "out" / "c.txt").read_text() == ""
+    for rows in ([("a", "x"), ("a", "y")], [("", "x")], [(None, "x")]):
+        with pytest.raises(ValueError):
+            write_tree(spark.createDataFrame(rows, "path string, content string"), f"file://{tmp_path}/bad")
