@@ -144,3 +144,36 @@ def test_inherited_gates(spark):
     assert {tuple(x) for x in done.collect()} == {("p", "profile", 5, 0.5), ("q", "family", None, 0.7)}
     assert [x.profile for x in backend_profiles.unknown_profiles(profiles, done).collect()] == ["r"]
     assert done.filter(F.col("profile") == "p").count() == 1
+
+
+def test_envelopes_at_their_edges(spark):
+    from confluo.operators import envelopes
+
+    rows = [
+        (1, "review_replay_bundle", '{"kind":"review_replay_bundle","version":1,"replay_bundle":{"a":[1.50,"é"]}}'), (2, "review_replay_bundle", "{"), (3, "review_replay_bundle", None), (4, "review_replay_bundle", '{"kind":"review_replay_bundle","version":"1"}'),
+        (5, "review_replay_bundle", '{"kind":"review_replay_bundle","version":1}'), (6, "review_replay_bundle", '{"kind":"other","version":9}'), (7, "review_replay_bundle", '{"kind":"review_replay_bundle","version":0,"replay_bundle":1}'), (8, "no_kind", '{"kind":"no_kind","version":1}'),
+    ]
+    got = {x.id: (x.ok, x.category, x.payload) for x in envelopes.imported(spark.createDataFrame(rows, "id int, wanted string, source string"), ["id"], "wanted", "source").collect()}
+    assert json.loads(got[1][2]) == {"a": [1.5, "é"]} and got[2] == got[3] == got[6] == (False, "kind_mismatch", None)
+    assert got[5] == (True, None, None) and got[7] == (False, "unsupported_version", None) and got[8] == (True, None, None)
+    d = spark.createDataFrame([("structured_edit_request", "7", 'p"q'), ("structured_edit_request", None, ""), ("nothing", "1", "x")], "kind string, payload string, profile string")
+    texts = [x.t for x in d.select(envelopes.exported(F.col("kind"), F.col("payload"), {"profile_id": F.col("profile")}).alias("t")).collect()]
+    assert [t and json.loads(t) for t in texts] == [{"kind": "structured_edit_request", "version": 1, "profile_id": 'p"q', "request": 7}, {"kind": "structured_edit_request", "version": 1, "request": None}, None]
+    assert len(envelopes.PAYLOADS) == 72
+
+
+def test_suites_of_odd_tables(spark):
+    from confluo.operators import merge, suites
+
+    cases = spark.createDataFrame([(1, "s", 1, "a", "selected", ""), (2, "s", 2, "b", "skipped", "backend"), (3, "s", 3, "c", "selected", "")], "id int, suite string, pos int, case string, status string, messages string")
+    ran = spark.createDataFrame([(1, "failed", "why"), (2, "passed", "")], "id int, outcome string, said string")
+    report = suites.suite_reports(suites.run_cases(cases, ran, "id"), "suite", "pos", "case").first()
+    assert [tuple(x) for x in report.results] == [("a", "failed", "why"), ("b", "skipped", "backend"), ("c", "skipped", "not run")] and (report.total, report.passed, report.failed, report.skipped) == (3, 0, 1, 2)
+    assert suites.suite_reports(suites.run_cases(cases.limit(0), ran, "id"), "suite", "pos", "case").count() == 0
+    odd = spark.createDataFrame([("0A", 10), ("0x1F-", 31), ("deadbeef99", 0xDEADBEEF), ("", 0), ("zz", 0), (None, 0)], "t string, n bigint")
+    assert odd.filter(suites.crc32_of(F.col("t")) != F.col("n")).count() == 0
+    leaves = "doc int, path array<string>, value string"
+    t = spark.createDataFrame([(1, ["a"], "t"), (1, ["b", "c"], "t"), (1, ["d", "e"], "t"), (1, ["d", "f"], "t"), (1, ["g"], "t"), (2, ["a"], None)], leaves)
+    d = spark.createDataFrame([(1, ["a", "x"], "d"), (1, ["b"], "d"), (1, ["d", "e"], "d")], leaves)
+    got = {(x.doc, "/".join(x.path), x.value, x.source) for x in merge.merge_nested_keys(t, d, "doc", "path", "value").collect()}
+    assert got == {(1, "a/x", "d", "destination"), (1, "b", "d", "destination"), (1, "d/e", "d", "destination"), (1, "d/f", "t", "template"), (1, "g", "t", "template"), (2, "a", None, "template")}
