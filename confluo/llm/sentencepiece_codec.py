@@ -29,6 +29,8 @@ from .common import BASE, fresh, mix, slices, table, text_of, utf8
 MARK = "▁"
 #: Distinct words that are encoded together, and words a worker remembers.
 TOGETHER, REMEMBERED = 50_000, 600_000
+#: Characters of equally long words that advance together; tables of some 20 times as many numbers are held.
+CELLS = 100_000
 NEVER = np.int64(1 << 40)
 
 
@@ -200,8 +202,8 @@ class Viterbi:
         order = np.argsort(sizes, kind="stable")
         for group in np.split(order, np.flatnonzero(np.diff(sizes[order])) + 1):
             size = int(sizes[group[0]])
-            for a in range(0, len(group), max(1, 400_000 // size)):
-                part = group[a : a + max(1, 400_000 // size)].tolist()
+            for a in range(0, len(group), max(1, CELLS // size)):
+                part = group[a : a + max(1, CELLS // size)].tolist()
                 ids, counts = self.equal_length(_points("".join([words[i] for i in part])).reshape(len(part), size))
                 ends = np.cumsum(counts)
                 raw, first = ids.astype(np.int32).tobytes(), 0
