@@ -423,3 +423,15 @@ def test_sentencepiece_equals_the_library_and_round_trips(spark, docs, empty):
     for r in coded:
         assert r.piece_ids == library.encode(r.text or "") and r.decoded == (r.text or "")
     assert sentencepiece_codec.encode(empty, tables).count() == 0
+
+
+def test_pairs_that_share_a_template_with_many_others_are_found(spark):
+    """Sixty pairs at 0.83 whose texts are at 0.78 to all others: one bucket of 120 texts, sixty classes."""
+    template, rows = prose(40, 156, 5_000), []
+    for p in range(60):
+        shared = " ".join(f"p{p}x{k}" for k in range(10))
+        for side in range(2):
+            own = " ".join(f"o{p}s{side}x{k}" for k in range(34))
+            rows.append((2 * p + side, f"{template} {shared} {own}"))
+    got = near_dedup.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == {i: i - i % 2 for i, _ in rows}
