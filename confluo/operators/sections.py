@@ -9,9 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Up to six signs and a blank after them, wherever the line begins.
-HEADING = r"^\s*(#{1,6}) (?:.*\S)?\s*$"
-
 
 def level_of(line: Column) -> Column:
     """1 to 6 for a heading that says something, else 0."""
