@@ -53,6 +53,15 @@ def write_tree(files: DataFrame, root: str) -> int:
     return int(written.agg(F.sum("n")).first()[0] or 0)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` as one side of joins that deal both sides by their keys.
+
+    Before a side is computed, Spark guesses its size from the files read, so what
+    explodes or is generated may be sent whole through the driver; this rules that out.
+    """
+    return df.hint("merge")
+
+
 def settled(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back, so that the steps of a loop don't plan all steps before.
 
