@@ -1,10 +1,10 @@
 """JSON documents as rows: owners at every depth, and merges of two or three revisions that recurse into objects.
 
-Each revision is read once, all depths together; revisions meet in a join on document
-and pointer, and a document's text is put together in one ordered aggregation.  So the
-number of jobs does not depend on how deep documents are.  Objects keep the order of
-their members, numbers keep their text, and of a name that an object repeats the last
-value counts, at the place of the first.
+The revisions of a document are read in one pass, all depths together, as one row a
+pointer with what its parent is; so decisions are columns, and the one shuffle is the
+ordered aggregation that puts a document's text together, however deep it is.  Objects
+keep the order of their members, numbers keep their text, and of a name that an object
+repeats the last value counts, at the place of the first.
 """
 
 from __future__ import annotations
@@ -14,10 +14,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.json_nodes import json_nodes
+from ..functions.json_nodes import json_nodes, json_sides
+from ..sources.tables import dealt
 
-#: Places of one side's own members come after all places of the side before.
-NEXT_SIDE = 1 << 32
 CONFLICTS = ("add_add", "delete_edit", "edit_edit")
 PIECE = "struct<order:array<bigint>,depth:int,open:boolean,label:string,value:string>"
 
@@ -27,46 +26,15 @@ def owners(rows: DataFrame, key: str, column: str) -> DataFrame:
 
     Rows whose text is no JSON have no owners.
     """
-    found = json_nodes(rows, [key], column).filter("parent IS NOT NULL")
+    found = json_nodes(rows, [key], column, wanted=("path", "parent", "name")).filter("parent IS NOT NULL")
     return found.select(key, "path", F.when(F.col("name").isNull(), "element").otherwise("member").alias("owner_kind"), F.coalesce("name", F.lit("")).alias("match_key"))
 
 
-def _side(rows: DataFrame, key: str, column: str, prefix: str, lenient: bool = False) -> DataFrame:
-    """Nodes with prefixed columns, but for those that the sides share; arrays are taken whole, so what stands in them is left out."""
-    own = json_nodes(rows, [key], column, lenient).filter("NOT in_array")
-    return own.select(key, "path", "parent", "name", "label", *[F.col(c).alias(f"{prefix}_{c}") for c in ("pos", "order", "kind", "value", "digest", "repaired")])
-
-
-def _joined(sides: list[DataFrame], key: str) -> DataFrame:
-    """Full outer join on document and pointer; parent, name and label are those of any side."""
-    shared = ("parent", "name", "label")
-    out = sides[0]
-    for n, side in enumerate(sides[1:]):
-        right = side.select(*[F.col(c).alias(f"{c}_{n}") if c in shared else F.col(c) for c in side.columns])
-        both = out.join(right, [key, "path"], "full_outer")
-        out = both.select(*[F.coalesce(c, f"{c}_{n}").alias(c) if c in shared else F.col(c) for c in out.columns], *[c for c in right.columns if c not in out.columns and not c.endswith(f"_{n}")])
-    return out
-
-
-def _reached(rows: DataFrame, key: str, prefixes: list[str]) -> DataFrame:
-    """Rows whose parent is merged member by member, and roots; with ``order``, their place in the merged text.
-
-    ``rows`` has ``open``.  Where a value is open, all that holds it is open too, so its
-    parent decides.  An open parent stands in every side and is placed by the first.
-    """
-    first = prefixes[0]
-    parents = rows.filter("open").select(key, F.col("path").alias("parent"), F.col(f"{first}_order").alias("parent_order"))
-    inner = rows.filter("parent IS NOT NULL").join(parents, [key, "parent"])
-    own = F.coalesce(*[F.col(f"{p}_pos") + F.lit(i * NEXT_SIDE) for i, p in enumerate(prefixes)])
-    placed = inner.withColumn("order", F.coalesce(f"{first}_order", F.concat("parent_order", F.array(own)))).drop("parent_order")
-    return rows.filter("parent IS NULL").withColumn("order", F.array().cast("array<bigint>")).unionByName(placed)
-
-
-def _assembled(rows: DataFrame, key: str) -> DataFrame:
-    """(key, text) from reached rows with order, open, label and value; rows neither open nor with a value are left out."""
-    kept = rows.filter("open OR value IS NOT NULL")
+def _assembled(rows: DataFrame, key: str, *said: Column) -> DataFrame:
+    """(key, text) from reached rows with order, open, label and value, and what is ``said`` of all; values of rows neither open nor with one are left out."""
+    kept = F.col("open") | F.col("value").isNotNull()
     piece = F.struct("order", F.size("order").alias("depth"), "open", F.coalesce("label", F.lit("")).alias("label"), F.coalesce("value", F.lit("")).alias("value"))
-    grouped = kept.groupBy(key).agg(F.array_sort(F.collect_list(piece)).cast(f"array<{PIECE}>").alias("parts"))
+    grouped = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.when(kept, piece))).cast(f"array<{PIECE}>").alias("parts"), *said)
     parts = F.col("parts")
 
     def text(p: Column, i: Column) -> Column:
@@ -75,7 +43,7 @@ def _assembled(rows: DataFrame, key: str) -> DataFrame:
         following = F.coalesce(F.get(parts, i + 1)["depth"], F.lit(0))
         return F.concat(comma, p["label"], F.when(p["open"], "{").otherwise(p["value"]), F.repeat(F.lit("}"), F.greatest(inside - F.greatest(following, F.lit(1)), F.lit(0)) + F.when(i == F.size(parts) - 1, F.least(inside, F.lit(1))).otherwise(0)))
 
-    return grouped.select(key, F.array_join(F.transform(parts, text), "").alias("text"))
+    return grouped.select(key, *[c for c in grouped.columns if c not in (key, "parts")], F.array_join(F.transform(parts, text), "").alias("text"))
 
 
 def merge_two(template: DataFrame, destination: DataFrame, key: str, column: str) -> DataFrame:
@@ -86,28 +54,25 @@ def merge_two(template: DataFrame, destination: DataFrame, key: str, column: str
     other text that does not parse gives no merge but ``template_parse_error`` or ``destination_parse_error``.
     Null texts do not parse; a document of one side only is left out.
     """
-    pairs = template.select(key, F.coalesce(F.col(column), F.lit("")).alias("t")).join(destination.select(key, F.coalesce(F.col(column), F.lit("")).alias("d")), key)
-    rows = _joined([_side(pairs, key, "t", "t"), _side(pairs, key, "d", "d", True)], key)
+    pairs = template.select(key, F.coalesce(F.col(column), F.lit("")).alias("t")).join(dealt(destination.select(key, F.coalesce(F.col(column), F.lit("")).alias("d"))), key)
+    rows = json_sides(pairs, [key], ["t", "d"], lenient=("d",), wanted=("kind", "value"))
     both = F.coalesce((F.col("t_kind") == "object") & (F.col("d_kind") == "object"), F.lit(False))
-    rows = rows.withColumns({"open": both, "value": F.coalesce("d_value", "t_value")})
-    said = F.when(F.col("t_kind").isNull(), "template_parse_error").when(F.col("d_kind").isNull(), "destination_parse_error").when(F.col("d_repaired"), "fallback_applied")
-    roots = rows.filter("path = ''").select(key, said.alias("diagnostic"))
-    fine = rows.filter("path <> '' OR (t_kind IS NOT NULL AND d_kind IS NOT NULL)")
-    merged = _assembled(_reached(fine, key, ["t", "d"]), key).withColumnRenamed("text", "merged")
-    return roots.join(merged, key, "left")
+    rows = rows.filter("parent IS NULL OR held").withColumns({"open": both, "value": F.coalesce("d_value", "t_value")})
+    said = F.when(F.col("parent").isNull(), F.when(F.col("t_kind").isNull(), "template_parse_error").when(F.col("d_kind").isNull(), "destination_parse_error").when(F.col("repaired"), "fallback_applied"))
+    whole = _assembled(rows.withColumn("said", said), key, F.max("said").alias("diagnostic"))
+    return whole.select(key, "diagnostic", F.when(F.coalesce(~F.col("diagnostic").endswith("parse_error"), F.lit(True)), F.col("text")).alias("merged"))
 
 
 def decide_three(sides: DataFrame, key: str) -> DataFrame:
     """Reached values of base, ours and theirs with ``decision``: ours, theirs, open, a conflict, or parse_error at a root."""
     names = ("ours", "theirs", "base")
-    rows = _joined([_side(sides, key, n, n) for n in names], key)
+    rows = json_sides(sides, [key], list(names)).filter("parent IS NULL OR (held AND apart)")
     digest = {n: F.col(f"{n}_digest") for n in names}
     same = lambda a, b: digest[a].eqNullSafe(digest[b])
     objects = reduce(lambda p, q: p & q, [F.coalesce(F.col(f"{n}_kind") == "object", F.lit(False)) for n in names])
-    wrong = reduce(lambda p, q: p | q, [F.col(f"{n}_order").isNotNull() & F.col(f"{n}_kind").isNull() for n in names])
     there = {n: F.col(f"{n}_digest").isNotNull() for n in names}
     decision = (
-        F.when(wrong, "parse_error")
+        F.when(F.col("wrong"), "parse_error")
         .when(same("ours", "theirs"), "ours")
         .when(same("base", "ours"), "theirs")
         .when(same("base", "theirs"), "ours")
@@ -116,15 +81,15 @@ def decide_three(sides: DataFrame, key: str) -> DataFrame:
         .when(~there["ours"] | ~there["theirs"], "delete_edit")
         .otherwise("edit_edit")
     )
-    rows = rows.withColumn("decision", decision)
-    return _reached(rows.withColumn("open", F.col("decision") == "open"), key, list(names))
+    return rows.withColumn("decision", decision).withColumn("open", F.col("decision") == "open")
 
 
 def merged_three(rows: DataFrame, key: str) -> DataFrame:
     """(key, merged) of decided values; documents with a side that does not parse have none."""
     gone = F.col("decision").eqNullSafe("delete_edit") & F.col("ours_value").isNull()
     value = F.when((F.col("decision") == "theirs") | gone, F.col("theirs_value")).otherwise(F.col("ours_value"))
-    return _assembled(rows.filter("decision <> 'parse_error'").withColumn("value", F.when(~F.col("open"), value)), key).withColumnRenamed("text", "merged")
+    valued = rows.filter("decision <> 'parse_error'").withColumn("value", F.when(~F.col("open"), value)).filter("open OR value IS NOT NULL")
+    return _assembled(valued, key).withColumnRenamed("text", "merged")
 
 
 def conflicts_three(rows: DataFrame, key: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import markdown
 from ..operators import json_docs
-from ..sources.tables import table
+from ..sources.tables import dealt, table
 
 #: Stands for the event's id in a text.
 ID = None
@@ -54,7 +54,7 @@ def _three(spark, sf_dir):
     ours = [['{"a":{"x":', ID, ',"y":{"p":"q"}}' + rest], ['{"a":5' + rest], ['{"a":{"y":{"p":"q"},"x":1},"b":[1,2],"c":"keep"}'], ['{"n":[', ID, '],"a":{"x":1,"y":{"p":"q"}}' + rest], ['{"a":{"x":1,"y":{"p":"q"}},"b":[1,2],"d":4}'], base]
     theirs = [['{"a":{"x":1,"y":{"p":"T"}}' + rest], ['{"a":{"x":2,"y":{"p":"q"}}' + rest], ['{"a":{"x":1,"y":{"p":"q"}},"b":[1,2],"c":"keep","d":', ID, "}"], ['{"a":{"x":1,"y":{"p":"q"}},"n":0' + rest], base, ['{"a"']]
     sides = [_variant(spark, sf_dir, 6, texts).withColumnRenamed("source", name) for name, texts in (("base", [base] * 6), ("ours", ours), ("theirs", theirs))]
-    return sides[0].join(sides[1], "event_id").join(sides[2], "event_id")
+    return sides[0].join(dealt(sides[1]), "event_id").join(dealt(sides[2]), "event_id")
 
 
 def json_three_way(spark, sf_dir):

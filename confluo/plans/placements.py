@@ -32,8 +32,7 @@ def _sides(spark, sf_dir):
 
 def json_places(spark, sf_dir):
     """Bytes and lines of every value of the base texts."""
-    found = json_nodes(_sides(spark, sf_dir), ["event_id"], "base")
-    return found.select("event_id", "path", "kind", "value", "start", "end", "line", "end_line")
+    return json_nodes(_sides(spark, sf_dir), ["event_id"], "base", wanted=("path", "kind", "value", "start", "end", "line", "end_line"))
 
 
 def json_conflict_places(spark, sf_dir):

@@ -23,3 +23,11 @@ def written_plan(spark):
 def test_manifests_are_dealt_by_key(spark, sf_dir, name):
     with written_plan(spark) as broadcasts:
         assert broadcasts(entry.queries()[name](spark, sf_dir)) == 0
+
+
+@pytest.mark.parametrize("name, readings, shuffles", [("json_two_way", 1, 3), ("props_two_way", 1, 3), ("json_three_way", 1, 4)])
+def test_json_is_read_once_for_all_revisions(spark, sf_dir, name, readings, shuffles):
+    with written_plan(spark):
+        plan = entry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow ") == readings
+    assert plan.count("Exchange hashpartitioning") <= shuffles
