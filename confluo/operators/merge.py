@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import dealt_by_size
+
 
 def three_way_rows(base: DataFrame, ours: DataFrame, theirs: DataFrame, keys: list[str], value: str) -> DataFrame:
     """One row a key of any revision: value_base, value_ours, value_theirs and a presence flag for each.
@@ -75,12 +77,12 @@ def append_missing(template: DataFrame, destination: DataFrame, keys: list[str],
 
 
 def set_merge(base: DataFrame, ours: DataFrame, theirs: DataFrame, keys: list[str]) -> DataFrame:
-    """Three-way set algebra: (base ∩ ours ∩ theirs) ∪ (ours − base) ∪ (theirs − base)."""
+    """Three-way set algebra: (base ∩ ours ∩ theirs) ∪ (ours − base) ∪ (theirs − base); rows of a side may repeat."""
     marked = None
     for name, side in (("base", base), ("ours", ours), ("theirs", theirs)):
         part = side.select(*keys, *[F.lit(n == name).alias(n) for n in ("base", "ours", "theirs")])
         marked = part if marked is None else marked.unionByName(part)
-    flags = marked.groupBy(*keys).agg(*[F.max(n).alias(n) for n in ("base", "ours", "theirs")])
+    flags = dealt_by_size(marked, *keys).groupBy(*keys).agg(*[F.max(n).alias(n) for n in ("base", "ours", "theirs")])
     return flags.filter(F.when(F.col("base"), F.col("ours") & F.col("theirs")).otherwise(F.col("ours") | F.col("theirs"))).select(*keys)
 
 

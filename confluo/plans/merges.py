@@ -105,7 +105,7 @@ SELECT o_orderkey, outcome, CASE WHEN outcome = 'theirs' THEN tv ELSE ov END AS
 def import_set_merge(spark, sf_dir):
     """Parts of each order are its imports; a revision lacks some lines."""
     items = table(spark, sf_dir, "lineitem")
-    side = lambda r: items.filter((F.col("l_partkey") + F.col("l_linenumber")) % 5 != r).select("l_orderkey", "l_partkey").distinct()
+    side = lambda r: items.filter((F.col("l_partkey") + F.col("l_linenumber")) % 5 != r).select("l_orderkey", "l_partkey")
     return merge.set_merge(side(0), side(1), side(2), ["l_orderkey", "l_partkey"])
 
 

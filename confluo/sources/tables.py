@@ -62,6 +62,12 @@ def dealt(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def dealt_by_size(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` into parts whose number grows with the splits read, so that what a task holds does not."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(parts, 4 * df.rdd.getNumPartitions()), *keys)
+
+
 def settled(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back, so that the steps of a loop don't plan all steps before.
 

@@ -31,3 +31,18 @@ def test_json_is_read_once_for_all_revisions(spark, sf_dir, name, readings, shuf
         plan = entry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow ") == readings
     assert plan.count("Exchange hashpartitioning") <= shuffles
+
+
+def test_set_merge_has_more_parts_for_more_splits(spark, tmp_path):
+    from confluo.operators import merge
+
+    spark.range(1000).selectExpr("id % 10 AS k").repartition(20).write.parquet(str(tmp_path / "t"))
+    with_splits = spark.read.option("mergeSchema", "false").parquet(str(tmp_path / "t"))
+    spark.conf.set("spark.sql.files.openCostInBytes", str(1 << 27))
+    try:
+        got = merge.set_merge(with_splits, with_splits.filter("k < 7"), with_splits.filter("k > 2"), ["k"])
+        assert sorted(r.k for r in got.collect()) == [3, 4, 5, 6]
+        # 3 sides of 20 splits, in four parts each
+        assert got.rdd.getNumPartitions() == 240
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
