@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import dealt
+
 
 def violations(rows: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
     """(key, category) of every rule that a row breaks; a rule that is null is kept."""
@@ -18,21 +20,23 @@ def case_violations(cases: DataFrame, required: dict[str, list[str]], enums: dic
     """Of cases (case_id, schema, operation, capabilities, parent_id, and fields): what each breaks.
 
     Schemas have major version 1, enum columns hold known names, capabilities are
-    sorted without repeats, an operation's fields are there, a parent is a case, ids are unique.
+    sorted without repeats, an operation's fields are there, a parent is a case, ids are
+    unique.  Cases without an id are left out.
     """
-    known = cases.select(F.col("case_id").alias("_known")).distinct()
-    counted = cases.groupBy("case_id").agg(F.count(F.lit(1)).alias("_n"))
-    joined = cases.join(known, F.col("parent_id") == F.col("_known"), "left").join(counted, "case_id")
+    cases = cases.filter("case_id IS NOT NULL")
     lacks = [(F.col("operation") == name) & reduce(lambda a, b: a | b, [F.col(f).isNull() for f in fields]) for name, fields in required.items()]
     rules = {
         "schema": ~F.col("schema").rlike(r"^[a-z_]+\.v1(\.[0-9]+)?$"),
         **{f"enum_{c}": ~F.col(c).isin(*names) for c, names in enums.items()},
         "unsorted_capabilities": F.col("capabilities") != F.array_sort(F.array_distinct("capabilities")),
         "missing_field": reduce(lambda a, b: a | b, lacks, F.lit(False)),
-        "unknown_parent": F.col("parent_id").isNotNull() & F.col("_known").isNull(),
-        "repeated_id": F.col("_n") > 1,
     }
-    return violations(joined, "case_id", rules)
+    # only cases that have a parent are dealt by it: those without one would all meet in one task
+    lost = cases.filter("parent_id IS NOT NULL").select("case_id", "parent_id").join(dealt(cases.select(F.col("case_id").alias("parent_id"))), "parent_id", "left_anti")
+    twice = cases.groupBy("case_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    repeated = cases.select("case_id").join(dealt(twice), "case_id", "left_semi")
+    found = [violations(cases, "case_id", rules), *[df.select("case_id", F.lit(name).alias("category")) for name, df in (("unknown_parent", lost), ("repeated_id", repeated))]]
+    return reduce(DataFrame.unionByName, found)
 
 
 def result_violations(results: DataFrame, cases: DataFrame, adapters: DataFrame) -> DataFrame:

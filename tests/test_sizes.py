@@ -46,3 +46,12 @@ def test_set_merge_has_more_parts_for_more_splits(spark, tmp_path):
         assert got.rdd.getNumPartitions() == 240
     finally:
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_cases_are_dealt_by_parents_they_have(spark, sf_dir):
+    with written_plan(spark) as broadcasts:
+        found = entry.queries()["contract_cases"](spark, sf_dir)
+        assert broadcasts(found) == 0
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    # nothing is joined to the parents from outside, where nulls would stay
+    assert "LeftOuter" not in plan and "LeftAnti" in plan
