@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.distance import with_distances
 from ..sources.tables import settled
 
 
@@ -45,7 +46,8 @@ def _scored(both: DataFrame, pair: str, least: Column) -> DataFrame:
     """(pair, template_idx, destination_idx, score) of pairs of blocks that reach ``least``.
 
     Lengths and places bound the score first; what is left of it for the content bounds
-    the edit distance, which is given up where it passes that.
+    the edit distance, which is given up where it passes that.  Distances are taken in
+    Arrow batches: long blocks that differ in few places cost no table there.
     """
     content, length, position = T.WEIGHTS
     longer = F.greatest(F.length("a"), F.length("b"))
@@ -53,7 +55,9 @@ def _scored(both: DataFrame, pair: str, least: Column) -> DataFrame:
     needed = (least - fixed) / content
     rows = both.withColumns({"fixed": fixed, "longer": longer, "most": F.floor((1 - needed) * longer + 1e-6).cast("int")})
     rows = rows.filter((F.col("most") >= 0) & (F.abs(F.length("a") - F.length("b")) <= F.col("most")))
-    rows = rows.withColumn("distance", F.expr("CASE WHEN a = b THEN 0 ELSE levenshtein(a, b, most) END")).filter("distance >= 0")
+    given = rows.select(pair, "template_idx", "destination_idx", "fixed", "longer", F.col("a").cast("binary").alias("a"), F.col("b").cast("binary").alias("b"), "most")
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-3])
+    rows = given.mapInArrow(with_distances, f"{kept}, distance int")
     return rows.select(pair, "template_idx", "destination_idx", (content * (1 - F.col("distance") / F.col("longer")) + F.col("fixed")).alias("score")).filter(F.col("score") >= T.REFINED)
 
 

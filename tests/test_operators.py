@@ -218,3 +218,31 @@ def test_tree_is_written_as_files(spark, tmp_path):
     for rows in ([("a", "x"), ("a", "y")], [("", "x")], [(None, "x")]):
         with pytest.raises(ValueError):
             write_tree(spark.createDataFrame(rows, "path string, content string"), f"file://{tmp_path}/bad")
+
+
+def test_edit_distances_of_blocks(spark):
+    import random
+    import time
+
+    from confluo.functions.distance import edit_distance
+
+    def table(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            above, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                above, row[j] = row[j], min(above + (x != y), row[j] + 1, row[j - 1] + 1)
+        return row[-1]
+
+    r = random.Random(5)
+    for _ in range(400):
+        a, b = ("".join(r.choices("abé𝄞", k=r.randint(0, 14))) for _ in range(2))
+        k, d = r.randint(-1, 12), table(a, b)
+        assert edit_distance(a, b, k) == (d if d <= k else -1)
+    words = [" ".join("".join(r.choices("abcdefgh", k=6)) for _ in range(4000)) for _ in range(6)]
+    began = time.time()
+    assert [edit_distance(w, f"Changed {w}", len(w) // 2) for w in words] == [8] * 6
+    assert time.time() - began < 2
+    t = blocks.block_rows(spark.createDataFrame([(1, "\n\n".join(words))], "id int, text string"), "id", "text")
+    d = blocks.block_rows(spark.createDataFrame([(1, "\n\n".join(f"x{w[:9000]}y{w[9000:]}z" for w in words))], "id int, text string"), "id", "text")
+    assert sorted((m.template_idx, m.destination_idx) for m in blocks.match_blocks(t, d, "id").collect()) == [(i, i) for i in range(6)]
