@@ -16,9 +16,10 @@ aligned with the bucket's least text, and those that fail it form a bucket
 again, for ``ROUNDS`` rounds, which link the members of large groups in linear work.
 Then, where a bucket holds several components, all its pairs of different ones follow if
 it has at most FEW texts; in larger buckets the texts of other components are aligned with
-the bucket's text of most links, until a round of that links nothing.  In larger buckets two texts that are near each
-other but near none of those they were aligned with stay apart unless another bucket
-links them; no work grows with the pairs of a bucket.
+the bucket's text of most links, until a round of that links nothing.  What larger buckets
+still hold apart is paired by its rarest words: two texts that are near share one of the
+first words of each, as many as may be changed and one more, whatever the order of words,
+so no pair of such a bucket that the outlines allow goes untested.
 Classes are the connected components of the links.
 
 Nulls count as the empty text; empty texts are one class.  Texts of one to four
@@ -31,14 +32,14 @@ columns, whatever their names, come back as they were.
 from __future__ import annotations
 
 from bisect import bisect_left
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BASE, discard, distance_within, fresh, join_hot, mix, running, slices, spans_hash, stored, table, text_of, utf8, words
+from .common import BASE, discard, distance_within, fresh, join_hot, lean, mix, running, slices, spans_hash, stored, table, text_of, utf8, words
 from .components import components
 
 WORDS, SKETCHES, PICK, SIMILARITY, ROUNDS = 5, 32, 2, 0.8, 3
@@ -125,6 +126,7 @@ def sketched(word: np.ndarray, owner: np.ndarray, n_texts: int) -> tuple[np.ndar
     return owner[first], out
 
 
+@lean
 def _sketch(batches):
     """One row a text: key, size, outline, and the sketches as bytes; texts without words have none."""
     for batch in batches:
@@ -142,6 +144,7 @@ def _sketch(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows + a)), pa.array(size.astype(np.int32)), *[pa.array(outline[:, i]) for i in range(MINIMA // 16)], raw], names=["key", *FEATURES, "sketches"])
 
 
+@lean
 def _buckets(batches):
     for batch in batches:
         offsets, data = utf8(batch.column(1))
@@ -255,6 +258,7 @@ def similar(left: pa.Array, right: pa.Array) -> np.ndarray:
     return ok
 
 
+@lean
 def _verify(batches):
     for batch in batches:
         offsets = np.maximum.accumulate(utf8(batch.column(2))[0] + utf8(batch.column(3))[0])
@@ -272,7 +276,7 @@ def links(texts: DataFrame) -> DataFrame:
     shared = stored(entries.withColumns({"low": F.min("key").over(block), "high": F.max("key").over(block)}).filter("low != high").select("bucket", "key"), "shared")
     wanted = stored(shared.select("key").distinct(), "wanted")
     features = stored(known.select("key", *FEATURES).join(wanted, "key", "left_semi"), "features")
-    kept = stored(texts.join(wanted, "key", "left_semi").dropDuplicates(["key"]), "candidates")
+    kept = stored(_with_keys(texts.select("key", "text"), wanted).join(wanted, "key", "left_semi").dropDuplicates(["key"]), "candidates")
     discard(known, wanted)
 
     def near(pairs: DataFrame) -> DataFrame:
@@ -323,10 +327,70 @@ def links(texts: DataFrame) -> DataFrame:
         discard(before, hubs)
         if mixed.isEmpty():
             break
+    if not mixed.isEmpty():
+        pairs = stored(_untried(_across(mixed, kept, features), tried), "pairs")
+        checks.append(near(pairs))
     discard(mixed, apart, roots, kept, features)
     return _linked(checks)
 
 
+#: Slots in which words are counted to put the rare ones first; any order of words gives the same pairs.
+SLOTS = 1 << 16
+
+
+def _labelled_words(batch: pa.RecordBatch):
+    """Of slices of a batch (key, text): the first row, the labelled words, and the text of each."""
+    offsets, data = utf8(batch.column(1))
+    for a, b in slices(offsets):
+        bounds, part = offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]]
+        starts, ends, owner = words(part, bounds)
+        if len(starts):
+            yield a, labelled(spans_hash(running(part), starts, ends), owner), owner
+
+
+@lean
+def _counted(batches):
+    often = np.zeros(SLOTS, np.int64)
+    for batch in batches:
+        for _, code, _ in _labelled_words(batch):
+            often += np.bincount((code % U(SLOTS)).astype(np.int64), minlength=SLOTS)
+    slot = np.flatnonzero(often)
+    yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(often[slot])], names=["slot", "n"])
+
+
+@lean
+def _rarest(batches, often: np.ndarray):
+    """(key, word): of each text the rarest labelled words, one more than may differ between it and a text near it."""
+    for batch in batches:
+        for a, code, owner in _labelled_words(batch):
+            size = np.bincount(owner)
+            order = np.lexsort((code, often[(code % U(SLOTS)).astype(np.int64)], owner))
+            rank = np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size)
+            taken = order[rank <= np.floor((1 - SIMILARITY + 1e-9) * size[owner])]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[taken] + a)), pa.array(code[taken].view(np.int64))], names=["key", "word"])
+
+
+def _across(mixed: DataFrame, kept: DataFrame, features: DataFrame) -> DataFrame:
+    """(key, b): all pairs of texts of different components of ``mixed`` that may be near, by a rare word that both have.
+
+    Near texts have all words in common but those that may differ, so the first of each
+    in one order meet.  Texts of a word's largest component meet only those of others.
+    """
+    keys = stored(mixed.select("key", "root").distinct(), "crowded")
+    texts = stored(kept.join(keys, "key").select("key", "text", "root"), "crowded-texts")
+    often = np.zeros(SLOTS, np.int64)
+    for slot, n in texts.select("key", "text").mapInArrow(_counted, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n")).collect():
+        often[slot] = n
+    held = stored(texts.select("key", "text").mapInArrow(partial(_rarest, often=often), "key binary, word bigint").join(keys, "key"), "rarest")
+    per = held.groupBy("word", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("word").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    here = stored(held.join(per, "word").join(features, "key"), "crowded-words")
+    others = here.select(F.col("word").alias("of"), F.col("key").alias("b"), F.col("root").alias("root_b"), *[F.col(f).alias(f"{f}_b") for f in FEATURES])
+    once = (F.col("root_b") == F.col("major")) | (F.col("key") > F.col("b"))
+    pairs = stored(here.filter("root != major").join(others, (F.col("word") == F.col("of")) & (F.col("root") != F.col("root_b")) & once & _likely()).select("key", "b").distinct(), "across")
+    discard(keys, texts, held, here)
+    return pairs
+
+
 def _linked(checks: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [c.filter("near").select("a", "b") for c in checks])
 

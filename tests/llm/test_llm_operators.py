@@ -435,3 +435,42 @@ def test_pairs_that_share_a_template_with_many_others_are_found(spark):
             rows.append((2 * p + side, f"{template} {shared} {own}"))
     got = near_dedup.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert {r.doc_id: r.class_id for r in got} == {i: i - i % 2 for i, _ in rows}
+
+
+def test_pairs_in_a_bucket_of_any_size_are_found(spark):
+    """As above with two hundred pairs: a bucket of 400 texts, of which no one is near more than one other."""
+    template, rows = prose(40, 156, 5_000), []
+    for p in range(200):
+        shared = " ".join(f"p{p}x{k}" for k in range(10))
+        for side in range(2):
+            own = " ".join(f"o{p}s{side}x{k}" for k in range(34))
+            rows.append((2 * p + side, f"{template} {shared} {own}"))
+    got = near_dedup.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == {i: i - i % 2 for i, _ in rows}
+
+
+def test_rare_words_of_near_texts_meet():
+    """Whatever the counts, texts at 0.8 share one of the words that are taken."""
+    from functools import partial
+
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(8)
+    rows = []
+    for _ in range(150):
+        a = r.choices([f"w{i}" for i in range(40)], k=r.randint(1, 60))
+        b = list(a)
+        for _ in range(int(0.2 * len(a))):
+            if r.random() < 0.5:
+                b[r.randrange(len(b))] = "new"
+            else:
+                b.insert(r.randrange(len(b)), f"w{r.randrange(40)}")
+        rows += [" ".join(a), " ".join(b)]
+    often = np.random.default_rng(1).integers(0, 9, near_dedup.SLOTS)
+    out = {}
+    for batch in near_dedup._rarest([pa.record_batch([pa.array([b"%d" % i for i in range(len(rows))]), pa.array(rows)], names=["key", "text"])], often):
+        for key, word in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            out.setdefault(int(key), set()).add(word)
+    near = near_dedup.similar(pa.array(rows[::2]), pa.array(rows[1::2]))
+    assert near.sum() > 100 and all(out[2 * i] & out[2 * i + 1] for i in np.flatnonzero(near))
