@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import backend_profiles, contract_docs
-from ..sources.tables import table
+from ..sources.tables import settled, table
 
 
 def _documents(spark, sf_dir):
@@ -39,7 +39,8 @@ def _documents(spark, sf_dir):
 
 def contract_records(spark, sf_dir):
     """Raw records whose inline content, bytes or digest is wrong."""
-    return contract_docs.record_violations(contract_docs.parsed(_documents(spark, sf_dir), "contract", "source"), "contract")
+    docs = settled(_documents(spark, sf_dir), "contracts")
+    return contract_docs.record_violations(contract_docs.parsed(docs, "contract", "source"), "contract")
 
 
 def contract_histories(spark, sf_dir):
@@ -47,8 +48,8 @@ def contract_histories(spark, sf_dir):
 
 
 def contract_summaries(spark, sf_dir):
-    """The summary of each contract that breaks no rule."""
-    docs = _documents(spark, sf_dir)
+    """The summary of each contract that breaks no rule; the documents are made once and read by each rule."""
+    docs = settled(_documents(spark, sf_dir), "contracts")
     rows = contract_docs.parsed(docs, "contract", "source")
     wrong = contract_docs.record_violations(rows, "contract").unionByName(contract_docs.history_violations(rows, "contract"))
     done = contract_docs.canonical_summaries(docs, rows, wrong, "contract", "source")

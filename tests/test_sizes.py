@@ -55,3 +55,11 @@ def test_cases_are_dealt_by_parents_they_have(spark, sf_dir):
         plan = found._jdf.queryExecution().executedPlan().toString()
     # nothing is joined to the parents from outside, where nulls would stay
     assert "LeftOuter" not in plan and "LeftAnti" in plan
+
+
+def test_contract_documents_are_made_once(spark, sf_dir):
+    """Rules read the stored documents; none makes them anew from lines and orders."""
+    from confluo.plans import contract_docs
+
+    for query in (contract_docs.contract_records, contract_docs.contract_summaries):
+        assert not [f for f in query(spark, sf_dir).inputFiles() if f.endswith(("lineitem.parquet", "orders.parquet"))]
