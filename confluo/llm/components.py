@@ -13,11 +13,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Each round hangs neighbours on smaller nodes; the number of rounds grows
     with the logarithm of a component's size.  A round's links are written out
-    before the next reads them, and removed after it; rounds end when count and hash of the links stay.
+    before the next reads them, and removed after it; rounds end when the links are stars.
     """
-    state = lambda rows: tuple(rows.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
     now = stored(links.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u != v").distinct(), "links")
-    before = state(now)
     while True:
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -25,10 +23,14 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         root = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(root, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").unionByName(root.select("u", F.col("m").alias("v"))).distinct()
-        new = stored(small, "links")
-        after = state(new)
-        discard(now)
-        now, done, before = new, after == before, after
-        if done:
-            break
-    return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()).groupBy("node").agg(F.min("root").alias("root"))
+        now, before = stored(small, "links"), now
+        discard(before)
+        if _are_stars(now):
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root")))
+
+
+def _are_stars(links: DataFrame) -> bool:
+    """Whether each node that hangs on another hangs on that one alone, and none on it."""
+    ends = links.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(links.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    per = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return per.filter("up > 1 OR (up = 1 AND down = 1)").agg(F.count(F.lit(1))).first()[0] == 0

@@ -12,14 +12,14 @@ Before texts are fetched, the joins compare lengths and outlines (small MinHashe
 the words), which few pairs below the threshold pass.
 
 Equal texts are folded into one node first.  Within a bucket each text is
-aligned with the bucket's least text, and those that fail it form a bucket
-again, for ``ROUNDS`` rounds, which link the members of large groups in linear work.
+aligned with the bucket's least text, which links the members of large groups in linear work.
 Then, where a bucket holds several components, all its pairs of different ones follow if
 it has at most FEW texts; in larger buckets the texts of other components are aligned with
-the bucket's text of most links, until a round of that links nothing.  What larger buckets
+the bucket's text of most links, for ``ROUNDS`` rounds.  What larger buckets
 still hold apart is paired by its rarest words: two texts that are near share one of the
 first words of each, as many as may be changed and one more, whatever the order of words,
-so no pair of such a bucket that the outlines allow goes untested.
+so no pair of such a bucket that the outlines allow goes untested while it lies in two components.
+Of these pairs each text's likeliest come first, which join most texts to their class.
 Classes are the connected components of the links.
 
 Nulls count as the empty text; empty texts are one class.  Texts of one to four
@@ -42,12 +42,14 @@ from pyspark.sql import functions as F
 from .common import BASE, discard, distance_within, fresh, join_hot, lean, mix, running, slices, spans_hash, stored, table, text_of, utf8, words
 from .components import components
 
-WORDS, SKETCHES, PICK, SIMILARITY, ROUNDS = 5, 32, 2, 0.8, 3
+WORDS, SKETCHES, PICK, SIMILARITY = 5, 32, 2, 0.8
 #: MinHashes of a text's outline, and how many must agree: of pairs at SIMILARITY all but about one in 5000 do.
 MINIMA, ALIKE = 96, 50
 FEATURES = ("size", *[f"s{i}" for i in range(MINIMA // 16)])
 #: Texts of a bucket up to which all pairs of different components are aligned.
 FEW = 128
+#: Rounds of larger buckets against their text of most links, and how many of the likeliest partners by a rare word are aligned first.
+ROUNDS, LIKELIEST = 2, 8
 #: Cells of a band from which on bit vectors align a pair.
 MAX_CELLS = 20_000_000
 U = np.uint64
@@ -269,41 +271,43 @@ def _verify(batches):
 
 def links(texts: DataFrame) -> DataFrame:
     """(a, b): keys of near-duplicate texts, b the less.  ``texts``: key and folded text, keys may repeat."""
+    return _searched(texts)[0]
+
+
+def _searched(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) and the classes (node, root) that they make."""
     kinds = ", ".join(["key binary", "size int", *[f"{f} bigint" for f in FEATURES[1:]], "sketches binary"])
     known = stored(texts.select("key", "text").mapInArrow(_sketch, kinds).dropDuplicates(["key"]), "sketches")
     entries = known.select("key", "sketches").mapInArrow(_buckets, "bucket bigint, key binary")
     block = Window.partitionBy("bucket")
-    shared = stored(entries.withColumns({"low": F.min("key").over(block), "high": F.max("key").over(block)}).filter("low != high").select("bucket", "key"), "shared")
-    wanted = stored(shared.select("key").distinct(), "wanted")
-    features = stored(known.select("key", *FEATURES).join(wanted, "key", "left_semi"), "features")
-    kept = stored(_with_keys(texts.select("key", "text"), wanted).join(wanted, "key", "left_semi").dropDuplicates(["key"]), "candidates")
-    discard(known, wanted)
-
-    def near(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) with whether they are near; those whose features rule it out are left out."""
-        both = pairs
-        for side, end in (("a", ""), ("b", "_b")):
-            both = both.join(features.select(F.col("key").alias(side), *[F.col(f).alias(f"{f}{end}") for f in FEATURES]), side)
-        likely = both = stored(both.filter(_likely()).select("a", "b"), "likely")
+    shared = stored(entries.withColumns({"low": F.min("key").over(block), "high": F.max("key").over(block)}).filter("low != high").drop("high"), "shared")
+    features = stored(known.select("key", *FEATURES).join(shared.select("key").distinct(), "key", "left_semi"), "features")
+    # no join by key follows the bitmap: Spark would do it first, and shuffle all texts
+    kept = stored(_with_keys(texts.select("key", "text"), features.select("key")).dropDuplicates(["key"]), "candidates")
+    discard(known)
+
+    def near(pairs: DataFrame, sifted: bool = False) -> DataFrame:
+        """Pairs (a, b) with whether they are near; those whose features rule it out are left out, if they are not yet."""
+        likely = pairs
+        if not sifted:
+            for side, end in (("a", ""), ("b", "_b")):
+                likely = likely.join(features.select(F.col("key").alias(side), *[F.col(f).alias(f"{f}{end}") for f in FEATURES]), side)
+            likely = stored(likely.filter(_likely()).select("a", "b"), "likely")
+        both = likely
         for side in ("a", "b"):
             both = both.join(_with_keys(kept, likely.select(F.col(side).alias("key"))).select(F.col("key").alias(side), F.col("text").alias(f"text_{side}")), side)
         return stored(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a binary, b binary, near boolean"), "checked")
 
-    tried, left, checks = None, shared, []
-    for _ in range(ROUNDS):
-        leads = stored(left.groupBy("bucket").agg(F.min("key").alias("b"), F.count(F.lit(1)).alias("n")), "leads")
-        tests = join_hot(left, leads, "bucket", "n").filter("key != b").drop("n")
-        pairs = stored(_untried(tests, tried), "pairs")
-        checks.append(near(pairs))
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        linked = _linked(checks).select(F.col("a").alias("key"), "b")
-        before, left = left, stored(tests.join(linked, ["key", "b"], "left_anti").select("bucket", "key"), "left")
-        discard(leads, *([before] if before is not shared else []))
-        if left.isEmpty():
-            break
+    tried = stored(_untried(shared.filter("key != low").select("key", F.col("low").alias("b")), None), "pairs")
+    checks = [near(tried)]
     roots = stored(components(_linked(checks)), "roots")
-    mixed = _mixed(shared, roots)
-    discard(left, shared)
+
+    def joined(new: DataFrame) -> DataFrame:
+        """The classes with further links."""
+        return stored(components(roots.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new)), "roots")
+
+    mixed = _mixed(shared.select("bucket", "key"), roots)
+    discard(shared)
     sizes = mixed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     few, many = (mixed.join(sizes.filter(which).select("bucket"), "bucket", "left_semi") for which in (F.col("n") <= FEW, F.col("n") > FEW))
     apart = stored(few.join(features, "key"), "apart")
@@ -311,7 +315,7 @@ def links(texts: DataFrame) -> DataFrame:
     rest = apart.join(others, (F.col("bucket") == F.col("of")) & (F.col("key") > F.col("b")) & (F.col("root") != F.col("root_b")) & _likely()).select("key", "b")
     mixed, before = stored(many, "mixed"), mixed
     discard(before)
-    while True:
+    for _ in range(ROUNDS):
         found = _linked(checks)
         degree = found.select(F.col("a").alias("key")).unionByName(found.select(F.col("b").alias("key"))).groupBy("key").agg(F.count(F.lit(1)).alias("degree"))
         ranked = mixed.join(degree, "key", "left").select("bucket", F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), "key", "root").alias("lead"))
@@ -320,18 +324,36 @@ def links(texts: DataFrame) -> DataFrame:
         pairs = stored(_untried(tests if rest is None else tests.unionByName(rest), tried), "pairs")
         checks.append(near(pairs))
         tried, rest, new = tried.unionByName(pairs), None, checks[-1].filter("near").select("a", "b")
-        if mixed.isEmpty() or new.isEmpty():
+        if new.isEmpty():
             break
-        roots = stored(components(roots.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new)), "roots")
-        before, mixed = mixed, _mixed(mixed.select("bucket", "key"), roots)
+        roots, before = joined(new), roots
         discard(before, hubs)
         if mixed.isEmpty():
             break
-    if not mixed.isEmpty():
-        pairs = stored(_untried(_across(mixed, kept, features), tried), "pairs")
-        checks.append(near(pairs))
-    discard(mixed, apart, roots, kept, features)
-    return _linked(checks)
+        before, mixed = mixed, _mixed(mixed.select("bucket", "key"), roots)
+        discard(before)
+        if mixed.isEmpty():
+            break
+    left = None if mixed.isEmpty() else stored(_across(mixed, kept, features).join(tried, (F.greatest("key", "other") == F.col("a")) & (F.least("key", "other") == F.col("b")), "left_anti"), "across")
+    # the likeliest partners of each text first; most are of its class then
+    for likeliest in (True, False):
+        if left is None or left.isEmpty():
+            break
+        best = left.groupBy("key", F.pmod(F.xxhash64("other"), F.lit(LIKELIEST))).agg(F.min_by("other", F.struct("unlike", "other")).alias("other")) if likeliest else left
+        pairs = stored(_untried(best.select("key", F.col("other").alias("b")), None), "pairs")
+        checks.append(near(pairs, sifted=True))
+        new = checks[-1].filter("near").select("a", "b")
+        if not new.isEmpty():
+            roots, before = joined(new), roots
+            discard(before)
+        if likeliest:
+            apart_yet = left.join(pairs, (F.greatest("key", "other") == F.col("a")) & (F.least("key", "other") == F.col("b")), "left_anti")
+            for side in ("key", "other"):
+                apart_yet = apart_yet.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
+            left, before = stored(apart_yet.filter("root_key != root_other").select("key", "other", "unlike"), "across"), left
+            discard(before)
+    discard(mixed, apart, kept, features)
+    return _linked(checks), roots
 
 
 #: Slots in which words are counted to put the rare ones first; any order of words gives the same pairs.
@@ -371,7 +393,7 @@ def _rarest(batches, often: np.ndarray):
 
 
 def _across(mixed: DataFrame, kept: DataFrame, features: DataFrame) -> DataFrame:
-    """(key, b): all pairs of texts of different components of ``mixed`` that may be near, by a rare word that both have.
+    """(key, other, unlike): all pairs of texts of different components of ``mixed`` that may be near, by a rare word that both have, and how far their outlines differ.
 
     Near texts have all words in common but those that may differ, so the first of each
     in one order meet.  Texts of a word's largest component meet only those of others.
@@ -386,7 +408,7 @@ def _across(mixed: DataFrame, kept: DataFrame, features: DataFrame) -> DataFrame
     here = stored(held.join(per, "word").join(features, "key"), "crowded-words")
     others = here.select(F.col("word").alias("of"), F.col("key").alias("b"), F.col("root").alias("root_b"), *[F.col(f).alias(f"{f}_b") for f in FEATURES])
     once = (F.col("root_b") == F.col("major")) | (F.col("key") > F.col("b"))
-    pairs = stored(here.filter("root != major").join(others, (F.col("word") == F.col("of")) & (F.col("root") != F.col("root_b")) & once & _likely()).select("key", "b").distinct(), "across")
+    pairs = stored(here.filter("root != major").join(others, (F.col("word") == F.col("of")) & (F.col("root") != F.col("root_b")) & once & _likely()).select("key", F.col("b").alias("other"), _unlike().alias("unlike")).distinct(), "across-words")
     discard(keys, texts, held, here)
     return pairs
 
@@ -451,8 +473,7 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     """
     folded = F.lower(text_of(docs, text_column))
     keyed = docs.select(F.col(id_column).alias("doc_id"), F.unhex(F.md5(folded.cast("binary"))).alias("key"), folded.alias("text"))
-    found = stored(links(keyed.select("key", "text")), "links")
-    node = components(found)
+    found, node = _searched(keyed.select("key", "text"))
     degree = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     rows = stored(
         keyed.select("doc_id", "key").join(node.join(degree, "node"), keyed["key"] == F.col("node"), "left")

@@ -474,3 +474,25 @@ def test_rare_words_of_near_texts_meet():
             out.setdefault(int(key), set()).add(word)
     near = near_dedup.similar(pa.array(rows[::2]), pa.array(rows[1::2]))
     assert near.sum() > 100 and all(out[2 * i] & out[2 * i + 1] for i in np.flatnonzero(near))
+
+
+def test_near_copies_shuffle_only_texts_of_shared_sketches(spark, monkeypatch):
+    """No join by key is planned before the bitmap, which drops the texts that share no sketch where they are read."""
+    plans, kept = {}, near_dedup.stored
+    monkeypatch.setattr(near_dedup, "stored", lambda df, name: (plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString()), kept(df, name))[1])
+    rows = [(i, " ".join(f"w{(i // 2) * 100 + j}" for j in range(40)) + (" end" if i % 2 else "")) for i in range(40)]
+    found = near_dedup.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: r.class_id for r in found} == {i: i // 2 * 2 for i in range(40)}
+    assert "LeftSemi" not in plans["candidates"] and "bitmap_construct_agg" in plans["candidates"]
+
+
+def test_components_end_with_the_round_that_leaves_stars(spark, monkeypatch):
+    written, kept = [], components.stored
+    monkeypatch.setattr(components, "stored", lambda df, name: (written.append(name), kept(df, name))[1])
+    got = {r.node: r.root for r in components.components(spark.createDataFrame([(i, 0) for i in range(1, 9)], "a int, b int")).collect()}
+    assert got == dict.fromkeys(range(9), 0)
+    # the links as given, and one round
+    assert len(written) == 2
+    chain = {r.node: r.root for r in components.components(spark.createDataFrame([(i, i + 1) for i in range(30)] + [(40, 41)], "a int, b int")).collect()}
+    assert chain == dict.fromkeys(range(31), 0) | {40: 40, 41: 40}
+    assert components.components(spark.createDataFrame([], "a int, b int")).count() == 0
