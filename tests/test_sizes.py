@@ -63,3 +63,9 @@ def test_contract_documents_are_made_once(spark, sf_dir):
 
     for query in (contract_docs.contract_records, contract_docs.contract_summaries):
         assert not [f for f in query(spark, sf_dir).inputFiles() if f.endswith(("lineitem.parquet", "orders.parquet"))]
+
+
+def test_freeze_blocks_read_lines_once(spark, sf_dir):
+    with written_plan(spark):
+        plan = entry.queries()["freeze_directive_blocks"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange") == 1
