@@ -10,6 +10,8 @@ from .text import slug, unix_lines
 HEADING = r"^(#{1,6})\s+(.+?)\s*#*\s*$"
 FENCE = r"^\s*(`{3,}|~{3,})\s*(.*?)\s*$"
 OWNER = "struct<kind:string,match_key:string,level:int,info:string,start:int,end:int>"
+#: What every heading and every line that opens or closes a fence begins with; the fold leaves out all others.
+MARKED = r"^(#{1,6}\s|\s*(```|~~~))"
 STATE = f"struct<mark:string,owners:array<{OWNER}>>"
 
 
@@ -20,7 +22,7 @@ def owners(text: Column) -> Column:
     text; what is inside is neither heading nor fence.  A heading ends on its own line.
     """
     lines = F.split(unix_lines(text), "\n")
-    numbered = F.transform(lines, lambda x, i: F.struct(x.alias("line"), i.alias("at")))
+    numbered = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("line"), i.alias("at"))), lambda x: x["line"].rlike(MARKED))
 
     def step(state: Column, x: Column) -> Column:
         line, at, mark = x["line"], x["at"], state["mark"]

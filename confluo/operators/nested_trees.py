@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import markdown
@@ -31,35 +31,51 @@ def child_family(info: Column) -> Column:
     return F.when(F.lower(info).isin("markdown", "md"), "markdown").otherwise(fence_family(info))
 
 
-def owned_sections(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, place, path, kind, info, start, end, lines): owners in order, their path a number among those of their kind."""
-    lines = F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n")
-    rows = docs.filter(F.col(text).isNotNull()).select(key, lines.alias("lines"), F.posexplode(markdown.owners(F.col(text))).alias("place", "o")).select(key, "lines", "place", "o.*")
-    nth = F.row_number().over(Window.partitionBy(key, "kind").orderBy("place")) - 1
-    return rows.withColumn("path", F.concat(F.lit("/"), "kind", F.lit("/"), nth.cast("string")))
+def once(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once a row, however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def lines_of(text: Column) -> Column:
+    return F.split(F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n"), "\n")
+
+
+def owned_sections(text: Column, lines: Column) -> Column:
+    """Array of a text's owners in order: start, kind, nth (number among those of its kind), info, end, and stop, the line of the next owner."""
+
+    def numbered(found: Column) -> Column:
+        ended = F.transform(found, lambda o, i: F.struct(o["start"].alias("start"), o["kind"].alias("kind"), o["info"].alias("info"), o["end"].alias("end"), F.coalesce(F.get(found, i + 1)["start"], F.size(lines)).alias("stop")))
+        of = lambda rows, kind: F.transform(F.filter(rows, lambda o: o["kind"] == kind), lambda o, i: F.struct(o["start"].alias("start"), o["kind"].alias("kind"), i.alias("nth"), o["info"].alias("info"), o["end"].alias("end"), o["stop"].alias("stop")))
+        return once(ended, lambda rows: F.array_sort(F.concat(of(rows, "heading"), of(rows, "code_fence"))))
+
+    return once(markdown.owners(F.coalesce(text, F.lit(""))), numbered)
 
 
 def merge_markdown(pairs: DataFrame, key: str) -> DataFrame:
     """(key, merged) of key, template and destination: the destination's sections, then those of the template whose path it lacks.
 
     A section runs to the next heading or fence; what stands before the first is in none
-    and goes.  Sections are parted by one empty line, and empty ones left out.
+    and goes.  Sections are parted by one empty line, and empty ones left out.  A path is a
+    kind and a number from 0, so the destination lacks those of the numbers that follow its own.
     """
-    found = None
-    for rank, side in enumerate(("destination", "template")):
-        s = owned_sections(pairs, key, side)
-        stop = F.coalesce(F.lead("start").over(Window.partitionBy(key).orderBy("place")), F.size("lines"))
-        body = s.withColumn("stop", stop).select(key, "path", F.lit(rank).alias("rank"), "place", trimmed(F.array_join(F.slice("lines", F.col("start") + 1, F.col("stop") - F.col("start")), "\n")).alias("text"))
-        found = body if found is None else found.unionByName(body.join(found.select(key, "path"), [key, "path"], "left_anti"))
-    parts = F.transform(F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct("rank", "place", "text")))), lambda x: x["text"])
-    per = found.groupBy(key).agg(F.concat(trimmed(F.array_join(parts, "\n\n")), F.lit("\n")).alias("merged"))
-    return pairs.select(key).join(per, key, "left").select(key, F.coalesce("merged", F.lit("\n")).alias("merged"))
+    body = lambda lines: lambda o: trimmed(F.array_join(F.slice(lines, o["start"] + 1, o["stop"] - o["start"]), "\n"))
+    owned = lambda c, use: once(lines_of(F.col(c)), lambda lines: once(owned_sections(F.col(c), lines), lambda found: use(lines, found)))
+    has = lambda found, kind: F.size(F.filter(found, lambda o: o["kind"] == kind))
+
+    def further(headings: Column, fences: Column) -> Column:
+        lacks = lambda o: o["nth"] >= F.when(o["kind"] == "heading", headings).otherwise(fences)
+        return owned("template", lambda lines, found: F.transform(F.filter(found, lacks), body(lines)))
+
+    both = owned("destination", lambda lines, found: F.struct(has(found, "heading").alias("headings"), has(found, "code_fence").alias("fences"), F.transform(found, body(lines)).alias("texts")))
+    texts = once(both, lambda d: F.concat(d["texts"], further(d["headings"], d["fences"])))
+    return pairs.select(key, F.concat(trimmed(F.array_join(F.filter(texts, lambda t: t != ""), "\n\n")), F.lit("\n")).alias("merged"))
 
 
-def _fences(docs: DataFrame, side: str) -> DataFrame:
-    rows = owned_sections(docs, "node", side).filter("kind = 'code_fence'").withColumn("family", child_family(F.col("info"))).filter(F.col("family").isin(*MERGED))
-    body = F.array_join(F.slice("lines", F.col("start") + 2, F.greatest(F.col("end") - F.col("start") - 1, F.lit(0))), "\n")
-    return rows.select("node", "path", "family", body.alias(side), "start", "end")
+def _fences(text: Column) -> Column:
+    """Array of a text's fences in order: family, body, start, end."""
+    body = lambda lines, o: F.array_join(F.slice(lines, o["start"] + 2, F.greatest(o["end"] - o["start"] - 1, F.lit(0))), "\n")
+    one = lambda lines: lambda o: F.struct(child_family(o["info"]).alias("family"), body(lines, o).alias("body"), o["start"].alias("start"), o["end"].alias("end"))
+    return once(lines_of(text), lambda lines: F.transform(F.filter(owned_sections(text, lines), lambda o: o["kind"] == "code_fence"), one(lines)))
 
 
 def child_tree(pairs: DataFrame, key: str, accepted: DataFrame) -> list[DataFrame]:
@@ -73,8 +89,9 @@ def child_tree(pairs: DataFrame, key: str, accepted: DataFrame) -> list[DataFram
     levels = [settled(root, "nested")]
     while True:
         above = levels[-1].filter("family = 'markdown'")
-        both = _fences(above, "destination").join(_fences(above, "template").drop("start", "end"), ["node", "path", "family"])
-        named = both.select(F.concat("node", "path").alias("node"), F.col("node").alias("parent"), "family", "template", "destination", "start", "end")
+        pair = F.transform(_fences(F.col("destination")), lambda d, i: F.struct(F.concat(F.lit("/code_fence/"), i.cast("string")).alias("path"), d.alias("d"), F.get(F.col("_of_template"), i).alias("t")))
+        both = above.withColumn("_of_template", _fences(F.col("template"))).select("node", F.explode(F.filter(pair, lambda p: (p["d"]["family"] == p["t"]["family"]) & p["d"]["family"].isin(*MERGED))).alias("p"))
+        named = both.select(F.concat("node", "p.path").alias("node"), F.col("node").alias("parent"), "p.d.family", F.col("p.t.body").alias("template"), F.col("p.d.body").alias("destination"), "p.d.start", "p.d.end")
         below = settled(named.join(accepted.select("node"), "node", "left_semi"), "nested")
         if below.isEmpty():
             return levels

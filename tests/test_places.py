@@ -249,3 +249,22 @@ def test_three_depths_are_merged_from_the_leaves_up(spark):
     assert got["1"] == '# Out\n\n````md\n## In\n\n```json\n{"t":1,"d":2}\n```\n````\n'
     assert got["2"] == outer('{"d":') and got["5"] == outer('{"d":2}') and got["6"] == outer('{"d":2}') and got["4"] == "# A\n\nt\n"
     assert {(x.node, x.depth, x.diagnostic) for x in reports.collect() if x.depth} == {("1/code_fence/0", 1, None), ("1/code_fence/0/code_fence/0", 2, None), ("2/code_fence/0", 1, None), ("2/code_fence/0/code_fence/0", 2, "destination_parse_error")}
+
+
+def test_nested_trees_find_and_merge_without_shuffles(spark):
+    """Fences and sections of a text are found and merged in its own row, whatever their number."""
+    rows = [(1, "# a\n\none\n# b\n```json\n1\n```\n## c\nthree", "# x\n```js\nb = 1\n```\n"), (2, "", None), (3, "# t\n~~~\nopen\n# no", ""), (4, "only\r\n# d\r\nends", "# e\nf\n\n\n# g\n")]
+    pairs = spark.createDataFrame(rows, "id bigint, template string, destination string")
+    done = nested_trees.merge_markdown(pairs, "id")
+    assert {r.id: r.merged for r in done.collect()} == {1: "# x\n\n```js\nb = 1\n```\n\n# b\n\n## c\nthree\n", 2: "\n", 3: "# t\n\n~~~\nopen\n# no\n", 4: "# e\nf\n\n# g\n"}
+    assert "Exchange" not in done._jdf.queryExecution().executedPlan().toString()
+
+
+def test_owners_fold_only_lines_that_may_be_marks(spark):
+    """Fences indented or closed by longer marks, headings after other white space, and lines that only look like them."""
+    from confluo.functions import markdown
+
+    text = "#no\n#\tyes\n \t```go x\n# in\n``\n  ````  \n#######  no\n###### six #\n~~~\n```\n~~\n\t~~~~\n ## no"
+    found = spark.createDataFrame([(text,)], "t string").select(markdown.owners(F.col("t")).alias("o"))
+    assert [(o.kind, o.level, o.start, o.end) for o in found.first().o] == [("heading", 1, 1, 1), ("code_fence", 0, 2, 5), ("heading", 6, 7, 7), ("code_fence", 0, 8, 11)]
+    assert markdown.MARKED in found._jdf.queryExecution().optimizedPlan().toString()
