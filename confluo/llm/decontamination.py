@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bare_words, fresh, slices, table, text_of, utf8
+from .common import bare_words, fresh, lean, slices, table, text_of, utf8
 
 #: Hash buckets of words; latent directions, and extra ones of the random range.
 TERMS, RANK, EXTRA = 1 << 13, 64, 8
@@ -81,6 +81,7 @@ def _run_sums(rows: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return out
 
 
+@lean
 def _frequencies(batches):
     total, passages = np.zeros(TERMS, np.int64), 0
     for batch in batches:
@@ -97,6 +98,7 @@ def _frequencies(batches):
 def _range(idf: np.ndarray, seed: int):
     """Per task: its part of A'(A O), one row per term."""
 
+    @lean
     def run(batches):
         random = np.random.default_rng(seed).standard_normal((TERMS, RANK + EXTRA)).astype(np.float32) * idf[:, None]
         total = np.zeros_like(random)
@@ -187,6 +189,7 @@ def _masks(words: np.ndarray) -> dict[int, int]:
 def _search(space, items, items_column: str = "item_ids", cover_column: str = "cover"):
     """Per document: ids of the items found in it, and the largest share of one found in order."""
 
+    @lean
     def run(batches):
         projection, known = np.r_[space.value, np.zeros((1, space.value.shape[1]), np.float32)], items.value
         ids = [i for i, _ in known]

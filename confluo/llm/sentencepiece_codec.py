@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASE, fresh, mix, slices, table, text_of, utf8
+from .common import BASE, fresh, lean, mix, slices, table, text_of, utf8
 
 MARK = "▁"
 #: Distinct words that are encoded together, and words a worker remembers.
@@ -226,30 +226,61 @@ class Viterbi:
         return np.array(parts, np.int32)
 
 
-def encode(docs: DataFrame, tables: dict, text_column: str = "text", ids_column: str = "piece_ids") -> DataFrame:
-    """``docs`` with the piece ids of each whole text."""
+_cut = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall
+
+
+class Encoder:
+    """Piece ids of columns of texts; words met before are looked up."""
+
+    def __init__(self, tables: dict) -> None:
+        self.viterbi, self.known = Viterbi(tables), {}
+
+    def __call__(self, column: pa.Array) -> pa.ListArray:
+        texts = [_cut(MARK + t.replace(" ", MARK)) if t else [] for t in column.to_pylist()]
+        new = list({w for t in texts for w in t if w not in self.known})
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known, new = {}, list({w for t in texts for w in t})
+        for first in range(0, len(new), TOGETHER):
+            some = new[first : first + TOGETHER]
+            self.known.update(zip(some, self.viterbi.encode(some), strict=True))
+        ids = [b"".join(map(self.known.__getitem__, t)) for t in texts]
+        ends = pa.array(np.r_[0, np.cumsum([len(x) // 4 for x in ids])], pa.int32())
+        return pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(ids), np.int32)))
+
+
+def _spelled(column: pa.ListArray, tables: dict) -> pa.Array:
+    """The texts that lists of piece ids spell; a null list has none."""
+    raw, ends, texts = tables["raw"], tables["raw_ends"], []
+    for ids in column:
+        ids = ids.values.to_numpy() if ids.is_valid else np.zeros(0, np.int64)
+        size = ends[ids + 1] - ends[ids]
+        at = np.repeat(ends[ids] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum()) if len(ids) else np.zeros(0, np.int64)
+        texts.append(raw[at].tobytes().removeprefix(b" ").decode("utf-8", "replace"))
+    return pa.array(texts, pa.string())
+
+
+def encode(docs: DataFrame, tables: dict, text_column: str = "text", ids_column: str = "piece_ids", decoded_column: str | None = None) -> DataFrame:
+    """``docs`` with the piece ids of each whole text.
+
+    With ``decoded_column`` also with the text that they spell, read back in the same
+    task: a second one for ``decode`` would hold two more workers on each core.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(tables)
-    cut = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall
+    added = [ids_column, *([decoded_column] if decoded_column else [])]
 
+    @lean
     def run(batches):
-        viterbi, known = Viterbi(shared.value), {}
+        encoder = Encoder(shared.value)
         for batch in batches:
             for a, b in slices(utf8(batch.column(batch.num_columns - 1))[0]):
                 part = batch.slice(a, b - a)
-                texts = [cut(MARK + t.replace(" ", MARK)) if t else [] for t in part.column(part.num_columns - 1).to_pylist()]
-                new = list({w for t in texts for w in t if w not in known})
-                if len(known) + len(new) > REMEMBERED:
-                    known, new = {}, list({w for t in texts for w in t})
-                for first in range(0, len(new), TOGETHER):
-                    some = new[first : first + TOGETHER]
-                    known.update(zip(some, viterbi.encode(some), strict=True))
-                ids = [b"".join(map(known.__getitem__, t)) for t in texts]
-                ends = pa.array(np.r_[0, np.cumsum([len(x) // 4 for x in ids])], pa.int32())
-                lists = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(ids), np.int32)))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists], names=[*batch.schema.names[:-1], ids_column])
-
-    kept = [c for c in docs.columns if c.lower() != ids_column.lower()]
-    schema = docs.select(*kept).withColumn(ids_column, F.array(F.lit(0))).schema
+                ids = encoder(part.column(part.num_columns - 1))
+                more = [_spelled(ids, shared.value)] if decoded_column else []
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids, *more], names=[*batch.schema.names[:-1], *added])
+
+    kept = [c for c in docs.columns if c.lower() not in {x.lower() for x in added}]
+    schema = docs.select(*kept).withColumn(ids_column, F.array(F.lit(0)))
+    schema = (schema.withColumn(decoded_column, F.lit("")) if decoded_column else schema).schema
     return docs.select(*kept, text_of(docs, text_column).alias(fresh(docs, "_whole"))).mapInArrow(run, schema)
 
 
@@ -257,17 +288,12 @@ def decode(docs: DataFrame, tables: dict, ids_column: str = "piece_ids", text_co
     """``docs`` with the text that its piece ids spell; the first space is the encoder's own."""
     shared = docs.sparkSession.sparkContext.broadcast({k: tables[k] for k in ("raw", "raw_ends")})
 
+    @lean
     def run(batches):
-        raw, ends = shared.value["raw"], shared.value["raw_ends"]
         for whole in batches:
             for first in range(0, whole.num_rows, 500):
-                batch, texts = whole.slice(first, 500), []
-                for ids in batch.column(batch.num_columns - 1):
-                    ids = ids.values.to_numpy() if ids.is_valid else np.zeros(0, np.int64)
-                    size = ends[ids + 1] - ends[ids]
-                    at = np.repeat(ends[ids] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum()) if len(ids) else np.zeros(0, np.int64)
-                    texts.append(raw[at].tobytes().removeprefix(b" ").decode("utf-8", "replace"))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*batch.schema.names[:-1], text_column])
+                batch = whole.slice(first, 500)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], _spelled(batch.column(batch.num_columns - 1), shared.value)], names=[*batch.schema.names[:-1], text_column])
 
     kept = [c for c in docs.columns if c.lower() != text_column.lower()]
     schema = docs.select(*kept).withColumn(text_column, F.lit("")).schema
@@ -278,5 +304,5 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     tables = load(public_tokenizers.path("piece_bpe_32k.model"))
-    coded = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), tables), tables)
+    coded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), tables, decoded_column="decoded")
     return coded.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids", (F.col("decoded") == text_of(coded)).alias("round_trip"))

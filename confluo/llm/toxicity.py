@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bare_words, fold, fresh, slices, table, text_of, utf8
+from .common import bare_words, fold, fresh, lean, slices, table, text_of, utf8
 
 #: Hash buckets of words.
 BUCKETS = 1 << 18
@@ -48,6 +48,7 @@ def _each(batch: pa.RecordBatch, column: int):
         yield a, b, *_features(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]])
 
 
+@lean
 def _gather(batches):
     for batch in batches:
         for a, b, ends, buckets in _each(batch, 1):
@@ -145,6 +146,7 @@ def with_scores(docs: DataFrame, model: tuple[np.ndarray, float], score: str = "
     """``docs`` with a column ``score``: the probability of toxicity of each whole text."""
     shared, bias = docs.sparkSession.sparkContext.broadcast(model[0].astype(np.float32)), model[1]
 
+    @lean
     def run(batches):
         weights = shared.value
         for batch in batches:

@@ -45,7 +45,7 @@ def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     tables = sentencepiece_codec.load(public_tokenizers.path("piece_bpe_32k.model"))
-    coded = sentencepiece_codec.decode(sentencepiece_codec.encode(docs.select("doc_id", "text"), tables), tables)
+    coded = sentencepiece_codec.encode(docs.select("doc_id", "text"), tables, decoded_column="decoded")
     return coded.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids", (F.col("decoded") == text_of(coded)).alias("round_trip"))
 
 

@@ -45,3 +45,18 @@ def test_stages_return_the_columns_of_documents(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").limit(20)
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf_dir).columns == docs.columns
+
+
+def test_pieces_are_read_back_in_the_task_that_made_them(spark, sf_dir):
+    """Encoding and reading back share their workers, and give what the two operators give one after the other."""
+    import public_tokenizers
+    from confluo.llm import sentencepiece_codec
+
+    docs = spark.createDataFrame([(1, "ab  cd\n"), (2, None), (3, ""), (None, "naïve ☃ 😀")], "doc_id bigint, text string")
+    got = corpus_pipeline.to_pieces(spark, docs, sf_dir)
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    tables = sentencepiece_codec.load(public_tokenizers.path("piece_bpe_32k.model"))
+    want = sentencepiece_codec.decode(sentencepiece_codec.encode(docs, tables), tables).collect()
+    assert {r.doc_id: r.piece_ids for r in got.collect()} == {r.doc_id: r.piece_ids for r in want}
+    assert [r.decoded for r in sentencepiece_codec.encode(docs, tables, decoded_column="decoded").collect()] == [r.decoded for r in want]
+    assert all(r.round_trip for r in got.collect())
