@@ -496,3 +496,18 @@ def test_components_end_with_the_round_that_leaves_stars(spark, monkeypatch):
     chain = {r.node: r.root for r in components.components(spark.createDataFrame([(i, i + 1) for i in range(30)] + [(40, 41)], "a int, b int")).collect()}
     assert chain == dict.fromkeys(range(31), 0) | {40: 40, 41: 40}
     assert components.components(spark.createDataFrame([], "a int, b int")).count() == 0
+
+
+def test_components_of_few_links_take_no_round_and_of_many_agree(spark, monkeypatch):
+    """A long chain is written as given and as stars; with a task for every few links the rounds give the same."""
+    written, kept = [], components.stored
+    monkeypatch.setattr(components, "stored", lambda df, name: (written.append(name), kept(df, name))[1])
+    pairs = [(bytes([255 - i]), bytes([254 - i])) for i in range(100)] + [(b"\x01", b"\x02"), (b"\x02", b"\x01"), (b"\x07", b"\x07")]
+    links = spark.createDataFrame(pairs, "a binary, b binary")
+    want = {bytes([155 + i]): bytes([155]) for i in range(101)} | {b"\x01": b"\x01", b"\x02": b"\x01"}
+    assert {bytes(r.node): bytes(r.root) for r in components.components(links).collect()} == want
+    assert len(written) == 2
+    monkeypatch.setattr(components, "TOGETHER", 10)
+    several = components.components(links.repartition(20)).collect()
+    assert {bytes(r.node): bytes(r.root) for r in several} == want and len(several) == len(want)
+    assert len(written) > 4
