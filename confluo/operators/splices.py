@@ -49,7 +49,8 @@ def _ahead(parts: Column, i: Column) -> Column:
     return F.when(i > 0, F.get(parts, i - 1)["end"]).otherwise(F.lit(0).cast("long"))
 
 
-def _bytes(text: Column, parts: Column) -> Column:
+def replaced_bytes(text: Column, parts: Column) -> Column:
+    """A text with its parts (an array of PART in order, none within another) in place."""
     raw = text.cast("binary")
     piece = lambda start, end: F.substring(raw, (start + 1).cast("int"), (end - start).cast("int")).cast("string")
     pieces = F.transform(parts, lambda p, i: F.concat(piece(_ahead(parts, i), p["start"]), p["replacement"]))
@@ -73,7 +74,7 @@ def splice(docs: DataFrame, edits: DataFrame, key: str, text: str, unit: str = "
     """
     judgement = judged(docs, edits, key, text, unit)
     joined = docs.select(key, text).join(_parts(judgement, key), key, "left")
-    apply = _bytes if unit == "bytes" else _lines
+    apply = replaced_bytes if unit == "bytes" else _lines
     result = F.when(F.col("parts").isNotNull(), apply(F.col(text), F.col("parts"))).otherwise(F.col(text))
     return joined.select(key, result.alias("result"), F.col("parts").isNotNull().alias("edited")), judgement.filter("rejected IS NOT NULL").select(key, "edit", F.col("rejected").alias("category"))
 

@@ -144,6 +144,35 @@ def test_conflicts_stand_in_their_owners(spark):
     assert {(x.id, x.path, x.owner_path, x.base_start, x.base_end) for x in regions.collect()} == {(1, "/enabled", "/enabled", 15, 29), (2, "/a/b", "/a/b", 6, 11), (2, "/a/c", "/a", 1, 18)}
 
 
+def test_conflicts_in_place_are_found_within_a_row(spark):
+    """No shuffle and one reading of the texts; names repeated or escaped, numbers of one value, owners within owners, and texts nested as deep as any that parse."""
+    deep = lambda x: '{"a":' * 3000 + x + "}" * 3000
+    rows = [
+        (1, '{"é":1,"a":[1.0],"é":{"b":1}}', '{"a":[1],"é":{"b":2}}', '{"é":{"b":3},"a":[2]}'),
+        (2, '{"x":{"y":{"z":1},"w":1}}', '{"x":{"y":{"z":2}}}', '{"x":{"y":{"z":3},"w":2}}'),
+        (3, deep("1"), deep("2"), deep("3")),
+        (4, '{"a":true}', '{"a":1}', '{"a":1e0}'),
+        (5, '{"\\ud800":1}', '{"\\ud800":2}', '{"\\ud800":3}'),
+        (6, None, "1", "2"),
+        (7, "{", "1", "2"),
+    ]
+    sides = spark.createDataFrame(rows, "id int, base string, ours string, theirs string")
+    shown, regions, clean = placement.conflicted_sources(sides, "id")
+    for df in (shown, regions):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and plan.count("MapInArrow ") == 1
+    got = {x.id: (x.strategy, x.conflicts, x.source) for x in shown.collect()}
+    inside = lambda o, b, t: f"<<<<<<< ours\n{o}\n||||||| base\n{b}\n=======\n{t}\n>>>>>>> theirs"
+    owned = "owned_region_conflict_markers"
+    assert got[1] == (owned, 1, '{"a":[1],"é":{' + inside('"b":2', '"b":1', '"b":3') + "}}")
+    assert got[2] == (owned, 2, "{" + inside('"x":{"y":{"z":2}}', '"x":{"y":{"z":1},"w":1}', '"x":{"y":{"z":3},"w":2}') + "}")
+    assert got[3] == (owned, 1, deep("1")[: 5 * 2999 + 1] + inside('"a":2', '"a":1', '"a":3') + "}" * 3000)
+    assert got[5] == (owned, 1, "{" + inside('"\\ud800":2', '"\\ud800":1', '"\\ud800":3') + "}")
+    assert got[6][:2] == ("full_file_conflict_markers", 1) and set(got) == {1, 2, 3, 5, 6}
+    assert {(x.id, x.path, x.owner_path, x.base_start, x.base_end) for x in regions.collect() if x.id < 3} == {(1, "/é/b", "/é/b", 24, 29), (2, "/x/y/z", "/x/y/z", 11, 16), (2, "/x/w", "/x", 1, 24)}
+    assert {x.id: x.merged for x in clean.collect()} == {4: '{"a":1}'}
+
+
 @pytest.mark.parametrize("unit", ["bytes", "lines"])
 def test_splices_of_random_texts(spark, unit):
     r = random.Random(3)
