@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.distance import with_distances
-from ..sources.tables import settled
+from ..functions.distance import MATCH, with_matches
 
 
 def block_rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -36,61 +35,6 @@ def exact_pairs(template: DataFrame, destination: DataFrame, pair: str) -> DataF
     return nth(template, "template_idx").join(nth(destination, "destination_idx"), [pair, "normalized", "k"]).select(pair, "template_idx", "destination_idx")
 
 
-def _left_over(side: DataFrame, exact: DataFrame, pair: str, name: str, text: str, total: str) -> DataFrame:
-    """Blocks of a side that no exact match took."""
-    rest = side.join(exact.select(pair, F.col(name).alias("idx")), [pair, "idx"], "left_anti")
-    return rest.select(pair, F.col("idx").alias(name), F.col("normalized").alias(text), F.col("total").alias(total))
-
-
-def _scored(both: DataFrame, pair: str, least: Column) -> DataFrame:
-    """(pair, template_idx, destination_idx, score) of pairs of blocks that reach ``least``.
-
-    Lengths and places bound the score first; what is left of it for the content bounds
-    the edit distance, which is given up where it passes that.  Distances are taken in
-    Arrow batches: long blocks that differ in few places cost no table there.
-    """
-    content, length, position = T.WEIGHTS
-    longer = F.greatest(F.length("a"), F.length("b"))
-    fixed = length * T.length_similarity(F.col("a"), F.col("b")) + position * T.position_similarity(F.col("template_idx"), F.col("destination_idx"), F.col("n"), F.col("m"))
-    needed = (least - fixed) / content
-    rows = both.withColumns({"fixed": fixed, "longer": longer, "most": F.floor((1 - needed) * longer + 1e-6).cast("int")})
-    rows = rows.filter((F.col("most") >= 0) & (F.abs(F.length("a") - F.length("b")) <= F.col("most")))
-    given = rows.select(pair, "template_idx", "destination_idx", "fixed", "longer", F.col("a").cast("binary").alias("a"), F.col("b").cast("binary").alias("b"), "most")
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-3])
-    rows = given.mapInArrow(with_distances, f"{kept}, distance int")
-    return rows.select(pair, "template_idx", "destination_idx", (content * (1 - F.col("distance") / F.col("longer")) + F.col("fixed")).alias("score")).filter(F.col("score") >= T.REFINED)
-
-
-#: A word says which blocks belong together if no more blocks of a text hold it than these.
-RARE = 8
-
-
-def likely_partners(left: DataFrame, right: DataFrame, pair: str) -> DataFrame:
-    """(pair, template_idx, destination_idx): for each destination block the template block that shares most rare words."""
-    cut = lambda side, name, text: side.select(pair, name, F.explode(F.array_distinct(F.split(text, " "))).alias("word"))
-    words = cut(left, "template_idx", "a")
-    rare = words.groupBy(pair, "word").agg(F.collect_list("template_idx").alias("at"), F.count(F.lit(1)).alias("n")).filter(F.col("n") <= RARE)
-    shared = cut(right, "destination_idx", "b").join(rare, [pair, "word"]).select(pair, "destination_idx", F.explode("at").alias("template_idx"))
-    counted = shared.groupBy(pair, "destination_idx", "template_idx").agg(F.count(F.lit(1)).alias("n"))
-    return counted.groupBy(pair, "destination_idx").agg(F.max_by("template_idx", F.struct("n", -F.col("template_idx"))).alias("template_idx"))
-
-
-def refined_best(left: DataFrame, right: DataFrame, pair: str) -> DataFrame:
-    """(pair, template_idx, destination_idx, score): the best template block of each destination block, if any reaches the threshold; ties go to the earlier.
-
-    A partner that shares rare words is scored first; the others are looked at only as
-    far as they might beat it, so most edit distances are given up after a few steps.
-    """
-    ahead = likely_partners(left, right, pair).join(left, [pair, "template_idx"]).join(right, [pair, "destination_idx"])
-    first = settled(_scored(ahead, pair, F.lit(T.REFINED)), "partners")
-    seeds = first.select(pair, "destination_idx", F.col("template_idx").alias("seed"), F.col("score").alias("seed_score"))
-    both = left.join(right.join(seeds, [pair, "destination_idx"], "left"), pair).filter("seed IS NULL OR seed != template_idx")
-    rest = _scored(both, pair, F.coalesce("seed_score", F.lit(T.REFINED)))
-    rank = F.struct("score", (-F.col("template_idx")).alias("t"))
-    best = first.unionByName(rest).groupBy(pair, "destination_idx").agg(F.max_by(F.struct("template_idx", "score"), rank).alias("best"))
-    return best.select(pair, F.col("best.template_idx").alias("template_idx"), "destination_idx", F.col("best.score").alias("score"))
-
-
 def take_greedily(candidates: DataFrame, pair: str) -> DataFrame:
     """For each destination block in order the best template block still free; ties go to the earlier one.
 
@@ -110,21 +54,40 @@ def take_greedily(candidates: DataFrame, pair: str) -> DataFrame:
     return candidates.groupBy(pair).applyInPandas(choose, candidates.schema)
 
 
+def match_texts(pairs: DataFrame, pair: str) -> DataFrame:
+    """(pair, template, destination, matches) of (pair, template, destination), arrays of the normalised blocks of two texts.
+
+    Both texts stand in one row, so nothing is joined, shuffled or stored.  ``matches`` are
+    MATCHes: exact ones by occurrence; then each destination block left over, in order,
+    takes the best template block still free.
+    """
+    raw = pairs.select(pair, *[F.col(c).cast("array<binary>").alias(c) for c in ("template", "destination")])
+    columns = ", ".join(f"`{c}` {t}" for c, t in raw.dtypes)
+    return raw.mapInArrow(with_matches, f"{columns}, matches array<{MATCH}>")
+
+
+def matches_of(matched: DataFrame, pair: str) -> DataFrame:
+    """(pair, template_idx, destination_idx, phase, score), a row a match."""
+    return matched.select(pair, F.inline("matches"))
+
+
+def merged_texts(matched: DataFrame, pair: str) -> DataFrame:
+    """(pair, merged): destination blocks in order, then template blocks that nothing matched; pairs without blocks have none."""
+    free = F.array_except(F.transform("template", lambda _, i: i), F.transform("matches", lambda m: m["template_idx"]))
+    parts = F.concat("destination", F.transform(free, lambda i: F.get(F.col("template"), i))).cast("array<string>")
+    return matched.filter((F.size("template") > 0) | (F.size("destination") > 0)).select(pair, F.array_join(parts, "\n\n").alias("merged"))
+
+
 def match_blocks(template: DataFrame, destination: DataFrame, pair: str) -> DataFrame:
-    """(pair, template_idx, destination_idx, phase, score) of all matches, stored.
+    """(pair, template_idx, destination_idx, phase, score) of all matches between rows of blocks.
 
-    Where no two destination blocks of a pair of texts want one template block, each
-    gets its best; only pairs where some do score all their blocks and choose in turn.
+    The blocks of a pair's two texts come together in one shuffle, each text once.
     """
-    exact = settled(exact_pairs(template, destination, pair), "exact")
-    left = settled(_left_over(template, exact, pair, "template_idx", "a", "n"), "left-over")
-    right = settled(_left_over(destination, exact, pair, "destination_idx", "b", "m"), "left-over")
-    best = settled(refined_best(left, right, pair), "best")
-    clashes = best.groupBy(pair, "template_idx").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(pair).distinct()
-    contested = _scored(left.join(clashes, pair, "left_semi").join(right, pair), pair, F.lit(T.REFINED))
-    refined = best.join(clashes, pair, "left_anti").unionByName(take_greedily(contested, pair))
-    rows = exact.withColumns({"phase": F.lit("exact"), "score": F.lit(1.0)}).unionByName(refined.withColumn("phase", F.lit("refined")))
-    return settled(rows, "matches")
+    cut = lambda side, part: side.select(pair, F.lit(part).alias("part"), "idx", "normalized")
+    rows = F.array_sort(F.collect_list(F.struct("part", "idx", "normalized")))
+    both = cut(template, 0).unionByName(cut(destination, 1)).groupBy(pair).agg(rows.alias("rows"))
+    of = lambda part: F.transform(F.filter("rows", lambda r: r["part"] == part), lambda r: r["normalized"])
+    return matches_of(match_texts(both.select(pair, of(0).alias("template"), of(1).alias("destination")), pair), pair)
 
 
 def merge_blocks(template: DataFrame, destination: DataFrame, matches: DataFrame, pair: str) -> DataFrame:

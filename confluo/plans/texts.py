@@ -98,22 +98,22 @@ SELECT d.doc_id, t.idx::BIGINT AS template_idx, d.idx::BIGINT AS destination_idx
 """
 
 
-def _block_sides(spark, sf_dir):
+def _matched(spark, sf_dir):
     """Each document against itself with every third block's first word changed."""
     d = _docs(spark, sf_dir).withColumn("bs", F.split("text", "\n\n"))
     changed = F.array_join(F.transform("bs", lambda b, i: F.when(i % 3 == 1, F.concat(F.lit("Changed "), b)).otherwise(b)), "\n\n")
-    destination = d.select("doc_id", changed.alias("text"))
-    return blocks.block_rows(d.select("doc_id", "text"), "doc_id", "text"), blocks.block_rows(destination, "doc_id", "text")
+    return blocks.match_texts(d.select("doc_id", T.blocks(F.col("text")).alias("template"), T.blocks(changed).alias("destination")), "doc_id")
 
 
 def refined_block_match(spark, sf_dir):
-    template, destination = _block_sides(spark, sf_dir)
-    return blocks.match_blocks(template, destination, "doc_id").withColumn("score", F.round("score", 9))
+    d = _docs(spark, sf_dir).withColumn("bs", F.split("text", "\n\n"))
+    changed = F.array_join(F.transform("bs", lambda b, i: F.when(i % 3 == 1, F.concat(F.lit("Changed "), b)).otherwise(b)), "\n\n")
+    sides = [blocks.block_rows(x, "doc_id", "text") for x in (d.select("doc_id", "text"), d.select("doc_id", changed.alias("text")))]
+    return blocks.match_blocks(*sides, "doc_id").withColumn("score", F.round("score", 9))
 
 
 def merge_text(spark, sf_dir):
-    template, destination = _block_sides(spark, sf_dir)
-    merged = blocks.merge_blocks(template, destination, blocks.match_blocks(template, destination, "doc_id"), "doc_id")
+    merged = blocks.merged_texts(_matched(spark, sf_dir), "doc_id")
     return merged.select("doc_id", F.octet_length("merged").alias("n_bytes"), F.md5(F.col("merged").cast("binary")).alias("digest"))
 
 

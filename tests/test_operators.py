@@ -209,6 +209,27 @@ def test_refined_matches_and_merges_against_brute_force(spark):
     assert merged == {k: "\n\n".join([*b, *[x for i, x in enumerate(a) if i not in {p for p, _ in want[k].values()}]]) for k, a, b in rows}
 
 
+def test_blocks_of_a_pair_are_matched_within_its_row(spark, sf_dir):
+    """Against every score worked out: texts of many alike blocks that compete; nothing is shuffled or stored."""
+    import random
+
+    from confluo.plans import texts
+
+    r = random.Random(8)
+    rows = [(k, [" ".join(r.choices(["ab", "abc", "bc", "é", "cab"], k=r.randint(2, 4))) for _ in range(r.randint(0, 14))], [" ".join(r.choices(["ab", "abc", "bc", "é", "cab"], k=r.randint(2, 4))) for _ in range(r.randint(0, 14))]) for k in range(120)]
+    rows.append((500, ["same " * 40 + f"{c}{i}" for i, c in enumerate("abcdefgh" * 5)], ["same " * 40 + f"{i}{c}" for i, c in enumerate("hgfedcba" * 5)]))
+    matched = blocks.match_texts(spark.createDataFrame(rows, "id int, template array<string>, destination array<string>"), "id")
+    got, merged = {}, {x.id: x.merged for x in blocks.merged_texts(matched, "id").collect()}
+    for m in blocks.matches_of(matched, "id").collect():
+        got.setdefault(m.id, {})[m.destination_idx] = (m.template_idx, round(m.score, 9))
+    want = {k: {j: (i, round(s, 9)) for j, (i, s) in plain_matches(a, b).items()} for k, a, b in rows}
+    assert got == {k: v for k, v in want.items() if v}
+    assert merged == {k: "\n\n".join([*b, *[x for i, x in enumerate(a) if i not in {p for p, _ in want[k].values()}]]) for k, a, b in rows if a or b}
+    for query in (texts.merge_text,):
+        df = query(spark, sf_dir)
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString() and all(f.endswith("documents.parquet") for f in df.inputFiles())
+
+
 def test_tree_is_written_as_files(spark, tmp_path):
     from confluo.sources.tables import write_tree
 
