@@ -106,10 +106,7 @@ def _matched(spark, sf_dir):
 
 
 def refined_block_match(spark, sf_dir):
-    d = _docs(spark, sf_dir).withColumn("bs", F.split("text", "\n\n"))
-    changed = F.array_join(F.transform("bs", lambda b, i: F.when(i % 3 == 1, F.concat(F.lit("Changed "), b)).otherwise(b)), "\n\n")
-    sides = [blocks.block_rows(x, "doc_id", "text") for x in (d.select("doc_id", "text"), d.select("doc_id", changed.alias("text")))]
-    return blocks.match_blocks(*sides, "doc_id").withColumn("score", F.round("score", 9))
+    return blocks.matches_of(_matched(spark, sf_dir), "doc_id").withColumn("score", F.round("score", 9))
 
 
 def merge_text(spark, sf_dir):

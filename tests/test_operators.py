@@ -225,7 +225,7 @@ def test_blocks_of_a_pair_are_matched_within_its_row(spark, sf_dir):
     want = {k: {j: (i, round(s, 9)) for j, (i, s) in plain_matches(a, b).items()} for k, a, b in rows}
     assert got == {k: v for k, v in want.items() if v}
     assert merged == {k: "\n\n".join([*b, *[x for i, x in enumerate(a) if i not in {p for p, _ in want[k].values()}]]) for k, a, b in rows if a or b}
-    for query in (texts.merge_text,):
+    for query in (texts.refined_block_match, texts.merge_text):
         df = query(spark, sf_dir)
         assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString() and all(f.endswith("documents.parquet") for f in df.inputFiles())
 
